@@ -29,10 +29,13 @@ def contingency_wide(ct: DataFrame) -> DataFrame:
 def contingency_totals(ct: DataFrame) -> DataFrame:
     """Cells, row totals, column totals and the grand total in one pass (AGG-6).
 
-    ``level``: 0 = cell, 1 = cluster total, 2 = label total, 3 = grand total.
+    ``level``: 0 = cell, 1 = cluster total, 2 = label total, 3 = grand total; the
+    rolled-up key reads -1 (not NULL) so the table keeps non-null integer keys.
     """
-    return (ct.cube("cluster_id", "label")
-            .agg(F.sum("n").cast("long").alias("n"), F.grouping_id().cast("int").alias("level")))
+    t = ct.cube("cluster_id", "label").agg(F.sum("n").cast("long").alias("n"),
+                                           F.grouping_id().cast("int").alias("level"))
+    return t.select(F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"),
+                    F.coalesce("label", F.lit(-1)).alias("label"), "n", "level")
 
 
 def _c2(n):

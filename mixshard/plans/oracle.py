@@ -180,7 +180,7 @@ ari2 AS (SELECT idx, sa, sb, n, sa * sb / (n * (n - 1) / 2.0) AS ex FROM ari)"""
 SQL["contingency"] = _w("SELECT cluster_id, label, n FROM ct", CT)
 
 SQL["contingency_totals"] = _w("""
-SELECT cluster_id, label, CAST(sum(n) AS BIGINT) AS n, CAST(grouping(cluster_id, label) AS INTEGER) AS level
+SELECT coalesce(cluster_id, -1) AS cluster_id, coalesce(label, -1) AS label, CAST(sum(n) AS BIGINT) AS n, CAST(grouping(cluster_id, label) AS INTEGER) AS level
 FROM ct GROUP BY CUBE (cluster_id, label)""", CT)
 
 ARI_EXPR = "round(CASE WHEN (sa + sb) / 2.0 - ex = 0 THEN 1.0 ELSE (idx - ex) / ((sa + sb) / 2.0 - ex) END, 6)"

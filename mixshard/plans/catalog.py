@@ -284,3 +284,101 @@ DETERMINISTIC = {
     "residual_sum": q_residual_sum,
     "score_model": q_score_model,
 }
+
+
+# ------------------------------------------------- random / iterative queries
+# No SQL twin: the driver checks rows only; tests check their properties.
+def q_kmeans_init(spark, d):
+    from mixshard.operators.kmeans import kmeans_init
+
+    _, sizes = kmeans_init(emb_points(spark, d), 10, iters=10, seed=7)
+    return sizes.select("cluster_id", F.col("size").cast("long").alias("size"))
+
+
+def q_dirichlet_weights(spark, d):
+    from mixshard.functions.draws import dirichlet_weights
+
+    m = label_model(emb_points(spark, d)).select("cluster_id", "size")
+    betas, bu = dirichlet_weights(m, GAMMA, seed=7, round_=0)
+    return betas.select("cluster_id", "beta").unionByName(
+        bu.select(F.lit(-1).alias("cluster_id"), F.col("beta_u").alias("beta")))
+
+
+def q_posterior_centers(spark, d):
+    from mixshard.functions.draws import keyed_normal_vector
+
+    ind, _, _, _, _ = merged(spark, d)
+    pp = mg.posterior_params(ind, E)
+    phi = keyed_normal_vector(F.col("post_mean"), F.col("post_var"), 7, 41, F.lit(0), F.col("ind_id"))
+    ps, _ = fingerprint("phi")
+    return pp.withColumn("phi", phi).select(F.col("ind_id").alias("cluster_id"), "post_var", ps.alias("phi_sum"))
+
+
+def _sweep_inputs(spark, d):
+    import numpy as np
+
+    from mixshard.operators.model import collect_model
+
+    pts = emb_points(spark, d)
+    rows = collect_model(label_model(pts).select("cluster_id", "phi", "beta"))
+    phi = np.array([r["phi"] for r in rows])
+    beta = np.array([r["beta"] for r in rows])
+    return pts, spark.sparkContext.broadcast((phi, beta)), len(rows)
+
+
+def q_local_sweep(spark, d):
+    from mixshard.operators.sweep import run_sweep
+    from mixshard.params import DPMParams
+
+    pts, bmodel, _ = _sweep_inputs(spark, d)
+    p = DPMParams(E=E, S=S, seed=7)
+    out = run_sweep(pts, None, bmodel, p, 0, GAMMA, 1.0 / 501.0)
+    return out.where("kind = 'c'").select("shard", "local_id", F.col("size").cast("long").alias("size"))
+
+
+def q_global_merge(spark, d):
+    from mixshard.operators.global_merge import global_merge
+    from mixshard.operators.sweep import run_sweep
+    from mixshard.params import DPMParams
+
+    pts, bmodel, k = _sweep_inputs(spark, d)
+    p = DPMParams(E=E, S=S, seed=7)
+    out = run_sweep(pts, None, bmodel, p, 0, GAMMA, 1.0 / 501.0).checkpoint()
+    summ = out.where("kind = 'c'").select("shard", "local_id", "size", "y_mean", "phi")
+    ind, _ = mg.merge_same_id(summ, k, DIM, None, S)
+    n = pts.count()
+    model, _, _ = global_merge(ind, p, GAMMA, n, 0)
+    return model.select("cluster_id", F.col("size").cast("long").alias("size"))
+
+
+def _fit(spark, d):
+    from mixshard.params import DPMParams
+    from mixshard.plans.fit import fit
+
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    pts = points_from_table(li, cols=["l_quantity", "l_discount"], scale=True)
+    return fit(pts, DPMParams(E=0.05, S=1.0, seed=7), k_init=8, rounds=2)
+
+
+def q_dpm_fit(spark, d):
+    res = _fit(spark, d)
+    return res.assignments.select("point_id", "cluster_id")
+
+
+def q_round_report(spark, d):
+    from mixshard.params import DPMParams
+    from mixshard.plans.fit import fit
+
+    res = fit(emb_points(spark, d).drop("shard"), DPMParams(E=E, S=S, seed=7), k_init=10, rounds=2, shards=SHARDS)
+    return res.report
+
+
+RANDOM = {
+    "kmeans_init": q_kmeans_init,
+    "dirichlet_weights": q_dirichlet_weights,
+    "posterior_centers": q_posterior_centers,
+    "local_sweep": q_local_sweep,
+    "global_merge": q_global_merge,
+    "dpm_fit": q_dpm_fit,
+    "round_report": q_round_report,
+}

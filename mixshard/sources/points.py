@@ -40,8 +40,8 @@ def parse_points(lines: DataFrame, dim: int, with_label: bool, value_col: str =
             F.raise_error(F.lit(f"point line has fewer than {dim + int(with_label)} tokens"))).alias("_ok"),
             x.alias("x"), label.alias("label")).drop("_ok")
         return df
-    x = F.transform(F.slice("_t", 1, dim), lambda s: F.try_cast(s, "double"))
-    label = F.try_cast(F.element_at("_t", dim + 1), "int") if with_label else F.lit(None).cast("int")
+    x = F.transform(F.slice("_t", 1, dim), lambda s: s.try_cast("double"))
+    label = F.element_at("_t", dim + 1).try_cast("int") if with_label else F.lit(None).cast("int")
     df = df.select(*keep, x.alias("x"), label.alias("label"), F.size("_t").alias("_n"))
     good = (F.col("_n") >= dim + (1 if with_label else 0)) & F.forall("x", lambda v: v.isNotNull())
     if with_label:

@@ -33,11 +33,14 @@ from mixshard.functions.frames import conform
 from mixshard.params import DPMParams
 
 SWEEP_SCHEMA = (
-    "kind STRING, shard INT, point_id BIGINT, local_id INT, size DOUBLE, y_mean ARRAY<DOUBLE>, "
-    "phi ARRAY<DOUBLE>, alpha DOUBLE, beta_u DOUBLE, n BIGINT, rss DOUBLE, label INT, cnt BIGINT"
+    "kind STRING, shard INT, local_id INT, size DOUBLE, y_mean ARRAY<DOUBLE>, "
+    "phi ARRAY<DOUBLE>, alpha DOUBLE, beta_u DOUBLE, n BIGINT, rss DOUBLE, label INT, cnt BIGINT, "
+    "point_ids ARRAY<BIGINT>, local_ids ARRAY<INT>"
 )
 
 BLOCK = 2048
+# point labels leave a task as arrays of this many points per row (exploded on the JVM side)
+LABEL_CHUNK = 65536
 NEG_INF = float("-inf")
 
 
@@ -91,14 +94,22 @@ def _initial_pass(X, xnorm, st: _State, alpha: float, E: float) -> np.ndarray:
     n = X.shape[0]
     c = np.empty(n, dtype=np.int64)
     k = st.k
-    logw = np.array([_log(st.size[j] + alpha * st.beta[j]) for j in range(k)])
+    sizes = st.size[:k].tolist()
+    ab = (alpha * st.beta[:k]).tolist()
+    logw = [_log(sizes[j] + ab[j]) for j in range(k)]
+    log = math.log
     for s in range(0, n, BLOCK):
-        L = _dist_block(X[s:s + BLOCK], xnorm[s:s + BLOCK], st, k, E)
-        for r in range(L.shape[0]):
-            j = int(np.argmax(L[r] + logw))
-            c[s + r] = j
-            st.size[j] += 1
-            logw[j] = _log(st.size[j] + alpha * st.beta[j])
+        L = _dist_block(X[s:s + BLOCK], xnorm[s:s + BLOCK], st, k, E).tolist()
+        for r, Lr in enumerate(L):
+            best, bs = 0, Lr[0] + logw[0]
+            for j in range(1, k):
+                v = Lr[j] + logw[j]
+                if v > bs:
+                    best, bs = j, v
+            c[s + r] = best
+            sizes[best] += 1.0
+            logw[best] = log(sizes[best] + ab[best])
+    st.size[:k] = sizes
     return c
 
 
@@ -120,73 +131,95 @@ def _new_phi(rng, x: np.ndarray, xn: float, z1: float, chi: float, S: float) ->
 
 def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, rng
             ) -> tuple[float, float]:
+    """``p.local_sweeps`` passes; mutates ``c`` and ``st``. Returns (alpha, beta_u).
+
+    The per-point work is a scan over K + H scores kept as Python floats (numpy
+    call overhead dominates at the usual K); distances come per block from one
+    matrix product. ``assign='sample'`` adds Gumbel noise, which turns the
+    argmax into an exact draw from the posterior probabilities.
+    """
     n, d = X.shape
     H = p.local_candidates
     E, S = p.E, p.S
     sq = math.sqrt(S)
     sample = p.assign == "sample"
+    log = math.log
+    cl = c.tolist()
     for _ in range(p.local_sweeps):
         k = st.k
-        logw = np.full(st.phi.shape[0], NEG_INF)
-        for j in range(k):
-            logw[j] = _log(st.size[j] + alpha * st.beta[j])
+        sizes = st.size[:k].tolist()
+        ab = (alpha * st.beta[:k]).tolist()
+        logw = [_log(sizes[j] + ab[j]) for j in range(k)]
         for s in range(0, n, BLOCK):
             xb = X[s:s + BLOCK]
             xnb = xnorm[s:s + BLOCK]
             kb = st.k
-            L = _dist_block(xb, xnb, st, kb, E)
+            L = _dist_block(xb, xnb, st, kb, E).tolist()
             m = xb.shape[0]
             z1 = rng.standard_normal((m, H))
             chi = rng.chisquare(d - 1, (m, H)) if d > 1 else np.zeros((m, H))
-            cand = -(xnb[:, None] - 2.0 * sq * np.sqrt(xnb)[:, None] * z1 + S * (z1 * z1 + chi)) / (2.0 * E)
-            opened: list[tuple[int, np.ndarray]] = []  # clusters opened inside this block
-            if len(logw) < st.phi.shape[0]:
-                logw = np.concatenate([logw, np.full(st.phi.shape[0] - len(logw), NEG_INF)])
+            cand = (-(xnb[:, None] - 2.0 * sq * np.sqrt(xnb)[:, None] * z1 + S * (z1 * z1 + chi))
+                    / (2.0 * E))
+            gum = rng.gumbel(size=(m, kb)).tolist() if sample else None
+            if sample:
+                cand = cand + rng.gumbel(size=(m, H))
+            cand = cand.tolist()
+            opened: list[tuple[int, list]] = []  # clusters opened inside this block
+            wa = _log(alpha * beta_u / H)
             for r in range(m):
                 i = s + r
-                ko = int(c[i])
-                st.size[ko] -= 1.0
-                logw[ko] = _log(st.size[ko] + alpha * st.beta[ko])
-                sc = L[r] + logw[:kb]
-                wa = _log(alpha * beta_u / H)
-                ca = cand[r] + wa
+                ko = cl[i]
+                sz = sizes[ko] - 1.0
+                sizes[ko] = sz
+                logw[ko] = _log(sz + ab[ko])
+                Lr = L[r]
                 if sample:
-                    extra = [col[r] + logw[j] for j, col in opened]
-                    allsc = np.concatenate([sc, np.asarray(extra, dtype=float), ca])
-                    mx = allsc.max()
-                    pr = np.exp(allsc - mx)
-                    pick = int(rng.choice(len(allsc), p=pr / pr.sum()))
-                    if pick < kb:
-                        best, new_j = pick, -1
-                    elif pick < kb + len(opened):
-                        best, new_j = opened[pick - kb][0], -1
-                    else:
-                        best, new_j = -1, pick - kb - len(opened)
+                    g = gum[r]
+                    best, bs = 0, Lr[0] + logw[0] + g[0]
+                    for j in range(1, kb):
+                        v = Lr[j] + logw[j] + g[j]
+                        if v > bs:
+                            best, bs = j, v
+                    for j, col in opened:
+                        v = col[r] + logw[j] + rng.gumbel()
+                        if v > bs:
+                            best, bs = j, v
                 else:
-                    best = int(np.argmax(sc))
-                    bs = sc[best]
+                    best, bs = 0, Lr[0] + logw[0]
+                    for j in range(1, kb):
+                        v = Lr[j] + logw[j]
+                        if v > bs:
+                            best, bs = j, v
                     for j, col in opened:
                         v = col[r] + logw[j]
                         if v > bs:
                             best, bs = j, v
-                    jc = int(np.argmax(ca))
-                    new_j = jc if ca[jc] > bs else -1
-                if new_j >= 0:
+                cr = cand[r]
+                jc, cv = 0, cr[0]
+                for h in range(1, H):
+                    if cr[h] > cv:
+                        jc, cv = h, cr[h]
+                if cv + wa > bs:  # a fresh cluster wins (existing ones win ties)
                     b = rng.beta(1.0, gamma)
-                    phi = _new_phi(rng, xb[r], float(xnb[r]), float(z1[r, new_j]), float(chi[r, new_j]), S)
-                    kn = st.add(phi, b * beta_u, 1.0)
+                    phi = _new_phi(rng, xb[r], float(xnb[r]), float(z1[r, jc]), float(chi[r, jc]), S)
+                    bnew = b * beta_u
+                    kn = st.add(phi, bnew, 1.0)
                     beta_u *= 1.0 - b
-                    if len(logw) < st.phi.shape[0]:
-                        logw = np.concatenate([logw, np.full(st.phi.shape[0] - len(logw), NEG_INF)])
-                    logw[kn] = _log(1.0 + alpha * st.beta[kn])
+                    wa = _log(alpha * beta_u / H)
+                    sizes.append(1.0)
+                    ab.append(alpha * bnew)
+                    logw.append(_log(1.0 + alpha * bnew))
                     diff = xb - phi
-                    opened.append((kn, -(diff * diff).sum(1) / (2.0 * E)))
-                    c[i] = kn
+                    opened.append((kn, (-(diff * diff).sum(1) / (2.0 * E)).tolist()))
+                    cl[i] = kn
                 else:
-                    c[i] = best
-                    st.size[best] += 1.0
-                    logw[best] = _log(st.size[best] + alpha * st.beta[best])
+                    cl[i] = best
+                    sz = sizes[best] + 1.0
+                    sizes[best] = sz
+                    logw[best] = log(sz + ab[best]) if sz + ab[best] > 0 else NEG_INF
+        st.size[: st.k] = sizes
         alpha = concentration_update(rng, alpha, st.k, n, p.conc_a, p.conc_b, p.concentration)
+    c[:] = cl
     return alpha, beta_u
 
 
@@ -252,13 +285,21 @@ def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float
         for j, cnt, mu in zip(ids, counts, means):
             out.append(_rows("c", shard, local_id=int(j), size=float(cnt), y_mean=mu, phi=st.phi[j].copy()))
         out.append(_rows("s", shard, alpha=a2, beta_u=bu, n=n, local_id=int(st.k)))
-        head = pd.DataFrame(out)
-        pts = pd.DataFrame({"kind": "p", "shard": shard, "point_id": pid, "local_id": c.astype(np.int32)})
-        return pd.concat([head, pts], ignore_index=True)
+        for j in range(0, n, LABEL_CHUNK):
+            out.append(_rows("p", shard, point_ids=pid[j:j + LABEL_CHUNK],
+                             local_ids=c[j:j + LABEL_CHUNK].astype(np.int32)))
+        return pd.DataFrame(out)
 
     return run
 
 
+def point_labels(out: DataFrame) -> DataFrame:
+    """``(point_id, shard, local_id)`` from the sweep output's label rows (JVM-side explode)."""
+    z = F.explode(F.arrays_zip(F.col("point_ids").alias("point_id"), F.col("local_ids").alias("local_id")))
+    return out.where("kind = 'p'").select("shard", z.alias("z")).select(
+        F.col("z.point_id").alias("point_id"), "shard", F.col("z.local_id").alias("local_id"))
+
+
 def run_sweep(points: DataFrame, labels: DataFrame | None, bmodel, p: DPMParams, round_: int,
               gamma: float, beta_u: float, mode: str = "sweep") -> DataFrame:
     """One round of local work over all shards; returns the tagged rows (SWEEP_SCHEMA).

@@ -8,7 +8,7 @@ from conftest import planted
 from mixshard.functions.draws import dirichlet_weights, keyed_gamma
 from mixshard.operators.global_merge import global_merge
 from mixshard.operators.merge import merge_same_id
-from mixshard.operators.sweep import run_sweep
+from mixshard.operators.sweep import point_labels, run_sweep
 from mixshard.params import DPMParams
 from mixshard.plans.fit import fit, prepare_points
 
@@ -44,17 +44,20 @@ def test_sweep_properties_and_determinism(spark):
     df = planted(spark, n=600, seed=4)
     p = DPMParams(E=1.0, S=100.0, seed=9)
     out, n = _sweep(spark, df, 3, p)
-    rows = out.collect()
-    pts = [r for r in rows if r.kind == "p"]
-    cl = [r for r in rows if r.kind == "c"]
+    out = out.checkpoint()
+    pts = point_labels(out).collect()
+    cl = out.where("kind = 'c'").collect()
     assert len(pts) == n and len({r.point_id for r in pts}) == n
     assert sum(r.size for r in cl) == n
     assert all(r.size > 0 for r in cl)
+    sizes = {}
+    for r in pts:
+        sizes[(r.shard, r.local_id)] = sizes.get((r.shard, r.local_id), 0) + 1
+    assert sizes == {(r.shard, r.local_id): r.size for r in cl}
     out2, _ = _sweep(spark, df, 5, p)
-    key = lambda r: (r.kind, r.shard, r.point_id or -1, r.local_id or -1)
-    a = sorted(((r.kind, r.shard, r.point_id, r.local_id, r.size) for r in rows), key=str)
-    b = sorted(((r.kind, r.shard, r.point_id, r.local_id, r.size) for r in out2.collect()), key=str)
-    assert a == b and key(rows[0])
+    a = sorted(map(tuple, pts))
+    b = sorted(map(tuple, point_labels(out2).collect()))
+    assert a == b
 
 
 def test_global_merge_conserves_and_maps(spark):

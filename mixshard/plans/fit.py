@@ -17,7 +17,9 @@ Only scalars and the K-row model reach the driver.
 
 from __future__ import annotations
 
+import logging
 import time
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +39,16 @@ from mixshard.params import DPMParams
 from mixshard.session import scratch_path
 from mixshard.sources.points import MAX_SHARD_POINTS, assign_shards, shard_count_for
 
+log = logging.getLogger("mixshard.fit")
+
+
+@contextmanager
+def _step(name: str, r: int):
+    t = time.time()
+    yield
+    log.info("round %d %-14s %.2fs", r, name, time.time() - t)
+
+
 REPORT_SCHEMA = "round INT, n_clusters INT, gamma DOUBLE, ari DOUBLE, rss DOUBLE, seconds DOUBLE"
 
 
@@ -56,7 +68,7 @@ def prepare_points(points: DataFrame, shards: int | None = None, max_shard_point
     """Shard, hash-partition by shard and cache the points; returns (points, n, shards)."""
     n = points.count()
     s = shard_count_for(n, shards, max_shard_points)
-    pts = (assign_shards(points.select("point_id", "x", "label"), s)
+    pts = (assign_shards(points.select("point_id", "x", "label"), s, method="aligned")
            .repartition(s, "shard").persist(StorageLevel.MEMORY_AND_DISK))
     pts.count()  # build the cache once, outside the timed rounds
     return pts, n, s
@@ -89,14 +101,15 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
     pts, n, n_shards = prepare_points(points, shards, max_shard_points)
 
     t0 = time.time()
-    centres, sizes = kmeans_init(pts, k_init, p.kmeans_iters, p.seed)
-    gamma = p.gamma0
-    betas, bu = dirichlet_weights(sizes, gamma, p.seed, 0)
-    model = (centres.join(betas.select("cluster_id", "size", "beta"), "cluster_id")
-             .withColumn("prior_mean", zero_vector(F.size("phi"))).withColumn("prior_var", F.lit(float(p.S))))
-    phi, beta = _model_arrays(model)
-    dim = phi.shape[1]
-    beta_u = float(bu.first()["beta_u"])
+    with _step("kmeans", 0):
+        centres, sizes = kmeans_init(pts, k_init, p.kmeans_iters, p.seed)
+        gamma = p.gamma0
+        betas, bu = dirichlet_weights(sizes, gamma, p.seed, 0)
+        model = (centres.join(betas.select("cluster_id", "size", "beta"), "cluster_id")
+                 .withColumn("prior_mean", zero_vector(F.size("phi"))).withColumn("prior_var", F.lit(float(p.S))))
+        phi, beta = _model_arrays(model)
+        dim = phi.shape[1]
+        beta_u = float(bu.first()["beta_u"])
     labels = None
     reports = []
     state = None
@@ -106,41 +119,50 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
         if r > 0:
             t0 = time.time()
         bmodel = sc.broadcast((phi, beta))
-        out = run_sweep(pts, labels, bmodel, p, r, gamma, beta_u, mode="sweep")
-        path = f"{run_dir}/sweep/round={r}"
-        out.write.mode("overwrite").parquet(path)
-        out = spark.read.parquet(path)
+        with _step("sweep", r):
+            out = run_sweep(pts, labels, bmodel, p, r, gamma, beta_u, mode="sweep")
+            path = f"{run_dir}/sweep/round={r}"
+            out.write.mode("overwrite").parquet(path)
+            out = spark.read.parquet(path)
         if r > 0:
-            ari, rss = _quality(out)
-            reports[-1].update(ari=ari, rss=rss)
+            with _step("quality", r):
+                ari, rss = _quality(out)
+                reports[-1].update(ari=ari, rss=rss)
         k = phi.shape[0]
         summaries = out.where("kind = 'c'").select("shard", "local_id", "size", "y_mean", "phi")
         state = out.where("kind = 's'").select("shard", "alpha", "beta_u", "n")
-        individuals, ind_subs = merge_same_id(summaries, k, dim, model, p.S)
-        individuals = individuals.checkpoint()
-        new_model, ind_to_c, gamma = global_merge(individuals, p, gamma, n, r, max_merge_group)
-        sub_to_global = (ind_subs.join(ind_to_c, "ind_id").select("shard", "local_id", "cluster_id")).checkpoint()
-        labels = relabel(point_labels(out), sub_to_global)
-        labels = labels.join(F.broadcast(state.select("shard", "alpha")), "shard")
-        betas, bu = dirichlet_weights(new_model.select("cluster_id", "size"), gamma, p.seed, r + 1)
-        model = new_model.join(betas.select("cluster_id", "beta"), "cluster_id").checkpoint()
-        phi, beta = _model_arrays(model)
-        beta_u = float(bu.first()["beta_u"])
-        (model.withColumn("round", F.lit(r)).write.mode("append").partitionBy("round")
-         .parquet(f"{run_dir}/model"))
-        (state.withColumn("round", F.lit(r)).write.mode("append").partitionBy("round")
-         .parquet(f"{run_dir}/shard_state"))
+        with _step("same_id_merge", r):
+            individuals, ind_subs = merge_same_id(summaries, k, dim, model, p.S)
+            individuals = individuals.checkpoint()
+        with _step("global_merge", r):
+            new_model, ind_to_c, gamma = global_merge(individuals, p, gamma, n, r, max_merge_group)
+        with _step("relabel", r):
+            sub_to_global = (ind_subs.join(ind_to_c, "ind_id").select("shard", "local_id", "cluster_id")).checkpoint()
+            labels = relabel(point_labels(out), sub_to_global)
+            labels = labels.join(F.broadcast(state.select("shard", "alpha")), "shard")
+        with _step("weights", r):
+            betas, bu = dirichlet_weights(new_model.select("cluster_id", "size"), gamma, p.seed, r + 1)
+            model = new_model.join(betas.select("cluster_id", "beta"), "cluster_id").checkpoint()
+            phi, beta = _model_arrays(model)
+            beta_u = float(bu.first()["beta_u"])
+        with _step("write_state", r):
+            (model.withColumn("round", F.lit(r)).write.mode("append").partitionBy("round")
+             .parquet(f"{run_dir}/model"))
+            (state.withColumn("round", F.lit(r)).write.mode("append").partitionBy("round")
+             .parquet(f"{run_dir}/shard_state"))
         bmodel.unpersist()
         reports.append(dict(round=r, n_clusters=int(phi.shape[0]), gamma=float(gamma), ari=None, rss=None,
                             seconds=time.time() - t0))
     # score the last merge too (the reference never does)
-    bmodel = sc.broadcast((phi, beta))
-    fin = run_sweep(pts, labels, bmodel, p, rounds, gamma, beta_u, mode="score")
-    ari, rss = _quality(fin)
-    reports[-1].update(ari=ari, rss=rss)
-    apath = f"{run_dir}/assignments"
-    labels.select("point_id", "shard", "cluster_id").write.mode("overwrite").parquet(apath)
-    assignments = spark.read.parquet(apath)
+    with _step("final_score", rounds):
+        bmodel = sc.broadcast((phi, beta))
+        fin = run_sweep(pts, labels, bmodel, p, rounds, gamma, beta_u, mode="score")
+        ari, rss = _quality(fin)
+        reports[-1].update(ari=ari, rss=rss)
+    with _step("write_labels", rounds):
+        apath = f"{run_dir}/assignments"
+        labels.select("point_id", "shard", "cluster_id").write.mode("overwrite").parquet(apath)
+        assignments = spark.read.parquet(apath)
     report = spark.createDataFrame([tuple(d[c.split()[0]] for c in REPORT_SCHEMA.split(", ")) for d in reports],
                                    REPORT_SCHEMA)
     pts.unpersist()

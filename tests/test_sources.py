@@ -44,3 +44,11 @@ def test_parse_keeps_other_columns(spark):
     df = spark.createDataFrame([("a", "1 2 3")], "k STRING, value STRING")
     r = parse_points(df, 2, True).first()
     assert (r.k, r.x, r.label) == ("a", [1.0, 2.0], 3)
+
+
+def test_aligned_shards_one_per_partition(spark):
+    pts = spark.range(20_000).withColumnRenamed("id", "point_id")
+    for s in (3, 8, 13):
+        df = assign_shards(pts, s, method="aligned").repartition(s, "shard")
+        per = df.select("shard", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().collect()
+        assert len(per) == s and all(r["count"] == 1 for r in per)

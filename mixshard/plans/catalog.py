@@ -150,6 +150,18 @@ def q_map_assign(spark, d):
     return a.select("point_id", "cluster_id", _r(F.col("score")).alias("score"))
 
 
+def q_initial_assign(spark, d):
+    pts = emb_points(spark, d)
+    a = sc.map_assign(pts, label_model(pts), E, alpha=ALPHA, initial=True, with_score=True)
+    return a.select("point_id", "cluster_id", _r(F.col("score")).alias("score"))
+
+
+def q_cluster_points(spark, d):
+    pts = emb_points(spark, d)
+    a = nearest_assigned(pts, label_model(pts))
+    return sm.cluster_points(a, 3).select("point_id", "shard", "label")
+
+
 def q_membership_probabilities(spark, d):
     pts = emb_points(spark, d)
     m = sc.prior_log_weight(label_model(pts), "local", ALPHA)
@@ -268,6 +280,8 @@ DETERMINISTIC = {
     "log_density": q_log_density,
     "nearest_center": q_nearest_center,
     "map_assign": q_map_assign,
+    "initial_assign": q_initial_assign,
+    "cluster_points": q_cluster_points,
     "membership_probabilities": q_membership_probabilities,
     "shard_cluster_summaries": q_shard_cluster_summaries,
     "split_known_new": q_split_known_new,

@@ -37,7 +37,7 @@ from mixshard.operators.model import collect_model
 from mixshard.operators.sweep import point_labels, run_sweep
 from mixshard.params import DPMParams
 from mixshard.session import scratch_path
-from mixshard.sources.points import MAX_SHARD_POINTS, assign_shards, shard_count_for
+from mixshard.sources.points import MAX_SHARD_POINTS, assign_shards, release_caches, shard_count_for
 
 log = logging.getLogger("mixshard.fit")
 
@@ -71,6 +71,7 @@ def prepare_points(points: DataFrame, shards: int | None = None, max_shard_point
     pts = (assign_shards(points.select("point_id", "x", "label"), s, method="aligned")
            .repartition(s, "shard").persist(StorageLevel.MEMORY_AND_DISK))
     pts.count()  # build the cache once, outside the timed rounds
+    release_caches(points)  # e.g. the id-numbering cache of the source
     return pts, n, s
 
 
@@ -165,5 +166,7 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
         assignments = spark.read.parquet(apath)
     report = spark.createDataFrame([tuple(d[c.split()[0]] for c in REPORT_SCHEMA.split(", ")) for d in reports],
                                    REPORT_SCHEMA)
+    report.write.mode("overwrite").parquet(f"{run_dir}/report")
+    report = spark.read.parquet(f"{run_dir}/report")
     pts.unpersist()
     return FitResult(assignments, model, report, sub_to_global, state, gamma, run_dir)

@@ -115,6 +115,13 @@ SELECT point_id, cluster_id, round(s, 6) AS score FROM (
   SELECT point_id, cluster_id, ln(size + 1.0 * beta) - d / (2.0 * CAST(0.015 AS DOUBLE)) AS s FROM dist)
 QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY s DESC, cluster_id) = 1""")
 
+SQL["initial_assign"] = _w("""
+SELECT point_id, cluster_id, round(s, 6) AS score FROM (
+  SELECT point_id, cluster_id, ln(1.0 * beta) - d / (2.0 * CAST(0.015 AS DOUBLE)) AS s FROM dist)
+QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY s DESC, cluster_id) = 1""")
+
+SQL["cluster_points"] = _w("SELECT point_id, shard, label FROM near WHERE cluster_id = 3")
+
 SQL["membership_probabilities"] = _w("""
 sc AS (SELECT point_id, cluster_id, ln(size + 1.0 * beta) - d / (2.0 * 0.5) AS s FROM dist),
 mx AS (SELECT point_id, max(s) AS m FROM sc GROUP BY point_id),

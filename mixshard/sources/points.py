@@ -67,9 +67,23 @@ def dense_ids(df: DataFrame, order_by: list[str] | None = None, name: str = "poi
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     pos = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, (F.col("_off") + pos).cast("long"))
-            .drop("_pid", "_mono", "_off"))
+    out = (tagged.join(F.broadcast(offsets), "_pid")
+           .withColumn(name, (F.col("_off") + pos).cast("long"))
+           .drop("_pid", "_mono", "_off"))
+    return _keep_cache(out, tagged)
+
+
+def _keep_cache(df: DataFrame, *cached: DataFrame) -> DataFrame:
+    """Remember the persisted inputs of ``df`` so a consumer that builds its own
+    cache can release them (``release_caches``)."""
+    prev = getattr(df, "_mixshard_cached", ())
+    df._mixshard_cached = tuple(prev) + cached
+    return df
+
+
+def release_caches(df: DataFrame) -> None:
+    for c in getattr(df, "_mixshard_cached", ()):
+        c.unpersist()
 
 
 def shard_count_for(n: int, requested: int | None = None, max_shard_points: int = MAX_SHARD_POINTS) -> int:
@@ -156,7 +170,8 @@ def points_from_table(df: DataFrame, *, id_col: str | None = None, vector_col: s
     if id_col is not None:
         return df.select(F.col(id_col).cast("long").alias("point_id"), x.alias("x"), label.alias("label"))
     sel = df.select(x.alias("x"), label.alias("label"))
-    return dense_ids(sel).select("point_id", "x", "label")
+    ids = dense_ids(sel)
+    return _keep_cache(ids.select("point_id", "x", "label"), *getattr(ids, "_mixshard_cached", ()))
 
 
 def read_text_points(spark: SparkSession, path: str, dim: int, with_label: bool,
@@ -166,4 +181,5 @@ def read_text_points(spark: SparkSession, path: str, dim: int, with_label: bool,
     Parsing is narrow, so ids taken after it still follow the file order.
     """
     parsed = parse_points(spark.read.text(path), dim, with_label, on_error=on_error)
-    return dense_ids(parsed).select("point_id", "x", "label")
+    ids = dense_ids(parsed)
+    return _keep_cache(ids.select("point_id", "x", "label"), *getattr(ids, "_mixshard_cached", ()))

@@ -258,6 +258,10 @@ def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float
         points = points.sort_values("point_id", kind="stable")
         shard = int(points["shard"].iat[0])
         pid = points["point_id"].to_numpy(np.int64)
+        if len(pid) > 1 and (pid[1:] == pid[:-1]).any():
+            # equal ids hash to the same shard, so this check sees every duplicate
+            raise ValueError(f"shard {shard}: point_id is not unique; give unique ids or let "
+                             "points_from_table number the rows")
         X = np.stack(points["x"].to_numpy()).astype(float)
         xnorm = (X * X).sum(1)
         lab = points["label"].to_numpy(dtype=object)

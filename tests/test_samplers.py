@@ -97,3 +97,10 @@ def test_fit_identical_points(spark):
     res = fit(df, DPMParams(E=1.0, S=10.0, seed=1), k_init=3, rounds=1, shards=2)
     r = res.report.first()
     assert r.ari is None and r.rss >= 0 and r.n_clusters >= 1
+
+
+def test_duplicate_ids_are_rejected(spark):
+    df = spark.createDataFrame([(i % 5, [float(i), 0.0], None) for i in range(20)],
+                               "point_id BIGINT, x ARRAY<DOUBLE>, label INT")
+    with pytest.raises(Exception, match="not unique"):
+        fit(df, DPMParams(E=1.0, S=10.0, seed=1), k_init=2, rounds=1, shards=2)

@@ -37,6 +37,7 @@ from mixshard.operators.model import collect_model
 from mixshard.operators.sweep import point_labels, run_sweep
 from mixshard.params import DPMParams
 from mixshard.session import scratch_path
+from mixshard.sources.storage import write_bucketed
 from mixshard.sources.points import MAX_SHARD_POINTS, assign_shards, release_caches, shard_count_for
 
 log = logging.getLogger("mixshard.fit")
@@ -68,9 +69,12 @@ def prepare_points(points: DataFrame, shards: int | None = None, max_shard_point
     """Shard, hash-partition by shard and cache the points; returns (points, n, shards)."""
     n = points.count()
     s = shard_count_for(n, shards, max_shard_points)
-    pts = (assign_shards(points.select("point_id", "x", "label"), s, method="aligned")
-           .repartition(s, "shard").persist(StorageLevel.MEMORY_AND_DISK))
-    pts.count()  # build the cache once, outside the timed rounds
+    sharded = assign_shards(points.select("point_id", "x", "label"), s, method="aligned")
+    # written once, bucketed by shard (each bucket = one shard): every later read is
+    # already partitioned by shard, and a lost cache block is rebuilt from its bucket
+    pts = write_bucketed(sharded.repartition(s, "shard"), s, "points", sort_by="point_id")
+    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    pts.count()
     release_caches(points)  # e.g. the id-numbering cache of the source
     return pts, n, s
 
@@ -122,9 +126,8 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
         bmodel = sc.broadcast((phi, beta))
         with _step("sweep", r):
             out = run_sweep(pts, labels, bmodel, p, r, gamma, beta_u, mode="sweep")
-            path = f"{run_dir}/sweep/round={r}"
-            out.write.mode("overwrite").parquet(path)
-            out = spark.read.parquet(path)
+            # one bucket per shard: next round's labels come back partitioned by shard
+            out = write_bucketed(out, n_shards, f"sweep_r{r}")
         if r > 0:
             with _step("quality", r):
                 ari, rss = _quality(out)

@@ -62,8 +62,8 @@ def check_broadcast(stats: ModelStats, max_bytes: int = MAX_MODEL_BYTES) -> int:
 
 
 def collect_model(model: DataFrame, max_clusters: int = MAX_DRIVER_CLUSTERS) -> list:
-    """Bring a model to the driver after checking its row count (K is bounded)."""
-    k = model.count()
-    if k > max_clusters:
-        raise RuntimeError(f"model has {k} clusters, above the driver bound {max_clusters}")
-    return model.orderBy("cluster_id").collect()
+    """Bring a model to the driver, never more than ``max_clusters`` rows (K is bounded)."""
+    rows = model.limit(max_clusters + 1).collect()
+    if len(rows) > max_clusters:
+        raise RuntimeError(f"model has more than {max_clusters} clusters, above the driver bound")
+    return sorted(rows, key=lambda r: r["cluster_id"])

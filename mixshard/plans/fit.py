@@ -79,12 +79,22 @@ def prepare_points(points: DataFrame, shards: int | None = None, max_shard_point
     return pts, n, s
 
 
-def _model_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = collect_model(model.select("cluster_id", "phi", "beta"))
+def _model_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """(phi K x d, beta K, beta_u) of a model carrying a ``beta_u`` column; one bounded collect."""
+    rows = collect_model(model.select("cluster_id", "phi", "beta", "beta_u"))
     ids = [r["cluster_id"] for r in rows]
     if ids != list(range(len(ids))):
         raise ValueError("model ids must be dense from 0")
-    return np.array([r["phi"] for r in rows], dtype=float), np.array([r["beta"] for r in rows], dtype=float)
+    return (np.array([r["phi"] for r in rows], dtype=float), np.array([r["beta"] for r in rows], dtype=float),
+            float(rows[0]["beta_u"]))
+
+
+def _with_weights(model: DataFrame, gamma: float, seed: int, round_: int) -> DataFrame:
+    """Model plus keyed Dirichlet weights ``beta`` and ``beta_u``, checkpointed once."""
+    betas, bu = dirichlet_weights(model.select("cluster_id", "size"), gamma, seed, round_)
+    w = betas.select("cluster_id", "beta").withColumn("_k", F.lit(0)).join(
+        F.broadcast(bu.withColumn("_k", F.lit(0))), "_k").drop("_k")
+    return model.drop("beta", "beta_u").join(w, "cluster_id").checkpoint()
 
 
 def _quality(out: DataFrame) -> tuple[float | None, float]:
@@ -109,12 +119,11 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
     with _step("kmeans", 0):
         centres, sizes = kmeans_init(pts, k_init, p.kmeans_iters, p.seed)
         gamma = p.gamma0
-        betas, bu = dirichlet_weights(sizes, gamma, p.seed, 0)
-        model = (centres.join(betas.select("cluster_id", "size", "beta"), "cluster_id")
+        model = (centres.join(sizes.select("cluster_id", "size"), "cluster_id")
                  .withColumn("prior_mean", zero_vector(F.size("phi"))).withColumn("prior_var", F.lit(float(p.S))))
-        phi, beta = _model_arrays(model)
+        model = _with_weights(model, gamma, p.seed, 0)
+        phi, beta, beta_u = _model_arrays(model)
         dim = phi.shape[1]
-        beta_u = float(bu.first()["beta_u"])
     labels = None
     reports = []
     state = None
@@ -145,10 +154,8 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
             labels = relabel(point_labels(out), sub_to_global)
             labels = labels.join(F.broadcast(state.select("shard", "alpha")), "shard")
         with _step("weights", r):
-            betas, bu = dirichlet_weights(new_model.select("cluster_id", "size"), gamma, p.seed, r + 1)
-            model = new_model.join(betas.select("cluster_id", "beta"), "cluster_id").checkpoint()
-            phi, beta = _model_arrays(model)
-            beta_u = float(bu.first()["beta_u"])
+            model = _with_weights(new_model, gamma, p.seed, r + 1)
+            phi, beta, beta_u = _model_arrays(model)
         with _step("write_state", r):
             (model.withColumn("round", F.lit(r)).write.mode("append").partitionBy("round")
              .parquet(f"{run_dir}/model"))

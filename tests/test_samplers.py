@@ -104,3 +104,16 @@ def test_duplicate_ids_are_rejected(spark):
                                "point_id BIGINT, x ARRAY<DOUBLE>, label INT")
     with pytest.raises(Exception, match="not unique"):
         fit(df, DPMParams(E=1.0, S=10.0, seed=1), k_init=2, rounds=1, shards=2)
+
+
+def test_fit_is_reproducible_across_shuffle_partitions(spark):
+    df = planted(spark, n=400, seed=21)
+    runs = []
+    for parts in ("8", "3"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        res = fit(df, DPMParams(E=1.0, S=100.0, seed=5), k_init=4, rounds=2, shards=3)
+        rep = [(r.round, r.n_clusters, round(r.gamma, 12), round(r.rss, 6)) for r in res.report.orderBy("round").collect()]
+        lab = sorted((r.point_id, r.cluster_id) for r in res.assignments.collect())
+        runs.append((rep, lab))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert runs[0] == runs[1]

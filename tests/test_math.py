@@ -55,3 +55,24 @@ def test_candidate_distance_shortcut_distribution():
     short = xn - 2 * math.sqrt(S) * math.sqrt(xn) * z1 + S * (z1 ** 2 + chi)
     for q in (0.1, 0.5, 0.9):
         assert np.quantile(short, q) == pytest.approx(np.quantile(direct, q), rel=0.02)
+
+
+def test_blocked_scoring_equals_single_broadcast(spark):
+    """A model over the broadcast bound is scored in blocks; same argmax and probability."""
+    from mixshard.operators.score import best_cluster
+
+    rng = np.random.default_rng(2)
+    pts = spark.createDataFrame([(i, rng.normal(0, 3, 4).tolist()) for i in range(300)], "point_id BIGINT, x ARRAY<DOUBLE>")
+    model = spark.createDataFrame([(k, rng.normal(0, 3, 4).tolist(), float(k + 1), 0.05) for k in range(40)],
+                                  "cluster_id INT, phi ARRAY<DOUBLE>, size DOUBLE, beta DOUBLE")
+    m = prior_log_weight(model, "local", 1.0)
+    one = {r.point_id: (r.cluster_id, r.prob) for r in best_cluster(pts, m, 2.0, with_prob=True).collect()}
+    blk = {r.point_id: (r.cluster_id, r.prob)
+           for r in best_cluster(pts, m, 2.0, with_prob=True, max_model_bytes=500).collect()}
+    assert one.keys() == blk.keys()
+    for k in one:
+        assert one[k][0] == blk[k][0] and one[k][1] == pytest.approx(blk[k][1], rel=1e-9)
+    from mixshard.operators.model import attach_model
+
+    with pytest.raises(ValueError):
+        attach_model(pts, m, ["phi"], max_bytes=500)

@@ -39,6 +39,9 @@ SWEEP_SCHEMA = (
 )
 
 BLOCK = 2048
+# above this many clusters the per-point scan over existing clusters is one numpy
+# argmax (constant cost) instead of a Python loop (cost grows with K)
+VECTOR_K = 48
 # point labels leave a task as arrays of this many points per row (exploded on the JVM side)
 LABEL_CHUNK = 65536
 NEG_INF = float("-inf")
@@ -98,9 +101,18 @@ def _initial_pass(X, xnorm, st: _State, alpha: float, E: float) -> np.ndarray:
     ab = (alpha * st.beta[:k]).tolist()
     logw = [_log(sizes[j] + ab[j]) for j in range(k)]
     log = math.log
+    vec = k > VECTOR_K
+    lw = np.asarray(logw, dtype=float)
     for s in range(0, n, BLOCK):
-        L = _dist_block(X[s:s + BLOCK], xnorm[s:s + BLOCK], st, k, E).tolist()
-        for r, Lr in enumerate(L):
+        Lnp = _dist_block(X[s:s + BLOCK], xnorm[s:s + BLOCK], st, k, E)
+        if vec:
+            for r in range(Lnp.shape[0]):
+                best = int(np.argmax(Lnp[r] + lw))
+                c[s + r] = best
+                sizes[best] += 1.0
+                lw[best] = log(sizes[best] + ab[best])
+            continue
+        for r, Lr in enumerate(Lnp.tolist()):
             best, bs = 0, Lr[0] + logw[0]
             for j in range(1, k):
                 v = Lr[j] + logw[j]
@@ -154,7 +166,9 @@ def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float,
             xb = X[s:s + BLOCK]
             xnb = xnorm[s:s + BLOCK]
             kb = st.k
-            L = _dist_block(xb, xnb, st, kb, E).tolist()
+            vec = kb > VECTOR_K and not sample
+            Lnp = _dist_block(xb, xnb, st, kb, E)
+            L = None if vec else Lnp.tolist()
             m = xb.shape[0]
             z1 = rng.standard_normal((m, H))
             chi = rng.chisquare(d - 1, (m, H)) if d > 1 else np.zeros((m, H))
@@ -166,13 +180,17 @@ def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float,
             cand = cand.tolist()
             opened: list[tuple[int, list]] = []  # clusters opened inside this block
             wa = _log(alpha * beta_u / H)
+            if vec:
+                lw = np.asarray(logw[:kb], dtype=float)
             for r in range(m):
                 i = s + r
                 ko = cl[i]
                 sz = sizes[ko] - 1.0
                 sizes[ko] = sz
                 logw[ko] = _log(sz + ab[ko])
-                Lr = L[r]
+                if vec and ko < kb:
+                    lw[ko] = logw[ko]
+                Lr = None if vec else L[r]
                 if sample:
                     g = gum[r]
                     best, bs = 0, Lr[0] + logw[0] + g[0]
@@ -185,11 +203,16 @@ def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float,
                         if v > bs:
                             best, bs = j, v
                 else:
-                    best, bs = 0, Lr[0] + logw[0]
-                    for j in range(1, kb):
-                        v = Lr[j] + logw[j]
-                        if v > bs:
-                            best, bs = j, v
+                    if vec:
+                        sc = Lnp[r] + lw
+                        best = int(np.argmax(sc))
+                        bs = float(sc[best])
+                    else:
+                        best, bs = 0, Lr[0] + logw[0]
+                        for j in range(1, kb):
+                            v = Lr[j] + logw[j]
+                            if v > bs:
+                                best, bs = j, v
                     for j, col in opened:
                         v = col[r] + logw[j]
                         if v > bs:
@@ -217,6 +240,8 @@ def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float,
                     sz = sizes[best] + 1.0
                     sizes[best] = sz
                     logw[best] = log(sz + ab[best]) if sz + ab[best] > 0 else NEG_INF
+                    if vec and best < kb:
+                        lw[best] = logw[best]
         st.size[: st.k] = sizes
         alpha = concentration_update(rng, alpha, st.k, n, p.conc_a, p.conc_b, p.concentration)
     c[:] = cl

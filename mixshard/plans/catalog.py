@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixshard.functions.vectors import fingerprint, log_density, zero_vector
+from mixshard.functions.vectors import fingerprint, log_density
 from mixshard.operators import evaluate as ev
 from mixshard.operators import merge as mg
 from mixshard.operators import score as sc

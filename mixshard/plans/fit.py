@@ -97,6 +97,13 @@ def _with_weights(model: DataFrame, gamma: float, seed: int, round_: int) -> Dat
     return model.drop("beta", "beta_u").join(w, "cluster_id").checkpoint()
 
 
+def _append_report(spark, run_dir: str, row: dict) -> None:
+    """SNK-1: one report row, appended as soon as its scores are known."""
+    cols = [c.split()[0] for c in REPORT_SCHEMA.split(", ")]
+    spark.createDataFrame([tuple(row[c] for c in cols)], REPORT_SCHEMA).write.mode("append").parquet(
+        f"{run_dir}/report")
+
+
 def _quality(out: DataFrame) -> tuple[float | None, float]:
     ct = (out.where("kind = 'q'").groupBy(F.col("local_id").alias("cluster_id"), "label")
           .agg(F.sum("cnt").alias("n")))
@@ -141,6 +148,7 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
             with _step("quality", r):
                 ari, rss = _quality(out)
                 reports[-1].update(ari=ari, rss=rss)
+                _append_report(spark, run_dir, reports[-1])
         k = phi.shape[0]
         summaries = out.where("kind = 'c'").select("shard", "local_id", "size", "y_mean", "phi")
         state = out.where("kind = 's'").select("shard", "alpha", "beta_u", "n")
@@ -170,13 +178,11 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
         fin = run_sweep(pts, labels, bmodel, p, rounds, gamma, beta_u, mode="score")
         ari, rss = _quality(fin)
         reports[-1].update(ari=ari, rss=rss)
+        _append_report(spark, run_dir, reports[-1])
     with _step("write_labels", rounds):
         apath = f"{run_dir}/assignments"
         labels.select("point_id", "shard", "cluster_id").write.mode("overwrite").parquet(apath)
         assignments = spark.read.parquet(apath)
-    report = spark.createDataFrame([tuple(d[c.split()[0]] for c in REPORT_SCHEMA.split(", ")) for d in reports],
-                                   REPORT_SCHEMA)
-    report.write.mode("overwrite").parquet(f"{run_dir}/report")
     report = spark.read.parquet(f"{run_dir}/report")
     pts.unpersist()
     return FitResult(assignments, model, report, sub_to_global, state, gamma, run_dir)

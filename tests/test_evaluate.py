@@ -44,3 +44,15 @@ def test_contingency_margins(spark):
     t = {(r.cluster_id, r.label, r.level): r.n for r in contingency_totals(ct).collect()}
     assert t[(0, 1, 0)] == 2 and t[(0, -1, 1)] == 2 and t[(-1, 1, 2)] == 3 and t[(-1, -1, 3)] == 4
     assert df.count() == 5
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2)), min_size=2, max_size=25))
+def test_ari_matches_pair_counting(spark, pairs):
+    a = [p[0] for p in pairs]
+    b = [p[1] for p in pairs]
+    assert _ari(spark, a, b) == pytest.approx(_ari_py(a, b), abs=1e-9)

@@ -117,3 +117,24 @@ def test_fit_is_reproducible_across_shuffle_partitions(spark):
         runs.append((rep, lab))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert runs[0] == runs[1]
+
+
+def test_fit_from_text_file_and_text_sinks(spark, tmp_path):
+    """Reference input format ("x1 x2 label" lines) -> fit -> text outputs."""
+    from mixshard.sources.points import read_text_points
+    from mixshard.sources.sinks import write_assignments_text, write_model_text
+
+    rng = np.random.default_rng(8)
+    cent = np.array([[-40.0, 0.0], [45.0, -8.0], [10.0, 50.0]])
+    lab = np.r_[np.zeros(120, int), np.ones(120, int), np.full(6, 2)]
+    X = cent[lab] + rng.normal(0, 4.0, (len(lab), 2))
+    src = tmp_path / "known.txt"
+    src.write_text("".join(f"{a} {b} {c + 1}\n" for (a, b), c in zip(X.tolist(), lab.tolist())))
+    pts = read_text_points(spark, str(src), 2, True)
+    res = fit(pts, DPMParams(E=16.0, S=1000.0, seed=4), k_init=3, rounds=2, shards=2)
+    assert res.report.orderBy("round").collect()[-1].ari >= 0.9
+    write_assignments_text(res.assignments, str(tmp_path / "c"))
+    lines = spark.read.text(str(tmp_path / "c")).collect()
+    assert len(lines) == len(lab) and all(len(r.value.split(" ")) == 2 for r in lines)
+    write_model_text(res.model, str(tmp_path / "m"))
+    assert all(len(r.value.split(" ")) == 4 for r in spark.read.text(str(tmp_path / "m")).collect())

@@ -38,7 +38,7 @@ SWEEP_SCHEMA = (
     "point_ids ARRAY<BIGINT>, local_ids ARRAY<INT>"
 )
 
-BLOCK = 2048
+BLOCK = 1024
 # above this many clusters the per-point scan over existing clusters is one numpy
 # argmax (constant cost) instead of a Python loop (cost grows with K)
 VECTOR_K = 48
@@ -141,10 +141,181 @@ def _new_phi(rng, x: np.ndarray, xn: float, z1: float, chi: float, S: float) ->
     return math.sqrt(S) * z1 * u
 
 
-def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, rng
-            ) -> tuple[float, float]:
+def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, rng,
+            prune: bool = True) -> tuple[float, float]:
     """``p.local_sweeps`` passes; mutates ``c`` and ``st``. Returns (alpha, beta_u).
 
+    Argmax mode uses the pruned pass (same decisions, same random numbers, far
+    less per-point Python); sample mode and ``prune=False`` take every point in turn.
+    """
+    if prune and p.assign == "argmax":
+        return _sweeps_pruned(X, xnorm, c, st, alpha, beta_u, gamma, p, rng)
+    return _sweeps_rowwise(X, xnorm, c, st, alpha, beta_u, gamma, p, rng)
+
+
+# decisions closer than this (in log units) are never taken in bulk
+CERTAIN_EPS = 1e-7
+
+
+def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, rng
+                   ) -> tuple[float, float]:
+    """Exact sweeps that settle most points in bulk.
+
+    Within a block of m points no cluster size moves by more than m, which bounds
+    how far each log-weight ln(size + alpha*beta) can drift during the block. A
+    point whose best existing cluster (scored with the block-start weights) beats
+    every other cluster and its best fresh candidate by more than those bounds
+    makes that same choice whenever its turn comes: such points are applied
+    together, in order, between the points that are not certain, which are taken
+    one by one. After a new cluster opens, the rest of the block is taken one by
+    one. Decisions, random numbers and final state equal the one-by-one pass.
+    """
+    n, d = X.shape
+    H = p.local_candidates
+    E, S = p.E, p.S
+    sq = math.sqrt(S)
+    log = math.log
+    for _ in range(p.local_sweeps):
+        k = st.k
+        ab = alpha * st.beta  # capacity-sized; entries for new clusters are set on opening
+        lw = np.full(st.phi.shape[0], NEG_INF)
+        for j in range(k):
+            lw[j] = _log(float(st.size[j]) + float(ab[j]))
+        for s in range(0, n, BLOCK):
+            xb = X[s:s + BLOCK]
+            xnb = xnorm[s:s + BLOCK]
+            kb = st.k
+            m = xb.shape[0]
+            Lnp = _dist_block(xb, xnb, st, kb, E)
+            z1 = rng.standard_normal((m, H))
+            chi = rng.chisquare(d - 1, (m, H)) if d > 1 else np.zeros((m, H))
+            cand = -(xnb[:, None] - 2.0 * sq * np.sqrt(xnb)[:, None] * z1 + S * (z1 * z1 + chi)) / (2.0 * E)
+            jc_all = cand.argmax(1)
+            cv_all = cand[np.arange(m), jc_all]
+            wa = _log(alpha * beta_u / H)
+            # bounds on each weight's drift during this block
+            sz0 = st.size[:kb]
+            a0 = ab[:kb]
+            lw0 = lw[:kb].copy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.log(sz0 + m + a0) - lw0
+                dn = lw0 - np.log(np.maximum(sz0 - m, 0.0) + a0)
+            S0 = Lnp + lw0
+            rows = np.arange(m)
+            b0 = S0.argmax(1)
+            low = S0[rows, b0] - dn[b0]
+            if kb > 1:
+                U = Lnp + (lw0 + up)
+                U[rows, b0] = NEG_INF
+                u2 = U.max(1)
+            else:
+                u2 = np.full(m, NEG_INF)
+            c_old = c[s:s + m].copy()
+            certain = (low > u2 + CERTAIN_EPS) & (low > cv_all + wa + CERTAIN_EPS)
+            moves = certain & (b0 != c_old)
+            stops = np.flatnonzero(~certain).tolist() + [m]
+            prev = 0
+            opened: list[tuple[int, np.ndarray]] = []
+            for t in stops:
+                if t > prev:
+                    mv = np.flatnonzero(moves[prev:t]) + prev
+                    if len(mv):
+                        old = c_old[mv]
+                        new = b0[mv]
+                        np.subtract.at(st.size, old, 1.0)
+                        np.add.at(st.size, new, 1.0)
+                        for j in set(old.tolist()) | set(new.tolist()):
+                            lw[j] = _log(float(st.size[j]) + float(ab[j]))
+                        c[s + mv] = new
+                if t == m:
+                    break
+                # point t, on its own
+                i = s + t
+                ko = int(c[i])
+                sz = float(st.size[ko]) - 1.0
+                st.size[ko] = sz
+                lw[ko] = _log(sz + float(ab[ko]))
+                sc = Lnp[t] + lw[:kb]
+                best = int(np.argmax(sc))
+                bs = float(sc[best])
+                for j, col in opened:
+                    v = col[t] + lw[j]
+                    if v > bs:
+                        best, bs = j, v
+                jc = int(jc_all[t])
+                if float(cv_all[t]) + wa > bs:
+                    b = rng.beta(1.0, gamma)
+                    phi = _new_phi(rng, xb[t], float(xnb[t]), float(z1[t, jc]), float(chi[t, jc]), S)
+                    bnew = b * beta_u
+                    cap = st.phi.shape[0]
+                    kn = st.add(phi, bnew, 1.0)
+                    if st.phi.shape[0] != cap:  # table grew: widen the weight arrays too
+                        lw = np.concatenate([lw, np.full(st.phi.shape[0] - cap, NEG_INF)])
+                    ab = alpha * st.beta
+                    ab[kn] = alpha * bnew
+                    beta_u *= 1.0 - b
+                    wa = _log(alpha * beta_u / H)
+                    lw[kn] = _log(1.0 + alpha * bnew)
+                    diff = xb - phi
+                    opened.append((kn, -(diff * diff).sum(1) / (2.0 * E)))
+                    c[i] = kn
+                    # the bulk test knew nothing of this cluster: finish the block one by one
+                    moves[:] = False
+                    certain[:] = False
+                    stops = None
+                else:
+                    c[i] = best
+                    sz = float(st.size[best]) + 1.0
+                    st.size[best] = sz
+                    lw[best] = log(sz + float(ab[best])) if sz + float(ab[best]) > 0 else NEG_INF
+                prev = t + 1
+                if stops is None:
+                    break
+            if prev < m and stops is None:
+                # rest of the block one by one (a cluster opened)
+                for t in range(prev, m):
+                    i = s + t
+                    ko = int(c[i])
+                    sz = float(st.size[ko]) - 1.0
+                    st.size[ko] = sz
+                    lw[ko] = _log(sz + float(ab[ko]))
+                    sc = Lnp[t] + lw[:kb]
+                    best = int(np.argmax(sc))
+                    bs = float(sc[best])
+                    for j, col in opened:
+                        v = col[t] + lw[j]
+                        if v > bs:
+                            best, bs = j, v
+                    jc = int(jc_all[t])
+                    if float(cv_all[t]) + wa > bs:
+                        b = rng.beta(1.0, gamma)
+                        phi = _new_phi(rng, xb[t], float(xnb[t]), float(z1[t, jc]), float(chi[t, jc]), S)
+                        bnew = b * beta_u
+                        cap = st.phi.shape[0]
+                        kn = st.add(phi, bnew, 1.0)
+                        if st.phi.shape[0] != cap:
+                            lw = np.concatenate([lw, np.full(st.phi.shape[0] - cap, NEG_INF)])
+                        ab = alpha * st.beta
+                        ab[kn] = alpha * bnew
+                        beta_u *= 1.0 - b
+                        wa = _log(alpha * beta_u / H)
+                        lw[kn] = _log(1.0 + alpha * bnew)
+                        diff = xb - phi
+                        opened.append((kn, -(diff * diff).sum(1) / (2.0 * E)))
+                        c[i] = kn
+                    else:
+                        c[i] = best
+                        sz = float(st.size[best]) + 1.0
+                        st.size[best] = sz
+                        lw[best] = log(sz + float(ab[best])) if sz + float(ab[best]) > 0 else NEG_INF
+        alpha = concentration_update(rng, alpha, st.k, n, p.conc_a, p.conc_b, p.concentration)
+    return alpha, beta_u
+
+
+def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, rng
+                    ) -> tuple[float, float]:
+    """``p.local_sweeps`` passes, one point at a time; mutates ``c`` and ``st``.
+
     The per-point work is a scan over K + H scores kept as Python floats (numpy
     call overhead dominates at the usual K); distances come per block from one
     matrix product. ``assign='sample'`` adds Gumbel noise, which turns the

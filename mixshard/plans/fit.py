@@ -120,7 +120,8 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
     spark = points.sparkSession
     sc = spark.sparkContext
     run_dir = scratch_path(spark, "fit")
-    pts, n, n_shards = prepare_points(points, shards, max_shard_points)
+    with _step("prepare", 0):
+        pts, n, n_shards = prepare_points(points, shards, max_shard_points)
 
     t0 = time.time()
     with _step("kmeans", 0):

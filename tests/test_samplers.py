@@ -138,3 +138,23 @@ def test_fit_from_text_file_and_text_sinks(spark, tmp_path):
     assert len(lines) == len(lab) and all(len(r.value.split(" ")) == 2 for r in lines)
     write_model_text(res.model, str(tmp_path / "m"))
     assert all(len(r.value.split(" ")) == 4 for r in spark.read.text(str(tmp_path / "m")).collect())
+
+
+@pytest.mark.parametrize("E,seed", [(1.0, 1), (0.3, 2), (4.0, 3)])
+def test_pruned_sweep_equals_one_by_one(E, seed):
+    """Bulk-settled points: same labels, sizes, new clusters and concentrations."""
+    from mixshard.functions.draws import rng_for
+    from mixshard.operators import sweep as sw
+
+    rng = np.random.default_rng(seed)
+    cent = rng.normal(0, 6, (5, 3))
+    X = cent[rng.integers(0, 5, 5000)] + rng.normal(0, 1, (5000, 3))
+    xn = (X * X).sum(1)
+    p = DPMParams(E=E, S=40.0, seed=seed, local_sweeps=4)
+    res = []
+    for prune in (False, True):
+        st = sw._State(X[:3].copy(), np.full(3, 0.25))
+        c = sw._initial_pass(X, xn, st, 1.0, p.E)
+        a, bu = sw._sweeps(X, xn, c, st, 1.0, 0.25, 1.0, p, rng_for(seed, 9), prune=prune)
+        res.append((c.tolist(), st.k, st.size[:st.k].tolist(), st.phi[:st.k].tolist(), a, bu))
+    assert res[0] == res[1]

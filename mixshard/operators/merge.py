@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mixshard.functions.vectors import posterior_mean, posterior_var, vector_weighted_mean, zero_vector
+from mixshard.operators.model import check_broadcast, model_stats
 
 # sub_to_global maps above this many rows are joined by shuffle, not broadcast
 MAX_BROADCAST_MAP_ROWS = 5_000_000
@@ -56,7 +57,9 @@ def merge_same_id(summaries: DataFrame, k: int, dim: int, model: DataFrame | Non
     kmerged = kagg.join(kphi, "local_id")
     if model is not None:
         pri = model.select(F.col("cluster_id").alias("local_id"), "prior_mean", "prior_var")
-        kmerged = kmerged.join(F.broadcast(pri), "local_id", "left")
+        if check_broadcast(model_stats(model, "prior_mean")) == 1:  # K rows, size checked
+            pri = F.broadcast(pri)
+        kmerged = kmerged.join(pri, "local_id", "left")
     else:
         kmerged = (kmerged.withColumn("prior_mean", F.lit(None).cast("array<double>"))
                    .withColumn("prior_var", F.lit(None).cast("double")))

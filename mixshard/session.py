@@ -7,8 +7,10 @@ and Spark runs in local mode (tests, smoke runs).
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -28,10 +30,42 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    prepare_session(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``mixshard`` importable on every executor (as ``--py-files`` would).
+
+    Grouped pandas functions are pickled by reference to their module, so the
+    Python workers must import the package. Zipped once per application and added
+    with ``addPyFile``; harmless where the package is already installed.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="mixshard-pyfiles-"), "mixshard.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.join("mixshard", os.path.relpath(full, root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(app)
+
+
+def prepare_session(spark: SparkSession) -> str:
+    """Ship the package and return the checkpoint folder (see ``ensure_checkpoint_dir``)."""
+    ship_package(spark)
+    return ensure_checkpoint_dir(spark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -59,5 +93,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint folder for written round state."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    base = prepare_session(spark).rstrip("/")
     return f"{base}/mixshard/{name}-{uuid.uuid4().hex[:12]}"

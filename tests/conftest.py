@@ -23,6 +23,9 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     if not s.sparkContext.getCheckpointDir():  # tests only: a local checkpoint folder
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mixshard-test-ckpt-"))
+    from mixshard.session import prepare_session
+
+    prepare_session(s)
     yield s
 
 

@@ -18,7 +18,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -145,19 +144,18 @@ def global_merge(individuals: DataFrame, p: DPMParams, gamma: float, n_total: in
     for the next round is the posterior computed here (the reference's choice);
     ``ind_to_cluster``: (ind_id, cluster_id) for the level-0 individuals.
     """
-    spark = individuals.sparkSession
     cur = individuals.select("ind_id", "size", "y_mean", "phi", "prior_mean", "prior_var")
     m = cur.count()
     chain: DataFrame | None = None  # level-0 ind_id -> current-level ind_id
     level = 0
-    new_gamma = gamma
     groups = max(1, -(-m // max_group))
     while True:
         grouped = cur.withColumn(
             "merge_group",
             F.lit(0) if groups == 1 else F.pmod(F.xxhash64("ind_id", F.lit(level)), F.lit(groups)).cast("int"))
         res = grouped.groupBy("merge_group").applyInPandas(_group_fn(p, gamma, n_total, round_, level), MERGE_SCHEMA)
-        res = res.persist(StorageLevel.MEMORY_AND_DISK)
+        # written once: everything below reads these few rows back, nothing reruns the sampler
+        res = res.checkpoint()
         # new dense ids for this level's superclusters: per-group counts -> offsets
         ks = res.where("kind = 'k'")
         cnt = ks.groupBy("merge_group").agg(F.count(F.lit(1)).alias("_c"))
@@ -169,18 +167,15 @@ def global_merge(individuals: DataFrame, p: DPMParams, gamma: float, n_total: in
                .select("ind_id", "new_id"))
         chain = (mem.withColumnRenamed("new_id", "cur") if chain is None else
                  chain.join(mem.withColumnRenamed("ind_id", "cur"), "cur").select("ind_id", F.col("new_id").alias("cur")))
-        chain = chain.checkpoint()
         if groups == 1:
             new_gamma = float(res.where("kind = 'g'").first()["gamma"])
             model = ks.select(F.col("new_id").alias("cluster_id"), "size", "y_mean", "phi",
                               F.col("post_mean").alias("prior_mean"), F.col("post_var").alias("prior_var"))
-            model = model.checkpoint()
-            res.unpersist()
             return model, chain.select("ind_id", F.col("cur").alias("cluster_id")), new_gamma
         # next level: superclusters become individuals, keeping their round-start prior
-        cur = ks.select(F.col("new_id").alias("ind_id"), "size", "y_mean", "phi", "prior_mean", "prior_var").checkpoint()
+        chain = chain.checkpoint()
+        cur = ks.select(F.col("new_id").alias("ind_id"), "size", "y_mean", "phi", "prior_mean", "prior_var")
         m_next = cur.count()
-        res.unpersist()
         level += 1
         # a level that merged nothing gets fewer, larger groups next time, so the tree ends
         groups = max(1, -(-m_next // max_group)) if m_next < m else max(1, groups // 2)

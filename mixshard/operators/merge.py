@@ -41,15 +41,16 @@ def _dense_new_ids(new: DataFrame, base) -> DataFrame:
             .withColumn("ind_id", (base + F.col("_off") + rk).cast("int")).drop("_off"))
 
 
-def merge_same_id(summaries: DataFrame, k: int, dim: int, model: DataFrame | None, S: float
-                  ) -> tuple[DataFrame, DataFrame]:
+def merge_same_id(summaries: DataFrame, k: int, dim: int, model: DataFrame | None, S: float,
+                  model_checked: bool = False) -> tuple[DataFrame, DataFrame]:
     """Same-id merge across shards (CLU-5, AGG-3, AGG-4, SET-2).
 
     Returns ``individuals(ind_id, size, y_mean, phi, prior_mean, prior_var)`` and the
     flat map ``ind_subs(ind_id, shard, local_id)`` (AGG-9). Known ids are merged by
     a size-weighted mean and take their prior from ``model`` (JN-3), new ones keep
     their own summary with the base prior (0, S). Ids: merged known ids first in id
-    order, then new summaries in (shard, local_id) order.
+    order, then new summaries in (shard, local_id) order. ``model_checked``: the
+    caller has already bounded the model's size (the fit collects it every round).
     """
     known, new = split_known_new(summaries, k)
     kagg = vector_weighted_mean(known, ["local_id"], "y_mean", "size", dim)
@@ -57,7 +58,7 @@ def merge_same_id(summaries: DataFrame, k: int, dim: int, model: DataFrame | Non
     kmerged = kagg.join(kphi, "local_id")
     if model is not None:
         pri = model.select(F.col("cluster_id").alias("local_id"), "prior_mean", "prior_var")
-        if check_broadcast(model_stats(model, "prior_mean")) == 1:  # K rows, size checked
+        if model_checked or check_broadcast(model_stats(model, "prior_mean")) == 1:  # K rows, size checked
             pri = F.broadcast(pri)
         kmerged = kmerged.join(pri, "local_id", "left")
     else:

@@ -154,7 +154,7 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
         summaries = out.where("kind = 'c'").select("shard", "local_id", "size", "y_mean", "phi")
         state = out.where("kind = 's'").select("shard", "alpha", "beta_u", "n")
         with _step("same_id_merge", r):
-            individuals, ind_subs = merge_same_id(summaries, k, dim, model, p.S)
+            individuals, ind_subs = merge_same_id(summaries, k, dim, model, p.S, model_checked=True)
             individuals = individuals.checkpoint()
         with _step("global_merge", r):
             new_model, ind_to_c, gamma = global_merge(individuals, p, gamma, n, r, max_merge_group)

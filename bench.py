@@ -53,8 +53,8 @@ def main():
     spark = get_session(cores=CPUS, shuffle_partitions=int(CPUS))
     sf = SF_DIR.rstrip("/").rsplit("sf", 1)[-1]
     li = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
-    pts = points_from_table(li.select("l_quantity", "l_discount", "l_linenumber"),
-                            cols=["l_quantity", "l_discount"], scale=True)
+    pts = points_from_table(li.select("l_quantity", "l_discount"), cols=["l_quantity", "l_discount"],
+                            scale=True, ids="unique")
     pts, n, shards = prepare_points(pts, shards=int(CPUS))
     q = {}
 
@@ -90,7 +90,8 @@ def main():
 
     q["global_merge"] = _timed(merge)
 
-    raw = points_from_table(li.select("l_quantity", "l_discount"), cols=["l_quantity", "l_discount"], scale=True)
+    raw = points_from_table(li.select("l_quantity", "l_discount"), cols=["l_quantity", "l_discount"], scale=True,
+                            ids="unique")
 
     def fit3():
         r = fit(raw, P, k_init=8, rounds=3, shards=int(CPUS))

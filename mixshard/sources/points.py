@@ -150,12 +150,17 @@ def standardize(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[Column]
 
 def points_from_table(df: DataFrame, *, id_col: str | None = None, vector_col: str | None = None,
                       cols: list[str] | None = None, label_col: str | None = None,
-                      scale: bool = False) -> DataFrame:
+                      scale: bool = False, ids: str = "dense") -> DataFrame:
     """``points(point_id, x, label)`` from a table (SRC-2, PRJ-3).
 
     Either ``vector_col`` (any numeric array) or ``cols`` (numeric columns, optionally
-    standardised). Without ``id_col`` ids are generated in file order.
+    standardised). Without ``id_col`` ids are generated in file order: ``dense``
+    (0..n-1, one extra pass) or ``unique`` (``monotonically_increasing_id``: no extra
+    pass and no cache; what the fit needs, since it freezes them when it writes
+    the points table).
     """
+    if ids not in ("dense", "unique"):
+        raise ValueError("ids must be 'dense' or 'unique'")
     if (vector_col is None) == (cols is None):
         raise ValueError("give exactly one of vector_col / cols")
     if vector_col is not None:
@@ -170,8 +175,10 @@ def points_from_table(df: DataFrame, *, id_col: str | None = None, vector_col: s
     if id_col is not None:
         return df.select(F.col(id_col).cast("long").alias("point_id"), x.alias("x"), label.alias("label"))
     sel = df.select(x.alias("x"), label.alias("label"))
-    ids = dense_ids(sel)
-    return _keep_cache(ids.select("point_id", "x", "label"), *getattr(ids, "_mixshard_cached", ()))
+    if ids == "unique":
+        return sel.select(F.monotonically_increasing_id().alias("point_id"), "x", "label")
+    numbered = dense_ids(sel)
+    return _keep_cache(numbered.select("point_id", "x", "label"), *getattr(numbered, "_mixshard_cached", ()))
 
 
 def read_text_points(spark: SparkSession, path: str, dim: int, with_label: bool,

@@ -52,3 +52,13 @@ def test_aligned_shards_one_per_partition(spark):
         df = assign_shards(pts, s, method="aligned").repartition(s, "shard")
         per = df.select("shard", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().collect()
         assert len(per) == s and all(r["count"] == 1 for r in per)
+
+
+def test_unique_ids_without_extra_pass(spark):
+    from mixshard.sources.points import points_from_table
+
+    df = spark.range(0, 500, numPartitions=4).select(F.col("id").cast("double").alias("v"))
+    p = points_from_table(df, cols=["v"], ids="unique")
+    rows = p.collect()
+    assert len({r.point_id for r in rows}) == 500
+    assert "InMemoryRelation" not in p._jdf.queryExecution().executedPlan().toString()

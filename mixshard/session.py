@@ -46,10 +46,10 @@ def ship_package(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     app = sc.applicationId
-    if app in _SHIPPED:
+    if app in _SHIPPED or any(os.path.basename(f).startswith("mixshard-pkg-") for f in sc._python_includes or []):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="mixshard-pyfiles-"), "mixshard.zip")
+    out = os.path.join(tempfile.mkdtemp(prefix="mixshard-pyfiles-"), f"mixshard-pkg-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, files in os.walk(root):
             for f in files:

@@ -158,3 +158,24 @@ def test_pruned_sweep_equals_one_by_one(E, seed):
         a, bu = sw._sweeps(X, xn, c, st, 1.0, 0.25, 1.0, p, rng_for(seed, 9), prune=prune)
         res.append((c.tolist(), st.k, st.size[:st.k].tolist(), st.phi[:st.k].tolist(), a, bu))
     assert res[0] == res[1]
+
+
+def test_sample_mode_runs_conserves_and_repeats(spark):
+    df = planted(spark, n=300, seed=13)
+    p = DPMParams(E=1.0, S=100.0, seed=4, assign="sample")
+    out1, n = _sweep(spark, df, 3, p)
+    out1 = out1.checkpoint()
+    out2, _ = _sweep(spark, df, 3, p)
+    c1 = out1.where("kind = 'c'").collect()
+    assert sum(r.size for r in c1) == n
+    assert sorted(map(tuple, point_labels(out1).collect())) == sorted(map(tuple, point_labels(out2).collect()))
+
+
+def test_concentration_parametrisations():
+    from mixshard.functions.draws import concentration_update, rng_for
+
+    rng = rng_for(1, 2)
+    rate = np.mean([concentration_update(rng, 1.0, 5, 1000, 1.0, 0.5, "rate") for _ in range(3000)])
+    scale = np.mean([concentration_update(rng, 1.0, 5, 1000, 1.0, 0.5, "scale") for _ in range(3000)])
+    # rate: about (a+k)/(b - ln eta) with eta ~ Beta(2, 1000), i.e. < 1; the reference's scale form is far larger
+    assert 0.2 < rate < 1.5 and scale > 10 * rate

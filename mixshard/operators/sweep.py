@@ -444,7 +444,13 @@ def _rows(kind, shard, **cols) -> dict:
 
 
 def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float, mode: str):
-    """The grouped function; ``mode`` is ``init`` (round 0), ``sweep`` or ``score``."""
+    """The grouped function for one shard.
+
+    Without labels (round 0) it places the points in order first (CLU-3), then
+    sweeps. With labels it first emits the quality partials of the labels it got
+    (residual sum, contingency cells), then sweeps; ``mode='score'`` stops after
+    the partials.
+    """
     E = p.E
 
     def run(points: pd.DataFrame, labels: pd.DataFrame | None) -> pd.DataFrame:
@@ -469,7 +475,9 @@ def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float
             alpha = p.alpha0
             c = _initial_pass(X, xnorm, st, alpha, E)
         else:
-            lb = labels.drop_duplicates("point_id").set_index("point_id").reindex(pid)
+            if labels["point_id"].duplicated().any():
+                raise ValueError(f"shard {shard}: a point has two current clusters")
+            lb = labels.set_index("point_id").reindex(pid)
             if lb["cluster_id"].isna().any():
                 raise ValueError(f"shard {shard}: points without a current cluster")
             c = lb["cluster_id"].to_numpy(np.int64)
@@ -504,8 +512,9 @@ def run_sweep(points: DataFrame, labels: DataFrame | None, bmodel, p: DPMParams,
               gamma: float, beta_u: float, mode: str = "sweep") -> DataFrame:
     """One round of local work over all shards; returns the tagged rows (SWEEP_SCHEMA).
 
-    ``points``: (point_id, shard, x, label), ideally hash-partitioned by shard and
-    persisted, so only ``labels`` (point_id, shard, cluster_id, alpha) is shuffled.
+    ``points``: (point_id, shard, x, label); ``labels``: (point_id, shard, cluster_id,
+    alpha). When both come partitioned by shard (the fit's bucketed tables) the
+    co-group needs no exchange; otherwise Spark shuffles them by shard.
     """
     fn = make_sweep_fn(bmodel, p, round_, gamma, beta_u, mode)
 

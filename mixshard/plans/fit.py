@@ -115,7 +115,15 @@ def _quality(out: DataFrame) -> tuple[float | None, float]:
 
 def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards: int | None = None,
         max_shard_points: int = MAX_SHARD_POINTS, max_merge_group: int = MAX_GROUP) -> FitResult:
-    """Fit a DP mixture to ``points(point_id, x, label)``; ``label`` may be NULL."""
+    """Fit a DP mixture to ``points(point_id, x, label)``; ``label`` may be NULL.
+
+    ``k_init``: K-means centres to start from; ``rounds``: local-sweep + merge
+    rounds; ``shards``: minimum shard count (raised so that no shard exceeds
+    ``max_shard_points``); ``max_merge_group``: summaries per global-merge task
+    (more make a merge tree). Point ids must be unique.
+    """
+    if rounds < 1 or k_init < 1:
+        raise ValueError("need rounds >= 1 and k_init >= 1")
     p = params.validate()
     spark = points.sparkSession
     sc = spark.sparkContext

@@ -179,3 +179,19 @@ def test_concentration_parametrisations():
     scale = np.mean([concentration_update(rng, 1.0, 5, 1000, 1.0, 0.5, "scale") for _ in range(3000)])
     # rate: about (a+k)/(b - ln eta) with eta ~ Beta(2, 1000), i.e. < 1; the reference's scale form is far larger
     assert 0.2 < rate < 1.5 and scale > 10 * rate
+
+
+def test_cli_runs_on_a_text_file(spark, tmp_path, capsys):
+    from mixshard.cli import main
+
+    rng = np.random.default_rng(5)
+    cent = np.array([[-30.0, 0.0], [30.0, 5.0]])
+    lab = rng.integers(0, 2, 200)
+    X = cent[lab] + rng.normal(0, 2.0, (200, 2))
+    src = tmp_path / "pts.txt"
+    src.write_text("".join(f"{a} {b} {c}\n" for (a, b), c in zip(X.tolist(), lab.tolist())))
+    main(["--path", str(src), "--dim", "2", "--E", "4", "--S", "900", "--shards", "2", "--rounds", "1",
+          "--k-init", "2", "--labelled", "--out", str(tmp_path / "out")])
+    printed = capsys.readouterr().out
+    assert "round 0: clusters" in printed and "ARI" in printed
+    assert spark.read.text(str(tmp_path / "out" / "assignments")).count() == 200

@@ -68,7 +68,9 @@ def prepare_points(points: DataFrame, shards: int | None = None, max_shard_point
                    ) -> tuple[DataFrame, int, int]:
     """Shard, hash-partition by shard and cache the points; returns (points, n, shards)."""
     n = points.count()
-    s = shard_count_for(n, shards, max_shard_points)
+    first = points.select(F.size("x").alias("d")).first()
+    dim = int(first["d"]) if first is not None else 1
+    s = shard_count_for(n, shards, max_shard_points, dim=dim)
     sharded = assign_shards(points.select("point_id", "x", "label"), s, method="aligned")
     # written once, bucketed by shard (each bucket = one shard): every later read is
     # already partitioned by shard, and a lost cache block is rebuilt from its bucket

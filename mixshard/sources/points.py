@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Default bound on points per shard: one shard is one pandas frame in one task.
+# Default bounds per shard: one shard is one pandas frame in one task.
 MAX_SHARD_POINTS = 250_000
+MAX_SHARD_BYTES = 256 * 1024 * 1024  # coordinates only (n x d x 8 bytes)
 
 
 def parse_points(lines: DataFrame, dim: int, with_label: bool, value_col: str = "value",
@@ -86,9 +87,11 @@ def release_caches(df: DataFrame) -> None:
         c.unpersist()
 
 
-def shard_count_for(n: int, requested: int | None = None, max_shard_points: int = MAX_SHARD_POINTS) -> int:
-    """At least ``requested`` shards, and enough that none exceeds ``max_shard_points``."""
-    need = max(1, math.ceil(n / max_shard_points))
+def shard_count_for(n: int, requested: int | None = None, max_shard_points: int = MAX_SHARD_POINTS,
+                    dim: int = 1, max_shard_bytes: int = MAX_SHARD_BYTES) -> int:
+    """At least ``requested`` shards, and enough that no shard exceeds
+    ``max_shard_points`` points or ``max_shard_bytes`` of coordinates."""
+    need = max(1, math.ceil(n / max_shard_points), math.ceil(n * max(dim, 1) * 8 / max_shard_bytes))
     return max(need, requested or 1)
 
 

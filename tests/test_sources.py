@@ -62,3 +62,8 @@ def test_unique_ids_without_extra_pass(spark):
     rows = p.collect()
     assert len({r.point_id for r in rows}) == 500
     assert "InMemoryRelation" not in p._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shard_count_bounds_bytes_too():
+    assert shard_count_for(1_000_000, 1, 10_000_000, dim=64, max_shard_bytes=64 * 8 * 100_000) == 10
+    assert shard_count_for(100, None, dim=3) == 1

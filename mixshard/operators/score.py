@@ -45,56 +45,55 @@ def prior_log_weight(model: DataFrame, mode: str, alpha: float = 1.0) -> DataFra
 
 
 def _scores(x: Column, E: float) -> Column:
-    """Per row: array of struct(s = score, nid = -cluster_id) over ``_m``."""
-    return F.transform(
-        F.col("_m"),
-        lambda m: F.struct(
-            (m["logw"] - sqdist(x, m["phi"]) / F.lit(2.0 * E)).alias("s"),
-            (-m["cluster_id"]).alias("nid"),
-        ),
-    )
-
-
-def _best_and_lse(sc: Column) -> tuple[Column, Column, Column]:
-    # array_max on struct(s, -id): highest score, lowest id on a tie (NaN wins, as in the reference)
+    """Per row: array of struct(s = score, nid = -cluster_id, d2 = squared distance) over ``_m``."""
+    dist = F.transform(F.col("_m"), lambda m: F.struct(
+        sqdist(x, m["phi"]).alias("d2"), m["logw"].alias("logw"), m["cluster_id"].alias("cluster_id")))
+    return F.transform(dist, lambda t: F.struct(
+        (t["logw"] - t["d2"] / F.lit(2.0 * E)).alias("s"), (-t["cluster_id"]).alias("nid"), t["d2"].alias("d2")))
+
+
+def _best_and_lse(sc: Column) -> tuple[Column, Column, Column, Column]:
+    # array_max on struct(s, -id, d2): highest score, lowest id on a tie (NaN wins, as in the reference)
     best = F.array_max(sc)
     bs = best["s"]
     lse = bs + F.ln(F.aggregate(sc, F.lit(0.0), lambda acc, t: acc + F.exp(t["s"] - bs)))
-    return (-best["nid"]).cast("int"), bs, lse
+    return (-best["nid"]).cast("int"), bs, lse, best["d2"]
 
 
-def _unrolled(points: DataFrame, rows: list, E: float, x: str) -> tuple[DataFrame, Column, Column, Column]:
-    """Per-cluster score columns over literal centres, then (best id, best score,
-    log-sum-exp) over those columns. Two projections, so no score expression is
-    repeated inside another (the optimizer does not inline an expensive
-    expression that is used more than once)."""
+def _unrolled(points: DataFrame, rows: list, E: float, x: str
+              ) -> tuple[DataFrame, Column, Column, Column, Column]:
+    """Per-cluster distance and score columns over literal centres, then (best id,
+    best score, log-sum-exp, best squared distance) over those columns. Staged
+    projections, so no score expression is repeated inside another (the optimizer
+    does not inline an expensive expression that is used more than once)."""
     xc = F.col(x)
-    names = []
-    exprs = []
+    dcols = []
     for j, r in enumerate(rows):
         d2 = None
         for i, v in enumerate(r["phi"]):
             t = xc[i] - F.lit(float(v))
             t = t * t
             d2 = t if d2 is None else d2 + t
-        d2 = d2 if d2 is not None else F.lit(0.0)
-        names.append(f"_s{j}")
-        exprs.append((F.lit(float(r["logw"])) - d2 / F.lit(2.0 * E)).alias(names[-1]))
-    staged = points.select("*", *exprs)
-    sts = [F.struct(F.col(nm).alias("s"), F.lit(-int(r["cluster_id"])).alias("nid")) for nm, r in zip(names, rows)]
+        dcols.append((d2 if d2 is not None else F.lit(0.0)).alias(f"_d{j}"))
+    staged = points.select("*", *dcols)
+    scols = [(F.lit(float(r["logw"])) - F.col(f"_d{j}") / F.lit(2.0 * E)).alias(f"_s{j}") for j, r in enumerate(rows)]
+    staged = staged.select("*", *scols)
+    sts = [F.struct(F.col(f"_s{j}").alias("s"), F.lit(-int(r["cluster_id"])).alias("nid"), F.col(f"_d{j}").alias("d2"))
+           for j, r in enumerate(rows)]
     best = sts[0] if len(sts) == 1 else F.greatest(*sts)
     staged = staged.withColumn("_best", best)
     bs = F.col("_best.s")
     tot = None
-    for nm in names:
-        e = F.exp(F.col(nm) - bs)
+    for j in range(len(rows)):
+        e = F.exp(F.col(f"_s{j}") - bs)
         tot = e if tot is None else tot + e
-    return staged, (-F.col("_best.nid")).cast("int"), bs, bs + F.ln(tot)
+    return staged, (-F.col("_best.nid")).cast("int"), bs, bs + F.ln(tot), F.col("_best.d2")
 
 
 def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
                  out: str = "cluster_id", with_score: bool = False, with_prob: bool = False,
-                 max_model_bytes: int = MAX_MODEL_BYTES, key: str = "point_id") -> DataFrame:
+                 max_model_bytes: int = MAX_MODEL_BYTES, key: str = "point_id",
+                 with_resid: bool = False) -> DataFrame:
     """Argmax of the score per row (TOP-1 / TOP-2); optional score and posterior probability.
 
     ``model`` needs ``cluster_id, phi, logw``. Three plans, picked by model size:
@@ -102,7 +101,9 @@ def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
     code-generated; larger ones are one broadcast row scored with higher-order
     functions; models above ``max_model_bytes`` are scored block by block, each
     block broadcast on its own, and the per-block bests are combined per ``key``
-    (an exact reduction, no pair rows).
+    (an exact reduction, no pair rows). ``with_resid`` adds ``resid`` =
+    ||x - phi_c||^2 / E of the chosen cluster, carried through the argmax, so a
+    residual sum of the MAP assignment needs no second pass or join.
     """
     stats = model_stats(model)
     if stats.n_clusters == 0:
@@ -111,26 +112,28 @@ def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
     cols = points.columns
     if blocks == 1 and stats.n_clusters * max(stats.dim, 1) <= UNROLL_MAX_VALUES:
         rows = collect_model(model.select("cluster_id", "phi", "logw"), UNROLL_MAX_VALUES)
-        staged, bid, bs, lse = _unrolled(points, rows, E, x)
-        res = staged.select(*cols, bid.alias(out), bs.alias("_bs"), lse.alias("_lse"))
+        staged, bid, bs, lse, bd = _unrolled(points, rows, E, x)
+        res = staged.select(*cols, bid.alias(out), bs.alias("_bs"), lse.alias("_lse"), bd.alias("_bd"))
     elif blocks == 1:
         sc = attach_model(points, model, ["phi", "logw"], max_model_bytes).withColumn("_sc", _scores(F.col(x), E))
-        bid, bs, lse = _best_and_lse(F.col("_sc"))
-        res = sc.select(*cols, bid.alias(out), bs.alias("_bs"), lse.alias("_lse"))
+        bid, bs, lse, bd = _best_and_lse(F.col("_sc"))
+        res = sc.select(*cols, bid.alias(out), bs.alias("_bs"), lse.alias("_lse"), bd.alias("_bd"))
     else:
         parts = []
         for b in range(blocks):
             mb = model.where(F.pmod(F.col("cluster_id"), F.lit(blocks)) == b)
             sc = attach_model(points.select(key, x), mb, ["phi", "logw"], max_model_bytes).withColumn(
                 "_sc", _scores(F.col(x), E))
-            bid, bs, lse = _best_and_lse(F.col("_sc"))
-            parts.append(sc.select(key, F.struct(bs.alias("s"), (-bid).alias("nid")).alias("_b"), lse.alias("_lse")))
+            bid, bs, lse, bd = _best_and_lse(F.col("_sc"))
+            parts.append(sc.select(key, F.struct(bs.alias("s"), (-bid).alias("nid"), bd.alias("d2")).alias("_b"),
+                                   lse.alias("_lse")))
         u = parts[0]
         for p in parts[1:]:
             u = u.unionByName(p)
         red = u.groupBy(key).agg(F.max("_b").alias("_b"), F.max("_lse").alias("_mx"),
                                  F.collect_list("_lse").alias("_l"))
         red = red.select(key, (-F.col("_b.nid")).cast("int").alias(out), F.col("_b.s").alias("_bs"),
+                         F.col("_b.d2").alias("_bd"),
                          (F.col("_mx") + F.ln(F.aggregate("_l", F.lit(0.0),
                                                           lambda a, t: a + F.exp(t - F.col("_mx"))))).alias("_lse"))
         res = points.join(red, key)
@@ -138,14 +141,16 @@ def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
         res = res.withColumnRenamed("_bs", "score")
     if with_prob:
         res = res.withColumn("prob", F.exp((F.col("score") if with_score else F.col("_bs")) - F.col("_lse")))
-    return res.drop("_bs", "_lse")
+    if with_resid:
+        res = res.withColumn("resid", F.col("_bd") / F.lit(E))
+    return res.drop("_bs", "_lse", "_bd")
 
 
 def membership(points: DataFrame, model: DataFrame, E: float, x: str = "x") -> DataFrame:
     """Posterior membership probabilities per row as ``probs ARRAY<DOUBLE>`` in id order,
     aligned with ``cluster_ids`` (WIN-1 / WIN-2): a stable softmax inside the row."""
     sc = attach_model(points, model, ["phi", "logw"]).withColumn("_sc", _scores(F.col(x), E))
-    _, bs, lse = _best_and_lse(F.col("_sc"))
+    _, bs, lse, _ = _best_and_lse(F.col("_sc"))
     sc = sc.withColumn("_lse", lse)
     return sc.select(*points.columns,
                      F.transform("_m", lambda m: m["cluster_id"]).alias("cluster_ids"),
@@ -166,10 +171,10 @@ def nearest_center(points: DataFrame, centers: DataFrame, x: str = "x", out: str
 
 
 def map_assign(points: DataFrame, model: DataFrame, E: float, alpha: float = 1.0,
-               initial: bool = False, with_score: bool = False) -> DataFrame:
+               initial: bool = False, with_score: bool = False, with_resid: bool = False) -> DataFrame:
     """Batch MAP assignment of points to a weighted model (SC-3, TOP-1, CLU-3a).
 
     ``initial=True`` uses the round-0 weights where every size is still 0.
     """
     m = prior_log_weight(model, "initial" if initial else "local", alpha)
-    return best_cluster(points, m, E, with_score=with_score)
+    return best_cluster(points, m, E, with_score=with_score, with_resid=with_resid)

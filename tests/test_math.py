@@ -76,3 +76,22 @@ def test_blocked_scoring_equals_single_broadcast(spark):
 
     with pytest.raises(ValueError):
         attach_model(pts, m, ["phi"], max_bytes=500)
+
+
+def test_carried_residual_equals_join(spark):
+    """resid carried through the argmax == residual joined back from the model, in all three plans."""
+    from mixshard.operators.evaluate import residual_sum
+    from mixshard.operators.score import best_cluster
+
+    rng = np.random.default_rng(6)
+    pts = spark.createDataFrame([(i, rng.normal(0, 3, 4).tolist()) for i in range(200)], "point_id BIGINT, x ARRAY<DOUBLE>")
+    for k in (5, 80):  # unrolled (K x d = 20) and one-row broadcast (K x d = 320)
+        model = spark.createDataFrame([(j, rng.normal(0, 3, 4).tolist(), 3.0, 0.01) for j in range(k)],
+                                      "cluster_id INT, phi ARRAY<DOUBLE>, size DOUBLE, beta DOUBLE")
+        m = prior_log_weight(model, "local", 1.0)
+        for bound in (None, 600):
+            kw = {} if bound is None else {"max_model_bytes": bound}
+            a = best_cluster(pts, m, 2.0, with_resid=True, **kw)
+            carried = a.agg(F.sum("resid")).first()[0]
+            joined = residual_sum(a.drop("resid"), model, 2.0).first()["rss"]
+            assert carried == pytest.approx(joined, rel=1e-12)

@@ -59,7 +59,7 @@ class FitResult:
     model: DataFrame  # (cluster_id, size, y_mean, phi, prior_mean, prior_var, beta)
     report: DataFrame  # REPORT_SCHEMA, one row per round
     sub_to_global: DataFrame  # (shard, local_id, cluster_id) of the last round
-    shard_state: DataFrame  # (shard, alpha, beta_u, n) after the last round
+    shard_state: DataFrame  # (shard, alpha, beta_u, n) after the last round (every round: its sweep table)
     gamma: float
     run_dir: str
 
@@ -91,12 +91,14 @@ def _model_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
             float(rows[0]["beta_u"]))
 
 
-def _with_weights(model: DataFrame, gamma: float, seed: int, round_: int) -> DataFrame:
-    """Model plus keyed Dirichlet weights ``beta`` and ``beta_u``, checkpointed once."""
+def _with_weights(model: DataFrame, gamma: float, seed: int, round_: int, path: str) -> DataFrame:
+    """Model plus keyed Dirichlet weights ``beta`` and ``beta_u``, written once to
+    ``path`` (SNK-3, one folder per round) and read back: that write is its checkpoint."""
     betas, bu = dirichlet_weights(model.select("cluster_id", "size"), gamma, seed, round_)
     w = betas.select("cluster_id", "beta").withColumn("_k", F.lit(0)).join(
         F.broadcast(bu.withColumn("_k", F.lit(0))), "_k").drop("_k")
-    return model.drop("beta", "beta_u").join(w, "cluster_id").checkpoint()
+    model.drop("beta", "beta_u").join(w, "cluster_id").write.mode("overwrite").parquet(path)
+    return model.sparkSession.read.parquet(path)
 
 
 def _append_report(spark, run_dir: str, row: dict) -> None:
@@ -139,7 +141,7 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
         gamma = p.gamma0
         model = (centres.join(sizes.select("cluster_id", "size"), "cluster_id")
                  .withColumn("prior_mean", zero_vector(F.size("phi"))).withColumn("prior_var", F.lit(float(p.S))))
-        model = _with_weights(model, gamma, p.seed, 0)
+        model = _with_weights(model, gamma, p.seed, 0, f"{run_dir}/model/round=-1")
         phi, beta, beta_u = _model_arrays(model)
         dim = phi.shape[1]
     labels = None
@@ -173,13 +175,9 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
             labels = relabel(point_labels(out), sub_to_global)
             labels = labels.join(F.broadcast(state.select("shard", "alpha")), "shard")
         with _step("weights", r):
-            model = _with_weights(new_model, gamma, p.seed, r + 1)
+            # the merged model of round r, with the weights the next round uses
+            model = _with_weights(new_model, gamma, p.seed, r + 1, f"{run_dir}/model/round={r}")
             phi, beta, beta_u = _model_arrays(model)
-        with _step("write_state", r):
-            (model.withColumn("round", F.lit(r)).write.mode("append").partitionBy("round")
-             .parquet(f"{run_dir}/model"))
-            (state.withColumn("round", F.lit(r)).write.mode("append").partitionBy("round")
-             .parquet(f"{run_dir}/shard_state"))
         bmodel.unpersist()
         reports.append(dict(round=r, n_clusters=int(phi.shape[0]), gamma=float(gamma), ari=None, rss=None,
                             seconds=time.time() - t0))

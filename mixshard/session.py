@@ -48,6 +48,10 @@ def ship_package(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED or any(os.path.basename(f).startswith("mixshard-pkg-") for f in sc._python_includes or []):
         return
+    if not sc.master.startswith("local") and _importable_on_executors(sc):
+        _SHIPPED.add(app)  # installed on the cluster or passed with --py-files
+        return
+    # the zip is code served by the driver (what --py-files does), not data
     root = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="mixshard-pyfiles-"), f"mixshard-pkg-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -60,6 +64,15 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def _importable_on_executors(sc) -> bool:
+    def probe(_):
+        import importlib.util
+
+        yield importlib.util.find_spec("mixshard") is not None
+
+    return bool(sc.parallelize([0], 1).mapPartitions(probe).first())
+
+
 def prepare_session(spark: SparkSession) -> str:
     """Ship the package and return the checkpoint folder (see ``ensure_checkpoint_dir``)."""
     ship_package(spark)

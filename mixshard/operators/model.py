@@ -45,14 +45,15 @@ def model_row(model: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def attach_model(points: DataFrame, model: DataFrame, fields: list[str],
-                 max_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
+                 max_bytes: int = MAX_MODEL_BYTES, stats: ModelStats | None = None) -> DataFrame:
     """``points`` plus a ``_m`` column holding the whole (one-row) model.
 
     The build side is a global aggregate, hence exactly one row: the join costs
     one lookup per point. Its size is checked first; above ``max_bytes`` use
-    ``score.best_cluster``, which scores block by block.
+    ``score.best_cluster``, which scores block by block. ``stats``: already computed
+    (saves a job).
     """
-    stats = model_stats(model)
+    stats = stats or model_stats(model)
     if check_broadcast(stats, max_bytes) > 1:
         raise ValueError(f"model of ~{stats.est_bytes} bytes is above the broadcast bound {max_bytes}; "
                          "use best_cluster, which splits it into blocks")

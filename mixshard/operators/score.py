@@ -115,7 +115,8 @@ def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
         staged, bid, bs, lse, bd = _unrolled(points, rows, E, x)
         res = staged.select(*cols, bid.alias(out), bs.alias("_bs"), lse.alias("_lse"), bd.alias("_bd"))
     elif blocks == 1:
-        sc = attach_model(points, model, ["phi", "logw"], max_model_bytes).withColumn("_sc", _scores(F.col(x), E))
+        sc = attach_model(points, model, ["phi", "logw"], max_model_bytes, stats).withColumn(
+            "_sc", _scores(F.col(x), E))
         bid, bs, lse, bd = _best_and_lse(F.col("_sc"))
         res = sc.select(*cols, bid.alias(out), bs.alias("_bs"), lse.alias("_lse"), bd.alias("_bd"))
     else:

@@ -334,19 +334,19 @@ def _sweep_inputs(spark, d):
     from mixshard.operators.model import collect_model
 
     pts = emb_points(spark, d)
-    rows = collect_model(label_model(pts).select("cluster_id", "phi", "beta"))
+    rows = collect_model(label_model(pts).select("cluster_id", "phi", "beta", "beta_u"))
     phi = np.array([r["phi"] for r in rows])
     beta = np.array([r["beta"] for r in rows])
-    return pts, spark.sparkContext.broadcast((phi, beta)), len(rows)
+    return pts, spark.sparkContext.broadcast((phi, beta)), len(rows), float(rows[0]["beta_u"])
 
 
 def q_local_sweep(spark, d):
     from mixshard.operators.sweep import run_sweep
     from mixshard.params import DPMParams
 
-    pts, bmodel, _ = _sweep_inputs(spark, d)
+    pts, bmodel, _, beta_u = _sweep_inputs(spark, d)
     p = DPMParams(E=E, S=S, seed=7)
-    out = run_sweep(pts, None, bmodel, p, 0, GAMMA, 1.0 / 501.0)
+    out = run_sweep(pts, None, bmodel, p, 0, GAMMA, beta_u)
     return out.where("kind = 'c'").select("shard", "local_id", F.col("size").cast("long").alias("size"))
 
 
@@ -355,9 +355,9 @@ def q_global_merge(spark, d):
     from mixshard.operators.sweep import run_sweep
     from mixshard.params import DPMParams
 
-    pts, bmodel, k = _sweep_inputs(spark, d)
+    pts, bmodel, k, beta_u = _sweep_inputs(spark, d)
     p = DPMParams(E=E, S=S, seed=7)
-    out = run_sweep(pts, None, bmodel, p, 0, GAMMA, 1.0 / 501.0).checkpoint()
+    out = run_sweep(pts, None, bmodel, p, 0, GAMMA, beta_u).checkpoint()
     summ = out.where("kind = 'c'").select("shard", "local_id", "size", "y_mean", "phi")
     ind, _ = mg.merge_same_id(summ, k, DIM, None, S)
     n = pts.count()

@@ -196,23 +196,25 @@ class PrefixTree:
         return found
 
 
-def tree_links(sets: list[np.ndarray], percent: int, group: list | None = None, every: bool = False) -> list[tuple[int, int]]:
-    """Links (i, j) among sets of one area; enough to connect what is connected, or all if ``every``.
+def tree_links(sets: list[np.ndarray], percent: int, group: list | None = None, every: bool = False) -> tuple[list[tuple[int, int]], Forest]:
+    """Links (i, j) among sets of one area and the forest that they form; enough links to
+    connect what is connected, or all if ``every``.
 
     ``group``: equal values are connected already. The order puts the elements that most
     sets share first (ties by hash), so that near copies share long paths.
     """
+    forest, out = Forest(len(sets)), []
+    if group is not None:
+        seen: dict = {}
+        for i, g in enumerate(group):
+            forest.union(i, seen.setdefault(g, i))
     if len(sets) < 2:
-        return []
+        return out, forest
     universe, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(universe), np.int64)
     rank[np.lexsort((universe, -df))] = np.arange(len(universe))
     coded = np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])
-    forest, out, mask = Forest(len(sets)), [], np.zeros(len(universe), bool)
-    if group is not None:
-        seen: dict = {}
-        for i, g in enumerate(group):
-            forest.union(i, seen.setdefault(g, i))
+    mask = np.zeros(len(universe), bool)
     tree = PrefixTree(percent, forest)
     for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), i)):
         s = np.sort(coded[i])
@@ -221,7 +223,7 @@ def tree_links(sets: list[np.ndarray], percent: int, group: list | None = None,
             out += [(j, i) for j in tree.links(s, mask, i, every)]
             mask[s] = False
             tree.insert(s, i)
-    return out
+    return out, forest
 
 
 # --- Spark side -------------------------------------------------------------------------
@@ -274,7 +276,7 @@ def _chains(classes: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.diff(sig, prepend=sig[0] - 1 if len(sig) else 0)) if len(sig) else np.empty(0, np.int64)
             low = np.repeat(node[first], np.diff(np.append(first, len(sig))))
             own = np.unique(np.stack([node, low], 1)[node != low], axis=0) if len(sig) else np.empty((0, 2), np.int64)
-            key = np.concatenate([sig[first], T.mix(own[:, 0].astype(np.uint64) * np.uint64(2) + np.uint64(1)).view(np.int64)])
+            key = np.concatenate([sig[first], T.mix(T.mix(own[:, 0].astype(np.uint64)) + own[:, 1].astype(np.uint64)).view(np.int64)])
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([node[first], own[:, 0]])),
                                               pa.array(np.concatenate([node[first], own[:, 1]]))], names=["key", "a", "low"])
 
@@ -283,7 +285,8 @@ def _chains(classes: DataFrame) -> DataFrame:
 
 
 def _join_areas(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside each value of ``area``: rows (area, class, grp, grams), grouped by task.
+    """(class, grp, head) of every row (area, class, grp, grams): ``head`` is the smallest
+    ``grp`` that is connected to the row's inside its area.
 
     ``grp`` marks classes that are connected already. One area is in one task; areas are
     streamed one after the other, so memory holds one area (at most 2 * AREA_SETS sets)."""
@@ -292,23 +295,28 @@ def _join_areas(rows: DataFrame, percent: int) -> DataFrame:
         area, who, grp, sets = None, [], [], []
 
         def done():
-            found = tree_links(sets, percent, grp)
-            return pa.RecordBatch.from_arrays([pa.array([who[i] for i, _ in found], pa.int64()), pa.array([who[j] for _, j in found], pa.int64())], names=["a", "b"])
+            _, forest = tree_links(sets, percent, grp)
+            low: dict[int, int] = {}
+            for i, g in enumerate(grp):
+                r = forest.find(i)
+                low[r] = min(g, low.get(r, g))
+            heads = [low[forest.find(i)] for i in range(len(sets))]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (who, grp, heads)], names=["class", "grp", "head"])
 
         for b in batches:
             for x, c, g, s in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if x != area:
-                    if len(sets) > 1:
+                    if sets:
                         yield done()
                     area, who, grp, sets = x, [], [], []
                 who.append(c)
                 grp.append(g)
                 sets.append(np.frombuffer(s, "<u8").astype(np.uint64))
-        if len(sets) > 1:
+        if sets:
             yield done()
 
-    cols = ["area", "class", "grp", "grams"]
-    return (rows.select(*cols).repartition("area").sortWithinPartitions("area", "class").mapInArrow(run, "a long, b long"))
+    return (rows.select("area", "class", "grp", "grams").repartition("area").sortWithinPartitions("area", "class")
+            .mapInArrow(run, "class long, grp long, head long"))
 
 
 def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -339,57 +347,61 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         chosen = texts.join(some.select("class"), "class", "left_semi")
         return shingle_sets(chosen, "class", "text", n).select(F.col("id").alias("class"), "grams").join(some, "class")
 
-    links = _area_links(areas, sets_of, percent)
-    comps = components(links).select(F.col("node").alias("class"), "component")
+    comps = _area_heads(areas, sets_of, percent)
     known = (classes.select("set_hi", "set_lo", "n_shingles", "class").join(comps, "class", "left")
              .select("set_hi", "set_lo", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")))
     return (base.select("id", "n_shingles", "set_hi", "set_lo").join(known, ["set_hi", "set_lo", "n_shingles"], "left")
             .select("id", "n_shingles", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id")))
 
 
-def _area_links(areas: DataFrame, sets_of, percent: int, most: int | None = None) -> DataFrame:
-    """Links (a, b) that connect all similar classes of every area (class, area, members)."""
+def _area_heads(areas: DataFrame, sets_of, percent: int, most: int | None = None) -> DataFrame:
+    """(class, component) for the classes of every area (class, area, members)."""
     most = most or AREA_SETS
 
     def block(salt: int, members) -> F.Column:
         return F.pmod(F.xxhash64("class", F.lit(salt)), F.ceil(members / F.lit(most)).cast("long"))
 
-    first = areas.withColumn("grp", F.col("class")).withColumn("area", F.xxhash64("area", block(0, F.col("members"))))
-    links = _join_areas(sets_of(first), percent).checkpoint()
+    rows = areas.select("class", F.col("class").alias("grp"), F.xxhash64("area", block(0, F.col("members"))).alias("area"))
+    heads = _join_areas(sets_of(rows), percent).select("class", F.col("head").alias("component")).distinct().checkpoint()
     big = areas.where(F.col("members") > most)
     if big.isEmpty():
-        return links
+        return heads
+    now = big.select("class", "area").join(heads, "class").checkpoint()
 
-    def grouped() -> DataFrame:
-        """Members of the large areas with the group found so far."""
-        found = components(links).select(F.col("node").alias("class"), F.col("component").alias("grp"))
-        return big.join(found, "class", "left").withColumn("grp", F.coalesce("grp", "class"))
+    def renamed(now: DataFrame, names: DataFrame) -> DataFrame:
+        """``now`` with the new component of each old one, where (grp, head) has it."""
+        names = names.where("grp != head").select(F.col("grp").alias("component"), "head").distinct()
+        return now.join(names, "component", "left").select("class", "area", F.coalesce("head", "component").alias("component")).checkpoint()
 
-    # one leader per group (its smallest class), in blocks again while they are many
+    # one leader per group (its smallest class), in other blocks each time while they are many
     for salt in range(1, 4):
-        now = grouped().checkpoint()
-        heads = now.where("class = grp").drop("members")
-        heads = heads.join(heads.groupBy("area").agg(F.count("*").alias("members")).where("members > 1"), "area")
-        if heads.isEmpty():
-            return links
-        split = heads.withColumn("area", F.xxhash64("area", F.lit(salt), block(salt, F.col("members"))))
-        links = links.unionByName(_join_areas(sets_of(split), percent)).checkpoint()
-    # the rest: what is outside an area's largest group, against every block of the area
-    now = grouped().checkpoint()
-    count = now.groupBy("area", "grp").agg(F.count("*").alias("k"))
-    largest = count.groupBy("area").agg(F.max_by("grp", F.struct("k", -F.col("grp"))).alias("largest"), F.sum("k").alias("all"), F.max("k").alias("top"))
-    now = now.drop("members").join(largest.where("all > top"), "area")
-    if now.isEmpty():
-        return links
-    blocks = lambda size: F.ceil(size / F.lit(most)).cast("long")
-    cell = lambda i, j: F.xxhash64("area", F.lit(-1), i, j)
-    own_i = F.pmod(F.xxhash64("class", F.lit(11)), blocks(F.col("all")))
-    own_j = F.pmod(F.xxhash64("class", F.lit(12)), blocks(F.col("all") - F.col("top")))
-    each = now.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("all") - F.col("top")) - 1)))
-    rows = each.select("class", "grp", cell(own_i, F.col("other")).alias("area"))
-    few = now.where("grp != largest").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("all")) - 1)))
-    rows = rows.unionByName(few.select("class", "grp", cell(F.col("other"), own_j).alias("area"))).distinct()
-    return links.unionByName(_join_areas(sets_of(rows), percent)).checkpoint()
+        lead = now.where("class = component").drop("component")
+        lead = lead.join(lead.groupBy("area").agg(F.count("*").alias("members")).where("members > 1"), "area").checkpoint()
+        if lead.isEmpty():
+            break
+        rows = lead.select("class", F.col("class").alias("grp"), F.xxhash64("area", F.lit(salt), block(salt, F.col("members"))).alias("area"))
+        now = renamed(now, _join_areas(sets_of(rows), percent))
+    else:
+        now = _rest(now, sets_of, percent, most, renamed)
+    return heads.join(big.select("class"), "class", "left_anti").unionByName(now.select("class", "component"))
+
+
+def _rest(now: DataFrame, sets_of, percent: int, most: int, renamed) -> DataFrame:
+    """The last, complete step of a large area: all that is outside its largest group
+    against every block of the area."""
+    count = now.groupBy("area", "component").agg(F.count("*").alias("k"))
+    largest = count.groupBy("area").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("largest"), F.sum("k").alias("all"), F.max("k").alias("top"))
+    open_ = now.withColumnRenamed("component", "grp").join(largest.where("all > top"), "area").checkpoint()
+    if open_.isEmpty():
+        return now
+    n_all = F.ceil(F.col("all") / F.lit(most)).cast("long")
+    n_few = F.ceil((F.col("all") - F.col("top")) / F.lit(most)).cast("long")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    each = open_.withColumn("i", F.pmod(F.xxhash64("class", F.lit(11)), n_all)).withColumn("j", upto(n_few))
+    few = open_.where("grp != largest").withColumn("j", F.pmod(F.xxhash64("class", F.lit(12)), n_few)).withColumn("i", upto(n_all))
+    rows = each.unionByName(few).select("class", "grp", F.xxhash64("area", F.lit(-1), "i", "j").alias("area")).distinct()
+    links = _join_areas(sets_of(rows), percent).where("grp != head").select("grp", "head").distinct()
+    return renamed(now, components(links, "grp", "head").select(F.col("node").alias("grp"), F.col("component").alias("head")))
 
 
 def q_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,9 @@ from mixshard.session import prepare_session, scratch_path
 #: Sets in one tree at most (a larger area is cut into blocks that meet each other).
 AREA_SETS = 128
 #: Ratio of the size classes that share one number of hash ranges.
-CLASS_RATIO = 1.3
+CLASS_RATIO = 1.4
+#: Largest list of ids that is broadcast to pick rows of a wide table in place.
+BROADCAST_BYTES = 32 << 20
 
 
 def _doc_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -48,20 +51,26 @@ def _doc_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     for i in range(len(off) - 1):
         lo, hi = first[i], first[i + 1]
         if hi - lo >= n:
-            out.append(np.unique(grams[lo: hi - n + 1]))
+            s = np.sort(grams[lo: hi - n + 1])
+            out.append(s[np.append(True, s[1:] != s[:-1])])
         else:  # fewer words: the whole sequence is one element
             out.append(T.window_hashes(h[lo:hi], int(hi - lo)) if hi > lo else np.empty(0, np.uint64))
     return out
 
 
-def size_classes(percent: int, upto: int) -> np.ndarray:
-    """First sizes of the size classes: 1, 2, ... growing by CLASS_RATIO."""
+@lru_cache(maxsize=64)
+def _size_classes(upto: int) -> np.ndarray:
     s = [1]
     while s[-1] <= upto:
         s.append(max(s[-1] + 1, int(s[-1] * CLASS_RATIO)))
     return np.array(s, np.int64)
 
 
+def size_classes(upto: int) -> np.ndarray:
+    """First sizes of the size classes, past ``upto``: 1, 2, ... growing by CLASS_RATIO."""
+    return _size_classes(1 << int(upto).bit_length())
+
+
 def differing(percent: int, largest: int) -> int:
     """Most elements that two sets of at most ``largest`` elements may not share."""
     # 100 I >= p (S - I) and D = S - 2 I  give  D <= S (100 - p) / (100 + p), S <= 2 * largest
@@ -78,7 +87,7 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     n = len(s)
     if not n:
         return np.empty(0, np.uint64)
-    bounds = size_classes(percent, n * 100 // percent + 1)
+    bounds = size_classes(n * 100 // percent + 1)
     own = int(np.searchsorted(bounds, n, side="right")) - 1
     top = int(np.searchsorted(bounds, n * 100 // percent, side="right")) - 1
     out = []
@@ -242,8 +251,11 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in T.slices(batches, "text"):
             buf, off = T.flat(b.column(1))
             sets = _doc_sets(buf, off, n)
-            hi = [int(T.mix(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
-            lo = [int(T.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
+            size = np.array([len(s) for s in sets], np.int64)
+            every = np.concatenate(sets)
+            total = [np.concatenate([[np.uint64(0)], np.cumsum(T.mix(every ^ np.uint64(x)), dtype=np.uint64)]) for x in (0, 0xA5A5A5A5A5A5A5A5)]
+            end = np.cumsum(size)
+            hi, lo = (t[end] - t[end - size] for t in total)
             if percent is None:
                 tail = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
             else:
@@ -252,8 +264,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 flat = np.concatenate(sig) if sig else np.empty(0, np.uint64)
                 tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([
-                b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(np.array(hi, np.uint64).view(np.int64)), pa.array(np.array(lo, np.uint64).view(np.int64)), tail],
+                b.column(0).cast(pa.int64()), pa.array(size), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), tail],
                 names=["id", "n_shingles", "set_hi", "set_lo", last])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -276,12 +287,18 @@ def _chains(classes: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.diff(sig, prepend=sig[0] - 1 if len(sig) else 0)) if len(sig) else np.empty(0, np.int64)
             low = np.repeat(node[first], np.diff(np.append(first, len(sig))))
             own = np.unique(np.stack([node, low], 1)[node != low], axis=0) if len(sig) else np.empty((0, 2), np.int64)
-            key = np.concatenate([sig[first], T.mix(T.mix(own[:, 0].astype(np.uint64)) + own[:, 1].astype(np.uint64)).view(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate([node[first], own[:, 0]])),
-                                              pa.array(np.concatenate([node[first], own[:, 1]]))], names=["key", "a", "low"])
+            pair = T.mix(T.mix(own[:, 0].astype(np.uint64)) + own[:, 1].astype(np.uint64)).view(np.int64)  # a key of its own
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[first], pair, pair])),
+                                              pa.array(np.concatenate([node[first], own[:, 0], own[:, 1]]))], names=["key", "a"])
+
+    rows = classes.select("class", "sigs").mapInArrow(run, "key long, a long")
+    return rows.select("a", F.min("a").over(Window.partitionBy("key")).alias("b")).where("a != b").distinct()
+
 
-    rows = classes.select("class", "sigs").mapInArrow(run, "key long, a long, low long")
-    return (rows.select("a", F.min("low").over(Window.partitionBy("key")).alias("b")).where("a != b").distinct())
+def _small(ids: DataFrame) -> DataFrame:
+    """A one-column table of ids, marked for a broadcast if its counted rows fit the bound;
+    beyond it the join shuffles both sides."""
+    return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
 
 
 def _join_areas(rows: DataFrame, percent: int) -> DataFrame:
@@ -336,18 +353,15 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     path = scratch_path(spark, "ngram-sets")
     shingle_sets(docs, id_col, text_col, n, percent).write.parquet(path)
     base = spark.read.parquet(path)
-    classes = (base.where("n_shingles > 0 and id is not null").groupBy("set_hi", "set_lo", "n_shingles")
-               .agg(F.min("id").alias("class"), F.first("sigs").alias("sigs")))
-    areas = components(_chains(classes)).select(F.col("node").alias("class"), F.col("component").alias("area"))
+    classes = base.where("n_shingles > 0 and id is not null").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("id").alias("class")).checkpoint()
+    chains = _chains(base.withColumnRenamed("id", "class").join(_small(classes.select("class").distinct()), "class", "left_semi"))
+    areas = components(chains).select(F.col("node").alias("class"), F.col("component").alias("area"))
     areas = areas.join(areas.groupBy("area").agg(F.count("*").alias("members")), "area").checkpoint()
-    texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text"))
-
-    def sets_of(some: DataFrame) -> DataFrame:
-        """The sets of some classes, from their texts, with the columns of ``some``."""
-        chosen = texts.join(some.select("class"), "class", "left_semi")
-        return shingle_sets(chosen, "class", "text", n).select(F.col("id").alias("class"), "grams").join(some, "class")
-
-    comps = _area_heads(areas, sets_of, percent)
+    texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text")).join(_small(areas.select("class")), "class", "left_semi")
+    path = scratch_path(spark, "ngram-areas")
+    shingle_sets(texts, "class", "text", n).select(F.col("id").alias("class"), "grams").write.parquet(path)
+    sets = spark.read.parquet(path)
+    comps = _area_heads(areas, lambda some: sets.join(some, "class"), percent)
     known = (classes.select("set_hi", "set_lo", "n_shingles", "class").join(comps, "class", "left")
              .select("set_hi", "set_lo", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")))
     return (base.select("id", "n_shingles", "set_hi", "set_lo").join(known, ["set_hi", "set_lo", "n_shingles"], "left")
@@ -373,16 +387,18 @@ def _area_heads(areas: DataFrame, sets_of, percent: int, most: int | None = None
         names = names.where("grp != head").select(F.col("grp").alias("component"), "head").distinct()
         return now.join(names, "component", "left").select("class", "area", F.coalesce("head", "component").alias("component")).checkpoint()
 
-    # one leader per group (its smallest class), in other blocks each time while they are many
-    for salt in range(1, 4):
+    # one leader per group (its smallest class); in other blocks again while they are many
+    for salt in range(1, 8):
         lead = now.where("class = component").drop("component")
         lead = lead.join(lead.groupBy("area").agg(F.count("*").alias("members")).where("members > 1"), "area").checkpoint()
-        if lead.isEmpty():
+        most_left = lead.agg(F.max("members")).first()[0]
+        if most_left is None:
             break
         rows = lead.select("class", F.col("class").alias("grp"), F.xxhash64("area", F.lit(salt), block(salt, F.col("members"))).alias("area"))
         now = renamed(now, _join_areas(sets_of(rows), percent))
-    else:
-        now = _rest(now, sets_of, percent, most, renamed)
+        if most_left <= most:
+            break
+    now = _rest(now, sets_of, percent, most, renamed)
     return heads.join(big.select("class"), "class", "left_anti").unionByName(now.select("class", "component"))
 
 

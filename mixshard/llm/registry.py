@@ -1,9 +1,15 @@
 """Queries of the numbered operators and their DuckDB twins."""
 
+from mixshard.llm.bpe import q_bpe
 from mixshard.llm.ngram_join import SQL_NGRAM_JOIN, q_ngram_join
+from mixshard.llm.quality import q_quality
+from mixshard.llm.token_counts import q_token_counts
 
 QUERIES = {
+    "op1_token_counts": q_token_counts,
     "op2_ngram_join": q_ngram_join,
+    "op8_bpe": q_bpe,
+    "op10_quality": q_quality,
 }
 
 #: Twins of the queries that SQL can express; the others are tested against brute force.

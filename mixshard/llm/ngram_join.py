@@ -77,35 +77,33 @@ def differing(percent: int, largest: int) -> int:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a sorted set such that any two sets at the wanted similarity share one.
+def ranges(percent: int, largest: int) -> tuple[int, int]:
+    """(m, least): cut the hash space into m ranges, and sets of at most ``largest`` elements
+    at the wanted similarity agree on ``least`` of them at least (they differ in m - least)."""
+    h = differing(percent, largest)
+    least = 3 + h // 5
+    return h + least, least
 
-    In every size class the set may meet partners in, the hash space is cut into m ranges
-    with m > H. Equal ranges number at least m - H; when a set has fewer empty ranges than
-    that, a partner shares a filled one, so its empty ranges need no signature.
-    """
+
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, size class of each) of a sorted set: one per range and size class the set
+    may meet partners in. Similar sets share ``least`` signatures of one class."""
     n = len(s)
     if not n:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     bounds = size_classes(n * 100 // percent + 1)
     own = int(np.searchsorted(bounds, n, side="right")) - 1
     top = int(np.searchsorted(bounds, n * 100 // percent, side="right")) - 1
-    out = []
+    out, mixed = [], T.mix(s)
     for k in range(own, top + 1):
-        largest = int(bounds[k + 1]) - 1
-        h = differing(percent, largest)
-        m = h + 1 + (h + 49) // 50
+        m, _ = ranges(percent, int(bounds[k + 1]) - 1)
         # range of an element: floor(e * m / 2^64), in 32-bit halves; non-decreasing along s
         part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         at = np.flatnonzero(np.diff(part, prepend=part[0] + np.uint64(m)))
-        body = np.add.reduceat(T.mix(s), at)
-        name = part[at] + np.uint64(k << 32)
-        empty = m - len(at)
-        if empty >= m - h:
-            rest = np.setdiff1d(np.arange(m, dtype=np.uint64), part[at])
-            name, body = np.append(name, rest + np.uint64(k << 32)), np.append(body, np.zeros(len(rest), np.uint64))
-        out.append(T.mix(body + T.mix(name)))
-    return np.concatenate(out)
+        body = np.zeros(m, np.uint64)
+        body[part[at]] = np.add.reduceat(mixed, at)
+        out.append(T.mix(body + T.mix(np.arange(m, dtype=np.uint64) + np.uint64(k << 32))))
+    return np.concatenate(out), np.repeat(np.arange(own, top + 1), [len(x) for x in out])
 
 
 class Forest:
@@ -259,9 +257,9 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if percent is None:
                 tail = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
             else:
-                sig = [signatures(s, percent) for s in sets]
+                sig = [signatures(s, percent)[0] for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sig])]).astype(np.int32)
-                flat = np.concatenate(sig) if sig else np.empty(0, np.uint64)
+                flat = np.concatenate(sig)
                 tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([
                 b.column(0).cast(pa.int64()), pa.array(size), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), tail],
@@ -270,29 +268,49 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _chains(classes: DataFrame) -> DataFrame:
-    """(a, b) with b the smallest class that shares a signature with a.
+def _chains(classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): b is the smallest class that shares a signature with a, for the classes that can
+    have a partner at all.
 
-    A batch first chains its own classes, so a signature that a third of all rows hold
-    reaches the shuffle once per batch."""
+    A class that shares fewer than ``least`` of its signatures of a size class with any others
+    has no partner there (see ``ranges``), so documents that merely hold a common passage are
+    left out. A batch first gathers its own classes, so a signature that a third of all rows
+    hold reaches the shuffle once per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            who, sigs = T.ids(b.column(0)), b.column(1)
-            sig, node = sigs.flatten().to_numpy(), np.repeat(who, sigs.value_lengths().to_numpy())
+            who, sigs, n = T.ids(b.column(0)), b.column(1), T.ids(b.column(2))
+            sig, per = sigs.flatten().to_numpy(), sigs.value_lengths().to_numpy()
+            slot = np.concatenate([np.concatenate([np.full(r[0], k * 100_000 + r[1]) for k, r in _classes_of(int(x), percent)]) for x in n]) if len(sig) else np.empty(0, np.int64)
+            node = np.repeat(who, per)
             order = np.lexsort((node, sig))
-            sig, node = sig[order], node[order]
-            first = np.flatnonzero(np.diff(sig, prepend=sig[0] - 1 if len(sig) else 0)) if len(sig) else np.empty(0, np.int64)
-            low = np.repeat(node[first], np.diff(np.append(first, len(sig))))
-            own = np.unique(np.stack([node, low], 1)[node != low], axis=0) if len(sig) else np.empty((0, 2), np.int64)
-            pair = T.mix(T.mix(own[:, 0].astype(np.uint64)) + own[:, 1].astype(np.uint64)).view(np.int64)  # a key of its own
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sig[first], pair, pair])),
-                                              pa.array(np.concatenate([node[first], own[:, 0], own[:, 1]]))], names=["key", "a"])
-
-    rows = classes.select("class", "sigs").mapInArrow(run, "key long, a long")
-    return rows.select("a", F.min("a").over(Window.partitionBy("key")).alias("b")).where("a != b").distinct()
+            sig, node, slot = sig[order], node[order], slot[order]
+            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
+            # the first member in columns of its own, the others (rare) in lists
+            more = np.ones(len(sig), bool)
+            more[first] = False
+            count = np.diff(np.append(first, len(sig))) - 1
+            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[more]), mask=pa.array(count == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(node[first]), pa.array(slot[first]), rest], names=["key", "a", "slot", "rest"])
+
+    key = Window.partitionBy("key")
+    rows = classes.select("class", "sigs", "n_shingles").mapInArrow(run, "key long, a long, slot long, rest array<long>")
+    shared = (rows.withColumn("members", F.sum(F.lit(1) + F.coalesce(F.size("rest"), F.lit(0))).over(key)).withColumn("b", F.min("a").over(key)).where("members > 1")
+              .select(F.explode(F.when(F.col("rest").isNull(), F.array("a")).otherwise(F.concat(F.array("a"), "rest"))).alias("a"), "slot", "b"))
+    return (shared.groupBy("a", "slot").agg(F.count("*").alias("shared"), F.collect_set("b").alias("bs")).where(F.col("shared") >= F.col("slot") % 100_000)
+            .select("a", F.explode("bs").alias("b")).where("a != b").distinct())
+
+
+@lru_cache(maxsize=4096)
+def _classes_of(n: int, percent: int) -> list[tuple[int, tuple[int, int]]]:
+    """(size class, (m, least)) of the classes that a set of n elements has signatures in."""
+    bounds = size_classes(n * 100 // percent + 1)
+    own = int(np.searchsorted(bounds, n, side="right")) - 1
+    top = int(np.searchsorted(bounds, n * 100 // percent, side="right")) - 1
+    return [(k, ranges(percent, int(bounds[k + 1]) - 1)) for k in range(own, top + 1)]
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -354,7 +372,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     shingle_sets(docs, id_col, text_col, n, percent).write.parquet(path)
     base = spark.read.parquet(path)
     classes = base.where("n_shingles > 0 and id is not null").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("id").alias("class")).checkpoint()
-    chains = _chains(base.withColumnRenamed("id", "class").join(_small(classes.select("class").distinct()), "class", "left_semi"))
+    chains = _chains(base.withColumnRenamed("id", "class").join(_small(classes.select("class").distinct()), "class", "left_semi"), percent)
     areas = components(chains).select(F.col("node").alias("class"), F.col("component").alias("area"))
     areas = areas.join(areas.groupBy("area").agg(F.count("*").alias("members")), "area").checkpoint()
     texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text")).join(_small(areas.select("class")), "class", "left_semi")

@@ -35,6 +35,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
 
 def _low(e: DataFrame, smallest) -> DataFrame:
-    """(u, m) by a map-side combined aggregate. The key is written anew so that the join
-    shuffles both sides itself: only then can adaptive execution split a hub's partition."""
-    return e.groupBy("u").agg(smallest.alias("m")).select(F.col("u").bitwiseXOR(F.lit(0)).alias("u"), "m")
+    """(u, m) by a map-side combined aggregate."""
+    return own_key(e.groupBy("u").agg(smallest.alias("m")), "u")
+
+
+def own_key(df: DataFrame, key: str) -> DataFrame:
+    """An aggregate whose long key is written anew, so that a join on it shuffles both sides
+    itself: only then can adaptive execution split the partition of a frequent key."""
+    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))

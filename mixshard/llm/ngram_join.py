@@ -3,12 +3,12 @@
 1. ``shingle_sets``: every whole text becomes its set of distinct word n-grams, as
    sorted 64-bit hashes.
 2. Documents with the same set are one class; the class is compared once.
-3. Routing without loss. Two sets of at least the wanted similarity differ in at most
-   H elements, H known from their sizes. The hash space is cut into more than H ranges,
-   so at least one range holds exactly the same elements in both. Each class emits one
-   signature per range; classes that share a signature are chained to the smallest one.
-   Common passages do not meet here (a range must agree as a whole), so the chains
-   (``areas``) stay close to the true groups.
+3. Routing without loss, in two steps. Two sets of at least the wanted similarity differ in
+   at most H elements, H known from their sizes. The hash space is cut into more than H
+   ranges, so some ranges hold exactly the same elements in both. Each class emits one
+   signature per range; a class that shares too few of them with any others has no partner.
+   The sets of the rest are put in the global order, rarest element first, and classes that
+   share a prefix element are chained: the chains are the ``areas``.
 4. Prefix-tree join inside each area: sets are stored in one global order in a radix
    tree, partial overlaps are shared by all sets below a node, and subtrees are pruned
    by what the remaining lengths can still reach. Subtrees already in the query's group
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixshard.llm import text as T
-from mixshard.llm.graph import components
+from mixshard.llm.graph import components, own_key as _own_key
 from mixshard.session import prepare_session, scratch_path
 
 #: Sets in one tree at most (a larger area is cut into blocks that meet each other).
@@ -268,9 +268,8 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _chains(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): b is the smallest class that shares a signature with a, for the classes that can
-    have a partner at all.
+def _candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """(class): those that can have a partner.
 
     A class that shares fewer than ``least`` of its signatures of a size class with any others
     has no partner there (see ``ranges``), so documents that merely hold a common passage are
@@ -298,10 +297,32 @@ def _chains(classes: DataFrame, percent: int) -> DataFrame:
 
     key = Window.partitionBy("key")
     rows = classes.select("class", "sigs", "n_shingles").mapInArrow(run, "key long, a long, slot long, rest array<long>")
-    shared = (rows.withColumn("members", F.sum(F.lit(1) + F.coalesce(F.size("rest"), F.lit(0))).over(key)).withColumn("b", F.min("a").over(key)).where("members > 1")
-              .select(F.explode(F.when(F.col("rest").isNull(), F.array("a")).otherwise(F.concat(F.array("a"), "rest"))).alias("a"), "slot", "b"))
-    return (shared.groupBy("a", "slot").agg(F.count("*").alias("shared"), F.collect_set("b").alias("bs")).where(F.col("shared") >= F.col("slot") % 100_000)
-            .select("a", F.explode("bs").alias("b")).where("a != b").distinct())
+    shared = (rows.withColumn("members", F.sum(F.lit(1) + F.coalesce(F.size("rest"), F.lit(0))).over(key)).where("members > 1")
+              .select(F.explode(F.when(F.col("rest").isNull(), F.array("a")).otherwise(F.concat(F.array("a"), "rest"))).alias("class"), "slot"))
+    return shared.groupBy("class", "slot").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.col("slot") % 100_000).select("class").distinct()
+
+
+def _chains(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): b is the smallest class that has a prefix element of a in its own prefix.
+
+    The global order: elements by the number of sets that hold them, rarest first, ties by
+    hash. Similar sets share one of their first n - ceil(percent n / 100) + 1 elements;
+    elements in one set only come first and fill prefixes without linking."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, off = T.flat(b.column(1))
+            n = np.diff(off) // 8
+            yield pa.RecordBatch.from_arrays([pa.array(buf.view("<i8")), pa.array(np.repeat(T.ids(b.column(0)), n)), pa.array(np.repeat(n, n))], names=["e", "a", "n"])
+
+    rows = sets.select("class", "grams").mapInArrow(run, "e long, a long, n long")
+    often = _own_key(rows.groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), "e")
+    own = Window.partitionBy("a")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("held"))
+    kept = (rows.join(often, "e").withColumn("at", F.row_number().over(own.orderBy("df", "e"))).withColumn("held", F.count("*").over(own))
+            .where(F.col("at") <= prefix).select("e", "a").checkpoint())
+    low = _own_key(kept.groupBy("e").agg(F.min("a").alias("b")), "e")
+    return kept.join(low, "e").where("a != b").select("a", "b").distinct()
 
 
 @lru_cache(maxsize=4096)
@@ -372,13 +393,13 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     shingle_sets(docs, id_col, text_col, n, percent).write.parquet(path)
     base = spark.read.parquet(path)
     classes = base.where("n_shingles > 0 and id is not null").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("id").alias("class")).checkpoint()
-    chains = _chains(base.withColumnRenamed("id", "class").join(_small(classes.select("class").distinct()), "class", "left_semi"), percent)
-    areas = components(chains).select(F.col("node").alias("class"), F.col("component").alias("area"))
-    areas = areas.join(areas.groupBy("area").agg(F.count("*").alias("members")), "area").checkpoint()
-    texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text")).join(_small(areas.select("class")), "class", "left_semi")
-    path = scratch_path(spark, "ngram-areas")
+    chosen = _candidates(base.withColumnRenamed("id", "class").join(_small(classes.select("class").distinct()), "class", "left_semi"), percent).checkpoint()
+    texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text")).join(_small(chosen), "class", "left_semi")
+    path = scratch_path(spark, "ngram-chosen")
     shingle_sets(texts, "class", "text", n).select(F.col("id").alias("class"), "grams").write.parquet(path)
     sets = spark.read.parquet(path)
+    areas = components(_chains(sets, percent)).select(F.col("node").alias("class"), F.col("component").alias("area"))
+    areas = areas.join(areas.groupBy("area").agg(F.count("*").alias("members")), "area").checkpoint()
     comps = _area_heads(areas, lambda some: sets.join(some, "class"), percent)
     known = (classes.select("set_hi", "set_lo", "n_shingles", "class").join(comps, "class", "left")
              .select("set_hi", "set_lo", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")))

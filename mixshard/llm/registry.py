@@ -1,6 +1,9 @@
 """Queries of the numbered operators and their DuckDB twins."""
 
 from mixshard.llm.bpe import q_bpe
+from mixshard.llm.embeddings import SQL_EMBEDDINGS, q_embeddings
+from mixshard.llm.html import q_html
+from mixshard.llm.langid import q_langid
 from mixshard.llm.ngram_join import SQL_NGRAM_JOIN, q_ngram_join
 from mixshard.llm.quality import q_quality
 from mixshard.llm.token_counts import q_token_counts
@@ -8,6 +11,9 @@ from mixshard.llm.token_counts import q_token_counts
 QUERIES = {
     "op1_token_counts": q_token_counts,
     "op2_ngram_join": q_ngram_join,
+    "op3_html": q_html,
+    "op5_langid": q_langid,
+    "op6_embeddings": q_embeddings,
     "op8_bpe": q_bpe,
     "op10_quality": q_quality,
 }
@@ -15,4 +21,5 @@ QUERIES = {
 #: Twins of the queries that SQL can express; the others are tested against brute force.
 SQL = {
     "op2_ngram_join": SQL_NGRAM_JOIN,
+    "op6_embeddings": SQL_EMBEDDINGS,
 }

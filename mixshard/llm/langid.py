@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from mixshard.llm import text as T
 from mixshard.session import prepare_session
@@ -194,22 +195,32 @@ def batch_predict(net: ByteCNN | None, buf: np.ndarray, off: np.ndarray, texts:
     return [net.langs[b] if ok else "und" for b, ok in zip(best, letters)], np.where(letters, np.clip(share[np.arange(n), best], 0, 1), 0.0)
 
 
-def predict(spark: SparkSession, docs: DataFrame, net: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score): one row per input row, over every window of the whole text.
+def identify(spark: SparkSession, docs: DataFrame, net: ByteCNN | None, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``lang_pred`` and ``score`` (columns of these names are
+    replaced): one row per input row, over every window of the whole text.
 
     ``und`` with score 0: text null, empty or without a letter, or nothing was learned.
-    Null ids stay null; repeated rows are repeated; other columns are not read; an empty
-    table gives an empty result.
+    Repeated rows are repeated; other columns are not read; an empty table gives an empty
+    result.
     """
     prepare_session(spark)
     data = spark.sparkContext.broadcast(net)  # a few thousand weights
+    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(*rest)
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in T.slices(batches, "text", 1 << 20):
-            lang, score = batch_predict(data.value, *T.flat(b.column(1)), b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
+        for b in T.slices(batches, text_col, 1 << 20):
+            texts = b.column(rest.index(text_col))
+            lang, score = batch_predict(data.value, *T.flat(texts), texts)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*rest, "lang_pred", "score"])
+
+    return rows.mapInArrow(run, schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, lang_pred string, score double")
+
+def predict(spark: SparkSession, docs: DataFrame, net: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) of every row, as ``identify``; null ids stay null."""
+    return identify(spark, docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), net).select("id", "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixshard.llm import text as T
+from mixshard.llm.columns import small
 from mixshard.llm.graph import components, own_key as _own_key
 from mixshard.session import prepare_session, scratch_path
 
@@ -37,8 +38,6 @@ from mixshard.session import prepare_session, scratch_path
 AREA_SETS = 128
 #: Ratio of the size classes that share one number of hash ranges.
 CLASS_RATIO = 1.4
-#: Largest list of ids that is broadcast to pick rows of a wide table in place.
-BROADCAST_BYTES = 32 << 20
 
 
 def _doc_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -236,93 +235,91 @@ def tree_links(sets: list[np.ndarray], percent: int, group: list | None = None,
 # --- Spark side -------------------------------------------------------------------------
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int | None = None) -> DataFrame:
-    """(id, n_shingles, set_hi, set_lo[, grams] or [signatures]): one row per input row.
-
-    With ``percent`` the signatures of ``signatures()`` are returned, else the set itself
-    (little-endian 64-bit hashes). Null or empty text: empty set. Null ids stay null.
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, with_set: bool = True) -> DataFrame:
+    """(id, n_shingles, set_hi, set_lo[, grams]): one row per input row. ``set_hi`` and ``set_lo``
+    are 128 bits that name the set; ``grams`` is the set itself (little-endian 64-bit hashes,
+    sorted). Null or empty text: empty set. Null ids stay null.
     """
-    last = "grams" if percent is None else "sigs"
-    schema = f"id long, n_shingles long, set_hi long, set_lo long, {last} " + ("binary" if percent is None else "array<long>")
+    names = ["id", "n_shingles", "set_hi", "set_lo"] + ["grams"] * with_set
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, "text"):
-            buf, off = T.flat(b.column(1))
-            sets = _doc_sets(buf, off, n)
+            sets = _doc_sets(*T.flat(b.column(1)), n)
             size = np.array([len(s) for s in sets], np.int64)
             every = np.concatenate(sets)
             total = [np.concatenate([[np.uint64(0)], np.cumsum(T.mix(every ^ np.uint64(x)), dtype=np.uint64)]) for x in (0, 0xA5A5A5A5A5A5A5A5)]
             end = np.cumsum(size)
             hi, lo = (t[end] - t[end - size] for t in total)
-            if percent is None:
-                tail = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
-            else:
-                sig = [signatures(s, percent)[0] for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in sig])]).astype(np.int32)
-                flat = np.concatenate(sig)
-                tail = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([
-                b.column(0).cast(pa.int64()), pa.array(size), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), tail],
-                names=["id", "n_shingles", "set_hi", "set_lo", last])
+            cols = [b.column(0).cast(pa.int64()), pa.array(size), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())] * with_set, names=names)
+
+    return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+            .mapInArrow(run, "id long, n_shingles long, set_hi long, set_lo long" + ", grams binary" * with_set))
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+def _met(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    """(key, a, rest): one row per key of a batch, with its first node in ``a`` and any others
+    (rare) in the list ``rest``, so that a key of a third of all rows is one row per batch."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    more = np.ones(len(keys), bool)
+    more[first] = False
+    count = np.diff(np.append(first, len(keys))) - 1
+    rest = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(nodes[more]), mask=pa.array(count == 0))
+    return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(nodes[first]), rest], names=["key", "a", "rest"])
 
 
-def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(class): those that can have a partner.
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, class, df) of the rows of ``_met`` whose key more than one class holds; ``df`` of them do."""
+    key = Window.partitionBy("key")
+    return (rows.withColumn("df", F.sum(F.lit(1) + F.coalesce(F.size("rest"), F.lit(0))).over(key)).where("df > 1")
+            .select("key", F.explode(F.when(F.col("rest").isNull(), F.array("a")).otherwise(F.concat(F.array("a"), "rest"))).alias("class"), "df"))
+
+
+#: Bits of a signature that hold its size class.
+_CLASS_BITS = 8
+
+
+def _candidates(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(class): those of ``texts`` (class, text) that can have a partner.
 
     A class that shares fewer than ``least`` of its signatures of a size class with any others
     has no partner there (see ``ranges``), so documents that merely hold a common passage are
-    left out. A batch first gathers its own classes, so a signature that a third of all rows
-    hold reaches the shuffle once per batch."""
+    left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            who, sigs, n = T.ids(b.column(0)), b.column(1), T.ids(b.column(2))
-            sig, per = sigs.flatten().to_numpy(), sigs.value_lengths().to_numpy()
-            slot = np.concatenate([np.concatenate([np.full(r[0], k * 100_000 + r[1]) for k, r in _classes_of(int(x), percent)]) for x in n]) if len(sig) else np.empty(0, np.int64)
-            node = np.repeat(who, per)
-            order = np.lexsort((node, sig))
-            sig, node, slot = sig[order], node[order], slot[order]
-            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.empty(0, np.int64)
-            # the first member in columns of its own, the others (rare) in lists
-            more = np.ones(len(sig), bool)
-            more[first] = False
-            count = np.diff(np.append(first, len(sig))) - 1
-            offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(offsets), pa.array(node[more]), mask=pa.array(count == 0))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[first]), pa.array(node[first]), pa.array(slot[first]), rest], names=["key", "a", "slot", "rest"])
+        for b in T.slices(batches, "text"):
+            sig = [signatures(s, percent) for s in _doc_sets(*T.flat(b.column(1)), n)]
+            name = np.concatenate([x for x, _ in sig]) << np.uint64(_CLASS_BITS) | np.concatenate([k for _, k in sig]).astype(np.uint64)
+            yield _met(name.view(np.int64), np.repeat(T.ids(b.column(0)), [len(x) for x, _ in sig]))
 
-    key = Window.partitionBy("key")
-    rows = classes.select("class", "sigs", "n_shingles").mapInArrow(run, "key long, a long, slot long, rest array<long>")
-    shared = (rows.withColumn("members", F.sum(F.lit(1) + F.coalesce(F.size("rest"), F.lit(0))).over(key)).where("members > 1")
-              .select(F.explode(F.when(F.col("rest").isNull(), F.array("a")).otherwise(F.concat(F.array("a"), "rest"))).alias("class"), "slot"))
-    return shared.groupBy("class", "slot").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.col("slot") % 100_000).select("class").distinct()
+    shared = _shared(texts.mapInArrow(run, "key long, a long, rest array<long>")).withColumn("k", F.col("key").bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)))
+    bounds = size_classes(1 << 31)  # a few dozen size classes
+    least = F.element_at(F.array(*[F.lit(ranges(percent, int(b) - 1)[1]) for b in bounds[1:]]), (F.col("k") + 1).cast("int"))
+    return shared.groupBy("class", "k").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("class").distinct()
 
 
-def _chains(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): b is the smallest class that has a prefix element of a in its own prefix.
+def _chains(texts: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): b is the smallest class that has a prefix element of a in its own prefix, among
+    ``texts`` (class, text) with the set sizes (class, n_shingles).
 
     The global order: elements by the number of sets that hold them, rarest first, ties by
     hash. Similar sets share one of their first n - ceil(percent n / 100) + 1 elements;
     elements in one set only come first and fill prefixes without linking."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, off = T.flat(b.column(1))
-            n = np.diff(off) // 8
-            yield pa.RecordBatch.from_arrays([pa.array(buf.view("<i8")), pa.array(np.repeat(T.ids(b.column(0)), n)), pa.array(np.repeat(n, n))], names=["e", "a", "n"])
+        for b in T.slices(batches, "text"):
+            sets = _doc_sets(*T.flat(b.column(1)), n)
+            yield _met(np.concatenate(sets).view(np.int64), np.repeat(T.ids(b.column(0)), [len(s) for s in sets]))
 
-    rows = sets.select("class", "grams").mapInArrow(run, "e long, a long, n long")
-    often = _own_key(rows.groupBy("e").agg(F.count("*").alias("df")).where("df > 1"), "e")
-    own = Window.partitionBy("a")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("held"))
-    kept = (rows.join(often, "e").withColumn("at", F.row_number().over(own.orderBy("df", "e"))).withColumn("held", F.count("*").over(own))
-            .where(F.col("at") <= prefix).select("e", "a").checkpoint())
-    low = _own_key(kept.groupBy("e").agg(F.min("a").alias("b")), "e")
-    return kept.join(low, "e").where("a != b").select("a", "b").distinct()
+    own = Window.partitionBy("class")
+    size = F.col("n_shingles")
+    prefix = size - F.ceil(size * percent / 100) + 1 - (size - F.col("held"))
+    kept = (_shared(texts.mapInArrow(run, "key long, a long, rest array<long>")).withColumn("at", F.row_number().over(own.orderBy("df", "key"))).withColumn("held", F.count("*").over(own))
+            .join(sizes, "class").where(F.col("at") <= prefix).select("key", F.col("class").alias("a")).checkpoint())
+    low = _own_key(kept.groupBy("key").agg(F.min("a").alias("b")), "key")
+    return kept.join(low, "key").where("a != b").select("a", "b").distinct()
 
 
 @lru_cache(maxsize=4096)
@@ -334,12 +331,6 @@ def _classes_of(n: int, percent: int) -> list[tuple[int, tuple[int, int]]]:
     return [(k, ranges(percent, int(bounds[k + 1]) - 1)) for k in range(own, top + 1)]
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    """A one-column table of ids, marked for a broadcast if its counted rows fit the bound;
-    beyond it the join shuffles both sides."""
-    return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids
-
-
 def _join_areas(rows: DataFrame, percent: int) -> DataFrame:
     """(class, grp, head) of every row (area, class, grp, grams): ``head`` is the smallest
     ``grp`` that is connected to the row's inside its area.
@@ -389,17 +380,18 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     an empty result.
     """
     prepare_session(spark)
-    path = scratch_path(spark, "ngram-sets")
-    shingle_sets(docs, id_col, text_col, n, percent).write.parquet(path)
+    path = scratch_path(spark, "ngram-sizes")
+    shingle_sets(docs, id_col, text_col, n, with_set=False).write.parquet(path)
     base = spark.read.parquet(path)
     classes = base.where("n_shingles > 0 and id is not null").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("id").alias("class")).checkpoint()
-    chosen = _candidates(base.withColumnRenamed("id", "class").join(_small(classes.select("class").distinct()), "class", "left_semi"), percent).checkpoint()
-    texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text")).join(_small(chosen), "class", "left_semi")
-    path = scratch_path(spark, "ngram-chosen")
-    shingle_sets(texts, "class", "text", n).select(F.col("id").alias("class"), "grams").write.parquet(path)
-    sets = spark.read.parquet(path)
-    areas = components(_chains(sets, percent)).select(F.col("node").alias("class"), F.col("component").alias("area"))
+    texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text"))
+    chosen = _candidates(texts.join(small(classes.select("class").distinct()), "class", "left_semi"), n, percent).checkpoint()
+    sizes = chosen.join(classes.groupBy("class").agg(F.min("n_shingles").alias("n_shingles")), "class").checkpoint()
+    areas = components(_chains(texts.join(small(chosen), "class", "left_semi"), small(sizes, 24), n, percent)).select(F.col("node").alias("class"), F.col("component").alias("area"))
     areas = areas.join(areas.groupBy("area").agg(F.count("*").alias("members")), "area").checkpoint()
+    path = scratch_path(spark, "ngram-areas")
+    shingle_sets(texts.join(small(areas.select("class")), "class", "left_semi"), "class", "text", n).select(F.col("id").alias("class"), "grams").write.parquet(path)
+    sets = spark.read.parquet(path)
     comps = _area_heads(areas, lambda some: sets.join(some, "class"), percent)
     known = (classes.select("set_hi", "set_lo", "n_shingles", "class").join(comps, "class", "left")
              .select("set_hi", "set_lo", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")))

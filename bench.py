@@ -54,7 +54,8 @@ def main():
     li = spark.read.parquet(f"{SF_DIR}/lineitem.parquet")
     pts = points_from_table(li.select("l_quantity", "l_discount"), cols=["l_quantity", "l_discount"],
                             scale=True, ids="unique")
-    pts, n, shards = prepare_points(pts, shards=int(CPUS))
+    table, n, shards = prepare_points(pts, shards=int(CPUS))
+    pts = table.df
     q = {}
 
     # a data-derived model: one centre per line number

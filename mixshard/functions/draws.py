@@ -42,19 +42,22 @@ def keyed_gamma(shape: Column, seed: int, stream: int, *keys: Column) -> Column:
     return _g(shape, *keys)
 
 
+def keyed_uniforms(*key: Column) -> tuple[Column, Column]:
+    """Two numbers in (0, 1), 52 bits each, from the MD5 of the key's parts joined by colons."""
+    h = F.md5(F.concat_ws(":", *[k.cast("string") for k in key]))
+    part = lambda at: (F.conv(F.substring(h, at, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return part(1), part(14)
+
+
 def keyed_normal_vector(mean: Column, var: Column, seed: int, stream: int, *keys: Column) -> Column:
-    """mean + sqrt(var) * z with z ~ N(0, I), per row (RND-4)."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def _n(m: pd.Series, v: pd.Series, *ks: pd.Series) -> pd.Series:
-        out = []
-        for i in range(len(m)):
-            mu = np.asarray(m.iat[i], dtype=float)
-            z = rng_for(seed, stream, *_key_ints(list(ks), i)).standard_normal(mu.shape[0])
-            out.append(mu + math.sqrt(float(v.iat[i])) * z)
-        return pd.Series(out)
+    """mean + sqrt(var) * z with z ~ N(0, I), per row (RND-4), in built-in functions: a
+    Box-Muller draw from the hash of (seed, stream, keys, coordinate)."""
+
+    def at(m: Column, i: Column) -> Column:
+        u, v = keyed_uniforms(F.lit(seed), F.lit(stream), *keys, i)
+        return m + F.sqrt(var) * F.sqrt(F.lit(-2.0) * F.ln(u)) * F.cos(F.lit(2.0 * math.pi) * v)
 
-    return _n(mean, var, *keys)
+    return F.transform(mean, at)
 
 
 def dirichlet_weights(sizes: DataFrame, gamma: float, seed: int, round_: int) -> tuple[DataFrame, DataFrame]:

@@ -85,14 +85,17 @@ def vector_mean(df: DataFrame, keys: list[str], x: str, dim: int, out: str = "y_
     return res.withColumn(out, vector_to_array("_m")).drop("_m")
 
 
-def vector_weighted_mean(df: DataFrame, keys: list[str], y: str, w: str, dim: int, out: str = "y_mean") -> DataFrame:
-    """Per-group mean of vectors weighted by ``w``: sum(w*y)/sum(w) (AGG-3), with sum(w) (AGG-4)."""
+def vector_weighted_mean(df: DataFrame, keys: list[str], y: str, w: str, dim: int, out: str = "y_mean",
+                         extra: list[Column] | None = None) -> DataFrame:
+    """Per-group mean of vectors weighted by ``w``: sum(w*y)/sum(w) (AGG-3), with sum(w) (AGG-4)
+    and any ``extra`` aggregates of the same groups."""
+    more = extra or []
     tot = F.sum(F.col(w))
     if dim <= WIDE_DIM:
         arr = F.array(*[F.sum(F.col(w) * F.col(y)[i]) for i in range(dim)])
         return (
             df.groupBy(*keys)
-            .agg(tot.alias("size"), arr.alias("_s"))
+            .agg(tot.alias("size"), arr.alias("_s"), *more)
             .withColumn(out, F.transform("_s", lambda t: t / F.col("size")))
             .drop("_s")
         )
@@ -100,5 +103,5 @@ def vector_weighted_mean(df: DataFrame, keys: list[str], y: str, w: str, dim: in
     from pyspark.ml.stat import Summarizer
 
     g = df.withColumn("_v", array_to_vector(F.col(y))).groupBy(*keys)
-    res = g.agg(tot.alias("size"), Summarizer.mean(F.col("_v"), F.col(w)).alias("_m"))
+    res = g.agg(tot.alias("size"), Summarizer.mean(F.col("_v"), F.col(w)).alias("_m"), *more)
     return res.withColumn(out, vector_to_array("_m")).drop("_m")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mixshard.functions.vectors import sqdist
 from mixshard.operators.model import MAX_MODEL_BYTES, check_broadcast, model_stats
+from mixshard.session import cut
 
 
 def contingency(assigned: DataFrame, cluster: str = "cluster_id", label: str = "label") -> DataFrame:
@@ -21,9 +22,9 @@ def contingency(assigned: DataFrame, cluster: str = "cluster_id", label: str = "
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def contingency_wide(ct: DataFrame) -> DataFrame:
-    """Wide view of the contingency table: one column per label."""
-    return ct.groupBy("cluster_id").pivot("label").agg(F.sum("n")).na.fill(0)
+def contingency_wide(ct: DataFrame, labels: list[int]) -> DataFrame:
+    """Wide view of the contingency table: one column for each of the given labels."""
+    return ct.groupBy("cluster_id").pivot("label", labels).agg(F.sum("n")).na.fill(0)
 
 
 def contingency_totals(ct: DataFrame) -> DataFrame:
@@ -88,9 +89,14 @@ def residual_sum(assigned: DataFrame, model: DataFrame, E: float, by: list[str]
 
 
 def score_model(assigned: DataFrame, model: DataFrame, E: float, x: str = "x") -> DataFrame:
-    """One row ``(n_clusters, ari, rss)`` for an assignment and its model (CLU-9)."""
-    ari = adjusted_rand_index(assigned).select("ari")
-    rss = residual_sum(assigned, model, E, x=x)
+    """One row ``(n_clusters, ari, rss)`` for an assignment and its model (CLU-9).
+
+    One pass over the points: counts and residual sums per (cluster, label) with map-side
+    partials; the index and the total come from those few rows."""
+    cells = cut(residuals(assigned, model, E, x=x).groupBy("cluster_id", "label")
+                .agg(F.count(F.lit(1)).alias("n"), F.sum("resid").alias("rss")), "cells")
+    ari = ari_from_contingency(cells.where(F.col("label").isNotNull()).select("cluster_id", "label", "n")).select("ari")
+    rss = cells.agg(F.sum("rss").alias("rss"))
     k = model.agg(F.count(F.lit(1)).cast("int").alias("n_clusters"))
     one = F.lit(0)
     return (k.withColumn("_k", one).join(ari.withColumn("_k", one), "_k")

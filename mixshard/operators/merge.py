@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from mixshard.functions.vectors import posterior_mean, posterior_var, vector_weighted_mean, zero_vector
 from mixshard.operators.model import check_broadcast, model_stats
+from mixshard.sources.points import _checked
 
 # sub_to_global maps above this many rows are joined by shuffle, not broadcast
 MAX_BROADCAST_MAP_ROWS = 5_000_000
@@ -37,28 +38,25 @@ def _dense_new_ids(new: DataFrame, base) -> DataFrame:
     w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offs = per.select("shard", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
     rk = F.row_number().over(Window.partitionBy("shard").orderBy("local_id")) - 1
-    return (new.join(F.broadcast(offs), "shard")
+    return (new.join(_checked(offs), "shard")
             .withColumn("ind_id", (base + F.col("_off") + rk).cast("int")).drop("_off"))
 
 
 def merge_same_id(summaries: DataFrame, k: int, dim: int, model: DataFrame | None, S: float,
-                  model_checked: bool = False) -> tuple[DataFrame, DataFrame]:
+                  ) -> tuple[DataFrame, DataFrame]:
     """Same-id merge across shards (CLU-5, AGG-3, AGG-4, SET-2).
 
     Returns ``individuals(ind_id, size, y_mean, phi, prior_mean, prior_var)`` and the
     flat map ``ind_subs(ind_id, shard, local_id)`` (AGG-9). Known ids are merged by
     a size-weighted mean and take their prior from ``model`` (JN-3), new ones keep
     their own summary with the base prior (0, S). Ids: merged known ids first in id
-    order, then new summaries in (shard, local_id) order. ``model_checked``: the
-    caller has already bounded the model's size (the fit collects it every round).
+    order, then new summaries in (shard, local_id) order.
     """
     known, new = split_known_new(summaries, k)
-    kagg = vector_weighted_mean(known, ["local_id"], "y_mean", "size", dim)
-    kphi = known.groupBy("local_id").agg(F.min_by("phi", "shard").alias("phi"))
-    kmerged = kagg.join(kphi, "local_id")
+    kmerged = vector_weighted_mean(known, ["local_id"], "y_mean", "size", dim, extra=[F.min_by("phi", "shard").alias("phi")])
     if model is not None:
         pri = model.select(F.col("cluster_id").alias("local_id"), "prior_mean", "prior_var")
-        if model_checked or check_broadcast(model_stats(model, "prior_mean")) == 1:  # K rows, size checked
+        if check_broadcast(model_stats(model, "prior_mean")) == 1:  # K rows, size checked
             pri = F.broadcast(pri)
         kmerged = kmerged.join(pri, "local_id", "left")
     else:
@@ -110,7 +108,7 @@ def dense_cluster_ids(model: DataFrame, size: str = "size") -> DataFrame:
 
 
 def cluster_members(sub_to_global: DataFrame) -> DataFrame:
-    """Nested view of the sub-cluster map: one row per cluster with its (shard, local_id) list (AGG-9)."""
-    return (sub_to_global.groupBy("cluster_id")
-            .agg(F.array_sort(F.collect_list(F.struct("shard", "local_id"))).alias("sub_ids"),
-                 F.count(F.lit(1)).alias("n_subs")))
+    """Members of every cluster, one row per (cluster, shard, local_id) with the cluster's number
+    of members (AGG-9). The counts are a map-side combined aggregate; no list is built."""
+    n = sub_to_global.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_subs"))
+    return sub_to_global.select("cluster_id", "shard", "local_id").join(n, "cluster_id")

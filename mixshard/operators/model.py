@@ -2,11 +2,10 @@
 
 ``model(cluster_id INT, size DOUBLE, y_mean, phi ARRAY<DOUBLE>, prior_mean ARRAY<DOUBLE>,
 prior_var DOUBLE, beta DOUBLE)`` has one row per cluster, so it is small by nature
-(K rows). Scoring needs it next to every point: it is folded into ONE row (an
-array of structs sorted by id) and broadcast; each point then scores all
-clusters inside its own row with higher-order functions. No point x cluster
-rows are ever produced. The broadcast is guarded by a byte bound; above it the
-model is split into blocks that are each under the bound (see ``score``).
+(K rows). Scoring needs it next to every point: it is broadcast, and each point
+scores all clusters inside its own row. No point x cluster rows are ever produced.
+The broadcast is guarded by a byte bound; above it the model is split into blocks
+that are each under the bound (see ``score``).
 """
 
 from __future__ import annotations
@@ -18,8 +17,8 @@ from pyspark.sql import functions as F
 
 # Largest model (estimated bytes) shipped as one broadcast row.
 MAX_MODEL_BYTES = 256 * 1024 * 1024
-# Largest model the driver may hold (for the sweep closures).
-MAX_DRIVER_CLUSTERS = 200_000
+# Largest model (estimated bytes) the driver may hold (for the sweep closures).
+MAX_DRIVER_BYTES = 512 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -38,29 +37,6 @@ def model_stats(model: DataFrame, vec: str = "phi") -> ModelStats:
     return ModelStats(int(r["k"]), int(r["d"] or 0))
 
 
-def model_row(model: DataFrame, fields: list[str]) -> DataFrame:
-    """Fold the model into one row: ``_m ARRAY<STRUCT<cluster_id, ...fields>>`` sorted by id."""
-    st = F.struct(F.col("cluster_id").cast("int").alias("cluster_id"), *[F.col(f) for f in fields])
-    return model.agg(F.array_sort(F.collect_list(st)).alias("_m"))
-
-
-def attach_model(points: DataFrame, model: DataFrame, fields: list[str],
-                 max_bytes: int = MAX_MODEL_BYTES, stats: ModelStats | None = None) -> DataFrame:
-    """``points`` plus a ``_m`` column holding the whole (one-row) model.
-
-    The build side is a global aggregate, hence exactly one row: the join costs
-    one lookup per point. Its size is checked first; above ``max_bytes`` use
-    ``score.best_cluster``, which scores block by block. ``stats``: already computed
-    (saves a job).
-    """
-    stats = stats or model_stats(model)
-    if check_broadcast(stats, max_bytes) > 1:
-        raise ValueError(f"model of ~{stats.est_bytes} bytes is above the broadcast bound {max_bytes}; "
-                         "use best_cluster, which splits it into blocks")
-    one = model_row(model, fields).withColumn("_k", F.lit(0))
-    return points.withColumn("_k", F.lit(0)).join(F.broadcast(one), "_k").drop("_k")
-
-
 def check_broadcast(stats: ModelStats, max_bytes: int = MAX_MODEL_BYTES) -> int:
     """Number of blocks the model must be split into so each stays under ``max_bytes``."""
     if stats.est_bytes <= max_bytes:
@@ -68,9 +44,11 @@ def check_broadcast(stats: ModelStats, max_bytes: int = MAX_MODEL_BYTES) -> int:
     return -(-stats.est_bytes // max_bytes)
 
 
-def collect_model(model: DataFrame, max_clusters: int = MAX_DRIVER_CLUSTERS) -> list:
-    """Bring a model to the driver, never more than ``max_clusters`` rows (K is bounded)."""
-    rows = model.limit(max_clusters + 1).collect()
-    if len(rows) > max_clusters:
-        raise RuntimeError(f"model has more than {max_clusters} clusters, above the driver bound")
-    return sorted(rows, key=lambda r: r["cluster_id"])
+def collect_model(model: DataFrame, max_bytes: int = MAX_DRIVER_BYTES) -> list:
+    """Bring a model to the driver; raises before it does if its estimated bytes pass ``max_bytes``."""
+    vec = next((c for c in ("phi", "y_mean") if c in model.columns), None)
+    if vec is not None:
+        stats = model_stats(model, vec)
+        if stats.est_bytes > max_bytes:
+            raise RuntimeError(f"model of ~{stats.est_bytes} bytes is above the driver bound {max_bytes}")
+    return sorted(model.collect(), key=lambda r: r["cluster_id"])

@@ -8,17 +8,22 @@ argmax and in the softmax and are left out.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from mixshard.functions.vectors import safe_log, sqdist
-from mixshard.operators.model import MAX_MODEL_BYTES, attach_model, check_broadcast, collect_model, model_stats
+from mixshard.functions.matrix import best_of_block, exact_sq_distances
+from mixshard.functions.vectors import safe_log
+from mixshard.operators.model import MAX_MODEL_BYTES, ModelStats, check_broadcast, collect_model, model_stats
 
 # Models with at most this many centre coordinates (K x d) are scored with
-# unrolled literal arithmetic: plain expressions stay inside whole-stage codegen,
-# while higher-order functions (transform/aggregate) are interpreted. Above a few
-# hundred terms the optimizer's time on the expression tree outweighs the gain
-# (measured: 4x faster at K x d = 14, 5x slower overall at K x d = 1,400).
+# unrolled literal arithmetic: plain expressions stay inside whole-stage codegen.
+# Above a few hundred terms the optimizer's time on the expression tree outweighs
+# the gain, and a matrix product per Arrow batch is faster.
 UNROLL_MAX_VALUES = 256
 
 
@@ -44,22 +49,6 @@ def prior_log_weight(model: DataFrame, mode: str, alpha: float = 1.0) -> DataFra
     return model.withColumn("logw", w.cast("double"))
 
 
-def _scores(x: Column, E: float) -> Column:
-    """Per row: array of struct(s = score, nid = -cluster_id, d2 = squared distance) over ``_m``."""
-    dist = F.transform(F.col("_m"), lambda m: F.struct(
-        sqdist(x, m["phi"]).alias("d2"), m["logw"].alias("logw"), m["cluster_id"].alias("cluster_id")))
-    return F.transform(dist, lambda t: F.struct(
-        (t["logw"] - t["d2"] / F.lit(2.0 * E)).alias("s"), (-t["cluster_id"]).alias("nid"), t["d2"].alias("d2")))
-
-
-def _best_and_lse(sc: Column) -> tuple[Column, Column, Column, Column]:
-    # array_max on struct(s, -id, d2): highest score, lowest id on a tie (NaN wins, as in the reference)
-    best = F.array_max(sc)
-    bs = best["s"]
-    lse = bs + F.ln(F.aggregate(sc, F.lit(0.0), lambda acc, t: acc + F.exp(t["s"] - bs)))
-    return (-best["nid"]).cast("int"), bs, lse, best["d2"]
-
-
 def _unrolled(points: DataFrame, rows: list, E: float, x: str
               ) -> tuple[DataFrame, Column, Column, Column, Column]:
     """Per-cluster distance and score columns over literal centres, then (best id,
@@ -90,54 +79,112 @@ def _unrolled(points: DataFrame, rows: list, E: float, x: str
     return staged, (-F.col("_best.nid")).cast("int"), bs, bs + F.ln(tot), F.col("_best.d2")
 
 
+def _model_blocks(model: DataFrame, stats: ModelStats, max_model_bytes: int):
+    """The model's (ids, phi, logw) as broadcast arrays, in blocks that each stay under the
+    byte bound: one block at a time is on the driver."""
+    blocks = check_broadcast(stats, max_model_bytes)
+    has_w = "logw" in model.columns
+    m = model.select("cluster_id", "phi", *(["logw"] if has_w else []))
+    for b in range(blocks):
+        part = m if blocks == 1 else m.where(F.pmod(F.col("cluster_id"), F.lit(blocks)) == b)
+        rows = sorted(part.collect(), key=lambda r: r["cluster_id"])
+        ids = np.array([r["cluster_id"] for r in rows], np.int64)
+        phi = np.array([r["phi"] for r in rows], float).reshape(len(rows), -1)
+        logw = np.array([r["logw"] if has_w else 0.0 for r in rows], float)
+        yield model.sparkSession.sparkContext.broadcast((ids, phi, logw))
+
+
+_BEST = "_bs double, _bid long, _bd double, _lse double"
+
+
+def _with_model(points: DataFrame, model: DataFrame, E: float, x: str, max_model_bytes: int, stats: ModelStats,
+                arrays: bool = False) -> DataFrame:
+    """``points`` plus the best cluster's (_bs, _bid, _bd) and _lse over the whole model, and
+    with ``arrays`` every cluster's (id, score, squared distance) as ``_all`` in id order.
+
+    Each block of the model is one matrix product per Arrow batch; the best so far and the
+    running log-sum-exp travel in the row from block to block, so there is no shuffle, no
+    join back and no key."""
+    every = StructType([StructField("cluster_id", IntegerType()), StructField("s", DoubleType()), StructField("d2", DoubleType())])
+    extra = [StructField(f.split()[0], LongType() if f.endswith("long") else DoubleType()) for f in _BEST.split(", ")]
+    extra += [StructField("_all", ArrayType(every))] if arrays else []
+    cols = points.columns
+    at_x = cols.index(x)
+    schema = StructType([*points.schema.fields, *extra])
+    out = points
+    for b, data in enumerate(_model_blocks(model, stats, max_model_bytes)):
+        out = out.mapInArrow(_block_fn(data, E, at_x, len(cols), b == 0, arrays, every, schema.names), schema)
+    if arrays:
+        out = out.withColumn("_all", F.array_sort("_all"))
+    return out
+
+
+def _block_fn(data, E, at_x, n_cols, first, arrays, every, names):
+    """One block of ``_with_model`` (a function of its own: a loop's closure would see the last block)."""
+
+    def run(batches):
+        ids, phi, logw = data.value
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            xs = batch.column(at_x)
+            pts = xs.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+            lists = []
+            got = [np.empty(n) for _ in range(4)]
+            step = max(1, (32 << 20) // (8 * max(1, len(ids))))  # 32 MB of scores at once
+            for lo in range(0, n, step):
+                part = best_of_block(pts[lo: lo + step], phi, logw, ids, E)
+                for g, v in zip(got, part):
+                    g[lo: lo + step] = v
+                if arrays:
+                    d2 = exact_sq_distances(pts[lo: lo + step], phi)
+                    s = logw[None, :] - d2 / (2.0 * E)
+                    k, m = len(d2), len(ids)
+                    st = pa.StructArray.from_arrays([pa.array(np.tile(ids, k).astype(np.int32)), pa.array(s.ravel()), pa.array(d2.ravel())],
+                                                    fields=[pa.field("cluster_id", pa.int32()), pa.field("s", pa.float64()), pa.field("d2", pa.float64())])
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, k * m + 1, m, dtype=np.int32)), st))
+            bs, bid, bd, lse = got
+            bid = bid.astype(np.int64)
+            if not first:
+                obs, obid, obd, olse = (batch.column(n_cols + i).to_numpy(zero_copy_only=False) for i in range(4))
+                old = (obs > bs) | ((obs == bs) & (obid < bid)) | (np.isnan(obs) & ~np.isnan(bs))
+                bs, bid, bd = np.where(old, obs, bs), np.where(old, obid, bid), np.where(old, obd, bd)
+                lse = np.logaddexp(olse, lse)
+            new = [pa.array(bs), pa.array(bid, pa.int64()), pa.array(bd), pa.array(lse)]
+            if arrays:
+                a = pa.concat_arrays(lists)
+                if not first:
+                    old = batch.column(n_cols + 4)
+                    a = pa.array([u + v for u, v in zip(old.to_pylist(), a.to_pylist())], a.type)
+                new.append(a)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], *new], names=names)
+
+    return run
+
+
 def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
                  out: str = "cluster_id", with_score: bool = False, with_prob: bool = False,
-                 max_model_bytes: int = MAX_MODEL_BYTES, key: str = "point_id",
-                 with_resid: bool = False) -> DataFrame:
+                 max_model_bytes: int = MAX_MODEL_BYTES, with_resid: bool = False) -> DataFrame:
     """Argmax of the score per row (TOP-1 / TOP-2); optional score and posterior probability.
 
-    ``model`` needs ``cluster_id, phi, logw``. Three plans, picked by model size:
-    small models (K x d <= UNROLL_MAX_VALUES) become literal arithmetic, fully
-    code-generated; larger ones are one broadcast row scored with higher-order
-    functions; models above ``max_model_bytes`` are scored block by block, each
-    block broadcast on its own, and the per-block bests are combined per ``key``
-    (an exact reduction, no pair rows). ``with_resid`` adds ``resid`` =
-    ||x - phi_c||^2 / E of the chosen cluster, carried through the argmax, so a
-    residual sum of the MAP assignment needs no second pass or join.
+    ``model`` needs ``cluster_id, phi, logw``. Small models (K x d <= UNROLL_MAX_VALUES)
+    become literal arithmetic, fully code-generated; larger ones are one matrix product per
+    Arrow batch against byte-bounded broadcast blocks (see ``_with_model``). Both give the
+    direct form's labels. ``with_resid`` adds ``resid`` = ||x - phi_c||^2 / E of the chosen
+    cluster, so a residual sum of the MAP assignment needs no second pass or join.
     """
     stats = model_stats(model)
     if stats.n_clusters == 0:
         raise ValueError("empty model")
-    blocks = check_broadcast(stats, max_model_bytes)
     cols = points.columns
-    if blocks == 1 and stats.n_clusters * max(stats.dim, 1) <= UNROLL_MAX_VALUES:
-        rows = collect_model(model.select("cluster_id", "phi", "logw"), UNROLL_MAX_VALUES)
+    if check_broadcast(stats, max_model_bytes) == 1 and stats.n_clusters * max(stats.dim, 1) <= UNROLL_MAX_VALUES:
+        rows = collect_model(model.select("cluster_id", "phi", "logw"))
         staged, bid, bs, lse, bd = _unrolled(points, rows, E, x)
         res = staged.select(*cols, bid.alias(out), bs.alias("_bs"), lse.alias("_lse"), bd.alias("_bd"))
-    elif blocks == 1:
-        sc = attach_model(points, model, ["phi", "logw"], max_model_bytes, stats).withColumn(
-            "_sc", _scores(F.col(x), E))
-        bid, bs, lse, bd = _best_and_lse(F.col("_sc"))
-        res = sc.select(*cols, bid.alias(out), bs.alias("_bs"), lse.alias("_lse"), bd.alias("_bd"))
     else:
-        parts = []
-        for b in range(blocks):
-            mb = model.where(F.pmod(F.col("cluster_id"), F.lit(blocks)) == b)
-            sc = attach_model(points.select(key, x), mb, ["phi", "logw"], max_model_bytes).withColumn(
-                "_sc", _scores(F.col(x), E))
-            bid, bs, lse, bd = _best_and_lse(F.col("_sc"))
-            parts.append(sc.select(key, F.struct(bs.alias("s"), (-bid).alias("nid"), bd.alias("d2")).alias("_b"),
-                                   lse.alias("_lse")))
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        red = u.groupBy(key).agg(F.max("_b").alias("_b"), F.max("_lse").alias("_mx"),
-                                 F.collect_list("_lse").alias("_l"))
-        red = red.select(key, (-F.col("_b.nid")).cast("int").alias(out), F.col("_b.s").alias("_bs"),
-                         F.col("_b.d2").alias("_bd"),
-                         (F.col("_mx") + F.ln(F.aggregate("_l", F.lit(0.0),
-                                                          lambda a, t: a + F.exp(t - F.col("_mx"))))).alias("_lse"))
-        res = points.join(red, key)
+        res = _with_model(points, model, E, x, max_model_bytes, stats).withColumn(out, F.col("_bid").cast("int"))
+        res = res.select(*cols, out, "_bs", "_lse", "_bd")
     if with_score:
         res = res.withColumnRenamed("_bs", "score")
     if with_prob:
@@ -147,23 +194,27 @@ def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
     return res.drop("_bs", "_lse", "_bd")
 
 
-def membership(points: DataFrame, model: DataFrame, E: float, x: str = "x") -> DataFrame:
+def membership(points: DataFrame, model: DataFrame, E: float, x: str = "x",
+               max_model_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
     """Posterior membership probabilities per row as ``probs ARRAY<DOUBLE>`` in id order,
     aligned with ``cluster_ids`` (WIN-1 / WIN-2): a stable softmax inside the row."""
-    sc = attach_model(points, model, ["phi", "logw"]).withColumn("_sc", _scores(F.col(x), E))
-    _, bs, lse, _ = _best_and_lse(F.col("_sc"))
-    sc = sc.withColumn("_lse", lse)
-    return sc.select(*points.columns,
-                     F.transform("_m", lambda m: m["cluster_id"]).alias("cluster_ids"),
-                     F.transform("_sc", lambda t: F.exp(t["s"] - F.col("_lse"))).alias("probs"))
+    sc = _with_model(points, model, E, x, max_model_bytes, model_stats(model), arrays=True)
+    return sc.select(*points.columns, F.transform("_all", lambda t: t["cluster_id"]).alias("cluster_ids"),
+                     F.transform("_all", lambda t: F.exp(t["s"] - F.col("_lse"))).alias("probs"))
 
 
-def squared_distances(points: DataFrame, model: DataFrame, x: str = "x") -> DataFrame:
+def squared_distances(points: DataFrame, model: DataFrame, x: str = "x", max_model_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
     """Squared distance of each row to every centre, ``sqdists`` in id order (JN-1, SC-1)."""
-    j = attach_model(points, model, ["phi"])
-    return j.select(*points.columns,
-                    F.transform("_m", lambda m: m["cluster_id"]).alias("cluster_ids"),
-                    F.transform("_m", lambda m: sqdist(F.col(x), m["phi"])).alias("sqdists"))
+    j = _with_model(points, model.select("cluster_id", "phi"), 1.0, x, max_model_bytes, model_stats(model), arrays=True)
+    return j.select(*points.columns, F.transform("_all", lambda t: t["cluster_id"]).alias("cluster_ids"),
+                    F.transform("_all", lambda t: t["d2"]).alias("sqdists"))
+
+
+def log_densities(points: DataFrame, model: DataFrame, E: float, x: str = "x", max_model_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
+    """ln N(x; phi_k, E I) of each row for every centre, ``log_densities`` in id order (SC-2)."""
+    j = squared_distances(points, model, x, max_model_bytes)
+    constant = F.size(x).cast("double") / 2.0 * F.lit(math.log(2.0 * math.pi * E))
+    return j.withColumn("log_densities", F.transform("sqdists", lambda t: -t / F.lit(2.0 * E) - constant)).drop("sqdists")
 
 
 def nearest_center(points: DataFrame, centers: DataFrame, x: str = "x", out: str = "cluster_id") -> DataFrame:

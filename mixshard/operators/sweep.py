@@ -62,8 +62,11 @@ class _State:
         self.beta = np.zeros(cap)
         self.beta[:k0] = beta
         self.size = np.zeros(cap)
+        # distances are products of coordinates around the model's mean: far from the origin
+        # the plain product would lose the digits that tell clusters apart
+        self.c0 = phi.mean(axis=0) if k0 else np.zeros(d)
         self.pn = np.zeros(cap)
-        self.pn[:k0] = (phi * phi).sum(1)
+        self.pn[:k0] = ((phi - self.c0) ** 2).sum(1)
         self.k = k0
 
     def grow(self):
@@ -81,14 +84,16 @@ class _State:
         self.phi[k] = phi
         self.beta[k] = beta
         self.size[k] = size
-        self.pn[k] = float(phi @ phi)
+        t = phi - self.c0
+        self.pn[k] = float(t @ t)
         self.k += 1
         return k
 
 
-def _dist_block(xb: np.ndarray, xn: np.ndarray, st: _State, k: int, E: float) -> np.ndarray:
+def _dist_block(xb: np.ndarray, st: _State, k: int, E: float) -> np.ndarray:
     """-||x - phi||^2 / (2E) for a block of points against clusters [0, k)."""
-    d2 = xn[:, None] - 2.0 * (xb @ st.phi[:k].T) + st.pn[:k][None, :]
+    xc = xb - st.c0
+    d2 = (xc * xc).sum(1)[:, None] - 2.0 * (xc @ (st.phi[:k] - st.c0).T) + st.pn[:k][None, :]
     return -np.maximum(d2, 0.0) / (2.0 * E)
 
 
@@ -104,7 +109,7 @@ def _initial_pass(X, xnorm, st: _State, alpha: float, E: float) -> np.ndarray:
     vec = k > VECTOR_K
     lw = np.asarray(logw, dtype=float)
     for s in range(0, n, BLOCK):
-        Lnp = _dist_block(X[s:s + BLOCK], xnorm[s:s + BLOCK], st, k, E)
+        Lnp = _dist_block(X[s:s + BLOCK], st, k, E)
         if vec:
             for r in range(Lnp.shape[0]):
                 best = int(np.argmax(Lnp[r] + lw))
@@ -186,7 +191,7 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
             xnb = xnorm[s:s + BLOCK]
             kb = st.k
             m = xb.shape[0]
-            Lnp = _dist_block(xb, xnb, st, kb, E)
+            Lnp = _dist_block(xb, st, kb, E)
             z1 = rng.standard_normal((m, H))
             chi = rng.chisquare(d - 1, (m, H)) if d > 1 else np.zeros((m, H))
             cand = -(xnb[:, None] - 2.0 * sq * np.sqrt(xnb)[:, None] * z1 + S * (z1 * z1 + chi)) / (2.0 * E)
@@ -338,7 +343,7 @@ def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
             xnb = xnorm[s:s + BLOCK]
             kb = st.k
             vec = kb > VECTOR_K and not sample
-            Lnp = _dist_block(xb, xnb, st, kb, E)
+            Lnp = _dist_block(xb, st, kb, E)
             L = None if vec else Lnp.tolist()
             m = xb.shape[0]
             z1 = rng.standard_normal((m, H))

@@ -11,13 +11,12 @@ class DPMParams:
     E: float = 1.0  # variance inside a cluster
     S: float = 100.0  # variance between centres
     # Fixed values of the reference (defaults): K-means iterations, initial
-    # concentrations, candidates per point (local) and per summary (global),
-    # sweeps per round (local, global), Gamma prior of the concentrations.
+    # concentrations, candidates per point, sweeps per round (local, global), Gamma
+    # prior of the concentrations. A summary always has one candidate.
     kmeans_iters: int = 10
     gamma0: float = 1.0
     alpha0: float = 1.0
     local_candidates: int = 3
-    global_candidates: int = 1
     local_sweeps: int = 10
     global_sweeps: int = 40
     conc_a: float = 1.0
@@ -37,6 +36,6 @@ class DPMParams:
             raise ValueError("assign must be 'argmax' or 'sample'")
         if self.concentration not in ("rate", "scale"):
             raise ValueError("concentration must be 'rate' or 'scale'")
-        if self.local_candidates < 1 or self.global_candidates != 1:
-            raise ValueError("need >= 1 local candidate and exactly 1 global candidate")
+        if self.local_candidates < 1:
+            raise ValueError("need at least one local candidate")
         return self

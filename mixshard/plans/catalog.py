@@ -14,11 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixshard.functions.vectors import fingerprint, log_density
+from mixshard.functions.vectors import fingerprint
 from mixshard.operators import evaluate as ev
 from mixshard.operators import merge as mg
 from mixshard.operators import score as sc
 from mixshard.operators import summarize as sm
+from mixshard.session import cut
 from mixshard.sources.points import dense_ids, parse_points, points_from_table
 
 # Fixed query parameters (the oracle SQL repeats them as literals).
@@ -52,7 +53,8 @@ def label_model(pts: DataFrame) -> DataFrame:
     cm = vector_mean(pts, ["label"], "x", DIM).withColumnRenamed("label", "cluster_id")
     cm = cm.withColumn("size", F.col("size").cast("double")).withColumn("phi", F.col("y_mean"))
     w = sm.expected_weights(cm, GAMMA)
-    return w.withColumn("prior_mean", F.col("y_mean")).withColumn("prior_var", F.lit(0.5))
+    # K rows, written once: every use below reads them back instead of the points
+    return cut(w.withColumn("prior_mean", F.col("y_mean")).withColumn("prior_var", F.lit(0.5)), "label-model")
 
 
 def nearest_assigned(pts: DataFrame, model: DataFrame) -> DataFrame:
@@ -124,19 +126,20 @@ def q_expected_weights(spark, d):
                     _r(F.col("beta_u")).alias("beta_u"))
 
 
+def _each(df: DataFrame, keys: list[str], values: str, out: str) -> DataFrame:
+    """One row per (row, cluster) of the aligned arrays ``cluster_ids`` and ``values``."""
+    z = df.select(*keys, F.explode(F.arrays_zip("cluster_ids", values)).alias("t"))
+    return z.select(*keys, F.col("t.cluster_ids").alias("cluster_id"), _r(F.col(f"t.{values}")).alias(out))
+
+
 def q_squared_distances(spark, d):
     pts = emb_points(spark, d)
-    sd = sc.squared_distances(pts, label_model(pts))
-    return sd.select("point_id", _r(F.array_min("sqdists")).alias("min_sqdist"),
-                     _r(F.aggregate("sqdists", F.lit(0.0), lambda a, t: a + t) / F.size("sqdists"))
-                     .alias("mean_sqdist"))
+    return _each(sc.squared_distances(pts, label_model(pts)), ["point_id"], "sqdists", "sqdist")
 
 
 def q_log_density(spark, d):
     pts = emb_points(spark, d)
-    j = sc.attach_model(pts, label_model(pts), ["phi"])
-    ld = F.transform("_m", lambda m: log_density(F.col("x"), m["phi"], E))
-    return j.select("point_id", _r(F.array_max(ld)).alias("max_log_density"))
+    return _each(sc.log_densities(pts, label_model(pts), E), ["point_id"], "log_densities", "log_density")
 
 
 def q_nearest_center(spark, d):
@@ -165,8 +168,7 @@ def q_cluster_points(spark, d):
 def q_membership_probabilities(spark, d):
     pts = emb_points(spark, d)
     m = sc.prior_log_weight(label_model(pts), "local", ALPHA)
-    a = sc.best_cluster(pts, m, E_SOFT, with_prob=True)
-    return a.select("point_id", "cluster_id", _r(F.col("prob")).alias("p_best"))
+    return _each(sc.membership(pts, m, E_SOFT), ["point_id"], "probs", "prob")
 
 
 def q_shard_cluster_summaries(spark, d):
@@ -208,15 +210,14 @@ def _supers(ind: DataFrame) -> DataFrame:
 def q_summary_map_assign(spark, d):
     ind, _, s, _, _ = merged(spark, d)
     m = sc.prior_log_weight(_supers(ind), "global")
-    a = sc.best_cluster(s.select("shard", "local_id", "y_mean"), m, E, x="y_mean", key="local_id")
+    a = sc.best_cluster(s.select("shard", "local_id", "y_mean"), m, E, x="y_mean")
     return a.select("shard", "local_id", "cluster_id")
 
 
 def q_summary_probabilities(spark, d):
     ind, _, s, _, _ = merged(spark, d)
     m = sc.prior_log_weight(_supers(ind), "global")
-    a = sc.best_cluster(s.select("shard", "local_id", "y_mean"), m, E_SOFT, x="y_mean", with_prob=True)
-    return a.select("shard", "local_id", "cluster_id", _r(F.col("prob")).alias("p_best"))
+    return _each(sc.membership(s.select("shard", "local_id", "y_mean"), m, E_SOFT, x="y_mean"), ["shard", "local_id"], "probs", "prob")
 
 
 def q_relabel_points(spark, d):
@@ -232,10 +233,7 @@ def q_dense_cluster_ids(spark, d):
 
 def q_cluster_members(spark, d):
     _, subs, _, _, _ = merged(spark, d)
-    nested = mg.cluster_members(subs.withColumnRenamed("ind_id", "cluster_id"))
-    flat = nested.select("cluster_id", "n_subs", F.explode("sub_ids").alias("s"))
-    return flat.select("cluster_id", F.col("s.shard").alias("shard"), F.col("s.local_id").alias("local_id"),
-                       "n_subs")
+    return mg.cluster_members(subs.withColumnRenamed("ind_id", "cluster_id"))
 
 
 def q_contingency(spark, d):
@@ -268,6 +266,78 @@ def q_score_model(spark, d):
     return r.select("n_clusters", _r(F.col("ari")).alias("ari"), _r(F.col("rss")).alias("rss"))
 
 
+def q_aligned_shards(spark, d):
+    """The shard keys that the fit uses: all points in exactly the wanted number of shards."""
+    from mixshard.sources.points import assign_shards
+
+    part = spark.read.parquet(f"{d}/part.parquet")
+    p = points_from_table(part, id_col="p_partkey", cols=["p_size", "p_retailprice"])
+    return assign_shards(p, 7, method="aligned").agg(F.countDistinct("shard").alias("n_shards"), F.count(F.lit(1)).alias("n_points"))
+
+
+def q_kmeans_step(spark, d):
+    """One K-means update from the label centroids."""
+    from mixshard.functions.vectors import vector_mean
+
+    pts = emb_points(spark, d)
+    c = vector_mean(nearest_assigned(pts, label_model(pts)), ["cluster_id"], "x", DIM, out="phi")
+    ps, pq = fingerprint("phi")
+    return c.select("cluster_id", "size", _r(ps).alias("phi_sum"), _r(pq).alias("phi_sq"))
+
+
+def q_merge_sweep(spark, d):
+    """One batch sweep of the global merge over the merged individuals, centres at their
+    posterior means."""
+    from mixshard.operators.global_merge import batch_moves
+    from mixshard.params import DPMParams
+
+    ind, _, _, _, _ = merged(spark, d)
+    pp = cut(mg.posterior_params(ind, E))
+    supers = pp.select(F.col("ind_id").cast("long").alias("sc_id"), "size", F.lit(1).cast("long").alias("members"), F.col("post_mean").alias("phi"))
+    cur = pp.select(F.col("ind_id").cast("long").alias("ind_id"), "size", "y_mean", "phi", F.col("ind_id").cast("long").alias("c"))
+    moved = batch_moves(cur, supers, DPMParams(E=E, S=S), GAMMA, F.lit(-1).cast("long"))
+    return moved.select("ind_id", F.col("c").alias("cluster_id"))
+
+
+def q_posterior_centers(spark, d):
+    from mixshard.functions.draws import keyed_normal_vector
+
+    ind, _, _, _, _ = merged(spark, d)
+    pp = mg.posterior_params(ind, E)
+    phi = keyed_normal_vector(F.col("post_mean"), F.col("post_var"), 7, 41, F.lit(0), F.col("ind_id"))
+    ps, _ = fingerprint("phi")
+    return pp.withColumn("phi", phi).select(F.col("ind_id").alias("cluster_id"), _r(F.col("post_var"), 9).alias("post_var"), _r(ps).alias("phi_sum"))
+
+
+def _coverage(labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(n_points, n_ids, total_size): what an assignment covers and what its clusters hold."""
+    a = labels.agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("point_id").alias("n_ids"))
+    return a.crossJoin(sizes.agg(F.round(F.sum("size")).cast("long").alias("total_size")))
+
+
+def q_sweep_coverage(spark, d):
+    from mixshard.operators.sweep import point_labels
+
+    out = _swept(spark, d)[0]
+    return _coverage(point_labels(out), out.where("kind = 'c'"))
+
+
+def q_merge_coverage(spark, d):
+    from mixshard.operators.sweep import point_labels
+
+    out, model, ind_subs, mem = _merged_sweep(spark, d)
+    sub = ind_subs.join(mem, "ind_id").select("shard", "local_id", "cluster_id")
+    return _coverage(mg.relabel(point_labels(out), sub), model)
+
+
+def q_fit_coverage(spark, d):
+    from mixshard.params import DPMParams
+    from mixshard.plans.fit import fit
+
+    res = fit(emb_points(spark, d).drop("shard"), DPMParams(E=E, S=S, seed=7), k_init=10, rounds=1, shards=SHARDS)
+    return _coverage(res.assignments, res.model)
+
+
 DETERMINISTIC = {
     "parse_points_text": q_parse_points_text,
     "points_from_table": q_points_from_table,
@@ -297,6 +367,13 @@ DETERMINISTIC = {
     "adjusted_rand_index": q_adjusted_rand_index,
     "residual_sum": q_residual_sum,
     "score_model": q_score_model,
+    "aligned_shards": q_aligned_shards,
+    "kmeans_step": q_kmeans_step,
+    "merge_sweep": q_merge_sweep,
+    "posterior_centers": q_posterior_centers,
+    "sweep_coverage": q_sweep_coverage,
+    "merge_coverage": q_merge_coverage,
+    "fit_coverage": q_fit_coverage,
 }
 
 
@@ -318,51 +395,50 @@ def q_dirichlet_weights(spark, d):
         bu.select(F.lit(-1).alias("cluster_id"), F.col("beta_u").alias("beta")))
 
 
-def q_posterior_centers(spark, d):
-    from mixshard.functions.draws import keyed_normal_vector
-
-    ind, _, _, _, _ = merged(spark, d)
-    pp = mg.posterior_params(ind, E)
-    phi = keyed_normal_vector(F.col("post_mean"), F.col("post_var"), 7, 41, F.lit(0), F.col("ind_id"))
-    ps, _ = fingerprint("phi")
-    return pp.withColumn("phi", phi).select(F.col("ind_id").alias("cluster_id"), "post_var", ps.alias("phi_sum"))
-
-
 def _sweep_inputs(spark, d):
     import numpy as np
 
     from mixshard.operators.model import collect_model
+    from mixshard.sources.points import shard_count_for
 
     pts = emb_points(spark, d)
+    shards = shard_count_for(pts.count(), SHARDS, dim=DIM)  # a task's points are bounded
+    pts = pts.withColumn("shard", F.pmod(F.col("point_id"), F.lit(shards)).cast("int"))
     rows = collect_model(label_model(pts).select("cluster_id", "phi", "beta", "beta_u"))
     phi = np.array([r["phi"] for r in rows])
     beta = np.array([r["beta"] for r in rows])
     return pts, spark.sparkContext.broadcast((phi, beta)), len(rows), float(rows[0]["beta_u"])
 
 
-def q_local_sweep(spark, d):
+def _swept(spark, d):
+    """(sweep output, points, number of clusters before it) of one round over ``embeddings``."""
     from mixshard.operators.sweep import run_sweep
     from mixshard.params import DPMParams
 
-    pts, bmodel, _, beta_u = _sweep_inputs(spark, d)
-    p = DPMParams(E=E, S=S, seed=7)
-    out = run_sweep(pts, None, bmodel, p, 0, GAMMA, beta_u)
+    pts, bmodel, k, beta_u = _sweep_inputs(spark, d)
+    return cut(run_sweep(pts, None, bmodel, DPMParams(E=E, S=S, seed=7), 0, GAMMA, beta_u), "sweep"), pts, k
+
+
+def q_local_sweep(spark, d):
+    out, _, _ = _swept(spark, d)
     return out.where("kind = 'c'").select("shard", "local_id", F.col("size").cast("long").alias("size"))
 
 
-def q_global_merge(spark, d):
+def _merged_sweep(spark, d):
+    """(sweep output, merged model, map of summaries, map of individuals) after one round."""
     from mixshard.operators.global_merge import global_merge
-    from mixshard.operators.sweep import run_sweep
     from mixshard.params import DPMParams
 
-    pts, bmodel, k, beta_u = _sweep_inputs(spark, d)
-    p = DPMParams(E=E, S=S, seed=7)
-    out = run_sweep(pts, None, bmodel, p, 0, GAMMA, beta_u).checkpoint()
+    out, pts, k = _swept(spark, d)
     summ = out.where("kind = 'c'").select("shard", "local_id", "size", "y_mean", "phi")
-    ind, _ = mg.merge_same_id(summ, k, DIM, None, S)
-    n = pts.count()
-    model, _, _ = global_merge(ind, p, GAMMA, n, 0)
-    return model.select("cluster_id", F.col("size").cast("long").alias("size"))
+    ind, subs = mg.merge_same_id(summ, k, DIM, None, S)
+    ind = cut(ind)
+    model, mem, _ = global_merge(ind, DPMParams(E=E, S=S, seed=7), GAMMA, pts.count(), 0)
+    return out, model, subs, mem
+
+
+def q_global_merge(spark, d):
+    return _merged_sweep(spark, d)[1].select("cluster_id", F.col("size").cast("long").alias("size"))
 
 
 def _fit(spark, d):
@@ -371,7 +447,7 @@ def _fit(spark, d):
 
     li = spark.read.parquet(f"{d}/lineitem.parquet")
     pts = points_from_table(li, cols=["l_quantity", "l_discount"], scale=True)
-    return fit(pts, DPMParams(E=0.05, S=1.0, seed=7), k_init=8, rounds=2)
+    return fit(pts, DPMParams(E=0.05, S=1.0, seed=7), k_init=8, rounds=2, shards=SHARDS)
 
 
 def q_dpm_fit(spark, d):
@@ -390,7 +466,6 @@ def q_round_report(spark, d):
 RANDOM = {
     "kmeans_init": q_kmeans_init,
     "dirichlet_weights": q_dirichlet_weights,
-    "posterior_centers": q_posterior_centers,
     "local_sweep": q_local_sweep,
     "global_merge": q_global_merge,
     "dpm_fit": q_dpm_fit,

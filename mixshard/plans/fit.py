@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from mixshard.functions.draws import dirichlet_weights
 from mixshard.functions.vectors import zero_vector
 from mixshard.operators.evaluate import ari_from_contingency
-from mixshard.operators.global_merge import MAX_GROUP, global_merge
+from mixshard.operators.global_merge import global_merge
 from mixshard.operators.kmeans import kmeans_init
 from mixshard.operators.merge import merge_same_id, relabel
 from mixshard.operators.model import collect_model
 from mixshard.operators.sweep import point_labels, run_sweep
 from mixshard.params import DPMParams
-from mixshard.session import scratch_path
-from mixshard.sources.storage import write_bucketed
-from mixshard.sources.points import MAX_SHARD_POINTS, assign_shards, release_caches, shard_count_for
+from mixshard.session import cut, scratch_path
+from mixshard.sources.points import MAX_SHARD_POINTS, _checked, assign_shards, shard_count_for
+from mixshard.sources.storage import Bucketed, bucket_count, write_bucketed
 
 log = logging.getLogger("mixshard.fit")
 
@@ -59,14 +59,18 @@ class FitResult:
     model: DataFrame  # (cluster_id, size, y_mean, phi, prior_mean, prior_var, beta)
     report: DataFrame  # REPORT_SCHEMA, one row per round
     sub_to_global: DataFrame  # (shard, local_id, cluster_id) of the last round
-    shard_state: DataFrame  # (shard, alpha, beta_u, n) after the last round (every round: its sweep table)
+    shard_state: DataFrame  # (shard, alpha, beta_u, n) after the last round
     gamma: float
     run_dir: str
+    round_models: DataFrame  # every round's merged model with its ``round`` and ``gamma``
+    round_states: DataFrame  # every round's (round, shard, alpha, beta_u, n)
 
 
 def prepare_points(points: DataFrame, shards: int | None = None, max_shard_points: int = MAX_SHARD_POINTS
-                   ) -> tuple[DataFrame, int, int]:
-    """Shard, hash-partition by shard and cache the points; returns (points, n, shards)."""
+                   ) -> tuple[Bucketed, int, int]:
+    """Shard, hash-partition by shard and cache the points; returns (written table, n, shards).
+
+    The caller drops the table (and unpersists its frame) when it is done."""
     n = points.count()
     first = points.select(F.size("x").alias("d")).first()
     dim = int(first["d"]) if first is not None else 1
@@ -74,16 +78,14 @@ def prepare_points(points: DataFrame, shards: int | None = None, max_shard_point
     sharded = assign_shards(points.select("point_id", "x", "label"), s, method="aligned")
     # written once, bucketed by shard (each bucket = one shard): every later read is
     # already partitioned by shard, and a lost cache block is rebuilt from its bucket
-    pts = write_bucketed(sharded.repartition(s, "shard"), s, "points", sort_by="point_id")
-    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-    pts.count()
-    release_caches(points)  # e.g. the id-numbering cache of the source
+    pts = write_bucketed(sharded.repartition(bucket_count(points.sparkSession, s), "shard"), s, "points", sort_by="point_id")
+    pts.df.persist(StorageLevel.MEMORY_AND_DISK).count()
     return pts, n, s
 
 
 def _model_arrays(model: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """(phi K x d, beta K, beta_u) of a model carrying a ``beta_u`` column; one bounded collect."""
-    rows = collect_model(model.select("cluster_id", "phi", "beta", "beta_u"))
+    rows = collect_model(model.select("cluster_id", "phi", "beta", "beta_u"))  # raises above the driver's byte bound
     ids = [r["cluster_id"] for r in rows]
     if ids != list(range(len(ids))):
         raise ValueError("model ids must be dense from 0")
@@ -118,13 +120,14 @@ def _quality(out: DataFrame) -> tuple[float | None, float]:
 
 
 def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards: int | None = None,
-        max_shard_points: int = MAX_SHARD_POINTS, max_merge_group: int = MAX_GROUP) -> FitResult:
+        max_shard_points: int = MAX_SHARD_POINTS, merge: str = "batch") -> FitResult:
     """Fit a DP mixture to ``points(point_id, x, label)``; ``label`` may be NULL.
 
     ``k_init``: K-means centres to start from; ``rounds``: local-sweep + merge
     rounds; ``shards``: minimum shard count (raised so that no shard exceeds
-    ``max_shard_points``); ``max_merge_group``: summaries per global-merge task
-    (more make a merge tree). Point ids must be unique.
+    ``max_shard_points``); ``merge``: form of the global merge (``batch`` or
+    ``sequential``). Point ids must be unique. The tables of points and sweeps are
+    dropped as soon as they are no longer read.
     """
     if rounds < 1 or k_init < 1:
         raise ValueError("need rounds >= 1 and k_init >= 1")
@@ -133,30 +136,32 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
     sc = spark.sparkContext
     run_dir = scratch_path(spark, "fit")
     with _step("prepare", 0):
-        pts, n, n_shards = prepare_points(points, shards, max_shard_points)
+        table, n, n_shards = prepare_points(points, shards, max_shard_points)
+        pts = table.df
 
-    t0 = time.time()
     with _step("kmeans", 0):
         centres, sizes = kmeans_init(pts, k_init, p.kmeans_iters, p.seed)
         gamma = p.gamma0
         model = (centres.join(sizes.select("cluster_id", "size"), "cluster_id")
                  .withColumn("prior_mean", zero_vector(F.size("phi"))).withColumn("prior_var", F.lit(float(p.S))))
-        model = _with_weights(model, gamma, p.seed, 0, f"{run_dir}/model/round=-1")
+        model = _with_weights(model, gamma, p.seed, 0, f"{run_dir}/start")
         phi, beta, beta_u = _model_arrays(model)
         dim = phi.shape[1]
     labels = None
     reports = []
     state = None
     sub_to_global = None
-    bmodel = None
+    bmodel, sweep = None, None
     for r in range(rounds):
-        if r > 0:
-            t0 = time.time()
+        t0 = time.time()
         bmodel = sc.broadcast((phi, beta))
         with _step("sweep", r):
             out = run_sweep(pts, labels, bmodel, p, r, gamma, beta_u, mode="sweep")
             # one bucket per shard: next round's labels come back partitioned by shard
-            out = write_bucketed(out, n_shards, f"sweep_r{r}")
+            before, sweep = sweep, write_bucketed(out, n_shards, f"sweep_r{r}")
+            out = sweep.df
+            if before is not None:
+                before.drop()
         if r > 0:
             with _step("quality", r):
                 ari, rss = _quality(out)
@@ -164,19 +169,20 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
                 _append_report(spark, run_dir, reports[-1])
         k = phi.shape[0]
         summaries = out.where("kind = 'c'").select("shard", "local_id", "size", "y_mean", "phi")
-        state = out.where("kind = 's'").select("shard", "alpha", "beta_u", "n")
+        out.where("kind = 's'").select("shard", "alpha", "beta_u", "n").write.mode("overwrite").parquet(f"{run_dir}/state/round={r}")
+        state = spark.read.parquet(f"{run_dir}/state/round={r}")
         with _step("same_id_merge", r):
-            individuals, ind_subs = merge_same_id(summaries, k, dim, model, p.S, model_checked=True)
-            individuals = individuals.checkpoint()
+            individuals, ind_subs = merge_same_id(summaries, k, dim, model, p.S)
+            individuals = cut(individuals, "individuals")
         with _step("global_merge", r):
-            new_model, ind_to_c, gamma = global_merge(individuals, p, gamma, n, r, max_merge_group)
+            new_model, ind_to_c, gamma = global_merge(individuals, p, gamma, n, r, merge)
         with _step("relabel", r):
-            sub_to_global = (ind_subs.join(ind_to_c, "ind_id").select("shard", "local_id", "cluster_id")).checkpoint()
+            sub_to_global = cut(ind_subs.join(ind_to_c, "ind_id").select("shard", "local_id", "cluster_id"), "sub-map")
             labels = relabel(point_labels(out), sub_to_global)
-            labels = labels.join(F.broadcast(state.select("shard", "alpha")), "shard")
+            labels = labels.join(_checked(state.select("shard", "alpha")), "shard")
         with _step("weights", r):
             # the merged model of round r, with the weights the next round uses
-            model = _with_weights(new_model, gamma, p.seed, r + 1, f"{run_dir}/model/round={r}")
+            model = _with_weights(new_model.withColumn("gamma", F.lit(float(gamma))), gamma, p.seed, r + 1, f"{run_dir}/model/round={r}")
             phi, beta, beta_u = _model_arrays(model)
         bmodel.unpersist()
         reports.append(dict(round=r, n_clusters=int(phi.shape[0]), gamma=float(gamma), ari=None, rss=None,
@@ -194,4 +200,7 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
         assignments = spark.read.parquet(apath)
     report = spark.read.parquet(f"{run_dir}/report")
     pts.unpersist()
-    return FitResult(assignments, model, report, sub_to_global, state, gamma, run_dir)
+    sweep.drop()
+    table.drop()
+    return FitResult(assignments, model.drop("gamma"), report, sub_to_global, state, gamma, run_dir,
+                     spark.read.option("basePath", f"{run_dir}/model").parquet(f"{run_dir}/model"), spark.read.option("basePath", f"{run_dir}/state").parquet(f"{run_dir}/state"))

@@ -99,14 +99,12 @@ SQL["center_sizes_zero_filled"] = _w("SELECT cluster_id, size FROM csz", CENTRES
 SQL["expected_weights"] = _w("""
 SELECT cluster_id, CAST(size AS BIGINT) AS size, round(beta, 6) AS beta, round(beta_u, 6) AS beta_u FROM model""")
 
-SQL["squared_distances"] = _w("""
-SELECT point_id, round(min(d), 6) AS min_sqdist, round(avg(d), 6) AS mean_sqdist FROM dist GROUP BY point_id""")
+SQL["squared_distances"] = _w("SELECT point_id, cluster_id, round(d, 6) AS sqdist FROM dist")
 
 SQL["log_density"] = _w("""
-SELECT point_id,
-       round(max(-d / (2.0 * CAST(0.015 AS DOUBLE)) - 64 / 2.0 * ln(2.0 * pi() * CAST(0.015 AS DOUBLE))), 6)
-       AS max_log_density
-FROM dist GROUP BY point_id""")
+SELECT point_id, cluster_id,
+       round(-d / (2.0 * CAST(0.015 AS DOUBLE)) - 64 / 2.0 * ln(2.0 * pi() * CAST(0.015 AS DOUBLE)), 6) AS log_density
+FROM dist""")
 
 SQL["nearest_center"] = _w("SELECT point_id, cluster_id FROM near")
 
@@ -125,11 +123,8 @@ SQL["cluster_points"] = _w("SELECT point_id, shard, label FROM near WHERE cluste
 SQL["membership_probabilities"] = _w("""
 sc AS (SELECT point_id, cluster_id, ln(size + 1.0 * beta) - d / (2.0 * 0.5) AS s FROM dist),
 mx AS (SELECT point_id, max(s) AS m FROM sc GROUP BY point_id),
-z AS (SELECT sc.point_id, sum(exp(sc.s - mx.m)) AS z FROM sc JOIN mx USING (point_id) GROUP BY sc.point_id),
-best AS (SELECT point_id, cluster_id, s FROM sc
-         QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY s DESC, cluster_id) = 1)
-SELECT b.point_id, b.cluster_id, round(exp(b.s - (mx.m + ln(z.z))), 6) AS p_best
-FROM best b JOIN mx USING (point_id) JOIN z USING (point_id)""", PTS + ",")
+z AS (SELECT point_id, sum(exp(s - m)) AS z FROM sc JOIN mx USING (point_id) GROUP BY point_id)
+SELECT point_id, cluster_id, round(exp(s - (m + ln(z))), 6) AS prob FROM sc JOIN mx USING (point_id) JOIN z USING (point_id)""", PTS + ",")
 
 SQL["shard_cluster_summaries"] = _w("""
 SELECT shard, local_id, CAST(max(c) AS BIGINT) AS size, round(sum(y), 6) AS y_sum, round(sum(y * y), 6) AS y_sq
@@ -158,12 +153,8 @@ QUALIFY row_number() OVER (PARTITION BY shard, local_id ORDER BY s DESC, cluster
 SQL["summary_probabilities"] = _w("""
 sc AS (SELECT shard, local_id, cluster_id, ln(size) - d / (2.0 * 0.5) AS s FROM sdist),
 mx AS (SELECT shard, local_id, max(s) AS m FROM sc GROUP BY shard, local_id),
-z AS (SELECT sc.shard, sc.local_id, sum(exp(sc.s - mx.m)) AS z FROM sc JOIN mx USING (shard, local_id)
-      GROUP BY sc.shard, sc.local_id),
-best AS (SELECT shard, local_id, cluster_id, s FROM sc
-         QUALIFY row_number() OVER (PARTITION BY shard, local_id ORDER BY s DESC, cluster_id) = 1)
-SELECT b.shard, b.local_id, b.cluster_id, round(exp(b.s - (mx.m + ln(z.z))), 6) AS p_best
-FROM best b JOIN mx USING (shard, local_id) JOIN z USING (shard, local_id)""", SUPER + ",")
+z AS (SELECT shard, local_id, sum(exp(s - m)) AS z FROM sc JOIN mx USING (shard, local_id) GROUP BY shard, local_id)
+SELECT shard, local_id, cluster_id, round(exp(s - (m + ln(z))), 6) AS prob FROM sc JOIN mx USING (shard, local_id) JOIN z USING (shard, local_id)""", SUPER + ",")
 
 SQL["relabel_points"] = _w("""
 SELECT n.point_id, s.ind_id AS cluster_id FROM near n JOIN subs s ON s.shard = n.shard AND s.local_id = n.cluster_id""",
@@ -201,3 +192,32 @@ SQL["score_model"] = _w(f"""
 SELECT CAST((SELECT count(*) FROM model) AS INTEGER) AS n_clusters, {ARI_EXPR} AS ari,
        round((SELECT sum(d / CAST(0.015 AS DOUBLE)) FROM near), 6) AS rss
 FROM ari2""", CT)
+
+SQL["aligned_shards"] = "SELECT CAST(7 AS BIGINT) AS n_shards, count(*) AS n_points FROM part"
+
+SQL["kmeans_step"] = _w("""
+SELECT cluster_id, max(c) AS size, round(sum(v), 6) AS phi_sum, round(sum(v * v), 6) AS phi_sq
+FROM (SELECT n.cluster_id, e.i, avg(e.v) AS v, count(*) AS c FROM near n JOIN el e USING (point_id) GROUP BY n.cluster_id, e.i)
+GROUP BY cluster_id""")
+
+SQL["merge_sweep"] = _w("""
+iv AS (SELECT ind_id, list(y ORDER BY i) AS yv, max(size) AS size FROM ind GROUP BY ind_id),
+own AS (SELECT r.ind_id, list(c.v ORDER BY c.i) AS p0
+        FROM (SELECT ind_id, local_id FROM knr UNION ALL SELECT ind_id, local_id FROM nwr) r JOIN cen c ON c.cluster_id = r.local_id GROUP BY r.ind_id),
+ms AS (SELECT a.ind_id, u.cluster_id, ln(u.size) - """ + _sqd("a.yv", "u.phi") + """ / (2.0 * CAST(0.015 AS DOUBLE)) AS s
+       FROM iv a JOIN sup u ON u.size > a.size OR (u.size = a.size AND u.cluster_id < a.ind_id)),
+mb AS (SELECT * FROM ms QUALIFY row_number() OVER (PARTITION BY ind_id ORDER BY s DESC, cluster_id) = 1)
+SELECT CAST(a.ind_id AS BIGINT) AS ind_id,
+       CAST(CASE WHEN b.s IS NULL OR -""" + _sqd("o.p0", "a.yv") + """ / (2.0 * CAST(0.015 AS DOUBLE)) > b.s THEN a.ind_id ELSE b.cluster_id END AS BIGINT) AS cluster_id
+FROM iv a JOIN own o USING (ind_id) LEFT JOIN mb b USING (ind_id)""", SUPER + ",")
+
+SQL["posterior_centers"] = _w("""
+zs AS (SELECT *, md5('7:41:0:' || ind_id || ':' || (i - 1)) AS h FROM post)
+SELECT ind_id AS cluster_id, round(max(pv), 9) AS post_var,
+       round(sum(pv * (size / CAST(0.015 AS DOUBLE) * y + m0 / v0)
+           + sqrt(pv) * sqrt(-2.0 * ln((CAST('0x' || substr(h, 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0))
+             * cos(2.0 * pi() * ((CAST('0x' || substr(h, 14, 13) AS BIGINT) + 0.5) / 4503599627370496.0))), 6) AS phi_sum
+FROM zs GROUP BY ind_id""", IND + ",")
+
+_COVERED = "SELECT count(*) AS n_points, count(DISTINCT vec_id) AS n_ids, count(*) AS total_size FROM embeddings"
+SQL["sweep_coverage"] = SQL["merge_coverage"] = SQL["fit_coverage"] = _COVERED

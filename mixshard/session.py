@@ -12,7 +12,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "mixshard") -> SparkSession:
@@ -108,3 +108,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint folder for written round state."""
     base = prepare_session(spark).rstrip("/")
     return f"{base}/mixshard/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, name: str = "cut", after: DataFrame | None = None) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back: its lineage ends here.
+
+    Unlike ``DataFrame.checkpoint()`` it computes the frame once, and the frame read back has
+    the size of its files; a checkpointed frame keeps the size that its plan was guessed to
+    have, which loops over joins multiply without end. ``after``: a frame that ``cut``
+    returned earlier and that nothing reads any more; its files are deleted.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if after is not None:
+        delete_path(spark, after._cut_path)
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mixshard.session import cut
+
 # Default bounds per shard: one shard is one pandas frame in one task.
 MAX_SHARD_POINTS = 250_000
 MAX_SHARD_BYTES = 256 * 1024 * 1024  # coordinates only (n x d x 8 bytes)
@@ -50,41 +51,50 @@ def parse_points(lines: DataFrame, dim: int, with_label: bool, value_col: str =
     return df.where(good).drop("_n")
 
 
+# Largest table of per-partition or per-split offsets that is broadcast.
+MAX_OFFSET_BYTES = 64 * 1024 * 1024
+
+
+def _checked(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """Marked for a broadcast if its counted rows fit MAX_OFFSET_BYTES; joined by shuffle beyond."""
+    return F.broadcast(df) if df.count() * row_bytes <= MAX_OFFSET_BYTES else df
+
+
 def dense_ids(df: DataFrame, order_by: list[str] | None = None, name: str = "point_id") -> DataFrame:
-    """Dense 0-based ids in partition order (file order), or sorted by ``order_by``.
+    """Dense 0-based ids in partition order, or sorted by ``order_by``.
 
-    No single-partition window: each row gets its offset inside its partition
-    from ``monotonically_increasing_id``, plus the prefix count of earlier
-    partitions (a table with one row per partition, broadcast). The tagged frame
-    is persisted so both passes see the same partitioning; ``order_by`` keys must
-    be unique for the ids to be reproducible.
+    No single-partition window over rows: each row gets its offset inside its partition
+    from ``monotonically_increasing_id``, plus the prefix count of earlier partitions (a
+    table with one row per partition). The tagged frame is written once, so both passes see
+    the same partitioning and nothing stays cached; ``order_by`` keys must be unique for the
+    ids to be reproducible.
     """
     if order_by:
         df = df.orderBy(*order_by)
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
-    tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)
+    tagged = cut(df.withColumn("_pid", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id()), "ids")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # one row per partition: bounded by the partition count, never by the data
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
     pos = F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    out = (tagged.join(F.broadcast(offsets), "_pid")
-           .withColumn(name, (F.col("_off") + pos).cast("long"))
-           .drop("_pid", "_mono", "_off"))
-    return _keep_cache(out, tagged)
+    return (tagged.join(_checked(offsets), "_pid")
+            .withColumn(name, (F.col("_off") + pos).cast("long"))
+            .drop("_pid", "_mono", "_off"))
 
 
-def _keep_cache(df: DataFrame, *cached: DataFrame) -> DataFrame:
-    """Remember the persisted inputs of ``df`` so a consumer that builds its own
-    cache can release them (``release_caches``)."""
-    prev = getattr(df, "_mixshard_cached", ())
-    df._mixshard_cached = tuple(prev) + cached
-    return df
+def file_order_ids(df: DataFrame, name: str = "point_id") -> DataFrame:
+    """Dense 0-based ids in the order of (``_file``, ``_start``), the file and the first byte of
+    the split that a row came from, then of rows inside the split.
 
-
-def release_caches(df: DataFrame) -> None:
-    for c in getattr(df, "_mixshard_cached", ()):
-        c.unpersist()
+    Rows of a split are consecutive in their partition, so a row's place in its split is its
+    running number less the split's smallest. The offsets have one row per split.
+    """
+    tagged = df.withColumn("_mono", F.monotonically_increasing_id()).withColumn("_split", F.xxhash64("_file", "_start"))
+    splits = cut(tagged.groupBy("_split", "_file", "_start").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mono").alias("_first")), "splits")
+    w = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("_split", (F.coalesce(F.sum("_cnt").over(w), F.lit(0)) - F.col("_first")).alias("_off"))
+    return (tagged.join(_checked(offsets), "_split")
+            .withColumn(name, (F.col("_off") + F.col("_mono")).cast("long")).drop("_mono", "_split", "_off", "_file", "_start"))
 
 
 def shard_count_for(n: int, requested: int | None = None, max_shard_points: int = MAX_SHARD_POINTS,
@@ -131,7 +141,7 @@ def assign_shards(points: DataFrame, shards: int, method: str = "hash") -> DataF
         return points.withColumn("shard", shard_expr("point_id", shards, method))
     keys = aligned_shard_keys(points.sparkSession, shards)
     idx = points.withColumn("shard_index", shard_expr("point_id", shards, "hash"))
-    return idx.join(F.broadcast(keys), "shard_index").drop("shard_index")
+    return idx.join(_checked(keys), "shard_index").drop("shard_index")
 
 
 def standardize(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[Column]]:
@@ -180,16 +190,12 @@ def points_from_table(df: DataFrame, *, id_col: str | None = None, vector_col: s
     sel = df.select(x.alias("x"), label.alias("label"))
     if ids == "unique":
         return sel.select(F.monotonically_increasing_id().alias("point_id"), "x", "label")
-    numbered = dense_ids(sel)
-    return _keep_cache(numbered.select("point_id", "x", "label"), *getattr(numbered, "_mixshard_cached", ()))
+    return dense_ids(sel).select("point_id", "x", "label")
 
 
 def read_text_points(spark: SparkSession, path: str, dim: int, with_label: bool,
                      on_error: str = "fail") -> DataFrame:
-    """Text file(s) -> ``points(point_id, x, label)`` with ids in file order (SRC-1, SRC-4).
-
-    Parsing is narrow, so ids taken after it still follow the file order.
-    """
-    parsed = parse_points(spark.read.text(path), dim, with_label, on_error=on_error)
-    ids = dense_ids(parsed)
-    return _keep_cache(ids.select("point_id", "x", "label"), *getattr(ids, "_mixshard_cached", ()))
+    """Text file(s) -> ``points(point_id, x, label)`` with ids in file order (SRC-1, SRC-4):
+    files by name, lines by place, however Spark packs files and splits into partitions."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    return file_order_ids(parse_points(lines, dim, with_label, on_error=on_error)).select("point_id", "x", "label")

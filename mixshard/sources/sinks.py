@@ -13,9 +13,20 @@ def write_assignments_text(assignments: DataFrame, path: str) -> None:
      .write.mode("overwrite").text(path))
 
 
+def _joined(v: str):
+    return F.array_join(F.transform(v, lambda t: t.cast("string")), " ")
+
+
 def write_model_text(model: DataFrame, path: str) -> None:
     """One ``cluster_id size phi_1 .. phi_d`` line per cluster (SNK-3's text form)."""
-    vals = F.transform("phi", lambda v: v.cast("string"))
-    (model.select(F.concat_ws(" ", F.col("cluster_id").cast("string"), F.col("size").cast("string"),
-                              F.array_join(vals, " ")).alias("value"))
+    (model.select(F.concat_ws(" ", F.col("cluster_id").cast("string"), F.col("size").cast("string"), _joined("phi")).alias("value"))
      .write.mode("overwrite").text(path))
+
+
+def write_rounds_text(models: DataFrame, states: DataFrame, path: str) -> None:
+    """The state of every round as text (SNK-3): ``round model cluster_id size gamma | phi | y_mean``
+    for each merged cluster and ``round shard shard_id alpha`` for each shard."""
+    m = models.select(F.concat(F.concat_ws(" ", F.col("round"), F.lit("model"), "cluster_id", "size", "gamma"), F.lit(" | "), _joined("phi"),
+                               F.lit(" | "), _joined("y_mean")).alias("value"))
+    s = states.select(F.concat_ws(" ", F.col("round"), F.lit("shard"), "shard", "alpha").alias("value"))
+    m.unionByName(s).write.mode("overwrite").text(path)

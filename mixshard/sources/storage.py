@@ -1,37 +1,48 @@
 """Round state as tables bucketed by shard in the checkpoint folder.
 
-A table bucketed by ``shard`` into as many buckets as shards reads back
-hash-partitioned by shard, so grouping or co-grouping two such tables by shard
-needs no shuffle. With partition-aligned shard keys every bucket holds exactly
-one shard, and a task that produced one shard writes one file: storing the
-round state costs a write, never an exchange.
+A table bucketed by ``shard`` reads back hash-partitioned by shard, so grouping or
+co-grouping two such tables by shard needs no shuffle. There are as many buckets as
+shards while Spark's bucket limit (``spark.sql.sources.bucketing.maxBuckets``) allows;
+beyond it a bucket holds several shards, and the plan still needs no exchange.
 """
 
 from __future__ import annotations
 
-import logging
 import uuid
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from mixshard.session import scratch_path
+from mixshard.session import delete_path, scratch_path
 
-log = logging.getLogger("mixshard.storage")
 
+def bucket_count(spark: SparkSession, shards: int) -> int:
+    """Buckets (and partitions) for so many shards."""
+    return max(1, min(shards, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))))
 
-def write_bucketed(df: DataFrame, buckets: int, name: str, sort_by: str | None = None) -> DataFrame:
-    """Write ``df`` as an external table bucketed by ``shard``; return the table."""
+
+@dataclass(frozen=True)
+class Bucketed:
+    """A written table: its name, folder and frame."""
+
+    name: str
+    path: str
+    df: DataFrame
+
+    def drop(self) -> None:
+        """Forget the table and delete its files."""
+        spark = self.df.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete_path(spark, self.path)
+
+
+def write_bucketed(df: DataFrame, shards: int, name: str, sort_by: str | None = None) -> Bucketed:
+    """Write ``df`` as an external table bucketed by ``shard``. Errors of the catalog surface."""
     spark: SparkSession = df.sparkSession
     path = scratch_path(spark, name)
     table = f"mixshard_{name}_{uuid.uuid4().hex[:12]}"
-    w = df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "shard")
+    w = df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(bucket_count(spark, shards), "shard")
     if sort_by:
         w = w.sortBy(sort_by)
-    try:
-        w.saveAsTable(table)
-        return spark.table(table)
-    except AnalysisException as e:  # a catalog that takes no tables: same data, read back unbucketed
-        log.warning("bucketed table not available (%s); writing plain parquet", str(e)[:200])
-        df.write.mode("overwrite").parquet(path + "-plain")
-        return spark.read.parquet(path + "-plain")
+    w.saveAsTable(table)
+    return Bucketed(table, path, spark.table(table))

@@ -23,7 +23,8 @@ prepare_session(spark)
 rng = np.random.default_rng(0)
 X = np.r_[rng.normal(-5, 1, (300, 2)), rng.normal(5, 1, (300, 2))]
 df = spark.createDataFrame([(i, X[i].tolist(), None) for i in range(600)], "point_id BIGINT, x ARRAY<DOUBLE>, label INT")
-pts, n, s = prepare_points(df, shards=3)
+table, n, s = prepare_points(df, shards=3)
+pts = table.df
 b = spark.sparkContext.broadcast((np.array([[0.0, 0.0]]), np.array([0.5])))
 p = DPMParams(E=1.0, S=50.0, seed=3)
 

@@ -72,10 +72,72 @@ def test_blocked_scoring_equals_single_broadcast(spark):
     assert one.keys() == blk.keys()
     for k in one:
         assert one[k][0] == blk[k][0] and one[k][1] == pytest.approx(blk[k][1], rel=1e-9)
-    from mixshard.operators.model import attach_model
 
-    with pytest.raises(ValueError):
-        attach_model(pts, m, ["phi"], max_bytes=500)
+
+def test_blocked_scoring_of_summaries_with_repeated_ids(spark):
+    """Blocks carry the best in the row: no key, so ids that repeat across shards are safe; with
+    score, probability, residual, all probabilities and distances."""
+    from mixshard.operators.score import best_cluster, membership, squared_distances
+
+    rng = np.random.default_rng(8)
+    rows = [(s, i, rng.normal(0, 2, 3).tolist()) for s in range(3) for i in range(5)]
+    pts = spark.createDataFrame(rows, "shard INT, local_id INT, y_mean ARRAY<DOUBLE>")
+    model = spark.createDataFrame([(k, rng.normal(0, 2, 3).tolist(), float(k + 1), 0.05) for k in range(90)], "cluster_id INT, phi ARRAY<DOUBLE>, size DOUBLE, beta DOUBLE")
+    m = prior_log_weight(model, "global")
+    mr = sorted(m.collect(), key=lambda r: r.cluster_id)
+    phi, logw = np.array([r.phi for r in mr]), np.array([r.logw for r in mr])
+    for bound in (10**9, 700):
+        got = {(r.shard, r.local_id): r for r in best_cluster(pts, m, 2.0, x="y_mean", with_score=True, with_prob=True, with_resid=True, max_model_bytes=bound).collect()}
+        probs = {(r.shard, r.local_id): r for r in membership(pts, m, 2.0, x="y_mean", max_model_bytes=bound).collect()}
+        dist = {(r.shard, r.local_id): r for r in squared_distances(pts, m, x="y_mean", max_model_bytes=bound).collect()}
+        for s, i, y in rows:
+            d2 = ((np.array(y) - phi) ** 2).sum(1)
+            sc = logw - d2 / 4.0
+            p = np.exp(sc - sc.max())
+            p /= p.sum()
+            r = got[s, i]
+            assert r.cluster_id == sc.argmax() and r.score == pytest.approx(sc.max()) and r.prob == pytest.approx(p.max()) and r.resid == pytest.approx(d2[sc.argmax()] / 2.0)
+            assert probs[s, i].cluster_ids == list(range(90)) and probs[s, i].probs == pytest.approx(p.tolist())
+            assert dist[s, i].sqdists == pytest.approx(d2.tolist())
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e4, 1e7, 1e8])
+def test_product_scores_equal_direct_scores_far_from_the_origin(offset):
+    from mixshard.functions.matrix import best_of_block
+
+    rng = np.random.default_rng(3)
+    phi = offset + rng.normal(0, 0.5, (40, 3))
+    x = phi[rng.integers(40, size=2000)] + rng.normal(0, 0.1, (2000, 3))
+    logw = np.log(rng.integers(1, 50, 40).astype(float))
+    _, got, d2, _ = best_of_block(x, phi, logw, np.arange(40), 0.01)
+    direct = ((x[:, None, :] - phi[None]) ** 2).sum(2)
+    want = (logw - direct / 0.02).argmax(1)
+    assert (got == want).all() and d2 == pytest.approx(direct[np.arange(2000), want])
+
+
+@pytest.mark.parametrize("offset", [1e7, 1e8])
+def test_sweep_distances_far_from_the_origin(offset):
+    from mixshard.operators.sweep import _dist_block, _State
+
+    rng = np.random.default_rng(4)
+    phi = offset + np.array([[0.0, 0.0], [0.5, 0.0], [0.0, 0.5]])
+    x = phi[rng.integers(3, size=2000)] + rng.normal(0, 0.1, (2000, 2))
+    st = _State(phi, np.full(3, 0.3))
+    st.add(phi[0] + 0.7, 0.1, 1.0)
+    got = _dist_block(x, st, 4, 0.01)
+    want = -((x[:, None, :] - st.phi[None, :4]) ** 2).sum(2) / 0.02
+    assert (got.argmax(1) == want.argmax(1)).all()
+
+
+def test_keyed_normal_vector_moments_and_keys(spark):
+    from mixshard.functions.draws import keyed_normal_vector
+
+    df = spark.range(20_000).select(keyed_normal_vector(F.array(F.lit(2.0), F.lit(-1.0)), F.lit(4.0), 1, 2, F.col("id")).alias("v"), "id")
+    r = df.agg(F.avg(F.col("v")[0]).alias("m"), F.variance(F.col("v")[1]).alias("s"), F.corr(F.col("v")[0], F.col("v")[1]).alias("c")).first()
+    assert r.m == pytest.approx(2.0, abs=0.05) and r.s == pytest.approx(4.0, rel=0.05) and abs(r.c) < 0.03
+    again = df.repartition(3).select(keyed_normal_vector(F.array(F.lit(2.0), F.lit(-1.0)), F.lit(4.0), 1, 2, F.col("id")).alias("w"), "v")
+    assert again.where("v <> w").count() == 0
+
 
 
 def test_carried_residual_equals_join(spark):

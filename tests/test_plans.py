@@ -17,10 +17,11 @@ def _plan(df):
 
 
 def test_steady_state_sweep_has_no_shuffle(spark):
-    pts, n, s = prepare_points(planted(spark, n=300, seed=3), shards=3)
+    table, n, s = prepare_points(planted(spark, n=300, seed=3), shards=3)
+    pts = table.df
     b = spark.sparkContext.broadcast((np.array([[0.0, 0.0], [5.0, 5.0]]), np.array([0.4, 0.4])))
     p = DPMParams(E=1.0, S=100.0, seed=1, local_sweeps=1)
-    out = write_bucketed(run_sweep(pts, None, b, p, 0, 1.0, 0.2), s, "plan_test")
+    out = write_bucketed(run_sweep(pts, None, b, p, 0, 1.0, 0.2), s, "plan_test").df
     lab = point_labels(out).withColumnRenamed("local_id", "cluster_id")
     lab = lab.withColumn("cluster_id", F.least(F.col("cluster_id"), F.lit(1))).withColumn("alpha", F.lit(1.0))
     plan = _plan(run_sweep(pts, lab, b, p, 1, 1.0, 0.2))

@@ -31,7 +31,8 @@ def test_keyed_gamma_moments(spark):
 
 
 def _sweep(spark, df, parts, p, seed_round=0):
-    pts, n, s = prepare_points(df, shards=3)
+    table, n, s = prepare_points(df, shards=3)
+    pts = table.df
     pts = pts.repartition(parts, "shard")
     phi = np.array([[0.0, 0.0], [10.0, 10.0]])
     beta = np.array([0.4, 0.4])
@@ -60,22 +61,74 @@ def test_sweep_properties_and_determinism(spark):
     assert a == b
 
 
-def test_global_merge_conserves_and_maps(spark):
-    df = planted(spark, n=600, seed=5)
-    p = DPMParams(E=1.0, S=100.0, seed=3)
+@pytest.mark.parametrize("method", ["batch", "sequential"])
+def test_global_merge_conserves_and_maps(spark, method):
+    df = planted(spark, n=600, seed=4)
+    p = DPMParams(E=1.0, S=100.0, seed=9)
     out, n = _sweep(spark, df, 3, p)
-    out = out.checkpoint()
     summ = out.where("kind = 'c'").select("shard", "local_id", "size", "y_mean", "phi")
     ind, subs = merge_same_id(summ, 2, 2, None, 100.0)
-    for mg in (5000, 2):  # one group, and a forced tree
-        model, ind_to_c, gamma = global_merge(ind, p, 1.0, n, 0, max_group=mg)
-        ms = model.collect()
-        assert sum(r.size for r in ms) == pytest.approx(n)
-        assert sorted(r.cluster_id for r in ms) == list(range(len(ms)))
-        m = ind_to_c.collect()
-        assert len(m) == ind.count() and {r.cluster_id for r in m} == {r.cluster_id for r in ms}
-        assert gamma > 0
-    assert subs.count() == summ.count()
+    model, ind_to_c, gamma = global_merge(ind, p, 1.0, n, 0, method=method)
+    rows = model.collect()
+    assert sum(r["size"] for r in rows) == n and gamma > 0
+    assert sorted(r.cluster_id for r in rows) == list(range(len(rows)))
+    mem = ind_to_c.collect()
+    assert sorted(r.ind_id for r in mem) == sorted(r.ind_id for r in ind.collect())
+    assert {r.cluster_id for r in mem} == {r.cluster_id for r in rows}
+
+
+def _overlapping(spark, m=200, d=2, seed=0):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(m):
+        y = rng.normal(0, 4.0, d)
+        rows.append((i, float(rng.integers(1, 40)), y.tolist(), (y + rng.normal(0, 0.3, d)).tolist(), [0.0] * d, 20.0))
+    return spark.createDataFrame(rows, "ind_id INT, size DOUBLE, y_mean ARRAY<DOUBLE>, phi ARRAY<DOUBLE>, prior_mean ARRAY<DOUBLE>, prior_var DOUBLE")
+
+
+def test_global_merge_does_not_depend_on_partitions_or_blocks(spark, monkeypatch):
+    import mixshard.operators.global_merge as G
+
+    for seed in (0, 1, 2):
+        ind, p = _overlapping(spark, seed=seed), DPMParams(E=1.0, S=20.0, seed=seed, global_sweeps=6)
+        first = None
+        for parts, shuffle, bound in ((1, "8", 10**9), (7, "3", 10**9), (4, "8", 900)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+            monkeypatch.setattr(G.batch_moves, "__defaults__", (True, None, bound))
+            model, mem, gamma = global_merge(ind.repartition(parts), p, 1.0, 4000, 0)
+            got = (sorted(map(tuple, mem.collect())), [pytest.approx(v) for r in sorted(model.collect(), key=lambda r: r.cluster_id) for v in (r["size"], *r.y_mean, *r.phi)], gamma)
+            first = first or got
+            assert got[0] == first[0] and got[2] == pytest.approx(first[2])
+            assert [x.expected for x in got[1]] == first[1]
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_global_merge_forms_agree_on_separate_summaries(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        y = np.array([30.0 * (i % 5), 0.0]) + rng.normal(0, 0.2, 2)
+        rows.append((i, 50.0, y.tolist(), y.tolist(), [0.0, 0.0], 4000.0))
+    ind = spark.createDataFrame(rows, "ind_id INT, size DOUBLE, y_mean ARRAY<DOUBLE>, phi ARRAY<DOUBLE>, prior_mean ARRAY<DOUBLE>, prior_var DOUBLE")
+    p = DPMParams(E=1.0, S=4000.0, seed=3)
+    groups = []
+    for method in ("batch", "sequential"):
+        _, mem, _ = global_merge(ind, p, 0.001, 3000, 0, method=method)
+        by = {}
+        for r in mem.collect():
+            by.setdefault(r.cluster_id, set()).add(r.ind_id)
+        groups.append(sorted(map(sorted, by.values())))
+    assert groups[0] == groups[1] and len(groups[0]) == 5
+
+
+def test_sequential_merge_raises_above_its_bound(spark, monkeypatch):
+    import mixshard.operators.global_merge as G
+
+    monkeypatch.setattr(G, "MAX_SEQUENTIAL", 10)
+    with pytest.raises(ValueError, match="above the bound"):
+        global_merge(_overlapping(spark, 11), DPMParams(), 1.0, 100, 0, method="sequential")
+    with pytest.raises(ValueError, match="method"):
+        global_merge(_overlapping(spark, 11), DPMParams(), 1.0, 100, 0, method="tree")
 
 
 @pytest.mark.parametrize("tiny", [False, True])
@@ -195,3 +248,53 @@ def test_cli_runs_on_a_text_file(spark, tmp_path, capsys):
     printed = capsys.readouterr().out
     assert "round 0: clusters" in printed and "ARI" in printed
     assert spark.read.text(str(tmp_path / "out" / "assignments")).count() == 200
+
+
+def test_fewer_buckets_than_shards_keep_the_plan_and_the_labels(spark):
+    df = planted(spark, n=400, seed=6)
+    p, got = DPMParams(E=1.0, S=100.0, seed=2), []
+    for limit in ("100000", "2"):
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", limit)
+        try:
+            table, _, s = prepare_points(df, shards=5)
+            b = spark.sparkContext.broadcast((np.array([[0.0, 0.0], [10.0, 10.0]]), np.array([0.4, 0.4])))
+            out = run_sweep(table.df, None, b, p, 0, 1.0, 0.2)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert s == 5 and "Exchange hashpartitioning" not in plan
+            got.append(sorted(map(tuple, point_labels(out).collect())))
+            table.df.unpersist()
+            table.drop()
+        finally:
+            spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "100000")
+    assert got[0] == got[1]
+
+
+def test_fit_leaves_no_tables_and_keeps_every_round(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    res = fit(planted(spark, n=500, seed=8), DPMParams(E=1.0, S=100.0, seed=4), k_init=3, rounds=2, shards=4)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    states = res.round_states.collect()
+    assert {r["round"] for r in states} == {0, 1} and len({r["shard"] for r in states}) == 4
+    models = res.round_models.collect()
+    assert {r["round"] for r in models} == {0, 1} and all(r["gamma"] > 0 and len(r["y_mean"]) == 2 for r in models)
+    last = {r["cluster_id"]: r["size"] for r in models if r["round"] == 1}
+    assert last == {r["cluster_id"]: r["size"] for r in res.model.collect()}
+    groups = res.assignments.groupBy("shard").count().collect()
+    assert len(groups) == 4 and sum(r["count"] for r in groups) == 500
+
+
+def test_registered_fit_is_distributed(spark):
+    from conftest import SF_SMALL
+    from mixshard.plans.catalog import _fit
+
+    a = _fit(spark, SF_SMALL).assignments
+    assert a.select("shard").distinct().count() >= 4 and a.count() == spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").count()
+
+
+def test_rounds_text_form(spark, tmp_path):
+    from mixshard.sources.sinks import write_rounds_text
+
+    res = fit(planted(spark, n=200, seed=1), DPMParams(E=1.0, S=100.0, seed=4, local_sweeps=2), k_init=3, rounds=1, shards=2)
+    write_rounds_text(res.round_models, res.round_states, str(tmp_path / "rounds"))
+    lines = [r.value for r in spark.read.text(str(tmp_path / "rounds")).collect()]
+    assert sum(" shard " in x for x in lines) == 2 and any(x.startswith("0 model 0 ") and x.count("|") == 2 for x in lines)

@@ -67,3 +67,19 @@ def test_unique_ids_without_extra_pass(spark):
 def test_shard_count_bounds_bytes_too():
     assert shard_count_for(1_000_000, 1, 10_000_000, dim=64, max_shard_bytes=64 * 8 * 100_000) == 10
     assert shard_count_for(100, None, dim=3) == 1
+
+
+def test_ids_follow_file_order_over_several_files(spark, tmp_path):
+    """Files of 2, 398 and 20 lines, and splits far smaller than a file."""
+    lines = [f"{i} {2 * i}" for i in range(420)]
+    for name, lo, hi in (("a.txt", 0, 2), ("b.txt", 2, 400), ("c.txt", 400, 420)):
+        (tmp_path / name).write_text("\n".join(lines[lo:hi]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = read_text_points(spark, str(tmp_path), 2, False).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert sorted(r.point_id for r in rows) == list(range(420))
+        assert all(r.x == [float(r.point_id), 2.0 * r.point_id] for r in rows)

@@ -39,7 +39,8 @@ def main():
     spark = get_session()
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     raw = points_from_table(li, cols=["l_quantity", "l_discount"], label_col="l_linenumber", scale=True, ids="unique")
-    pts, n, s = prepare_points(raw, shards=4)
+    table, n, s = prepare_points(raw, shards=4)
+    pts = table.df
     cm = vector_mean(pts, ["label"], "x", 2).select((F.col("label") - 1).alias("cluster_id"),
                                                     F.col("size").cast("double"), F.col("y_mean").alias("phi"))
     model = expected_weights(cm, 1.0).cache()
@@ -54,7 +55,7 @@ def main():
     rows = model.orderBy("cluster_id").collect()
     b = spark.sparkContext.broadcast((np.array([r.phi for r in rows]), np.array([r.beta for r in rows])))
     p = DPMParams(E=0.05, S=1.0, seed=1, local_sweeps=1)
-    out = write_bucketed(run_sweep(pts, None, b, p, 0, 1.0, 0.1), s, "plans_sweep")
+    out = write_bucketed(run_sweep(pts, None, b, p, 0, 1.0, 0.1), s, "plans_sweep").df
     m = (out.where("kind = 'c'").select("shard", "local_id")
          .withColumn("cluster_id", F.least(F.col("local_id"), F.lit(len(rows) - 1))))
     lab = relabel(point_labels(out), m).withColumn("alpha", F.lit(1.0))

@@ -15,7 +15,7 @@ from mixshard.llm.langid import held_out, identify, learn
 from mixshard.llm.line_chunks import dedup_lines
 from mixshard.llm.mixing import mix
 from mixshard.llm.ngram_join import jaccard_classes
-from mixshard.session import prepare_session, scratch_path
+from mixshard.session import cut, prepare_session, scratch_path
 
 #: Documents whose language scores below this go (texts without a letter score 0).
 LEAST_SCORE = 0.3
@@ -42,7 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Operator 2: of each group of near duplicates the smallest id stays (five-word shingles,
     similarity 80 in 100). Rows that repeat an id are one document; a null id is no member
     of a group, and its row stays."""
-    again = jaccard_classes(spark, docs, n=5, percent=80).where("id <> component_id").select(F.col("id").alias("doc_id")).distinct().checkpoint()
+    again = cut(jaccard_classes(spark, docs, n=5, percent=80).where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "again")
     return docs.join(small(again), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixshard.llm.graph import components, own_key
-from mixshard.session import prepare_session
+from mixshard.session import cut, prepare_session
 
 COSINE = 0.93
 #: Rows a cell is meant to hold, cells at most (they are broadcast: 8 bytes a component),
@@ -106,7 +106,7 @@ def near_dedup(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id",
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("vec")).withColumn("vec", v)
     finite = F.forall("vec", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     sound = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda e: e != 0), F.lit(False))
-    classes = rows.where(sound).groupBy("label", "vec").agg(F.min("id").alias("class"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")).checkpoint()
+    classes = cut(rows.where(sound).groupBy("label", "vec").agg(F.min("id").alias("class"), F.count("*").alias("copies")).withColumn("dim", F.size("vec")), "vectors")
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row per vector length
     found = None
     for dim, n in sorted(sizes.items()):
@@ -115,7 +115,7 @@ def near_dedup(spark: SparkSession, vectors: DataFrame, id_col: str = "vec_id",
     if found is None:
         known = classes.select("label", "vec", F.col("class").alias("component_id"), F.lit(0).cast("long").alias("n"))
     else:
-        found = found.checkpoint()
+        found = cut(found, "vector-links")
         near = found.groupBy("class").agg(F.sum("links").alias("links"))
         comps = components(found.where("head != class").select("class", "head").distinct(), "class", "head")
         known = (classes.join(near, "class", "left").join(comps.withColumnRenamed("node", "class"), "class", "left")
@@ -150,7 +150,7 @@ def _links_of(spark: SparkSession, classes: DataFrame, dim: int, n: int, thresho
                                               lists(cells[at], pa.int32()), lists(unit[at], pa.float64())], names=["class", "label", "copies", "cell", "cells", "unit"])
 
     rows = classes.select("class", "vec", "label", "copies").mapInArrow(assign, "class long, label string, copies long, cell long, cells array<int>, unit array<double>")
-    rows = rows.withColumn("grp", F.xxhash64("label", "cell")).checkpoint()
+    rows = cut(rows.withColumn("grp", F.xxhash64("label", "cell")), "vector-cells")
     blocks = own_key(rows.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks")), "grp")
     rows = rows.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("class", F.lit(3)), F.col("blocks")))
     rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

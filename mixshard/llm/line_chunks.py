@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixshard.llm.columns import let, small
-from mixshard.session import prepare_session
+from mixshard.session import cut, prepare_session
 
 #: A border follows a line when the rolling hash of it and the line before leaves 0 modulo
 #: DIVISOR: chunks have DIVISOR lines on average. Chunks below LEAST lines are never removed.
@@ -55,20 +55,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     prepare_session(spark)
     text, id_ = F.col(text_col), F.col(id_col).cast("long")
     rid = F.xxhash64(id_, text)
-    keys = (docs.select(id_.alias("id"), rid.alias("rid"), F.explode(chunks(text, divisor)).alias("c")).where(F.col("c.lines") >= LEAST)
-            .select("id", "rid", "c.pos", "c.lines", F.xxhash64("c.body").alias("k1"), F.xxhash64(F.lit(17), "c.body").alias("k2")).checkpoint())
+    keys = cut(docs.select(id_.alias("id"), rid.alias("rid"), F.explode(chunks(text, divisor)).alias("c")).where(F.col("c.lines") >= LEAST)
+            .select("id", "rid", "c.pos", "c.lines", F.xxhash64("c.body").alias("k1"), F.xxhash64(F.lit(17), "c.body").alias("k2")), "chunk-keys")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid", "pos")
-    again = keys.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("k1", "k2", "first").checkpoint()
+    again = cut(keys.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("k1", "k2", "first"), "chunks-again")
     # the bytes of every repeated chunk: equal hashes must mean equal bodies
     bodies = (docs.select(id_.alias("id"), rid.alias("rid"), F.explode(chunks(text, divisor)).alias("c")).where(F.col("c.lines") >= LEAST)
               .select("id", "rid", "c.pos", "c.body", F.xxhash64("c.body").alias("k1"), F.xxhash64(F.lit(17), "c.body").alias("k2")).join(small(again.select("k1", "k2")), ["k1", "k2"], "left_semi"))
-    alike = bodies.groupBy("k1", "k2").agg((F.min("body") == F.max("body")).alias("alike")).checkpoint()
+    alike = cut(bodies.groupBy("k1", "k2").agg((F.min("body") == F.max("body")).alias("alike")), "chunks-alike")
     gone = keys.join(small(again.join(alike.where("alike"), ["k1", "k2"]), 64), ["k1", "k2"]).where(place != F.col("first")).select("rid", "pos", "lines")
     if not alike.where("not alike").isEmpty():  # different bodies under one hash: compare the bodies themselves
         odd = bodies.join(alike.where("not alike"), ["k1", "k2"], "left_semi").withColumn("lines", F.size(F.split("body", "\n", -1)).cast("long"))
         first = odd.groupBy("k1", "k2", "body").agg(F.min(place).alias("first"))
         gone = gone.unionByName(odd.join(first, ["k1", "k2", "body"]).where(place != F.col("first")).select("rid", "pos", "lines"))
-    gone = gone.groupBy("rid").agg(F.collect_set("pos").alias("gone"), F.sum("lines").alias("removed")).withColumnRenamed("rid", "__rid").checkpoint()
+    gone = cut(gone.groupBy("rid").agg(F.collect_set("pos").alias("gone"), F.sum("lines").alias("removed")).withColumnRenamed("rid", "__rid"), "chunks-gone")
     kept = lambda c: F.array_join(F.transform(F.filter(c, lambda x: ~F.array_contains(F.col("gone"), x["pos"])), lambda x: x["body"]), "\n")
     rest = [c for c in docs.columns if c not in ("n_lines", "n_chunks", "removed_lines")]
     own = F.struct(*[F.col(c) for c in rest]).alias("__row")

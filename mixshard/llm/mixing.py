@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixshard.llm.columns import BROADCAST_BYTES
-from mixshard.session import prepare_session
+from mixshard.session import cut, prepare_session
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Where no targets are given, a value's target share grows with this power of its tokens.
@@ -43,7 +43,7 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, power: float
 
     ``targets`` maps a dimension to the shares of its values (scaled to the values present;
     values without a share get none). Other dimensions aim at tokens ** power. Cells without
-    tokens have no weight. Every step is checkpointed: it holds one row a cell.
+    tokens have no weight. Every step is written: it holds one row a cell.
     """
     filled = cells.where("tokens > 0")
     total = filled.agg(F.sum("tokens")).first()[0] or 1
@@ -58,14 +58,14 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, power: float
             aim = filled.select(d).distinct().withColumn("share", share)
         else:
             aim = filled.groupBy(d).agg(share.alias("share"))
-        aim = aim.checkpoint()
+        aim = cut(aim, "aims")
         whole = aim.agg(F.sum("share")).first()[0] or 1.0
         aims[d] = aim.select(F.col(d).alias("__v"), (F.col("share") / F.lit(float(whole))).alias("aim"))
     for _ in range(rounds):
         for d in DIMENSIONS:
             held = now.groupBy(F.col(d).alias("__v")).agg(F.sum("weight").alias("held"))
             factor = held.join(aims[d], held["__v"].eqNullSafe(aims[d]["__v"])).select(held["__v"], F.when(F.col("held") > 0, F.col("aim") / F.col("held")).otherwise(0.0).alias("factor"))
-            now = now.join(factor, now[d].eqNullSafe(factor["__v"])).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight")).checkpoint()
+            now = cut(now.join(factor, now[d].eqNullSafe(factor["__v"])).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight")), "raked", after=now if hasattr(now, "_cut_path") else None)
     return now
 
 
@@ -83,7 +83,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).alias("__t"), words.alias("n_tokens"), F.col(id_col).alias("__id"))
     rows = rows.withColumn("topic", F.coalesce(topic(F.col("__t"), F.col("n_tokens")), F.lit("none")))
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")).checkpoint()
+    cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     raked = rake(cells, targets, power, rounds)
     rate = raked.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], (F.col("weight") / F.col("tokens")).alias("rate"))
     n, top = raked.agg(F.count("*"), F.max(F.col("weight") / F.col("tokens"))).first()

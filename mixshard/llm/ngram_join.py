@@ -3,12 +3,13 @@
 1. ``shingle_sets``: every whole text becomes its set of distinct word n-grams, as
    sorted 64-bit hashes.
 2. Documents with the same set are one class; the class is compared once.
-3. Routing without loss, in two steps. Two sets of at least the wanted similarity differ in
-   at most H elements, H known from their sizes. The hash space is cut into more than H
-   ranges, so some ranges hold exactly the same elements in both. Each class emits one
-   signature per range; a class that shares too few of them with any others has no partner.
-   The sets of the rest are put in the global order, rarest element first, and classes that
-   share a prefix element are chained: the chains are the ``areas``.
+3. Routing without loss. Two sets of at least the wanted similarity differ in at most H
+   elements, H known from their sizes. The hash space is cut into more than H ranges, so
+   some ranges hold exactly the same elements in both. Each class emits one signature per
+   range; a class that shares too few of them with any others has no partner. Signatures are
+   put in a global order, rarest first, and classes are chained by all but the most frequent
+   that they could do without: the chains are the ``areas``. Common passages hardly meet
+   here, for a range must agree as a whole.
 4. Prefix-tree join inside each area: sets are stored in one global order in a radix
    tree, partial overlaps are shared by all sets below a node, and subtrees are pruned
    by what the remaining lengths can still reach. Subtrees already in the query's group
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from mixshard.llm import text as T
 from mixshard.llm.columns import small
 from mixshard.llm.graph import components, own_key as _own_key
-from mixshard.session import prepare_session, scratch_path
+from mixshard.session import cut, prepare_session
 
 #: Sets in one tree at most (a larger area is cut into blocks that meet each other).
 AREA_SETS = 128
@@ -281,12 +282,14 @@ def _shared(rows: DataFrame) -> DataFrame:
 _CLASS_BITS = 8
 
 
-def _candidates(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(class): those of ``texts`` (class, text) that can have a partner.
+def _chains(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b): b is the smallest class that a meets in one of a's rarest signatures, for the
+    classes of ``texts`` (class, text) that can have a partner at all.
 
-    A class that shares fewer than ``least`` of its signatures of a size class with any others
-    has no partner there (see ``ranges``), so documents that merely hold a common passage are
-    left out."""
+    Similar sets share ``least`` signatures of a size class (see ``ranges``). A class with
+    fewer that any others hold has no partner there. In the global order, rarest signature
+    first, ties by hash, two similar sets share one that is not among the last ``least - 1``
+    of either, so those (what common passages give) need not chain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, "text"):
@@ -297,27 +300,9 @@ def _candidates(texts: DataFrame, n: int, percent: int) -> DataFrame:
     shared = _shared(texts.mapInArrow(run, "key long, a long, rest array<long>")).withColumn("k", F.col("key").bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)))
     bounds = size_classes(1 << 31)  # a few dozen size classes
     least = F.element_at(F.array(*[F.lit(ranges(percent, int(b) - 1)[1]) for b in bounds[1:]]), (F.col("k") + 1).cast("int"))
-    return shared.groupBy("class", "k").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("class").distinct()
-
-
-def _chains(texts: DataFrame, sizes: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b): b is the smallest class that has a prefix element of a in its own prefix, among
-    ``texts`` (class, text) with the set sizes (class, n_shingles).
-
-    The global order: elements by the number of sets that hold them, rarest first, ties by
-    hash. Similar sets share one of their first n - ceil(percent n / 100) + 1 elements;
-    elements in one set only come first and fill prefixes without linking."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in T.slices(batches, "text"):
-            sets = _doc_sets(*T.flat(b.column(1)), n)
-            yield _met(np.concatenate(sets).view(np.int64), np.repeat(T.ids(b.column(0)), [len(s) for s in sets]))
-
-    own = Window.partitionBy("class")
-    size = F.col("n_shingles")
-    prefix = size - F.ceil(size * percent / 100) + 1 - (size - F.col("held"))
-    kept = (_shared(texts.mapInArrow(run, "key long, a long, rest array<long>")).withColumn("at", F.row_number().over(own.orderBy("df", "key"))).withColumn("held", F.count("*").over(own))
-            .join(sizes, "class").where(F.col("at") <= prefix).select("key", F.col("class").alias("a")).checkpoint())
+    own = Window.partitionBy("class", "k")
+    kept = cut(shared.withColumn("held", F.count("*").over(own)).withColumn("at", F.row_number().over(own.orderBy("df", "key")))
+               .where(F.col("at") <= F.col("held") - least + 1).select("key", F.col("class").alias("a")), "ngram-chains")
     low = _own_key(kept.groupBy("key").agg(F.min("a").alias("b")), "key")
     return kept.join(low, "key").where("a != b").select("a", "b").distinct()
 
@@ -380,19 +365,13 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     an empty result.
     """
     prepare_session(spark)
-    path = scratch_path(spark, "ngram-sizes")
-    shingle_sets(docs, id_col, text_col, n, with_set=False).write.parquet(path)
-    base = spark.read.parquet(path)
-    classes = base.where("n_shingles > 0 and id is not null").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("id").alias("class")).checkpoint()
+    base = cut(shingle_sets(docs, id_col, text_col, n, with_set=False), "ngram-sizes")
+    classes = cut(base.where("n_shingles > 0 and id is not null").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("id").alias("class")), "ngram-classes")
     texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text"))
-    chosen = _candidates(texts.join(small(classes.select("class").distinct()), "class", "left_semi"), n, percent).checkpoint()
-    sizes = chosen.join(classes.groupBy("class").agg(F.min("n_shingles").alias("n_shingles")), "class").checkpoint()
-    areas = components(_chains(texts.join(small(chosen), "class", "left_semi"), small(sizes, 24), n, percent)).select(F.col("node").alias("class"), F.col("component").alias("area"))
-    areas = areas.join(areas.groupBy("area").agg(F.count("*").alias("members")), "area").checkpoint()
-    path = scratch_path(spark, "ngram-areas")
-    shingle_sets(texts.join(small(areas.select("class")), "class", "left_semi"), "class", "text", n).select(F.col("id").alias("class"), "grams").write.parquet(path)
-    sets = spark.read.parquet(path)
-    comps = _area_heads(areas, lambda some: sets.join(some, "class"), percent)
+    areas = components(_chains(texts.join(small(classes.select("class").distinct()), "class", "left_semi"), n, percent)).select(F.col("node").alias("class"), F.col("component").alias("area"))
+    areas = cut(areas.join(areas.groupBy("area").agg(F.count("*").alias("members")), "area"), "ngram-areas")
+    sets = cut(shingle_sets(texts.join(small(areas.select("class")), "class", "left_semi"), "class", "text", n).select(F.col("id").alias("class"), "grams"), "ngram-sets")
+    comps = _area_heads(areas, lambda some: sets.join(small(some, 32), "class"), percent)
     known = (classes.select("set_hi", "set_lo", "n_shingles", "class").join(comps, "class", "left")
              .select("set_hi", "set_lo", "n_shingles", F.col("class").alias("class_id"), F.coalesce("component", "class").alias("component_id")))
     return (base.select("id", "n_shingles", "set_hi", "set_lo").join(known, ["set_hi", "set_lo", "n_shingles"], "left")
@@ -407,21 +386,21 @@ def _area_heads(areas: DataFrame, sets_of, percent: int, most: int | None = None
         return F.pmod(F.xxhash64("class", F.lit(salt)), F.ceil(members / F.lit(most)).cast("long"))
 
     rows = areas.select("class", F.col("class").alias("grp"), F.xxhash64("area", block(0, F.col("members"))).alias("area"))
-    heads = _join_areas(sets_of(rows), percent).select("class", F.col("head").alias("component")).distinct().checkpoint()
+    heads = cut(_join_areas(sets_of(rows), percent).select("class", F.col("head").alias("component")).distinct(), "ngram-heads")
     big = areas.where(F.col("members") > most)
     if big.isEmpty():
         return heads
-    now = big.select("class", "area").join(heads, "class").checkpoint()
+    now = cut(big.select("class", "area").join(heads, "class"), "ngram-big")
 
     def renamed(now: DataFrame, names: DataFrame) -> DataFrame:
         """``now`` with the new component of each old one, where (grp, head) has it."""
         names = names.where("grp != head").select(F.col("grp").alias("component"), "head").distinct()
-        return now.join(names, "component", "left").select("class", "area", F.coalesce("head", "component").alias("component")).checkpoint()
+        return cut(now.join(names, "component", "left").select("class", "area", F.coalesce("head", "component").alias("component")), "ngram-big")
 
     # one leader per group (its smallest class); in other blocks again while they are many
     for salt in range(1, 8):
         lead = now.where("class = component").drop("component")
-        lead = lead.join(lead.groupBy("area").agg(F.count("*").alias("members")).where("members > 1"), "area").checkpoint()
+        lead = cut(lead.join(lead.groupBy("area").agg(F.count("*").alias("members")).where("members > 1"), "area"), "ngram-lead")
         most_left = lead.agg(F.max("members")).first()[0]
         if most_left is None:
             break
@@ -438,7 +417,7 @@ def _rest(now: DataFrame, sets_of, percent: int, most: int, renamed) -> DataFram
     against every block of the area."""
     count = now.groupBy("area", "component").agg(F.count("*").alias("k"))
     largest = count.groupBy("area").agg(F.max_by("component", F.struct("k", -F.col("component"))).alias("largest"), F.sum("k").alias("all"), F.max("k").alias("top"))
-    open_ = now.withColumnRenamed("component", "grp").join(largest.where("all > top"), "area").checkpoint()
+    open_ = cut(now.withColumnRenamed("component", "grp").join(largest.where("all > top"), "area"), "ngram-open")
     if open_.isEmpty():
         return now
     n_all = F.ceil(F.col("all") / F.lit(most)).cast("long")

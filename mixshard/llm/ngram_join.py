@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixshard.llm import text as T
-from mixshard.llm.columns import small
+from mixshard.llm.columns import BROADCAST_BYTES, small
 from mixshard.llm.graph import components, own_key as _own_key
 from mixshard.session import cut, prepare_session
 
@@ -368,8 +368,11 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     base = cut(shingle_sets(docs, id_col, text_col, n, with_set=False), "ngram-sizes")
     classes = cut(base.where("n_shingles > 0 and id is not null").groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("id").alias("class")), "ngram-classes")
     texts = docs.select(F.col(id_col).cast("long").alias("class"), F.col(text_col).alias("text"))
-    areas = components(_chains(texts.join(small(classes.select("class").distinct()), "class", "left_semi"), n, percent)).select(F.col("node").alias("class"), F.col("component").alias("area"))
-    areas = cut(areas.join(areas.groupBy("area").agg(F.count("*").alias("members")), "area"), "ngram-areas")
+    ids = classes.select("class").distinct()
+    # one document per class saves work; without the list in memory the copies go along and leave below
+    first = texts.join(F.broadcast(ids), "class", "left_semi") if ids.count() * 16 <= BROADCAST_BYTES else texts.where("class is not null")
+    areas = components(_chains(first, n, percent)).select(F.col("node").alias("class"), F.col("component").alias("area")).join(ids, "class", "left_semi")
+    areas = cut(areas.join(areas.groupBy("area").agg(F.count("*").alias("members")).where("members > 1"), "area"), "ngram-areas")
     sets = cut(shingle_sets(texts.join(small(areas.select("class")), "class", "left_semi"), "class", "text", n).select(F.col("id").alias("class"), "grams"), "ngram-sets")
     comps = _area_heads(areas, lambda some: sets.join(small(some, 32), "class"), percent)
     known = (classes.select("set_hi", "set_lo", "n_shingles", "class").join(comps, "class", "left")

@@ -48,9 +48,13 @@ def corpus(seed, n=120):
     return out
 
 
-@pytest.mark.parametrize("most", [128, 4])
-def test_matches_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("most,broadcast", [(128, 32 << 20), (4, 0)])
+def test_matches_brute_force(spark, monkeypatch, most, broadcast):
+    import mixshard.llm.columns as C
+
     monkeypatch.setattr(J, "AREA_SETS", most)
+    monkeypatch.setattr(J, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(C, "BROADCAST_BYTES", broadcast)
     rows = list(enumerate(corpus(most)))
     base = " ".join(f"w{i}" for i in range(100))
     for k in range(30):  # one large group of near copies

@@ -315,6 +315,17 @@ def _coverage(labels: DataFrame, sizes: DataFrame) -> DataFrame:
     return a.crossJoin(sizes.agg(F.round(F.sum("size")).cast("long").alias("total_size")))
 
 
+def q_sequential_first_pass(spark, d):
+    """The first pass of the sweep: points of a shard placed one after the other, sizes growing."""
+    from mixshard.operators.sweep import point_labels, run_sweep
+    from mixshard.params import DPMParams
+
+    pts = emb_points(spark, d)
+    _, bmodel, _, beta_u = _sweep_inputs(spark, d)
+    out = run_sweep(pts, None, bmodel, DPMParams(E=E, S=S, seed=7, local_sweeps=0), 0, GAMMA, beta_u)
+    return point_labels(out).select("point_id", F.col("local_id").alias("cluster_id"))
+
+
 def q_sweep_coverage(spark, d):
     from mixshard.operators.sweep import point_labels
 
@@ -371,6 +382,7 @@ DETERMINISTIC = {
     "kmeans_step": q_kmeans_step,
     "merge_sweep": q_merge_sweep,
     "posterior_centers": q_posterior_centers,
+    "sequential_first_pass": q_sequential_first_pass,
     "sweep_coverage": q_sweep_coverage,
     "merge_coverage": q_merge_coverage,
     "fit_coverage": q_fit_coverage,

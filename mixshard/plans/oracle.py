@@ -221,3 +221,18 @@ FROM zs GROUP BY ind_id""", IND + ",")
 
 _COVERED = "SELECT count(*) AS n_points, count(DISTINCT vec_id) AS n_ids, count(*) AS total_size FROM embeddings"
 SQL["sweep_coverage"] = SQL["merge_coverage"] = SQL["fit_coverage"] = _COVERED
+
+SQL["sequential_first_pass"] = "WITH RECURSIVE " + PTS + """,
+steps AS (SELECT shard, point_id, row_number() OVER (PARTITION BY shard ORDER BY point_id) AS k, list(d ORDER BY cluster_id) AS ds
+          FROM dist GROUP BY shard, point_id),
+w AS (SELECT list(beta ORDER BY cluster_id) AS betas FROM model),
+run(shard, k, point_id, c, sizes) AS (
+  SELECT s.shard, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(-1 AS BIGINT), list_transform(w.betas, lambda b: CAST(0 AS DOUBLE))
+  FROM (SELECT DISTINCT shard FROM pts) s CROSS JOIN w
+  UNION ALL
+  SELECT shard, k, point_id, c, list_transform(generate_series(1, len(sizes)), lambda i: sizes[i] + CASE WHEN i - 1 = c THEN 1.0 ELSE 0.0 END)
+  FROM (SELECT shard, k, point_id, sizes, CAST(list_position(sc, list_max(sc)) - 1 AS BIGINT) AS c
+        FROM (SELECT r.shard, o.k, o.point_id, r.sizes, list_transform(generate_series(1, len(r.sizes)),
+                lambda i: ln(r.sizes[i] + 1.0 * w.betas[i]) - o.ds[i] / (2.0 * CAST(0.015 AS DOUBLE))) AS sc
+              FROM run r JOIN steps o ON o.shard = r.shard AND o.k = r.k + 1 CROSS JOIN w)))
+SELECT point_id, CAST(c AS INTEGER) AS cluster_id FROM run WHERE point_id IS NOT NULL"""

@@ -72,6 +72,7 @@ def summaries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFr
 
 def merged(spark: SparkSession, d: str):
     s, model, a = summaries(spark, d)
+    s = cut(s, "summaries")  # shards x K rows, read several times below
     ind, subs = mg.merge_same_id(s, K_KNOWN, DIM, model, S)
     return ind, subs, s, model, a
 

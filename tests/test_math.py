@@ -157,3 +157,20 @@ def test_carried_residual_equals_join(spark):
             carried = a.agg(F.sum("resid")).first()[0]
             joined = residual_sum(a.drop("resid"), model, 2.0).first()["rss"]
             assert carried == pytest.approx(joined, rel=1e-12)
+
+
+def test_wide_vectors_aggregate_alike(spark, monkeypatch):
+    """The Summarizer form above WIDE_DIM equals one aggregate per coordinate."""
+    import mixshard.functions.vectors as V
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(int(rng.integers(3)), float(rng.integers(1, 9)), rng.normal(size=5).tolist()) for _ in range(100)], "g INT, w DOUBLE, y ARRAY<DOUBLE>")
+    got = []
+    for wide in (256, 2):
+        monkeypatch.setattr(V, "WIDE_DIM", wide)
+        a = {r.g: (r["size"], r.y_mean) for r in V.vector_mean(df, ["g"], "y", 5).collect()}
+        b = {r.g: (r["size"], r.y_mean, r.top) for r in V.vector_weighted_mean(df, ["g"], "y", "w", 5, extra=[F.max("w").alias("top")]).collect()}
+        got.append((a, b))
+    for g in range(3):
+        assert got[0][0][g][0] == got[1][0][g][0] and got[0][0][g][1] == pytest.approx(got[1][0][g][1])
+        assert got[0][1][g][0] == pytest.approx(got[1][1][g][0]) and got[0][1][g][1] == pytest.approx(got[1][1][g][1]) and got[0][1][g][2] == got[1][1][g][2]

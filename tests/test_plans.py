@@ -44,3 +44,19 @@ def test_small_model_scoring_is_join_free_and_codegen(spark):
     plan = _plan(df)
     assert "Join" not in plan and "ArrayTransform" not in plan and "transform(" not in plan
     assert plan.lstrip().startswith("*(")  # the scoring projection is inside a codegen stage
+
+
+def test_model_queries_scan_the_points_at_most_twice(spark):
+    """The K-row model and the summaries are written once; what is returned reads those."""
+    from mixshard.plans import catalog
+
+    for q in (catalog.q_score_model, catalog.q_merge_same_id, catalog.q_posterior_params):
+        files = q(spark, SF_SMALL).inputFiles()
+        assert not any("embeddings.parquet" in f for f in files), q.__name__
+
+
+def test_large_model_scoring_is_one_pass_without_exchange(spark):
+    pts = planted(spark, n=200, seed=4)
+    model = spark.createDataFrame([(k, [float(k), 1.0], 5.0, 0.001) for k in range(300)], "cluster_id INT, phi ARRAY<DOUBLE>, size DOUBLE, beta DOUBLE")
+    plan = _plan(best_cluster(pts, prior_log_weight(model, "local", 1.0), 1.0))
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan

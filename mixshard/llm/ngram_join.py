@@ -307,6 +307,29 @@ def _chains(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return kept.join(low, "key").where("a != b").select("a", "b").distinct()
 
 
+def _element_chains(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): b is the smallest class that holds one of a's prefix elements in its own prefix,
+    for ``sets`` (class, grams) of areas that are still large.
+
+    The global order: elements by the number of these sets that hold them, rarest first, ties
+    by hash. Similar sets share one of their first n - ceil(percent n / 100) + 1 elements;
+    elements in one set only come first and fill prefixes without linking, so sets that
+    merely share a passage come apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in T.slices(batches, "grams"):
+            buf, off = T.flat(b.column(1))
+            yield _met(np.frombuffer(buf.tobytes(), "<i8"), np.repeat(T.ids(b.column(0)), np.diff(off) // 8))
+
+    own, size = Window.partitionBy("class"), F.col("n")
+    sizes = sets.select("class", F.floor(F.octet_length("grams") / 8).alias("n")).groupBy("class").agg(F.min("n").alias("n"))
+    kept = cut(_shared(sets.select("class", "grams").mapInArrow(run, "key long, a long, rest array<long>"))
+               .withColumn("at", F.row_number().over(own.orderBy("df", "key"))).withColumn("held", F.count("*").over(own)).join(sizes, "class")
+               .where(F.col("at") <= F.col("held") - F.ceil(size * percent / 100) + 1).select("key", F.col("class").alias("a")), "ngram-elements")
+    low = _own_key(kept.groupBy("key").agg(F.min("a").alias("b")), "key")
+    return kept.join(low, "key").where("a != b").select("a", "b").distinct()
+
+
 @lru_cache(maxsize=4096)
 def _classes_of(n: int, percent: int) -> list[tuple[int, tuple[int, int]]]:
     """(size class, (m, least)) of the classes that a set of n elements has signatures in."""
@@ -388,6 +411,11 @@ def _area_heads(areas: DataFrame, sets_of, percent: int, most: int | None = None
     def block(salt: int, members) -> F.Column:
         return F.pmod(F.xxhash64("class", F.lit(salt)), F.ceil(members / F.lit(most)).cast("long"))
 
+    large = areas.where(F.col("members") > most)
+    if not large.isEmpty():  # chain these again by elements; what has no partner drops out
+        again = components(_element_chains(sets_of(large.select("class")), percent)).select(F.col("node").alias("class"), F.col("component").alias("area"))
+        again = again.join(again.groupBy("area").agg(F.count("*").alias("members")), "area").select(*areas.columns)
+        areas = cut(areas.where(F.col("members") <= most).unionByName(again), "ngram-areas")
     rows = areas.select("class", F.col("class").alias("grp"), F.xxhash64("area", block(0, F.col("members"))).alias("area"))
     heads = cut(_join_areas(sets_of(rows), percent).select("class", F.col("head").alias("component")).distinct(), "ngram-heads")
     big = areas.where(F.col("members") > most)
@@ -401,12 +429,14 @@ def _area_heads(areas: DataFrame, sets_of, percent: int, most: int | None = None
         return cut(now.join(names, "component", "left").select("class", "area", F.coalesce("head", "component").alias("component")), "ngram-big")
 
     # one leader per group (its smallest class); in other blocks again while they are many
+    before = None
     for salt in range(1, 8):
         lead = now.where("class = component").drop("component")
         lead = cut(lead.join(lead.groupBy("area").agg(F.count("*").alias("members")).where("members > 1"), "area"), "ngram-lead")
         most_left = lead.agg(F.max("members")).first()[0]
-        if most_left is None:
-            break
+        if most_left is None or before is not None and most_left > 0.8 * before:
+            break  # none left, or blocks no longer find links: the complete step follows
+        before = most_left
         rows = lead.select("class", F.col("class").alias("grp"), F.xxhash64("area", F.lit(salt), block(salt, F.col("members"))).alias("area"))
         now = renamed(now, _join_areas(sets_of(rows), percent))
         if most_left <= most:

@@ -34,15 +34,15 @@ from mixshard.functions.draws import concentration_update, keyed_normal_vector,
 from mixshard.functions.frames import conform
 from mixshard.functions.matrix import centred, sq_distances
 from mixshard.functions.vectors import posterior_mean, posterior_var, safe_log, vector_weighted_mean, zero_vector
-from mixshard.operators.model import MAX_MODEL_BYTES, model_stats
+from mixshard.operators.model import MAX_MODEL_BYTES, ModelStats, model_stats
 from mixshard.operators.score import _model_blocks
 from mixshard.params import DPMParams
 from mixshard.session import cut
 
 # Individuals the sequential form takes; its cost is quadratic in them, in one task.
 MAX_SEQUENTIAL = 5000
-# Sweeps without a move after which the batch form ends.
-QUIET = 4
+# Sweeps without a move after which the batch form ends: one in each direction.
+QUIET = 2
 
 MERGE_SCHEMA = (
     "kind STRING, ind_id INT, sc_id INT, size DOUBLE, y_mean ARRAY<DOUBLE>, "
@@ -203,7 +203,7 @@ _ROW = "ind_id long, size double, y_mean array<double>, phi array<double>, c lon
 
 
 def batch_moves(cur: DataFrame, supers: DataFrame, p: DPMParams, gamma: float, fresh, up: bool = True, sample: tuple | None = None,
-                max_model_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
+                max_model_bytes: int = MAX_MODEL_BYTES, stats: ModelStats | None = None) -> DataFrame:
     """One batch sweep's moves: ``cur(ind_id, size, y_mean, phi, c)`` with the new ``c``.
 
     ``supers(sc_id, size, members, phi)`` are the superclusters at the start; ``fresh`` is
@@ -214,7 +214,7 @@ def batch_moves(cur: DataFrame, supers: DataFrame, p: DPMParams, gamma: float, f
     rows = cur.join(own, "c").select("ind_id", "size", "y_mean", "phi", "c", "members", "own_size", safe_log(F.col("own_size")).alias("own_logw"),
                                      F.lit(0.0).alias("best_s"), F.col("c").alias("best"))
     model = supers.select(F.col("sc_id").alias("cluster_id"), "phi", safe_log(F.col("size")).alias("logw"))
-    for b, data in enumerate(_model_blocks(model, model_stats(model), max_model_bytes)):
+    for b, data in enumerate(_model_blocks(model, stats or model_stats(model), max_model_bytes)):
         rows = rows.mapInArrow(_move_fn(data, p.E, (*sample, b) if sample else None, b == 0, up), _ROW)
     gap = F.aggregate(F.zip_with("phi", "y_mean", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda a, t: a + t)
     own_new = F.lit(math.log(gamma) if gamma > 0 else -math.inf) - gap / F.lit(2.0 * p.E)
@@ -242,17 +242,17 @@ def _refresh(cur: DataFrame, priors: DataFrame, dim: int, p: DPMParams, draw: tu
 
 def _batch(individuals: DataFrame, p: DPMParams, gamma: float, n_total: int, round_: int) -> tuple[DataFrame, DataFrame, float]:
     base = cut(individuals.select(F.col("ind_id").cast("long").alias("ind_id"), "size", "y_mean", "phi", "prior_mean", "prior_var"), "merge-base")
-    r = base.agg(F.max("ind_id").alias("m"), F.first(F.size("y_mean")).alias("d")).first()
+    r = base.agg(F.max("ind_id").alias("m"), F.first(F.size("y_mean")).alias("d"), F.count(F.lit(1)).alias("k")).first()
     if r["m"] is None:
         raise ValueError("no individuals to merge")
-    span, dim = int(r["m"]) + 1, int(r["d"])
+    span, dim, k = int(r["m"]) + 1, int(r["d"]), int(r["k"])
     priors = base.select(F.col("ind_id").alias("sc_id"), "prior_mean", "prior_var")
     cur = base.select("ind_id", "size", "y_mean", "phi", F.col("ind_id").alias("c"))
     supers = cut(_refresh(cur, priors, dim, p, (p.seed, 31, round_, -1)), "merge-supers")
     moved, rng, quiet = None, rng_for(p.seed, 31, round_, 0, 0), 0
     for t in range(p.global_sweeps):
         sample = (p.seed, 33, round_, t) if p.assign == "sample" else None
-        moved = cut(batch_moves(cur, supers, p, gamma, F.col("ind_id") + F.lit(span * (t + 1)), t % 2 == 0, sample), "merge-moves", after=moved)
+        moved = cut(batch_moves(cur, supers, p, gamma, F.col("ind_id") + F.lit(span * (t + 1)), t % 2 == 0, sample, stats=ModelStats(k, dim)), "merge-moves", after=moved)
         supers = cut(_refresh(moved, priors, dim, p, (p.seed, 31, round_, t)), "merge-supers", after=supers)
         k = supers.count()
         gamma = concentration_update(rng, gamma, k, n_total, p.conc_a, p.conc_b, p.concentration)

@@ -94,7 +94,7 @@ def test_global_merge_does_not_depend_on_partitions_or_blocks(spark, monkeypatch
         first = None
         for parts, shuffle, bound in ((1, "8", 10**9), (7, "3", 10**9), (4, "8", 900)):
             spark.conf.set("spark.sql.shuffle.partitions", shuffle)
-            monkeypatch.setattr(G.batch_moves, "__defaults__", (True, None, bound))
+            monkeypatch.setattr(G.batch_moves, "__defaults__", (True, None, bound, None))
             model, mem, gamma = global_merge(ind.repartition(parts), p, 1.0, 4000, 0)
             got = (sorted(map(tuple, mem.collect())), [pytest.approx(v) for r in sorted(model.collect(), key=lambda r: r.cluster_id) for v in (r["size"], *r.y_mean, *r.phi)], gamma)
             first = first or got

@@ -4,7 +4,9 @@ DataFrame functions only. Documents are counted into cells (source, language, to
 map-side partial sums; raking then works on cells alone: each step scales the cells of
 every value of one dimension to that value's target. Rows of a cell share one sampling
 probability, the cell's raked weight over its tokens, scaled so that the largest is 1. A
-document is kept when a hash of its id, as a number in [0, 1), lies below it.
+document is kept when a hash of its id, as a number in [0, 1), lies below it. That scale
+makes the sample as small as the scarcest cell asks; with a token budget the rates are
+scaled to the budget instead, and a rate above 1 gives whole repeats and a hashed rest.
 """
 
 from __future__ import annotations
@@ -38,9 +40,13 @@ def draw(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), id_.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def rake(cells: DataFrame, targets: dict[str, dict] | None = None, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict] | None = None, power: float = POWER, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """``cells`` (the dimensions, tokens) with their raked ``weight``; weights add up to 1.
 
+    With a ``tolerance`` raking ends when no margin was further than that from its target,
+    relative to it, and raises after ``rounds`` rounds: margins that contradict each other
+    (a value that occurs in one cell only, wanted at two shares) have no solution.
+
     ``targets`` maps a dimension to the shares of its values (scaled to the values present;
     values without a share get none). Other dimensions aim at tokens ** power. Cells without
     tokens have no weight. Every step is written: it holds one row a cell.
@@ -62,18 +68,32 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, power: float
         whole = aim.agg(F.sum("share")).first()[0] or 1.0
         aims[d] = aim.select(F.col(d).alias("__v"), (F.col("share") / F.lit(float(whole))).alias("aim"))
     for _ in range(rounds):
+        worst = 0.0
         for d in DIMENSIONS:
             held = now.groupBy(F.col(d).alias("__v")).agg(F.sum("weight").alias("held"))
-            factor = held.join(aims[d], held["__v"].eqNullSafe(aims[d]["__v"])).select(held["__v"], F.when(F.col("held") > 0, F.col("aim") / F.col("held")).otherwise(0.0).alias("factor"))
+            met = held.join(aims[d], held["__v"].eqNullSafe(aims[d]["__v"]))
+            if tolerance is not None:
+                off = met.agg(F.max(F.when(F.col("aim") > 0, F.abs(F.col("held") - F.col("aim")) / F.col("aim")).otherwise(F.col("held")))).first()[0]
+                worst = max(worst, off or 0.0)
+            factor = met.select(held["__v"], F.when(F.col("held") > 0, F.col("aim") / F.col("held")).otherwise(0.0).alias("factor"))
             now = cut(now.join(factor, now[d].eqNullSafe(factor["__v"])).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight")), "raked", after=now if hasattr(now, "_cut_path") else None)
+        if tolerance is not None and worst <= tolerance:
+            return now
+    if tolerance is not None:
+        raise ValueError(f"margins still {worst:.3g} off their targets after {rounds} rounds")
     return now
 
 
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-        targets: dict[str, dict] | None = None, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
+        targets: dict[str, dict] | None = None, power: float = POWER, rounds: int = ROUNDS, tolerance: float | None = None, tokens: float | None = None) -> DataFrame:
     """(row, source, lang, topic, n_tokens, probability, kept): ``row`` is a struct of all
     columns of ``docs``; one row per input row.
 
+    ``tokens``: tokens of the sample, as an expected value. It adds ``rate``, the copies of a
+    row that are expected, and ``copies``: the whole part of the rate, and one more when the
+    draw lies below the rest. ``probability`` is then that of at least one copy.
+    ``tolerance``: see ``rake``.
+
     Defined cases: a null source or language is a value of its own; null, empty and blank texts
     have no tokens, probability 0 and are not kept; rows with a null id share one draw;
     repeated rows share a fate; an empty table gives an empty result.
@@ -84,16 +104,20 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
                        F.col(text_col).alias("__t"), words.alias("n_tokens"), F.col(id_col).alias("__id"))
     rows = rows.withColumn("topic", F.coalesce(topic(F.col("__t"), F.col("n_tokens")), F.lit("none")))
     cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    raked = rake(cells, targets, power, rounds)
+    raked = rake(cells, targets, power, rounds, tolerance)
     rate = raked.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], (F.col("weight") / F.col("tokens")).alias("rate"))
     n, top = raked.agg(F.count("*"), F.max(F.col("weight") / F.col("tokens"))).first()
-    rate = rate.withColumn("rate", F.col("rate") / F.lit(float(top or 1.0)))
+    rate = rate.withColumn("rate", F.col("rate") / F.lit(float(top or 1.0)) if tokens is None else F.col("rate") * F.lit(float(tokens)))
     if n * 128 <= BROADCAST_BYTES:
         rate = F.broadcast(rate)
     same = [rows[d].eqNullSafe(rate[f"__{d}"]) for d in DIMENSIONS]
     p = F.when(F.col("n_tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(0.0)
-    return (rows.join(rate, same[0] & same[1] & same[2], "left").withColumn("probability", p)
-            .select("row", *DIMENSIONS, "n_tokens", "probability", (draw(F.coalesce(F.col("__id").cast("string"), F.lit(""))) < F.col("probability")).alias("kept")))
+    u = draw(F.coalesce(F.col("__id").cast("string"), F.lit("")))
+    out = rows.join(rate, same[0] & same[1] & same[2], "left")
+    if tokens is None:
+        return out.withColumn("probability", p).select("row", *DIMENSIONS, "n_tokens", "probability", (u < F.col("probability")).alias("kept"))
+    out = out.withColumn("rate", p).withColumn("copies", F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long"))
+    return out.select("row", *DIMENSIONS, "n_tokens", F.least("rate", F.lit(1.0)).alias("probability"), (F.col("copies") > 0).alias("kept"), "rate", "copies")
 
 
 def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,39 @@ def test_rows(spark, docs):
     assert {(r["row"]["doc_id"], r["probability"], r["kept"]) for r in M.mix(spark, df).collect()} == {(None, 1.0, True), (1, 1.0, True)}
 
 
+def test_budget_does_not_follow_the_scarcest_cell(spark, docs):
+    tiny = spark.createDataFrame([(9999, "five words in a cell", "en", "its own", "x", 2)], docs.schema)
+    for df in (docs, docs.union(tiny)):
+        total = df.select(M.n_words(M.F.col("text")).alias("n")).agg({"n": "sum"}).first()[0]
+        got = M.mix(spark, df, tokens=total / 2).collect()
+        assert sum(r["rate"] * r["n_tokens"] for r in got) == pytest.approx(total / 2, rel=1e-9)
+        assert sum(r["copies"] * r["n_tokens"] for r in got) == pytest.approx(total / 2, rel=0.1)
+        for r in got:
+            u = int(hashlib.md5(f"mix:{r['row']['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
+            assert r["copies"] == int(r["rate"]) + (u < r["rate"] - int(r["rate"])) and r["kept"] == (r["copies"] > 0)
+    assert max(r["rate"] for r in got) > 1 and min(r["copies"] for r in got if r["row"]["doc_id"] == 9999) > 1
+    with_tiny = M.mix(spark, docs.union(tiny)).where("kept").count()  # without a budget the tiny cell sets the scale
+    assert with_tiny < M.mix(spark, docs).where("kept").count() / 2 < sum(r["kept"] for r in got)
+
+
+def test_rakes_to_a_tolerance(spark):
+    df = spark.createDataFrame([("a", "x", "t", 300), ("a", "y", "t", 10), ("b", "x", "t", 10), ("b", "y", "t", 300)], "source string, lang string, topic string, tokens long")
+    want = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.7, "y": 0.3}}
+
+    def worst(rows):
+        off = []
+        for d, aim in want.items():
+            for v, a in aim.items():
+                off.append(abs(sum(r["weight"] for r in rows if r[d] == v) - a) / a)
+        return max(off)
+
+    assert worst(M.rake(df, want).collect()) > 1e-3  # six rounds are not enough
+    assert worst(M.rake(df, want, rounds=20, tolerance=1e-3).collect()) <= 1e-3
+    odd = spark.createDataFrame([("a", "x", "t", 5), ("b", "y", "t", 5)], df.schema)
+    with pytest.raises(ValueError, match="off their targets"):
+        M.rake(odd, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.5, "y": 0.5}}, rounds=3, tolerance=1e-3)
+
+
 def test_plan_is_native(spark):
     plan = M.q_mixing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

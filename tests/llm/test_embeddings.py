@@ -60,3 +60,32 @@ def test_recall_on_the_table(spark):
     want = int(((x @ x.T >= 0.93) & (label[:, None] == label)).sum() - len(x))
     got = E.near_dedup(spark, df, cell_rows=128).agg({"n_links": "sum"}).first()[0]
     assert got <= want and got >= 0.99 * want
+
+
+def planted(pairs, d=64, seed=3):
+    """Random unit vectors, each followed by one at a cosine of 0.93 to 0.95."""
+    r = np.random.default_rng(seed)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    a = unit(r.normal(size=(pairs, d)))
+    z = r.normal(size=(pairs, d))
+    z = unit(z - (z * a).sum(axis=1, keepdims=True) * a)
+    c = r.uniform(0.9301, 0.95, size=(pairs, 1))
+    return a, c * a + np.sqrt(1 - c * c) * z
+
+
+def test_recall_with_many_cells(spark):
+    a, b = planted(3000)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([a, b]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = E.near_dedup(spark, df, cell_rows=6).agg({"n_links": "sum"}).first()[0]  # 1,000 cells
+    assert 0.998 * 6000 <= got <= 6000
+
+
+@pytest.mark.parametrize("k,rounds", [(20, 8), (200, 8), (2000, 3), (8000, 1)])
+def test_pairs_share_a_cell(monkeypatch, k, rounds):
+    monkeypatch.setattr(E, "ROUNDS", rounds)
+    a, b = planted(2000)
+    x = np.random.default_rng(4).normal(size=(32000, 64))
+    centres = E.fit_cells((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), k)
+    near_a, near_b = (E.nearest(m, centres, E.probes_for(k)) for m in (a, b))
+    assert (near_a[:, :, None] == near_b[:, None, :]).any(axis=(1, 2)).mean() >= 0.998

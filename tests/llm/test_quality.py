@@ -54,6 +54,20 @@ def test_keeps_prose_rejects_the_rest(spark):
     assert [got[i] for i in range(7)] == [True] * 4 + [False] * 3
 
 
+def test_incompressible_passages_reject():
+    import base64
+
+    r = random.Random(7)
+    vocabulary = ["".join(r.choices("etaoinshrdlu", k=r.randint(2, 9))) for _ in range(4000)]
+    prose = lambda n: " ".join(r.choices(vocabulary, k=n))[:n].encode()
+    noise = lambda n: base64.b64encode(r.randbytes(n))[:n]
+    kept = lambda raw: Q.bands(raw, zstandard.ZstdCompressor(level=3))[3]
+    for n in (600, 1000, 1900, 2047, 2048, 3000, 4000, 38000):
+        assert all(kept(prose(n)) for _ in range(20)), n
+    mixed = [prose(20000) + noise(18000), noise(18000) + prose(20000), prose(2100) + noise(1900), prose(1100) + noise(800), prose(10000) + noise(6000) + prose(20000)]
+    assert not any(map(kept, mixed))
+
+
 def test_no_rows_null_ids_repeats(spark):
     df = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string")
     assert Q.quality(spark, df.where("false")).count() == 0

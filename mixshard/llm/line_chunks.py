@@ -9,6 +9,10 @@ Only keys (two hashes, id, position) are shuffled for the search; texts of repea
 chunks are met in place while the list of repeated keys fits a checked broadcast, and are
 shuffled beyond it. A chunk that a third of all rows hold is one key with map-side
 partial aggregates.
+
+Chunks miss repeated passages that hold no whole chunk, and the ends of others
+(``dedup_lines``, the query). ``dedup_runs`` looks at every pair of neighbouring lines
+instead and finds repeated runs whole, with a key for each line.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from mixshard.session import cut, prepare_session
 #: A border follows a line when the rolling hash of it and the line before leaves 0 modulo
 #: DIVISOR: chunks have DIVISOR lines on average. Chunks below LEAST lines are never removed.
 DIVISOR, FACTOR, LEAST = 3, 31, 2
+#: A line of this many words is a run by itself.
+LONE_WORDS = 50
 
 
 def line_hash(line: Column) -> Column:
@@ -81,6 +87,58 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
                          F.when(t.isNull(), 0).otherwise(F.col("__new.n")).cast("long").alias("n_chunks"), F.coalesce("removed", F.lit(0)).cast("long").alias("removed_lines"))
 
 
+def windows(text: Column, words: int = LONE_WORDS) -> Column:
+    """array<struct<pos, lines, body>>: pairs of neighbouring lines that hold a word, and lines of
+    ``words`` words or more; null for a null text."""
+    one = lambda body, pos, n: F.struct(pos.cast("long").alias("pos"), F.lit(n).cast("long").alias("lines"), body.alias("body"))
+
+    def found(lines: Column) -> Column:
+        rest = F.size(lines) - 1
+        pairs = F.zip_with(F.slice(lines, F.lit(1), rest), F.slice(lines, F.lit(2), rest), lambda a, b: F.concat_ws("\n", a, b))
+        pairs = F.filter(F.transform(pairs, lambda b, i: one(b, i, 2)), lambda w: F.rlike(w["body"], F.lit(r"[^\x20\x09-\x0D]")))
+        lone = F.filter(F.transform(lines, lambda b, i: one(b, i, 1)), lambda w: F.regexp_count(w["body"], F.lit(r"[^\x20\x09-\x0D]+")) >= words)
+        return F.concat(pairs, lone)
+
+    return F.when(text.isNotNull(), let(F.split(text, "\n", -1), found))
+
+
+def dedup_runs(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = LONE_WORDS) -> DataFrame:
+    """``docs`` without its repeated runs of lines in ``text_col``, plus ``n_lines`` and
+    ``removed_lines`` (columns of these names are replaced).
+
+    A run is two neighbouring lines or more, or one line of ``words`` words. A line goes when
+    it stands in a run that occurred before (by id, nulls last, then position) and in no run
+    that occurs again later and stands there first: the first occurrence of every run stays
+    whole. Other defined cases as in ``dedup_lines``.
+    """
+    prepare_session(spark)
+    text, id_ = F.col(text_col), F.col(id_col).cast("long")
+    rid = F.xxhash64(id_, text)
+    key = ["k1", "k2", "lines"]
+    each = docs.select(id_.alias("id"), rid.alias("rid"), F.explode(windows(text, words)).alias("w")).select("id", "rid", "w.pos", "w.lines", "w.body", F.xxhash64("w.body").alias("k1"), F.xxhash64(F.lit(17), "w.body").alias("k2"))
+    keys = cut(each.drop("body"), "run-keys")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid", "pos")
+    again = cut(keys.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select(*key, "first"), "runs-again")
+    # the bytes of every repeated run: equal hashes must mean equal bodies
+    bodies = each.join(small(again.select(*key), 24), key, "left_semi")
+    alike = cut(bodies.groupBy(*key).agg((F.min("body") == F.max("body")).alias("alike")), "runs-alike")
+    seen = keys.join(small(again.join(alike.where("alike"), key), 80), key).select("rid", "pos", "lines", (place == F.col("first")).alias("stays"))
+    if not alike.where("not alike").isEmpty():  # different bodies under one hash: compare the bodies themselves
+        odd = bodies.join(alike.where("not alike"), key, "left_semi")
+        first = odd.groupBy(*key, "body").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+        seen = seen.unionByName(odd.join(first, [*key, "body"]).select("rid", "pos", "lines", (place == F.col("first")).alias("stays")))
+    seen = seen.select("rid", "stays", F.explode(F.sequence("pos", F.col("pos") + F.col("lines") - 1)).alias("pos"))
+    seen = seen.groupBy("rid", "pos").agg(F.max("stays").alias("stays")).where("not stays")
+    gone = cut(seen.groupBy("rid").agg(F.collect_list("pos").alias("gone")).withColumnRenamed("rid", "__rid"), "runs-gone")
+    rest = [c for c in docs.columns if c not in ("n_lines", "removed_lines")]
+    joined = docs.select(F.struct(*[F.col(c) for c in rest]).alias("__row"), rid.alias("__rid")).join(gone, "__rid", "left")
+    t = F.col("__row").getField(text_col)
+    left = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0).cast("long"), F.size(lines).cast("long") - 1), F.col("gone")), lambda i: F.get(lines, i.cast("int")))
+    new = F.when(F.col("gone").isNull(), t).otherwise(let(F.split(t, "\n", -1), lambda lines: F.array_join(left(lines), "\n")))
+    return joined.select(*[(new if c == text_col else F.col("__row").getField(c)).alias(c) for c in rest],
+                         F.coalesce(F.size(F.split(t, "\n", -1)), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("removed_lines"))
+
+
 def q_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without repeated multi-line chunks."""
     return dedup_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "text", "n_lines", "n_chunks", "removed_lines")

@@ -63,6 +63,24 @@ def test_shifted_passage_is_found(spark):
     assert got[0] == 0 and all(got[i] >= 28 for i in range(1, 12))
 
 
+def test_whole_runs_go(spark):
+    """Passages of 1 to 40 lines between neighbours of their own: all lines of all later copies go."""
+    passages = {k: [f"{k} {i} " + " ".join(f"w{j}" for j in range(60 if k == 1 else 3)) for i in range(k)] for k in (1, 2, 3, 4, 6, 8, 12, 40)}
+    rows = [(n, "\n".join(x for k, p in passages.items() for x in (f"own {n} {k}", *p)) + f"\nend {n}") for n in range(6)]
+    rows += [(6, None), (7, ""), (8, "\n\n\n"), (9, "\n\n\n"), (10, "\n".join(["same"] * 5)), (11, "x\ny\nz"), (12, "y\nz\nq"), (13, "x\ny"), (14, "z\nq")]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["removed_lines"]) for r in C.dedup_runs(spark, df).collect()}
+    lines = sum(passages)
+    assert got[0] == (rows[0][1], lines + len(passages) + 1, 0)
+    for n in range(1, 6):
+        assert got[n] == ("\n".join([f"own {n} {k}" for k in passages] + [f"end {n}"]), lines + len(passages) + 1, lines)
+    assert [got[n] for n in range(6, 11)] == [(None, 0, 0), ("", 1, 0), ("\n\n\n", 4, 0), ("\n\n\n", 4, 0), ("same\nsame", 5, 3)]
+    # z q stands in 12 first and in 14 again: it stays whole in 12
+    assert [got[n][0] for n in range(11, 15)] == ["x\ny\nz", "z\nq", "", ""]
+    missed = sum(lines - r["removed_lines"] for r in C.dedup_lines(spark, spark.createDataFrame(rows[:6], df.schema)).collect() if r["doc_id"])
+    assert missed > 0  # the chunk rule leaves some of them
+
+
 def test_repeats_null_ids_no_rows(spark):
     t = "\n".join(f"line {i}" for i in range(20))
     df = spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string")

@@ -37,7 +37,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9][0-9\x01]{12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 GENERATORS = {
-    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,255}+[0-9])[A-Za-z0-9+/_-]{12,256}+(?![A-Za-z0-9+/_-])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+",
     "number": r"(?<![0-9A-Za-z+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{2,6}(?![0-9A-Za-z])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hidden_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,12}",
@@ -149,6 +149,19 @@ def labelled_candidates() -> list[tuple[str, str, str, int]]:
                 ("account", b, pick(up, 2) + pick(digits, 2) + pick(up, 12), 0), ("account", b, pick(up, 2) + pick(digits, 2) + " " + pick(up, 4) + " " + pick(up, 4) + " " + pick(up, 4), 0),
                 ("hidden_email", b, f"{pick(low, 5)} (at) {pick(low, 5)} (dot) com", 1), ("hidden_email", b, f"{pick(low, 5)}.{pick(digits, 2)}[at]{pick(low, 5)}[dot]org", 1),
                 ("hidden_email", b, f"{pick(up, 1)} (at) {pick(digits, 2)} (dot) {pick(up, 9)}", 0)]
+    # long keys and keys without a digit, and the words, paths and rules that look like them
+    r, word = random.Random(5), lambda: pick(low, r.randint(3, 9))
+    pick = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    for i in range(30):
+        b = r.choice(plain)
+        k = b + r.choice(["password=", "token = \"", "secret: ", "api_key=", "Bearer ", "pwd="])
+        out += [("secret", r.choice([b, k]), pick(low + up + digits + "-_", 342), 1), ("secret", r.choice([b, k]), pick(low + up + digits + "+/", r.randint(257, 1600)), 1),
+                ("secret", k, pick("0123456789abcdef", r.choice([256, 512])), 1), ("secret", k, pick(low + up, r.randint(16, 44)), 1), ("secret", b, pick(low + up, r.randint(28, 64)), 1),
+                ("secret", b, pick(low, r.randint(12, 24)), 0), ("secret", b, pick(up, 1) + pick(low, r.randint(11, 20)), 0), ("secret", b, pick(up, r.randint(12, 24)), 0),
+                ("secret", b, "-".join(word() for _ in range(r.randint(3, 40))), 0), ("secret", b, "/" + "/".join(word() for _ in range(r.randint(3, 60))), 0),
+                ("secret", b, "".join(word().title() for _ in range(r.randint(2, 5))), 0), ("secret", b, "_".join(word().upper() for _ in range(r.randint(2, 6))), 0),
+                ("secret", b, "/".join(word() + r.choice(["", str(r.randint(1, 99))]) for _ in range(r.randint(30, 80))), 0),
+                ("secret", b, r.choice("-_/+xA0") * r.randint(12, 3000), 0), ("secret", b, word() * r.randint(12, 200), 0), ("secret", b, pick(digits, r.randint(257, 900)), 0)]
     return out
 
 
@@ -249,7 +262,7 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
                                                             F.substring(F.col("text"), (x["start"] + 1).cast("int"), F.length(x["s"])).alias("s")))
     base = base_spans(text)
     rows = rows.select("id", "text", *[c.alias(f"b_{k}") for k, c in base.items()],
-                       *[spans(text, GENERATORS[k], F.rlike(text, F.lit(r"[\[(](?:at|AT)[\])]")) if k == "hidden_email" else F.rlike(text, F.lit("[0-9]"))).alias(f"g_{k}") for k in ADDED])
+                       *[spans(text, GENERATORS[k], F.lit(True) if k == "secret" else F.rlike(text, F.lit(r"[\[(](?:at|AT)[\])]")) if k == "hidden_email" else F.rlike(text, F.lit("[0-9]"))).alias(f"g_{k}") for k in ADDED])
     fitted = models(spark)
 
     def selected(kind: str) -> Column:

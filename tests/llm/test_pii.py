@@ -83,6 +83,19 @@ def test_added_spans(spark):
     assert [got[len(private) + i] for i in range(len(clean))] == [0] * len(clean)
 
 
+def test_long_keys_and_keys_without_a_digit(spark):
+    r = random.Random(11)
+    key = lambda n, more="": "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + more, k=n))
+    private = [key(342, "0123456789-_"), key(257, "0123456789+/"), key(1500, "0123456789+/"), key(20000, "0123456789+/"), key(24), key(40)]
+    clean = ["internationalization and Verantwortlichkeiten", "-" * 80, "_" * 300, "a/path/of/many/words/to/a/file", "AbstractFactoryBuilder MAX_BUFFER_LENGTH", "aaaaaaaaaaaaaaaa" * 50, "/" * 5000,
+             "long-slug-of-a-page-about-nothing-at-all-in-many-words", "counterrevolutionaries", "UNCHARACTERISTICALLY"]
+    df = spark.createDataFrame(list(enumerate([f"the api_key={k} ok" for k in private] + clean)), "doc_id long, text string")
+    got = {r["id"]: [s["s"] for s in r["added"]] for r in P.find(spark, df).collect()}
+    # the run starts after "api_key=" and is found whole
+    assert [got[i] for i in range(len(private))] == [[k] for k in private]
+    assert [got[len(private) + i] for i in range(len(clean))] == [[]] * len(clean)
+
+
 def test_models_are_calibrated(spark):
     for kind, (model, least) in P.models(spark).items():
         assert model[1] and 0 <= least < 10, kind

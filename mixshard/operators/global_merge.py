@@ -14,7 +14,8 @@ Two forms, chosen by the caller and never by the number of rows:
   independent, so the result does not depend on partitioning. Sweeps take turns: in
   one individuals may only join larger superclusters (smaller ids on equal sizes), in
   the next only smaller ones, else neighbours would swap places for ever; one that is
-  alone only joins a larger one. Sweeps end early after ``QUIET`` sweeps without a move.
+  alone only joins a larger one. All ``global_sweeps`` run:
+  centres are drawn anew in each, so one after quiet sweeps can still move (``quiet_sweeps`` ends early).
 - ``sequential``: one individual after the other, centres as they stand, in one task
   (the reference's form). It raises above ``MAX_SEQUENTIAL`` individuals.
 """
@@ -41,8 +42,6 @@ from mixshard.session import cut
 
 # Individuals the sequential form takes; its cost is quadratic in them, in one task.
 MAX_SEQUENTIAL = 5000
-# Sweeps without a move after which the batch form ends: one in each direction.
-QUIET = 2
 
 MERGE_SCHEMA = (
     "kind STRING, ind_id INT, sc_id INT, size DOUBLE, y_mean ARRAY<DOUBLE>, "
@@ -256,9 +255,10 @@ def _batch(individuals: DataFrame, p: DPMParams, gamma: float, n_total: int, rou
         supers = cut(_refresh(moved, priors, dim, p, (p.seed, 31, round_, t)), "merge-supers", after=supers)
         k = supers.count()
         gamma = concentration_update(rng, gamma, k, n_total, p.conc_a, p.conc_b, p.concentration)
-        quiet = quiet + 1 if moved.where("c <> was").isEmpty() else 0
+        if p.quiet_sweeps and not sample:
+            quiet = quiet + 1 if moved.where("c <> was").isEmpty() else 0
         cur = moved.drop("was")
-        if quiet >= QUIET and not sample:
+        if p.quiet_sweeps and quiet >= p.quiet_sweeps:
             break
     # dense ids in id order: one row per supercluster, a table of the model's size
     dense = supers.withColumn("cluster_id", (F.row_number().over(Window.orderBy("sc_id")) - 1).cast("int"))

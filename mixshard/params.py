@@ -19,6 +19,8 @@ class DPMParams:
     local_candidates: int = 3
     local_sweeps: int = 10
     global_sweeps: int = 40
+    #: batch merge: end before global_sweeps after so many sweeps without a move (None: never)
+    quiet_sweeps: int | None = None
     conc_a: float = 1.0
     conc_b: float = 0.5
     # Choices where the reference is ambiguous or buggy (see README "Decisions").
@@ -36,6 +38,8 @@ class DPMParams:
             raise ValueError("assign must be 'argmax' or 'sample'")
         if self.concentration not in ("rate", "scale"):
             raise ValueError("concentration must be 'rate' or 'scale'")
+        if self.quiet_sweeps is not None and self.quiet_sweeps < 1:
+            raise ValueError("quiet_sweeps must be at least 1, or None")
         if self.local_candidates < 1:
             raise ValueError("need at least one local candidate")
         return self

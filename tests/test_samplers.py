@@ -121,6 +121,20 @@ def test_global_merge_forms_agree_on_separate_summaries(spark):
     assert groups[0] == groups[1] and len(groups[0]) == 5
 
 
+def test_batch_merge_runs_all_sweeps(spark, monkeypatch):
+    """No move does not end the merge unless quiet_sweeps asks for it."""
+    from mixshard.operators import global_merge as G
+
+    ind = spark.createDataFrame([(i, 10.0, [100.0 * i, 0.0], [100.0 * i, 0.0], [0.0, 0.0], 1e4) for i in range(4)],
+                                "ind_id INT, size DOUBLE, y_mean ARRAY<DOUBLE>, phi ARRAY<DOUBLE>, prior_mean ARRAY<DOUBLE>, prior_var DOUBLE")
+    moves, calls = G.batch_moves, []
+    monkeypatch.setattr(G, "batch_moves", lambda *a, **k: calls.append(1) or moves(*a, **k))
+    for quiet, want in ((None, 5), (2, 2)):
+        calls.clear()
+        model, _, _ = G.global_merge(ind, DPMParams(E=1.0, S=1e4, seed=1, global_sweeps=5, quiet_sweeps=quiet), 1.0, 40, 0)
+        assert len(calls) == want and model.count() == 4
+
+
 def test_sequential_merge_raises_above_its_bound(spark, monkeypatch):
     import mixshard.operators.global_merge as G
 

@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from mixshard.plans.oracle import SQL
-from conftest import SF_SMALL
+from library_support import SF_SMALL
 
 TABLES = "part lineitem embeddings".split()
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, planted
+from library_support import SF_SMALL, planted
 from mixshard.operators.score import best_cluster, prior_log_weight
 from mixshard.operators.sweep import point_labels, run_sweep
 from mixshard.params import DPMParams

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import planted
+from library_support import planted
 from mixshard.functions.draws import dirichlet_weights, keyed_gamma
 from mixshard.operators.global_merge import global_merge
 from mixshard.operators.merge import merge_same_id
@@ -298,7 +298,7 @@ def test_fit_leaves_no_tables_and_keeps_every_round(spark):
 
 
 def test_registered_fit_is_distributed(spark):
-    from conftest import SF_SMALL
+    from library_support import SF_SMALL
     from mixshard.plans.catalog import _fit
 
     a = _fit(spark, SF_SMALL).assignments

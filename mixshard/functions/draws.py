@@ -7,6 +7,7 @@ via ``rng_for``, inside the grouped samplers.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -49,6 +50,18 @@ def keyed_uniforms(*key: Column) -> tuple[Column, Column]:
     return part(1), part(14)
 
 
+def keyed_uniforms_of(*key: int) -> tuple[float, float]:
+    """``keyed_uniforms`` of one key, outside a column."""
+    h = hashlib.md5(":".join(map(str, key)).encode()).hexdigest()
+    return (int(h[:13], 16) + 0.5) / float(1 << 52), (int(h[13:26], 16) + 0.5) / float(1 << 52)
+
+
+def normal_of(*key: int) -> float:
+    """The standard normal that ``keyed_normal_vector`` draws for (seed, stream, keys, coordinate)."""
+    u, v = keyed_uniforms_of(*key)
+    return math.sqrt(-2.0 * math.log(u)) * math.cos(2.0 * math.pi * v)
+
+
 def keyed_normal_vector(mean: Column, var: Column, seed: int, stream: int, *keys: Column) -> Column:
     """mean + sqrt(var) * z with z ~ N(0, I), per row (RND-4), in built-in functions: a
     Box-Muller draw from the hash of (seed, stream, keys, coordinate)."""

@@ -8,7 +8,8 @@ supercluster's mean, centre (a posterior draw) and gamma.
 
 Two forms, chosen by the caller and never by the number of rows:
 
-- ``batch`` (default): a sweep is one distributed step. All individuals are scored
+- ``batch`` (default): a sweep is one distributed step, one Spark job where the summaries'
+  sums fit the driver (``resident_merge``), two written tables beyond. All individuals are scored
   against the superclusters of the sweep's start by a matrix product per batch, and
   one aggregate refreshes the superclusters. Given the centres the moves are
   independent, so the result does not depend on partitioning. Sweeps take turns: in
@@ -36,9 +37,10 @@ from mixshard.functions.frames import conform
 from mixshard.functions.matrix import centred, sq_distances
 from mixshard.functions.vectors import posterior_mean, posterior_var, safe_log, vector_weighted_mean, zero_vector
 from mixshard.operators.model import MAX_MODEL_BYTES, ModelStats, model_stats
+from mixshard.operators.resident_merge import RESIDENT_BYTES, merge_resident, resident_bytes
 from mixshard.operators.score import _model_blocks
 from mixshard.params import DPMParams
-from mixshard.session import cut
+from mixshard.session import cut, prepare_session
 
 # Individuals the sequential form takes; its cost is quadratic in them, in one task.
 MAX_SEQUENTIAL = 5000
@@ -239,12 +241,14 @@ def _refresh(cur: DataFrame, priors: DataFrame, dim: int, p: DPMParams, draw: tu
     return s.withColumn("phi", phi)
 
 
-def _batch(individuals: DataFrame, p: DPMParams, gamma: float, n_total: int, round_: int) -> tuple[DataFrame, DataFrame, float]:
+def _batch(individuals: DataFrame, p: DPMParams, gamma: float, n_total: int, round_: int, resident_max: int) -> tuple[DataFrame, DataFrame, float]:
     base = cut(individuals.select(F.col("ind_id").cast("long").alias("ind_id"), "size", "y_mean", "phi", "prior_mean", "prior_var"), "merge-base")
     r = base.agg(F.max("ind_id").alias("m"), F.first(F.size("y_mean")).alias("d"), F.count(F.lit(1)).alias("k")).first()
     if r["m"] is None:
         raise ValueError("no individuals to merge")
     span, dim, k = int(r["m"]) + 1, int(r["d"]), int(r["k"])
+    if resident_bytes(k, dim) <= resident_max:
+        return merge_resident(base, k, dim, span, p, gamma, n_total, round_)
     priors = base.select(F.col("ind_id").alias("sc_id"), "prior_mean", "prior_var")
     cur = base.select("ind_id", "size", "y_mean", "phi", F.col("ind_id").alias("c"))
     supers = cut(_refresh(cur, priors, dim, p, (p.seed, 31, round_, -1)), "merge-supers")
@@ -268,14 +272,19 @@ def _batch(individuals: DataFrame, p: DPMParams, gamma: float, n_total: int, rou
 
 
 def global_merge(individuals: DataFrame, p: DPMParams, gamma: float, n_total: int, round_: int,
-                 method: str = "batch") -> tuple[DataFrame, DataFrame, float]:
+                 method: str = "batch", resident_max: int = RESIDENT_BYTES) -> tuple[DataFrame, DataFrame, float]:
     """Merge individuals into superclusters. Returns (model, ind_to_cluster, gamma).
 
     ``model``: (cluster_id, size, y_mean, phi, prior_mean, prior_var) where the prior
     for the next round is the posterior computed here (the reference's choice);
-    ``ind_to_cluster``: (ind_id, cluster_id). ``method``: ``batch`` or ``sequential``.
+    ``ind_to_cluster``: (ind_id, cluster_id). ``method``: ``batch`` or ``sequential``. A
+    batch merge whose individuals' sums fit ``resident_max`` bytes is one job a sweep; beyond
+    it every sweep writes its moves and superclusters as tables (same model, tested).
     """
     if method not in ("batch", "sequential"):
         raise ValueError("method must be 'batch' or 'sequential'")
+    prepare_session(individuals.sparkSession)
     cur = individuals.select("ind_id", "size", "y_mean", "phi", "prior_mean", "prior_var")
-    return (_batch if method == "batch" else _sequential)(cur, p, gamma, n_total, round_)
+    if method == "batch":
+        return _batch(cur, p, gamma, n_total, round_, resident_max)
+    return _sequential(cur, p, gamma, n_total, round_)

@@ -95,7 +95,7 @@ def test_global_merge_does_not_depend_on_partitions_or_blocks(spark, monkeypatch
         for parts, shuffle, bound in ((1, "8", 10**9), (7, "3", 10**9), (4, "8", 900)):
             spark.conf.set("spark.sql.shuffle.partitions", shuffle)
             monkeypatch.setattr(G.batch_moves, "__defaults__", (True, None, bound, None))
-            model, mem, gamma = global_merge(ind.repartition(parts), p, 1.0, 4000, 0)
+            model, mem, gamma = global_merge(ind.repartition(parts), p, 1.0, 4000, 0, resident_max=0)
             got = (sorted(map(tuple, mem.collect())), [pytest.approx(v) for r in sorted(model.collect(), key=lambda r: r.cluster_id) for v in (r["size"], *r.y_mean, *r.phi)], gamma)
             first = first or got
             assert got[0] == first[0] and got[2] == pytest.approx(first[2])
@@ -131,7 +131,8 @@ def test_batch_merge_runs_all_sweeps(spark, monkeypatch):
     monkeypatch.setattr(G, "batch_moves", lambda *a, **k: calls.append(1) or moves(*a, **k))
     for quiet, want in ((None, 5), (2, 2)):
         calls.clear()
-        model, _, _ = G.global_merge(ind, DPMParams(E=1.0, S=1e4, seed=1, global_sweeps=5, quiet_sweeps=quiet), 1.0, 40, 0)
+        p = DPMParams(E=1.0, S=1e4, seed=1, global_sweeps=5, quiet_sweeps=quiet)
+        model, _, _ = G.global_merge(ind, p, 1.0, 40, 0, resident_max=0)
         assert len(calls) == want and model.count() == 4
 
 

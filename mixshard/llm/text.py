@@ -9,7 +9,6 @@ the bound is a batch of its own and is still processed whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,6 @@ TASK_BYTES = 4 << 20
 
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15 | 1)
-_R_INV = _U(pow(int(_R), -1, 1 << 64))
 
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -38,22 +36,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes whose places are mixed at once.
+_MIX_BYTES = 1 << 16
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _R)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _R, np.uint64), np.full(n, _R_INV, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R^0..R^(n-1) and their inverses modulo 2^64 (tables grow in powers of two)."""
-    up, down = _powers(1 << max(16, int(n).bit_length()))
-    return up[:n], down[:n]
-
-
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one holds at most ``most`` bytes of text (or one text)."""
     most = most or TASK_BYTES
@@ -105,13 +92,24 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of each byte span (polynomial prefix sums, so cost is per byte, not per span)."""
+    """64-bit hash of each byte span (spans in order, none overlapping).
+
+    The sum of a mixed number for every (byte, place in the span): unlike a polynomial modulo
+    2^64 it has no texts that always collide (a Thue-Morse word and its complement do there).
+    Cost is per byte, not per span; the mixing runs over blocks that stay in the cache."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = powers(len(buf) + 1)
+    value = _BYTE_VALUES[_ASCII_LOWER] if lower else _BYTE_VALUES
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_BYTE_VALUES[_ASCII_LOWER] if lower else _BYTE_VALUES)[buf] * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for lo in range(0, len(buf), _MIX_BYTES):
+        hi = min(lo + _MIX_BYTES, len(buf))
+        a, b = np.searchsorted(starts, (lo, hi), side="right")
+        first = starts[max(a - 1, 0): max(b, 1)]  # spans that may reach into [lo, hi)
+        own = np.repeat(first, np.diff(np.concatenate([[lo], np.maximum(first[1:], lo), [hi]])))
+        place = (np.arange(lo, hi) - own).astype(np.uint64)  # before the first span: never summed
+        total[lo + 1: hi + 1] = mix(value[buf[lo:hi]] ^ place * _R)
+    np.cumsum(total, out=total)
+    return mix((total[ends] - total[starts]) + (ends - starts).astype(np.uint64) * _R)
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:

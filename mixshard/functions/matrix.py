@@ -36,11 +36,11 @@ def exact_sq_distances(x: np.ndarray, phi: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_of_block(x: np.ndarray, phi: np.ndarray, logw: np.ndarray, ids: np.ndarray, E: float
-                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def best_of_block(x: np.ndarray, phi: np.ndarray, logw: np.ndarray, ids: np.ndarray, E: float, with_sum: bool = True
+                  ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """(best score, its id, its squared distance, log-sum-exp) of each point over a block.
 
-    Lowest id on a tie; ``ids`` ascend."""
+    Lowest id on a tie; ``ids`` ascend. Without ``with_sum`` the last is None."""
     d2, err = sq_distances(x, *centred(phi))
     with np.errstate(invalid="ignore"):
         s = logw[None, :] - d2 / (2.0 * E)
@@ -58,6 +58,8 @@ def best_of_block(x: np.ndarray, phi: np.ndarray, logw: np.ndarray, ids: np.ndar
     t = x - phi[at]
     bd = (t * t).sum(axis=1)
     bs = logw[at] - bd / (2.0 * E)
+    if not with_sum:
+        return bs, ids[at], bd, None
     with np.errstate(invalid="ignore", divide="ignore"):
         shift = np.where(np.isfinite(top), top, 0.0)
         lse = shift + np.log(np.exp(s - shift[:, None]).sum(axis=1))

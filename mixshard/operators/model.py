@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,17 @@ def check_broadcast(stats: ModelStats, max_bytes: int = MAX_MODEL_BYTES) -> int:
     return -(-stats.est_bytes // max_bytes)
 
 
+def model_arrays(model: DataFrame, *numbers: str) -> tuple:
+    """(cluster ids ascending, centres, each of ``numbers``, by default ``logw``) as arrays, by way
+    of Arrow: 8 bytes a coordinate on the driver, as ``est_bytes`` counts. The caller bounds it."""
+    t = model.select("cluster_id", "phi", *(numbers or ("logw",))).toArrow().combine_chunks()
+    ids = t.column("cluster_id").to_numpy().astype(np.int64)
+    order = np.argsort(ids, kind="stable")
+    phi = t.column("phi").combine_chunks()
+    flat = np.asarray(phi.flatten().to_numpy(zero_copy_only=False), float)
+    return ids[order], flat.reshape(len(ids), len(flat) // max(1, len(ids)))[order], *(np.asarray(t.column(n).to_numpy(), float)[order] for n in numbers or ("logw",))
+
+
 def collect_model(model: DataFrame, max_bytes: int = MAX_DRIVER_BYTES) -> list:
     """Bring a model to the driver; raises before it does if its estimated bytes pass ``max_bytes``."""
     vec = next((c for c in ("phi", "y_mean") if c in model.columns), None)

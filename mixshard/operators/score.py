@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from mixshard.functions.centre_index import INDEX_CENTRES, CentreIndex
 from mixshard.functions.matrix import best_of_block, exact_sq_distances
 from mixshard.functions.vectors import safe_log
-from mixshard.operators.model import MAX_MODEL_BYTES, ModelStats, check_broadcast, collect_model, model_stats
+from mixshard.operators.model import MAX_MODEL_BYTES, ModelStats, check_broadcast, collect_model, model_arrays, model_stats
+from mixshard.session import prepare_session
 
 # Models with at most this many centre coordinates (K x d) are scored with
 # unrolled literal arithmetic: plain expressions stay inside whole-stage codegen.
@@ -83,20 +85,68 @@ def _model_blocks(model: DataFrame, stats: ModelStats, max_model_bytes: int):
     """The model's (ids, phi, logw) as broadcast arrays, in blocks that each stay under the
     byte bound: one block at a time is on the driver."""
     blocks = check_broadcast(stats, max_model_bytes)
-    has_w = "logw" in model.columns
-    m = model.select("cluster_id", "phi", *(["logw"] if has_w else []))
+    m = model.select("cluster_id", "phi", F.col("logw") if "logw" in model.columns else F.lit(0.0).alias("logw"))
     for b in range(blocks):
         part = m if blocks == 1 else m.where(F.pmod(F.col("cluster_id"), F.lit(blocks)) == b)
-        rows = sorted(part.collect(), key=lambda r: r["cluster_id"])
-        ids = np.array([r["cluster_id"] for r in rows], np.int64)
-        phi = np.array([r["phi"] for r in rows], float).reshape(len(rows), -1)
-        logw = np.array([r["logw"] if has_w else 0.0 for r in rows], float)
-        yield model.sparkSession.sparkContext.broadcast((ids, phi, logw))
+        arrays = model_arrays(part)
+        if len(arrays[0]):
+            yield model.sparkSession.sparkContext.broadcast(arrays)
 
 
 _BEST = "_bs double, _bid long, _bd double, _lse double"
 
 
+def _indexed(points: DataFrame, model: DataFrame, E: float, x: str, max_model_bytes: int, stats: ModelStats) -> DataFrame:
+    """``points`` plus the best cluster's (_bs, _bid, _bd), through an index over each block's
+    centres that skips what cannot win; a block starts from the best of the blocks before."""
+    cols = points.columns
+    at_x = cols.index(x)
+    schema = StructType([*points.schema.fields, StructField("_bs", DoubleType()), StructField("_bid", LongType()), StructField("_bd", DoubleType())])
+    out = points
+    for b, data in enumerate(_model_blocks(model, stats, max_model_bytes)):
+        ids, phi, logw = data.value
+        shared = points.sparkSession.sparkContext.broadcast((CentreIndex(ids, phi), logw))
+        data.destroy()
+        out = out.mapInArrow(_index_fn(shared, E, at_x, len(cols), b == 0, schema.names), schema)
+    return out
+
+
+def _index_fn(shared, E, at_x, n_cols, first, names):
+    def run(batches):
+        index, logw = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            pts = batch.column(at_x).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+            old = None if first else [batch.column(n_cols + i).to_numpy(zero_copy_only=False) for i in range(3)]
+            bs, bid, bd, _ = index.best(pts, logw, E, None if first else old[0])
+            if not first:
+                keep = (bid < 0) | (old[0] > bs) | ((old[0] == bs) & (old[1] < bid)) | (np.isnan(old[0]) & ~np.isnan(bs))
+                bs, bid, bd = (np.where(keep, o, v) for o, v in zip(old, (bs, bid, bd)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_cols], pa.array(bs), pa.array(bid, pa.int64()), pa.array(bd)], names=names)
+
+    return run
+
+
+def pruning_report(points: DataFrame, model: DataFrame, E: float, x: str = "x") -> DataFrame:
+    """One row (points, centres, products, computed): how many of the point x centre products the
+    index leaves (``model`` as for ``best_cluster``, within the broadcast bound)."""
+    stats = model_stats(model)
+    ids, phi, logw = next(_model_blocks(model, stats, stats.est_bytes + 1)).value
+    shared = points.sparkSession.sparkContext.broadcast((CentreIndex(ids, phi), logw))
+
+    def run(batches):
+        index, w = shared.value
+        for b in batches:
+            if b.num_rows:
+                done = index.best(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1), w, E)[3]
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([done], pa.int64())], names=["points", "computed"])
+
+    got = points.select(F.col(x).alias("x")).mapInArrow(run, "points long, computed long").agg(F.sum("points").alias("points"), F.sum("computed").alias("computed"))
+    return got.select("points", F.lit(stats.n_clusters).alias("centres"), (F.col("points") * stats.n_clusters).alias("products"), "computed")
+
+
 def _with_model(points: DataFrame, model: DataFrame, E: float, x: str, max_model_bytes: int, stats: ModelStats,
                 arrays: bool = False) -> DataFrame:
     """``points`` plus the best cluster's (_bs, _bid, _bd) and _lse over the whole model, and
@@ -170,10 +220,12 @@ def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
 
     ``model`` needs ``cluster_id, phi, logw``. Small models (K x d <= UNROLL_MAX_VALUES)
     become literal arithmetic, fully code-generated; larger ones are one matrix product per
-    Arrow batch against byte-bounded broadcast blocks (see ``_with_model``). Both give the
-    direct form's labels. ``with_resid`` adds ``resid`` = ||x - phi_c||^2 / E of the chosen
+    Arrow batch against byte-bounded broadcast blocks (see ``_with_model``), with many centres
+    only against the cells that can still win (``functions.centre_index``; probabilities need
+    all). All give the direct form's labels. ``with_resid`` adds ``resid`` = ||x - phi_c||^2 / E of the chosen
     cluster, so a residual sum of the MAP assignment needs no second pass or join.
     """
+    prepare_session(points.sparkSession)
     stats = model_stats(model)
     if stats.n_clusters == 0:
         raise ValueError("empty model")
@@ -182,6 +234,8 @@ def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
         rows = collect_model(model.select("cluster_id", "phi", "logw"))
         staged, bid, bs, lse, bd = _unrolled(points, rows, E, x)
         res = staged.select(*cols, bid.alias(out), bs.alias("_bs"), lse.alias("_lse"), bd.alias("_bd"))
+    elif stats.n_clusters >= INDEX_CENTRES and not with_prob:
+        res = _indexed(points, model, E, x, max_model_bytes, stats).withColumn(out, F.col("_bid").cast("int")).select(*cols, out, "_bs", "_bd")
     else:
         res = _with_model(points, model, E, x, max_model_bytes, stats).withColumn(out, F.col("_bid").cast("int"))
         res = res.select(*cols, out, "_bs", "_lse", "_bd")
@@ -198,6 +252,7 @@ def membership(points: DataFrame, model: DataFrame, E: float, x: str = "x",
                max_model_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
     """Posterior membership probabilities per row as ``probs ARRAY<DOUBLE>`` in id order,
     aligned with ``cluster_ids`` (WIN-1 / WIN-2): a stable softmax inside the row."""
+    prepare_session(points.sparkSession)
     sc = _with_model(points, model, E, x, max_model_bytes, model_stats(model), arrays=True)
     return sc.select(*points.columns, F.transform("_all", lambda t: t["cluster_id"]).alias("cluster_ids"),
                      F.transform("_all", lambda t: F.exp(t["s"] - F.col("_lse"))).alias("probs"))
@@ -205,6 +260,7 @@ def membership(points: DataFrame, model: DataFrame, E: float, x: str = "x",
 
 def squared_distances(points: DataFrame, model: DataFrame, x: str = "x", max_model_bytes: int = MAX_MODEL_BYTES) -> DataFrame:
     """Squared distance of each row to every centre, ``sqdists`` in id order (JN-1, SC-1)."""
+    prepare_session(points.sparkSession)
     j = _with_model(points, model.select("cluster_id", "phi"), 1.0, x, max_model_bytes, model_stats(model), arrays=True)
     return j.select(*points.columns, F.transform("_all", lambda t: t["cluster_id"]).alias("cluster_ids"),
                     F.transform("_all", lambda t: t["d2"]).alias("sqdists"))

@@ -310,6 +310,17 @@ def q_posterior_centers(spark, d):
     return pp.withColumn("phi", phi).select(F.col("ind_id").alias("cluster_id"), _r(F.col("post_var"), 9).alias("post_var"), _r(ps).alias("phi_sum"))
 
 
+def q_nearest_of_many(spark, d):
+    """Every line item to the nearest of all parts by (quantity or size, unit price): many centres,
+    so an index over them skips the cells that cannot win."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    centres = points_from_table(part, id_col="p_partkey", cols=["p_size", "p_retailprice"]).select(F.col("point_id").alias("cluster_id"), F.col("x").alias("phi"))
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    x = F.array(F.col("l_quantity").cast("double"), (F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")))
+    out = sc.nearest_center(li.select("l_orderkey", "l_linenumber", "l_partkey", x.alias("x")), centres)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "cluster_id")
+
+
 def _coverage(labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """(n_points, n_ids, total_size): what an assignment covers and what its clusters hold."""
     a = labels.agg(F.count(F.lit(1)).alias("n_points"), F.countDistinct("point_id").alias("n_ids"))
@@ -384,6 +395,7 @@ DETERMINISTIC = {
     "merge_sweep": q_merge_sweep,
     "posterior_centers": q_posterior_centers,
     "sequential_first_pass": q_sequential_first_pass,
+    "nearest_of_many": q_nearest_of_many,
     "sweep_coverage": q_sweep_coverage,
     "merge_coverage": q_merge_coverage,
     "fit_coverage": q_fit_coverage,

@@ -236,3 +236,11 @@ run(shard, k, point_id, c, sizes) AS (
                 lambda i: ln(r.sizes[i] + 1.0 * w.betas[i]) - o.ds[i] / (2.0 * CAST(0.015 AS DOUBLE))) AS sc
               FROM run r JOIN steps o ON o.shard = r.shard AND o.k = r.k + 1 CROSS JOIN w)))
 SELECT point_id, CAST(c AS INTEGER) AS cluster_id FROM run WHERE point_id IS NOT NULL"""
+
+SQL["nearest_of_many"] = """
+WITH x AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS b FROM lineitem),
+near AS (SELECT a, b, arg_min(CAST(p_partkey AS INTEGER), (d, p_partkey)) AS cluster_id FROM (
+  SELECT a, b, p_partkey, (a - CAST(p_size AS DOUBLE)) * (a - CAST(p_size AS DOUBLE)) + (b - CAST(p_retailprice AS DOUBLE)) * (b - CAST(p_retailprice AS DOUBLE)) AS d
+  FROM x CROSS JOIN part) GROUP BY a, b)
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, n.cluster_id
+FROM lineitem l JOIN near n ON n.a = CAST(l_quantity AS DOUBLE) AND n.b = CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)"""

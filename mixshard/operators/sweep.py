@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from mixshard.functions.draws import concentration_update, rng_for
 from mixshard.functions.frames import conform
 from mixshard.params import DPMParams
+from mixshard.session import prepare_session
 
 SWEEP_SCHEMA = (
     "kind STRING, shard INT, local_id INT, size DOUBLE, y_mean ARRAY<DOUBLE>, "
@@ -54,8 +55,12 @@ def _log(v: float) -> float:
 class _State:
     """Growing cluster table of one shard."""
 
-    def __init__(self, phi: np.ndarray, beta: np.ndarray, n_extra: int = 64):
+    def __init__(self, phi: np.ndarray, beta: np.ndarray, n_extra: int = 64, ids: np.ndarray | None = None, total: int | None = None):
         k0, d = phi.shape
+        # ids of the model's clusters that are here (all of them unless given) out of ``total``
+        self.ids = np.arange(k0) if ids is None else ids
+        self.total = k0 if total is None else total
+        self.alphas: list[float] = []  # every concentration that weighed a score
         cap = k0 + n_extra
         self.phi = np.zeros((cap, d))
         self.phi[:k0] = phi
@@ -69,6 +74,15 @@ class _State:
         self.pn[:k0] = ((phi - self.c0) ** 2).sum(1)
         self.k = k0
 
+    @property
+    def clusters(self) -> int:
+        """Clusters of the model and those opened here."""
+        return self.total + self.k - len(self.ids)
+
+    def names(self) -> np.ndarray:
+        """Cluster id of every row of the table: the model's, then new ones numbered after it."""
+        return np.concatenate([self.ids, np.arange(self.total, self.clusters)])
+
     def grow(self):
         cap = self.phi.shape[0] * 2
         for name in ("phi", "beta", "size", "pn"):
@@ -181,6 +195,7 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
     sq = math.sqrt(S)
     log = math.log
     for _ in range(p.local_sweeps):
+        st.alphas.append(alpha)
         k = st.k
         ab = alpha * st.beta  # capacity-sized; entries for new clusters are set on opening
         lw = np.full(st.phi.shape[0], NEG_INF)
@@ -313,7 +328,7 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
                         sz = float(st.size[best]) + 1.0
                         st.size[best] = sz
                         lw[best] = log(sz + float(ab[best])) if sz + float(ab[best]) > 0 else NEG_INF
-        alpha = concentration_update(rng, alpha, st.k, n, p.conc_a, p.conc_b, p.concentration)
+        alpha = concentration_update(rng, alpha, st.clusters, n, p.conc_a, p.conc_b, p.concentration)
     return alpha, beta_u
 
 
@@ -334,6 +349,7 @@ def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
     log = math.log
     cl = c.tolist()
     for _ in range(p.local_sweeps):
+        st.alphas.append(alpha)
         k = st.k
         sizes = st.size[:k].tolist()
         ab = (alpha * st.beta[:k]).tolist()
@@ -419,7 +435,7 @@ def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
                     if vec and best < kb:
                         lw[best] = logw[best]
         st.size[: st.k] = sizes
-        alpha = concentration_update(rng, alpha, st.k, n, p.conc_a, p.conc_b, p.concentration)
+        alpha = concentration_update(rng, alpha, st.clusters, n, p.conc_a, p.conc_b, p.concentration)
     c[:] = cl
     return alpha, beta_u
 
@@ -448,9 +464,14 @@ def _rows(kind, shard, **cols) -> dict:
     return {"kind": kind, "shard": shard, **cols}
 
 
-def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float, mode: str):
+def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float, mode: str,
+                  total: int | None = None, alphas: tuple[float, float] | None = None):
     """The grouped function for one shard.
 
+    The model comes as a broadcast, or, where ``bmodel`` is None, as the shard's own part of it
+    (``large_sweep``): (ids, phi, beta) out of ``total`` clusters, which holds while the
+    concentration stays within ``alphas``; a row ``x`` reports where it did not.
+
     Without labels (round 0) it places the points in order first (CLU-3), then
     sweeps. With labels it first emits the quality partials of the labels it got
     (residual sum, contingency cells), then sweeps; ``mode='score'`` stops after
@@ -458,10 +479,10 @@ def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float
     """
     E = p.E
 
-    def run(points: pd.DataFrame, labels: pd.DataFrame | None) -> pd.DataFrame:
+    def run(points: pd.DataFrame, labels: pd.DataFrame | None, own: tuple | None = None) -> pd.DataFrame:
         if len(points) == 0:
             return pd.DataFrame(columns=[f.split()[0] for f in SWEEP_SCHEMA.split(", ")])
-        phi0, beta0 = bmodel.value
+        ids, phi0, beta0 = own if own is not None else (None, *bmodel.value)
         points = points.sort_values("point_id", kind="stable")
         shard = int(points["shard"].iat[0])
         pid = points["point_id"].to_numpy(np.int64)
@@ -473,11 +494,12 @@ def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float
         xnorm = (X * X).sum(1)
         lab = points["label"].to_numpy(dtype=object)
         n = len(pid)
-        st = _State(phi0, beta0)
+        st = _State(phi0, beta0, ids=ids, total=total)
         rng = rng_for(p.seed, 21, round_, shard)
         out = []
         if labels is None:
             alpha = p.alpha0
+            st.alphas.append(alpha)
             c = _initial_pass(X, xnorm, st, alpha, E)
         else:
             if labels["point_id"].duplicated().any():
@@ -486,21 +508,26 @@ def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float
             if lb["cluster_id"].isna().any():
                 raise ValueError(f"shard {shard}: points without a current cluster")
             c = lb["cluster_id"].to_numpy(np.int64)
+            if ids is not None:
+                c = np.searchsorted(ids, c)
             alpha = float(lb["alpha"].iat[0])
             st.size[: st.k] = np.bincount(c, minlength=st.k)[: st.k]
             rss, cells = _quality(X, c, lab, st.phi, E)
             out.append(_rows("s0", shard, rss=rss, n=n))
-            out += [_rows("q", shard, local_id=a, label=b, cnt=v) for a, b, v in cells]
+            out += [_rows("q", shard, local_id=int(st.ids[a]), label=b, cnt=v) for a, b, v in cells]
             if mode == "score":
                 return pd.DataFrame(out)
         a2, bu = _sweeps(X, xnorm, c, st, alpha, beta_u, gamma, p, rng)
-        ids, counts, means = _means(X, c)
-        for j, cnt, mu in zip(ids, counts, means):
-            out.append(_rows("c", shard, local_id=int(j), size=float(cnt), y_mean=mu, phi=st.phi[j].copy()))
-        out.append(_rows("s", shard, alpha=a2, beta_u=bu, n=n, local_id=int(st.k)))
+        if alphas is not None and not (alphas[0] <= min(st.alphas) and max(st.alphas) <= alphas[1]):
+            return pd.DataFrame([_rows("x", shard, alpha=min(st.alphas), beta_u=max(st.alphas))])
+        used, counts, means = _means(X, c)
+        names = st.names()
+        for j, cnt, mu in zip(used, counts, means):
+            out.append(_rows("c", shard, local_id=int(names[j]), size=float(cnt), y_mean=mu, phi=st.phi[j].copy()))
+        out.append(_rows("s", shard, alpha=a2, beta_u=bu, n=n, local_id=int(st.clusters)))
         for j in range(0, n, LABEL_CHUNK):
             out.append(_rows("p", shard, point_ids=pid[j:j + LABEL_CHUNK],
-                             local_ids=c[j:j + LABEL_CHUNK].astype(np.int32)))
+                             local_ids=names[c[j:j + LABEL_CHUNK]].astype(np.int32)))
         return pd.DataFrame(out)
 
     return run
@@ -521,6 +548,7 @@ def run_sweep(points: DataFrame, labels: DataFrame | None, bmodel, p: DPMParams,
     alpha). When both come partitioned by shard (the fit's bucketed tables) the
     co-group needs no exchange; otherwise Spark shuffles them by shard.
     """
+    prepare_session(points.sparkSession)
     fn = make_sweep_fn(bmodel, p, round_, gamma, beta_u, mode)
 
     def fix(pdf: pd.DataFrame) -> pd.DataFrame:

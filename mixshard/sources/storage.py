@@ -36,10 +36,19 @@ class Bucketed:
         delete_path(spark, self.path)
 
 
-def write_bucketed(df: DataFrame, shards: int, name: str, sort_by: str | None = None) -> Bucketed:
-    """Write ``df`` as an external table bucketed by ``shard``. Errors of the catalog surface."""
+def open_bucketed(spark: SparkSession, path: str, schema: str, shards: int, name: str) -> Bucketed:
+    """A table that ``write_bucketed`` left at ``path``, under a new name: its buckets count as
+    before, in whatever session wrote them. ``schema`` as DDL."""
+    table = f"mixshard_{name}_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet CLUSTERED BY (shard) INTO {bucket_count(spark, shards)} BUCKETS LOCATION '{path}'")
+    return Bucketed(table, path, spark.table(table))
+
+
+def write_bucketed(df: DataFrame, shards: int, name: str, sort_by: str | None = None, path: str | None = None) -> Bucketed:
+    """Write ``df`` as an external table bucketed by ``shard``, at ``path`` or in a fresh folder of
+    the checkpoint folder. Errors of the catalog surface."""
     spark: SparkSession = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     table = f"mixshard_{name}_{uuid.uuid4().hex[:12]}"
     w = df.write.mode("overwrite").format("parquet").option("path", path).bucketBy(bucket_count(spark, shards), "shard")
     if sort_by:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mixshard.functions.draws import concentration_update, keyed_normal_vector, rng_for
+from mixshard.functions.draws import concentration_of, keyed_normal_vector, rng_for
 from mixshard.functions.frames import conform
 from mixshard.functions.matrix import centred, sq_distances
 from mixshard.functions.vectors import posterior_mean, posterior_var, safe_log, vector_weighted_mean, zero_vector
@@ -83,7 +83,7 @@ def merge_sequential(pdf: pd.DataFrame, p: DPMParams, gamma: float, n_total: int
         phi[k] = mu + math.sqrt(v) * rng.standard_normal(d)
     c = np.arange(M)
     K = M
-    for _ in range(p.global_sweeps):
+    for t in range(p.global_sweeps):
         for i in range(M):
             ko = int(c[i])
             if count[ko] == 1:  # its own supercluster: remove it, ids above shift down
@@ -130,7 +130,7 @@ def merge_sequential(pdf: pd.DataFrame, p: DPMParams, gamma: float, n_total: int
         for k in range(K):
             mu, v = _posterior(size[k], ybar[k], pm[k], pv[k], E)
             phi[k] = mu + math.sqrt(v) * rng.standard_normal(d)
-        gamma = concentration_update(rng, gamma, K, n_total, p.conc_a, p.conc_b, p.concentration)
+        gamma = concentration_of(gamma, K, n_total, p.conc_a, p.conc_b, p.concentration, p.seed, 32, round_, t)
     rows = []
     for k in range(K):
         mu, v = _posterior(size[k], ybar[k], pm[k], pv[k], E)
@@ -252,13 +252,13 @@ def _batch(individuals: DataFrame, p: DPMParams, gamma: float, n_total: int, rou
     priors = base.select(F.col("ind_id").alias("sc_id"), "prior_mean", "prior_var")
     cur = base.select("ind_id", "size", "y_mean", "phi", F.col("ind_id").alias("c"))
     supers = cut(_refresh(cur, priors, dim, p, (p.seed, 31, round_, -1)), "merge-supers")
-    moved, rng, quiet = None, rng_for(p.seed, 31, round_, 0, 0), 0
+    moved, quiet = None, 0
     for t in range(p.global_sweeps):
         sample = (p.seed, 33, round_, t) if p.assign == "sample" else None
         moved = cut(batch_moves(cur, supers, p, gamma, F.col("ind_id") + F.lit(span * (t + 1)), t % 2 == 0, sample, stats=ModelStats(k, dim)), "merge-moves", after=moved)
         supers = cut(_refresh(moved, priors, dim, p, (p.seed, 31, round_, t)), "merge-supers", after=supers)
         k = supers.count()
-        gamma = concentration_update(rng, gamma, k, n_total, p.conc_a, p.conc_b, p.concentration)
+        gamma = concentration_of(gamma, k, n_total, p.conc_a, p.conc_b, p.concentration, p.seed, 32, round_, t)
         if p.quiet_sweeps and not sample:
             quiet = quiet + 1 if moved.where("c <> was").isEmpty() else 0
         cur = moved.drop("was")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixshard.functions.draws import concentration_update, keyed_uniforms_of, normal_of, rng_for
+from mixshard.functions.draws import concentration_of, keyed_uniforms_of, normal_of, rng_for
 from mixshard.functions.matrix import centred, sq_distances
 from mixshard.params import DPMParams
 from mixshard.session import cut
@@ -218,12 +218,12 @@ def merge_resident(base: DataFrame, n: int, dim: int, span: int, p: DPMParams, g
     """(model, ind_to_cluster, gamma) as ``global_merge`` gives them."""
     run = ResidentMerge(base, n, dim, span, p, round_)
     supers, _ = run.refresh((p.seed, 31, round_, -1))
-    rng, quiet = rng_for(p.seed, 31, round_, 0, 0), 0
+    quiet = 0
     for t in range(p.global_sweeps):
         sample = (p.seed, 33, round_, t) if p.assign == "sample" else None
         run.add(supers, gamma, t, sample)
         supers, moved = run.refresh((p.seed, 31, round_, t))
-        gamma = concentration_update(rng, gamma, len(supers.ids), n_total, p.conc_a, p.conc_b, p.concentration)
+        gamma = concentration_of(gamma, len(supers.ids), n_total, p.conc_a, p.conc_b, p.concentration, p.seed, 32, round_, t)
         quiet = quiet + 1 if p.quiet_sweeps and not sample and not moved else 0
         if p.quiet_sweeps and quiet >= p.quiet_sweeps:
             break

@@ -15,8 +15,8 @@ its size is bounded by how shards are chosen (``shard_count_for``). The model
 * argmax with the lowest id winning ties (reference behaviour), or a draw from
   the posterior when ``assign='sample'``.
 
-Random numbers come from a generator keyed by (seed, round, shard), so a retried
-task reproduces its rows exactly.
+Random numbers are hashes of (seed, round, shard, sweep, point, candidate): a retried task
+reproduces its rows exactly, and so does another engine that hashes alike.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mixshard.functions.draws import concentration_update, rng_for
+from mixshard.functions.draws import PointDraws
 from mixshard.functions.frames import conform
 from mixshard.params import DPMParams
 from mixshard.session import prepare_session
@@ -144,7 +144,9 @@ def _initial_pass(X, xnorm, st: _State, alpha: float, E: float) -> np.ndarray:
     return c
 
 
-def _new_phi(rng, x: np.ndarray, xn: float, z1: float, chi: float, S: float) -> np.ndarray:
+def _new_phi(w: np.ndarray, x: np.ndarray, xn: float, z1: float, chi: float, S: float) -> np.ndarray:
+    """The centre drawn through its component along ``x`` and the squared norm of the rest, whose
+    direction the normals ``w`` give."""
     d = x.shape[0]
     if xn > 0:
         u = x / math.sqrt(xn)
@@ -152,15 +154,14 @@ def _new_phi(rng, x: np.ndarray, xn: float, z1: float, chi: float, S: float) ->
         u = np.zeros(d)
         u[0] = 1.0
     if d > 1:
-        w = rng.standard_normal(d)
-        w -= (w @ u) * u
+        w = w - (w @ u) * u
         nw = math.sqrt(float(w @ w))
         w = w / nw if nw > 0 else w
         return math.sqrt(S) * (z1 * u + math.sqrt(chi) * w)
     return math.sqrt(S) * z1 * u
 
 
-def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, rng,
+def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, draws: PointDraws,
             prune: bool = True) -> tuple[float, float]:
     """``p.local_sweeps`` passes; mutates ``c`` and ``st``. Returns (alpha, beta_u).
 
@@ -168,15 +169,15 @@ def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float,
     less per-point Python); sample mode and ``prune=False`` take every point in turn.
     """
     if prune and p.assign == "argmax":
-        return _sweeps_pruned(X, xnorm, c, st, alpha, beta_u, gamma, p, rng)
-    return _sweeps_rowwise(X, xnorm, c, st, alpha, beta_u, gamma, p, rng)
+        return _sweeps_pruned(X, xnorm, c, st, alpha, beta_u, gamma, p, draws)
+    return _sweeps_rowwise(X, xnorm, c, st, alpha, beta_u, gamma, p, draws)
 
 
 # decisions closer than this (in log units) are never taken in bulk
 CERTAIN_EPS = 1e-7
 
 
-def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, rng
+def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, draws: PointDraws
                    ) -> tuple[float, float]:
     """Exact sweeps that settle most points in bulk.
 
@@ -194,7 +195,7 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
     E, S = p.E, p.S
     sq = math.sqrt(S)
     log = math.log
-    for _ in range(p.local_sweeps):
+    for t_sweep in range(p.local_sweeps):
         st.alphas.append(alpha)
         k = st.k
         ab = alpha * st.beta  # capacity-sized; entries for new clusters are set on opening
@@ -207,8 +208,7 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
             kb = st.k
             m = xb.shape[0]
             Lnp = _dist_block(xb, st, kb, E)
-            z1 = rng.standard_normal((m, H))
-            chi = rng.chisquare(d - 1, (m, H)) if d > 1 else np.zeros((m, H))
+            z1, chi = draws.candidates(t_sweep, slice(s, s + m), H, d)
             cand = -(xnb[:, None] - 2.0 * sq * np.sqrt(xnb)[:, None] * z1 + S * (z1 * z1 + chi)) / (2.0 * E)
             jc_all = cand.argmax(1)
             cv_all = cand[np.arange(m), jc_all]
@@ -264,8 +264,8 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
                         best, bs = j, v
                 jc = int(jc_all[t])
                 if float(cv_all[t]) + wa > bs:
-                    b = rng.beta(1.0, gamma)
-                    phi = _new_phi(rng, xb[t], float(xnb[t]), float(z1[t, jc]), float(chi[t, jc]), S)
+                    b, turn = draws.opening(t_sweep, i, gamma, d)
+                    phi = _new_phi(turn, xb[t], float(xnb[t]), float(z1[t, jc]), float(chi[t, jc]), S)
                     bnew = b * beta_u
                     cap = st.phi.shape[0]
                     kn = st.add(phi, bnew, 1.0)
@@ -308,8 +308,8 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
                             best, bs = j, v
                     jc = int(jc_all[t])
                     if float(cv_all[t]) + wa > bs:
-                        b = rng.beta(1.0, gamma)
-                        phi = _new_phi(rng, xb[t], float(xnb[t]), float(z1[t, jc]), float(chi[t, jc]), S)
+                        b, turn = draws.opening(t_sweep, i, gamma, d)
+                        phi = _new_phi(turn, xb[t], float(xnb[t]), float(z1[t, jc]), float(chi[t, jc]), S)
                         bnew = b * beta_u
                         cap = st.phi.shape[0]
                         kn = st.add(phi, bnew, 1.0)
@@ -328,11 +328,11 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
                         sz = float(st.size[best]) + 1.0
                         st.size[best] = sz
                         lw[best] = log(sz + float(ab[best])) if sz + float(ab[best]) > 0 else NEG_INF
-        alpha = concentration_update(rng, alpha, st.clusters, n, p.conc_a, p.conc_b, p.concentration)
+        alpha = draws.concentration(t_sweep, alpha, st.clusters, n, p)
     return alpha, beta_u
 
 
-def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, rng
+def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, draws: PointDraws
                     ) -> tuple[float, float]:
     """``p.local_sweeps`` passes, one point at a time; mutates ``c`` and ``st``.
 
@@ -348,7 +348,7 @@ def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
     sample = p.assign == "sample"
     log = math.log
     cl = c.tolist()
-    for _ in range(p.local_sweeps):
+    for t_sweep in range(p.local_sweeps):
         st.alphas.append(alpha)
         k = st.k
         sizes = st.size[:k].tolist()
@@ -362,13 +362,12 @@ def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
             Lnp = _dist_block(xb, st, kb, E)
             L = None if vec else Lnp.tolist()
             m = xb.shape[0]
-            z1 = rng.standard_normal((m, H))
-            chi = rng.chisquare(d - 1, (m, H)) if d > 1 else np.zeros((m, H))
+            z1, chi = draws.candidates(t_sweep, slice(s, s + m), H, d)
             cand = (-(xnb[:, None] - 2.0 * sq * np.sqrt(xnb)[:, None] * z1 + S * (z1 * z1 + chi))
                     / (2.0 * E))
-            gum = rng.gumbel(size=(m, kb)).tolist() if sample else None
+            gum = draws.rng.gumbel(size=(m, kb)).tolist() if sample else None
             if sample:
-                cand = cand + rng.gumbel(size=(m, H))
+                cand = cand + draws.rng.gumbel(size=(m, H))
             cand = cand.tolist()
             opened: list[tuple[int, list]] = []  # clusters opened inside this block
             wa = _log(alpha * beta_u / H)
@@ -391,7 +390,7 @@ def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
                         if v > bs:
                             best, bs = j, v
                     for j, col in opened:
-                        v = col[r] + logw[j] + rng.gumbel()
+                        v = col[r] + logw[j] + draws.rng.gumbel()
                         if v > bs:
                             best, bs = j, v
                 else:
@@ -415,8 +414,8 @@ def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
                     if cr[h] > cv:
                         jc, cv = h, cr[h]
                 if cv + wa > bs:  # a fresh cluster wins (existing ones win ties)
-                    b = rng.beta(1.0, gamma)
-                    phi = _new_phi(rng, xb[r], float(xnb[r]), float(z1[r, jc]), float(chi[r, jc]), S)
+                    b, turn = draws.opening(t_sweep, i, gamma, d)
+                    phi = _new_phi(turn, xb[r], float(xnb[r]), float(z1[r, jc]), float(chi[r, jc]), S)
                     bnew = b * beta_u
                     kn = st.add(phi, bnew, 1.0)
                     beta_u *= 1.0 - b
@@ -435,7 +434,7 @@ def _sweeps_rowwise(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
                     if vec and best < kb:
                         lw[best] = logw[best]
         st.size[: st.k] = sizes
-        alpha = concentration_update(rng, alpha, st.clusters, n, p.conc_a, p.conc_b, p.concentration)
+        alpha = draws.concentration(t_sweep, alpha, st.clusters, n, p)
     c[:] = cl
     return alpha, beta_u
 
@@ -495,7 +494,7 @@ def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float
         lab = points["label"].to_numpy(dtype=object)
         n = len(pid)
         st = _State(phi0, beta0, ids=ids, total=total)
-        rng = rng_for(p.seed, 21, round_, shard)
+        draws = PointDraws(p.seed, round_, shard, pid)
         out = []
         if labels is None:
             alpha = p.alpha0
@@ -517,7 +516,7 @@ def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float
             out += [_rows("q", shard, local_id=int(st.ids[a]), label=b, cnt=v) for a, b, v in cells]
             if mode == "score":
                 return pd.DataFrame(out)
-        a2, bu = _sweeps(X, xnorm, c, st, alpha, beta_u, gamma, p, rng)
+        a2, bu = _sweeps(X, xnorm, c, st, alpha, beta_u, gamma, p, draws)
         if alphas is not None and not (alphas[0] <= min(st.alphas) and max(st.alphas) <= alphas[1]):
             return pd.DataFrame([_rows("x", shard, alpha=min(st.alphas), beta_u=max(st.alphas))])
         used, counts, means = _means(X, c)

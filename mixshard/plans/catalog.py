@@ -416,8 +416,38 @@ def q_dirichlet_weights(spark, d):
 
     m = label_model(emb_points(spark, d)).select("cluster_id", "size")
     betas, bu = dirichlet_weights(m, GAMMA, seed=7, round_=0)
-    return betas.select("cluster_id", "beta").unionByName(
-        bu.select(F.lit(-1).alias("cluster_id"), F.col("beta_u").alias("beta")))
+    both = betas.select("cluster_id", "beta").unionByName(bu.select(F.lit(-1).alias("cluster_id"), F.col("beta_u").alias("beta")))
+    return both.select("cluster_id", _r(F.col("beta"), 9).alias("beta"))
+
+
+def q_concentration_step(spark, d):
+    """One concentration update per shard, in both parametrisations."""
+    from mixshard.functions.draws import concentration_step
+
+    per = emb_points(spark, d).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k"))
+    step = lambda form: concentration_step(F.lit(0.25) + F.col("shard"), F.col("k"), F.col("n"), 1.0, 0.5, form, F.lit(7), F.lit(21), F.lit(0), F.col("shard"), F.lit(0))
+    return per.select("shard", _r(step("rate"), 9).alias("rate"), _r(step("scale")).alias("scale"))
+
+
+def q_full_sweep(spark, d):
+    """First pass and one whole sweep (leave, score, open, place) over the standardised parts,
+    from the centroids of four size classes."""
+    from mixshard.functions.vectors import vector_mean
+    from mixshard.operators.model import model_arrays
+    from mixshard.operators.sweep import point_labels, run_sweep
+    from mixshard.params import DPMParams
+
+    part = spark.read.parquet(f"{d}/part.parquet")
+    n = part.count()
+    shards = max(8, -(-n // 250))  # a task's points are bounded
+    pts = points_from_table(part.withColumn("class", F.floor(F.col("p_size") / 13).cast("int")), id_col="p_partkey", cols=["p_size", "p_retailprice"], label_col="class", scale=True)
+    pts = cut(pts.withColumn("shard", F.pmod("point_id", F.lit(shards)).cast("int")), "sweep-points")
+    cm = vector_mean(pts, ["label"], "x", 2, out="phi").select(F.col("label").alias("cluster_id"), F.col("size").cast("double").alias("size"), "phi")
+    _, phi, beta, beta_u = model_arrays(sm.expected_weights(cm, GAMMA), "beta", "beta_u")
+    p = DPMParams(E=0.05, S=1.0, seed=7, local_sweeps=1)
+    out = cut(run_sweep(pts, None, spark.sparkContext.broadcast((phi, beta)), p, 0, GAMMA, float(beta_u[0])), "sweep")
+    state = out.where("kind = 's'").select("shard", _r(F.col("alpha")).alias("alpha"), _r(F.col("beta_u"), 9).alias("beta_u"), F.col("local_id").alias("clusters"))
+    return point_labels(out).withColumnRenamed("local_id", "cluster_id").join(state, "shard").select("point_id", "shard", "cluster_id", "alpha", "beta_u", "clusters")
 
 
 def _sweep_inputs(spark, d):
@@ -488,9 +518,11 @@ def q_round_report(spark, d):
     return res.report
 
 
+#: Draws keyed by hashes that DuckDB computes alike.
+DETERMINISTIC |= {"dirichlet_weights": q_dirichlet_weights, "concentration_step": q_concentration_step, "full_sweep": q_full_sweep}
+
 RANDOM = {
     "kmeans_init": q_kmeans_init,
-    "dirichlet_weights": q_dirichlet_weights,
     "local_sweep": q_local_sweep,
     "global_merge": q_global_merge,
     "dpm_fit": q_dpm_fit,

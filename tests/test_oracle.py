@@ -6,8 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from mixshard.plans.oracle import SQL
 from library_support import SF_SMALL
+from mixshard.plans.oracle import SQL
+from mixshard.plans.oracle_draws import SQL as DRAWS
 
 TABLES = "part lineitem embeddings".split()
 
@@ -34,7 +35,7 @@ def test_every_query_has_sql_or_is_random():
     assert {k for k in q if k not in sql and k in {**DETERMINISTIC, **RANDOM}} == set(RANDOM)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(SQL | DRAWS))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]

@@ -86,6 +86,35 @@ def q_parse_points_text(spark, d):
     return p.select(F.col("x")[0].alias("x1"), F.col("x")[1].alias("x2"), "label")
 
 
+def q_parse_counts(spark, d):
+    """Faulty lines of a text form of the line items, counted while the points are summed."""
+    from pyspark.sql import Observation
+
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    key, text = F.col("l_orderkey"), lambda c: F.col(c).cast("string")
+    line = (F.when(key % 13 == 0, F.lit("   ")).when(key % 11 == 0, text("l_quantity")).when(key % 7 == 0, F.concat_ws(" ", text("l_quantity"), F.lit("x1"), text("l_linenumber")))
+            .when(key % 5 == 0, F.concat_ws(" ", text("l_quantity"), text("l_discount"), F.lit("none"))).otherwise(F.concat_ws("  ", text("l_quantity"), text("l_discount"), text("l_linenumber"))))
+    seen = Observation("lines")
+    pts = parse_points(li.select(line.alias("value")), 2, True, on_error="drop", counts=seen)
+    total = pts.agg(F.sum(F.col("x")[0]).alias("s")).first()["s"]
+    got = {**seen.get, "quantity": round(float(total), 6)}
+    return spark.createDataFrame([tuple(got[c] for c in ("lines", "blank", "short", "number", "label", "kept", "quantity"))],
+                                 "lines long, blank long, short long, number long, label long, kept long, quantity double")
+
+
+def q_bounded_shards(spark, d):
+    """Shards of the line items under a bound that hash buckets would break: how many points they
+    hold, whether the bound holds, and whether equal order keys share one."""
+    from mixshard.sources.points import assign_bounded_shards
+
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select(F.xxhash64("l_orderkey", "l_linenumber").alias("point_id"))
+    n = li.count()
+    limit = -(-n // 16)
+    out, _ = assign_bounded_shards(li, 16, limit)
+    per = out.groupBy("shard").agg(F.count(F.lit(1)).alias("c"))
+    return per.agg(F.sum("c").alias("n_points"), (F.max("c") <= limit).alias("within"), (F.count(F.lit(1)) <= 32).alias("few"))
+
+
 def q_points_from_table(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
     p = points_from_table(part, id_col="p_partkey", cols=["p_size", "p_retailprice"], scale=True)
@@ -332,8 +361,7 @@ def q_sequential_first_pass(spark, d):
     from mixshard.operators.sweep import point_labels, run_sweep
     from mixshard.params import DPMParams
 
-    pts = emb_points(spark, d)
-    _, bmodel, _, beta_u = _sweep_inputs(spark, d)
+    pts, bmodel, _, beta_u = _sweep_inputs(spark, d)
     out = run_sweep(pts, None, bmodel, DPMParams(E=E, S=S, seed=7, local_sweeps=0), 0, GAMMA, beta_u)
     return point_labels(out).select("point_id", F.col("local_id").alias("cluster_id"))
 
@@ -364,6 +392,8 @@ def q_fit_coverage(spark, d):
 DETERMINISTIC = {
     "parse_points_text": q_parse_points_text,
     "points_from_table": q_points_from_table,
+    "parse_counts": q_parse_counts,
+    "bounded_shards": q_bounded_shards,
     "dense_point_ids": q_dense_point_ids,
     "point_count": q_point_count,
     "shard_sizes": q_shard_sizes,

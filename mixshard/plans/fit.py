@@ -40,7 +40,7 @@ from mixshard.operators.model import MAX_DRIVER_BYTES, ModelStats, model_arrays
 from mixshard.operators.sweep import SWEEP_SCHEMA, point_labels, run_sweep
 from mixshard.params import DPMParams
 from mixshard.session import cut, delete_path, prepare_session, scratch_path
-from mixshard.sources.points import MAX_SHARD_POINTS, _checked, assign_shards, shard_count_for
+from mixshard.sources.points import MAX_SHARD_BYTES, MAX_SHARD_POINTS, _checked, assign_bounded_shards, shard_count_for
 from mixshard.sources.sinks import committed_rounds, read_rounds, write_round
 from mixshard.sources.storage import Bucketed, bucket_count, open_bucketed, write_bucketed
 
@@ -82,7 +82,8 @@ def prepare_points(points: DataFrame, shards: int | None = None, max_shard_point
     first = points.select(F.size("x").alias("d")).first()
     dim = int(first["d"]) if first is not None else 1
     s = shard_count_for(n, shards, max_shard_points, dim=dim)
-    sharded = assign_shards(points.select(F.col("point_id").cast("long").alias("point_id"), "x", F.col("label").cast("int").alias("label")), s, method="aligned")
+    rows = points.select(F.col("point_id").cast("long").alias("point_id"), "x", F.col("label").cast("int").alias("label"))
+    sharded, s = assign_bounded_shards(rows, s, min(max_shard_points, MAX_SHARD_BYTES // (8 * max(dim, 1))))
     # written once, bucketed by shard (each bucket = one shard): every later read is
     # already partitioned by shard, and a lost cache block is rebuilt from its bucket
     pts = write_bucketed(sharded.repartition(bucket_count(points.sparkSession, s), "shard"), s, "points", sort_by="point_id", path=path)

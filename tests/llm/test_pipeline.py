@@ -105,10 +105,13 @@ def test_mixing(stages):
         k = (r[3], r[2], topic(r))
         cells[k] = cells.get(k, 0) + words[r[0]]
     w, _ = brute_rake(cells)
-    rate = {k: x / cells[k] for k, x in w.items()}
-    top = max(rate.values())
+    lo, hi = 0.0, 1e6 * sum(cells.values())
+    for _ in range(200):
+        f = (lo + hi) / 2
+        lo, hi = (f, hi) if sum(min(t, f * w.get(k, 0.0)) for k, t in cells.items()) < M.SHARE * sum(cells.values()) else (lo, f)
+    rate = {k: min(1.0, lo * x / cells[k]) for k, x in w.items()}
     draw = lambda i: int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:8], 16) / 2**32
-    assert after == sorted((r for r in before if words[r[0]] and draw(r[0]) < rate[r[3], r[2], topic(r)] / top), key=str)
+    assert after == sorted((r for r in before if words[r[0]] and draw(r[0]) < rate[r[3], r[2], topic(r)]), key=str)
 
 
 def test_bpe(stages):

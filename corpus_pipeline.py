@@ -13,7 +13,7 @@ from mixshard.llm.bpe import round_trip
 from mixshard.llm.columns import small
 from mixshard.llm.langid import held_out, identify, learn
 from mixshard.llm.line_chunks import dedup_lines
-from mixshard.llm.mixing import mix
+from mixshard.llm.mixing import SHARE, mix
 from mixshard.llm.ngram_join import jaccard_classes
 from mixshard.session import cut, prepare_session, scratch_path
 
@@ -47,9 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: documents sampled to raked source, language and topic weights. Texts
-    without a token go."""
-    return mix(spark, docs).where("kept").select("row.*").select(*docs.columns)
+    """Operator 9: documents sampled to raked source, language and topic weights, with a fixed
+    share of the tokens. Texts without a token go."""
+    return mix(spark, docs, share=SHARE).where("kept").select("row.*").select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

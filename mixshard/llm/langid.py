@@ -10,6 +10,7 @@ letters.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ from mixshard.session import prepare_session
 
 WINDOW = 256
 #: Expected number of labelled texts a language gives to training, at most (documented bound of
-#: the fit; texts are chosen by a hash of their id), and bytes of one text used there.
-SAMPLE_PER_LANG, SAMPLE_BYTES = 1200, 4096
+#: the fit; texts are chosen by a hash of their id), and windows that one text gives, drawn
+#: from all of it.
+SAMPLE_PER_LANG, SAMPLE_WINDOWS = 1200, 6
 #: More labels than this are refused: the labels are not languages then.
 MOST_LANGS = 512
 EMBED, FILTERS, WIDTHS = 8, 24, (2, 3, 4)
@@ -133,31 +135,32 @@ def cut_windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(inside, buf[np.minimum(at, max(len(buf) - 1, 0))], 0) if len(doc) else np.empty((0, WINDOW), np.uint8), doc
 
 
-def training_windows(texts: list[str], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Windows from all over each sampled text; half of them cut short, as short texts are."""
-    rows, owner = [], []
-    for i, t in enumerate(texts):
-        raw = np.frombuffer(t.encode()[:SAMPLE_BYTES], np.uint8)
-        for _ in range(min(6, 1 + len(raw) // 200)):
-            n = WINDOW if rng.random() < 0.5 else int(rng.integers(16, WINDOW))
-            lo = int(rng.integers(0, max(1, len(raw) - n + 1)))
-            row = np.zeros(WINDOW, np.uint8)
-            part = raw[lo: lo + n]
-            row[: len(part)] = part
-            rows.append(row)
-            owner.append(i)
-    return np.stack(rows) if rows else np.empty((0, WINDOW), np.uint8), np.array(owner, np.int64)
+def training_windows(raw: bytes, who: str) -> np.ndarray:
+    """Windows from all over a text, drawn by its id; half of them cut short, as short texts are."""
+    rng, raw = np.random.default_rng([SEED, zlib.crc32(who.encode())]), np.frombuffer(raw, np.uint8)
+    rows = np.zeros((min(SAMPLE_WINDOWS, 1 + len(raw) // 200), WINDOW), np.uint8)
+    for row in rows:
+        n = WINDOW if rng.random() < 0.5 else int(rng.integers(16, WINDOW))
+        lo = int(rng.integers(0, max(1, len(raw) - n + 1)))
+        part = raw[lo: lo + n]
+        row[: len(part)] = part
+    return rows
 
 
 def train(texts: list[str], labels: list[str]) -> ByteCNN | None:
-    """A trained network; None without labelled texts."""
-    langs = sorted(set(labels))
+    """A network trained on labelled texts; None without any."""
+    return train_windows([(lang, training_windows(t.encode(), str(i))) for i, (t, lang) in enumerate(zip(texts, labels))])
+
+
+def train_windows(samples: list[tuple[str, np.ndarray]]) -> ByteCNN | None:
+    """A network trained on (label, windows of one text)."""
+    langs = sorted({lang for lang, _ in samples})
     if not langs:
         return None
     rng = np.random.default_rng(SEED)
     net = ByteCNN(langs, rng)
-    x, owner = training_windows(texts, rng)
-    y = np.searchsorted(langs, np.array(labels)[owner]) if len(owner) else np.empty(0, np.int64)
+    x = np.concatenate([w for _, w in samples])
+    y = np.repeat(np.searchsorted(langs, [lang for lang, _ in samples]), [len(w) for _, w in samples])
     if len(langs) > 1 and len(x):
         net.fit(x, y, rng)
     return net
@@ -165,18 +168,29 @@ def train(texts: list[str], labels: list[str]) -> ByteCNN | None:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
     """Fit on a bounded sample of ``docs`` (rows with a label and a text): about
-    SAMPLE_PER_LANG texts of each label, chosen by a hash of the id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    SAMPLE_PER_LANG texts of each label, chosen by a hash of the id. Their windows are drawn
+    from the whole texts on the executors; only windows reach the driver."""
+    prepare_session(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
     if len(sizes) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} values of {lang_col}")
     if not sizes:
         return None
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_PER_LANG / n)))])
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = rows.where(draw < share[F.col("lang")]).select("id", F.substring("text", 1, SAMPLE_BYTES).alias("text"), "lang")
-    got = sorted(((r["lang"], str(r["id"]), r["text"]) for r in chosen.limit(2 * SAMPLE_PER_LANG * len(sizes)).toLocalIterator()), key=lambda r: r[:3])
-    return train([r[2] for r in got], [r[0] for r in got])
+    draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = rows.where(draw < share[F.col("lang")]).select(F.coalesce("id", F.lit("")).alias("id"), "text", "lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in T.slices(batches, "text"):
+            who = b.column(0).to_pylist()
+            buf, off = T.flat(b.column(1))
+            found = [training_windows(buf[off[i]: off[i + 1]].tobytes(), w).tobytes() for i, w in enumerate(who)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], names=["id", "windows", "lang"])
+
+    got = chosen.mapInArrow(run, "id string, windows binary, lang string").limit(2 * SAMPLE_PER_LANG * len(sizes)).toLocalIterator()
+    samples = sorted((r["lang"], r["id"], bytes(r["windows"])) for r in got)
+    return train_windows([(lang, np.frombuffer(w, np.uint8).reshape(-1, WINDOW)) for lang, _, w in samples])
 
 
 def batch_predict(net: ByteCNN | None, buf: np.ndarray, off: np.ndarray, texts: pa.Array) -> tuple[list[str], np.ndarray]:

@@ -67,3 +67,47 @@ def test_gradients_against_differences():
             down = loss()
             p.ravel()[i] = old
             assert (up - down) / (2 * eps) == pytest.approx(g[name].ravel()[i], rel=0.15, abs=2e-4), name
+
+
+def test_training_windows_come_from_the_whole_text():
+    """Also from far beyond the first kilobytes."""
+    raw = bytes([97]) * 50_000 + bytes([98]) * 50_000
+    seen = [L.training_windows(raw, str(i)) for i in range(40)]
+    ends = [(w == 98).any(axis=1) for w in seen]
+    assert 0.3 < np.mean(np.concatenate(ends)) < 0.7
+    assert all((a == b).all() for a, b in zip(seen, (L.training_windows(raw, str(i)) for i in range(40))))
+    assert L.training_windows(b"", "x").shape == (1, L.WINDOW) and not L.training_windows(b"", "x").any()
+
+
+def test_learns_from_text_ends(spark):
+    """The languages differ only after four kilobytes that they share."""
+    r = np.random.default_rng(1)
+    words = {"en": ["the", "and", "of", "with"], "de": ["der", "und", "von", "mit"]}
+    rows = []
+    for i in range(300):
+        lang = ("en", "de")[i % 2]
+        rows.append((i, "1234567 " * 512 + " ".join(r.choice(words[lang], 3000)), lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = L.learn(df)
+    got = L.predict(spark, df, net).collect()
+    assert np.mean([r["lang_pred"] == ("en", "de")[r["id"] % 2] for r in got]) > 0.98
+
+
+def test_scores_against_a_plain_forward_pass(spark):
+    """Window by window with loops: embedding, filters, maximum, softmax, weighted mean."""
+    texts = ["the cat and the dog", "und der hund " * 60, "1 2 3 x", "é" * 200]
+    net = L.train(["the cat and the dog " * 30] * 20 + ["der hund und die katze " * 30] * 20, ["en"] * 20 + ["de"] * 20)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: (r["lang_pred"], r["score"]) for r in L.predict(spark, df, net).collect()}
+    for i, t in enumerate(texts):
+        raw, total = t.encode(), np.zeros(len(net.langs))
+        for lo in range(0, len(raw), L.WINDOW):
+            w = raw[lo: lo + L.WINDOW]
+            e = np.zeros((L.WINDOW + net.wide - 1, L.EMBED))
+            e[: L.WINDOW] = net.emb[np.frombuffer(w.ljust(L.WINDOW, b"\0"), np.uint8)]
+            resp = np.stack([e[p: p + net.wide].ravel() @ net.filt + net.bias for p in range(L.WINDOW)])
+            z = np.maximum(resp, 0).max(axis=0) @ net.out + net.out_bias
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * (sum(c >= 128 or chr(c).isalpha() for c in w) + 1e-3)
+        p = total / total.sum()
+        assert got[i][0] == net.langs[int(p.argmax())]
+        assert got[i][1] == pytest.approx(p.max(), abs=1e-4)

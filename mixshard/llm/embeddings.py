@@ -29,6 +29,8 @@ CELL_ROWS, MOST_CELLS, BLOCK = 4096, 16384, 1024
 PROBES = [(1, 1), (5, 3), (20, 4), (200, 6), (2000, 8), (MOST_CELLS, 11)]
 #: Vectors that k-means is fitted on, at most (documented bound of the fit).
 SAMPLE, ROUNDS, SEED = 65536, 8, 7
+#: Bytes of scores (vectors x cells) held at once, in the fit and in a task.
+SCORE_BYTES = 32 << 20
 
 
 def fit_cells(x: np.ndarray, k: int) -> np.ndarray:
@@ -37,7 +39,7 @@ def fit_cells(x: np.ndarray, k: int) -> np.ndarray:
     k = min(k, len(x))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(ROUNDS if k > 1 else 0):
-        near = (x @ centres.T).argmax(axis=1)
+        near = np.concatenate([(x[q] @ centres.T).argmax(axis=1) for q in _rows_at_once(len(x), k)])
         total = np.zeros_like(centres)
         np.add.at(total, near, x)
         size = np.linalg.norm(total, axis=1)
@@ -54,9 +56,16 @@ def probes_for(k: int) -> int:
 
 def nearest(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     """The ``probes`` nearest cells of each row, ascending by cell number."""
-    s = x @ centres.T
     p = min(probes, len(centres))
-    return np.sort(np.argpartition(-s, p - 1, axis=1)[:, :p], axis=1) if p < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
+    if p == len(centres) or not len(x):
+        return np.tile(np.arange(len(centres)), (len(x), 1))[:, :p]
+    return np.concatenate([np.sort(np.argpartition(-(x[q] @ centres.T), p - 1, axis=1)[:, :p], axis=1) for q in _rows_at_once(len(x), len(centres))])
+
+
+def _rows_at_once(n: int, k: int) -> list[slice]:
+    """Blocks of rows whose scores against ``k`` centres stay within SCORE_BYTES."""
+    step = max(1, SCORE_BYTES // (8 * max(1, k)))
+    return [slice(lo, lo + step) for lo in range(0, n, step)]
 
 
 def block_links(x: np.ndarray, y: np.ndarray, cx: np.ndarray, cy: np.ndarray, cell: int, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:

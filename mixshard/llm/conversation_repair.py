@@ -343,3 +343,53 @@ def repair(spark: SparkSession, rows: DataFrame) -> DataFrame:
 def q_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation of ``conversations``, damaged by the fixed rule and repaired."""
     return repair(spark, classified(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def _sql() -> str:
+    """The same report by a row-by-row search over the reader's states."""
+    crc = ("list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({0}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), "
+           "lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE CAST(0 AS BIGINT) END)))")
+    cell = lambda s, cost, edit: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{edit}'}}"
+    never = "{'c': CAST(1000000000 AS BIGINT), 'a': ''}"
+    keep = lambda s, initial: f"CASE WHEN fault IN ('o', 't') AND initial = '{initial}' THEN {cell(s, 'more', 'K')} ELSE {never} END"
+    turn = lambda s: f"CASE WHEN fault IN ('o', 't') THEN {cell(s, f'{REROLE} + more', 'R')} ELSE {never} END"
+    low = lambda *x: f"list_min([{', '.join(x)}])"
+    gone = lambda s: cell(s, DELETE, "D")
+    extra = lambda s: cell(s, INSERT, "I")
+    return rf"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT *, xor({crc.format('k')}, CAST(4294967295 AS BIGINT)) % 20 AS kind FROM keyed),
+hit AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hit),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE 'o' END AS fault, substr(role, 1, 1) AS initial,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+counts AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+search(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), {{'c': CAST(0 AS BIGINT), 'a': ''}}, {never}, {{'c': CAST({INSERT} AS BIGINT), 'a': 'I'}}, {{'c': CAST({2 * INSERT} AS BIGINT), 'a': 'II'}} FROM counts
+  UNION ALL
+  SELECT conv_id, i, t0, t1, u2, {low('t3', extra('u2'))} FROM (
+    SELECT conv_id, i, t0, t1, t3, {low('t2', extra('t0'), extra('t1'), extra('t3'))} AS u2 FROM (
+      SELECT conv_id, i, {gone('s0')} AS t0, {low(gone('s1'), keep('s0', 's'))} AS t1,
+        {low(gone('s2'), *[keep(s, 'u') for s in ('s0', 's1', 's3')], *[turn(s) for s in ('s0', 's1', 's3')])} AS t2, {low(gone('s3'), keep('s2', 'a'), turn('s2'))} AS t3
+      FROM (SELECT s.conv_id, j.i, j.fault, j.initial, CASE WHEN j.fault = 't' THEN {TRUNCATED} ELSE 0 END AS more, s.s0, s.s1, s.s2, s.s3
+            FROM search s JOIN judged j ON j.conv_id IS NOT DISTINCT FROM s.conv_id AND j.i = s.i + 1)))),
+best AS (SELECT c.conv_id, {low('s0', 's3')} AS b FROM counts c JOIN search s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n),
+letters AS (SELECT conv_id, generate_subscripts(string_split(b.a, ''), 1) AS pos, unnest(string_split(b.a, '')) AS edit FROM best WHERE b.a <> ''),
+marked AS (SELECT *, count(*) FILTER (edit <> 'I') OVER w AS i, count(*) FILTER (edit <> 'D') OVER w AS o, count(*) FILTER (edit <> 'D') OVER (PARTITION BY conv_id) AS outs
+  FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+lines AS (SELECT m.conv_id, m.pos, CASE WHEN m.edit = 'K' THEN j.role WHEN (m.o + m.outs) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN m.edit = 'I' THEN '' ELSE j.text END AS line
+  FROM marked m LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM m.conv_id AND j.i = m.i AND m.edit <> 'I' WHERE m.edit <> 'D'),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY pos) AS t FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+  coalesce(b.b.c, 0) AS cost, coalesce(b.b.a, '') AS audit, sha256(coalesce(x.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+SQL_CONVERSATION_REPAIR = _sql()

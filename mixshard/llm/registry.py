@@ -2,7 +2,7 @@
 
 from mixshard.llm.bpe import q_bpe
 from mixshard.llm.byte_bpe import q_byte_bpe
-from mixshard.llm.conversation_repair import q_conversation_repair
+from mixshard.llm.conversation_repair import SQL_CONVERSATION_REPAIR, q_conversation_repair
 from mixshard.llm.embeddings import SQL_EMBEDDINGS, q_embeddings
 from mixshard.llm.html import q_html
 from mixshard.llm.langid import q_langid
@@ -36,4 +36,5 @@ SQL = {
     "op4_line_chunks": SQL_LINE_CHUNKS,
     "op6_embeddings": SQL_EMBEDDINGS,
     "op9_mixing": SQL_MIXING,
+    "op11_conversation_repair": SQL_CONVERSATION_REPAIR,
 }

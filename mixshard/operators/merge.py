@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mixshard.functions.vectors import posterior_mean, posterior_var, vector_weighted_mean, zero_vector
+from mixshard.functions.vectors import exact_vector_mean, posterior_mean, posterior_var, zero_vector
 from mixshard.operators.model import check_broadcast, model_stats
 from mixshard.sources.points import _checked
 
@@ -53,7 +53,8 @@ def merge_same_id(summaries: DataFrame, k: int, dim: int, model: DataFrame | Non
     order, then new summaries in (shard, local_id) order.
     """
     known, new = split_known_new(summaries, k)
-    kmerged = vector_weighted_mean(known, ["local_id"], "y_mean", "size", dim, extra=[F.min_by("phi", "shard").alias("phi")])
+    # the same bits however the summaries are partitioned: later ties rest on these means
+    kmerged = exact_vector_mean(known, ["local_id"], "y_mean", dim, w="size", extra=[F.min_by("phi", "shard").alias("phi")])
     if model is not None:
         pri = model.select(F.col("cluster_id").alias("local_id"), "prior_mean", "prior_var")
         if check_broadcast(model_stats(model, "prior_mean")) == 1:  # K rows, size checked

@@ -459,6 +459,17 @@ def q_concentration_step(spark, d):
     return per.select("shard", _r(step("rate"), 9).alias("rate"), _r(step("scale")).alias("scale"))
 
 
+def q_exact_means(spark, d):
+    """Weighted means of the line items by line number, summed without rounding."""
+    from mixshard.functions.vectors import exact_vector_mean
+
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    price = F.col("l_extendedprice").cast("double")
+    rows = li.select("l_linenumber", F.array(price, price / 1e6).alias("x"), F.col("l_quantity").cast("double").alias("w"))
+    m = exact_vector_mean(rows, ["l_linenumber"], "x", 2, w="w")
+    return m.select("l_linenumber", F.col("size").cast("long").alias("weight"), _r(F.col("y_mean")[0]).alias("price"), _r(F.col("y_mean")[1], 9).alias("small"))
+
+
 def q_full_sweep(spark, d):
     """First pass and one whole sweep (leave, score, open, place) over the standardised parts,
     from the centroids of four size classes."""
@@ -549,7 +560,7 @@ def q_round_report(spark, d):
 
 
 #: Draws keyed by hashes that DuckDB computes alike.
-DETERMINISTIC |= {"dirichlet_weights": q_dirichlet_weights, "concentration_step": q_concentration_step, "full_sweep": q_full_sweep}
+DETERMINISTIC |= {"dirichlet_weights": q_dirichlet_weights, "concentration_step": q_concentration_step, "full_sweep": q_full_sweep, "exact_means": q_exact_means}
 
 RANDOM = {
     "kmeans_init": q_kmeans_init,

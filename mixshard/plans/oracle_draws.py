@@ -118,3 +118,8 @@ FROM steps s JOIN done d USING (shard) JOIN alphas a USING (shard) JOIN conc c U
 
 
 SQL["full_sweep"] = full_sweep(0.05, 1.0, 3, 7)
+
+SQL["exact_means"] = """
+SELECT l_linenumber, CAST(sum(l_quantity) AS BIGINT) AS weight, round(sum(CAST(l_quantity AS DOUBLE) * CAST(l_extendedprice AS DOUBLE)) / sum(l_quantity), 6) AS price,
+       round(sum(CAST(l_quantity AS DOUBLE) * (CAST(l_extendedprice AS DOUBLE) / 1e6)) / sum(l_quantity), 9) AS small
+FROM lineitem GROUP BY l_linenumber"""

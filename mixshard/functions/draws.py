@@ -114,7 +114,8 @@ def dirichlet_weights(sizes: DataFrame, gamma: float, seed: int, round_: int) ->
     key = (F.lit(seed), F.lit(11), F.lit(round_))
     g = sizes.withColumn("_g", keyed_gamma(F.col("size"), *key, F.col("cluster_id")))
     u = g.sparkSession.range(1).select(keyed_gamma(F.lit(float(gamma)), *key, F.lit(-1)).alias("_gu"))
-    tot = g.agg(F.sum("_g").alias("_s")).withColumn("_k", F.lit(0)).join(u.withColumn("_k", F.lit(0)), "_k")
+    # a sum of decimals has no rounding and so no order
+    tot = g.agg(F.sum(F.col("_g").cast("decimal(38,18)")).cast("double").alias("_s")).withColumn("_k", F.lit(0)).join(u.withColumn("_k", F.lit(0)), "_k")
     tot = tot.select("_k", (F.col("_s") + F.col("_gu")).alias("_t"), "_gu")
     j = g.withColumn("_k", F.lit(0)).join(F.broadcast(tot), "_k")
     betas = j.withColumn("beta", F.col("_g") / F.col("_t")).drop("_g", "_k", "_t", "_gu")

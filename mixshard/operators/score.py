@@ -9,6 +9,7 @@ argmax and in the softmax and are left out.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from mixshard.functions.centre_index import INDEX_CENTRES, CentreIndex
+from mixshard.functions.centre_tree import TREE_DIMS, CentreTree
 from mixshard.functions.matrix import best_of_block, exact_sq_distances
 from mixshard.functions.vectors import safe_log
 from mixshard.operators.model import MAX_MODEL_BYTES, ModelStats, check_broadcast, collect_model, model_arrays, model_stats
@@ -105,22 +107,30 @@ def _indexed(points: DataFrame, model: DataFrame, E: float, x: str, max_model_by
     out = points
     for b, data in enumerate(_model_blocks(model, stats, max_model_bytes)):
         ids, phi, logw = data.value
-        shared = points.sparkSession.sparkContext.broadcast((CentreIndex(ids, phi), logw))
+        shared = points.sparkSession.sparkContext.broadcast(_index_of(ids, phi, logw, E))
         data.destroy()
-        out = out.mapInArrow(_index_fn(shared, E, at_x, len(cols), b == 0, schema.names), schema)
+        out = out.mapInArrow(_index_fn(shared, at_x, len(cols), b == 0, schema.names), schema)
     return out
 
 
-def _index_fn(shared, E, at_x, n_cols, first, names):
+def _index_of(ids: np.ndarray, phi: np.ndarray, logw: np.ndarray, E: float):
+    """The search over a block's centres, a function of points and the scores they have already:
+    down a tree in few dimensions, through cells around pivots in many."""
+    if phi.shape[1] <= TREE_DIMS and np.isfinite(phi).all() and (logw < np.inf).all():
+        return partial(CentreTree(ids, phi, logw).best, E=E)
+    return partial(CentreIndex(ids, phi).best, logw=logw, E=E)
+
+
+def _index_fn(shared, at_x, n_cols, first, names):
     def run(batches):
-        index, logw = shared.value
+        best = shared.value
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             pts = batch.column(at_x).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
             old = None if first else [batch.column(n_cols + i).to_numpy(zero_copy_only=False) for i in range(3)]
-            bs, bid, bd, _ = index.best(pts, logw, E, None if first else old[0])
+            bs, bid, bd, _ = best(pts, score=None if first else old[0])
             if not first:
                 keep = (bid < 0) | (old[0] > bs) | ((old[0] == bs) & (old[1] < bid)) | (np.isnan(old[0]) & ~np.isnan(bs))
                 bs, bid, bd = (np.where(keep, o, v) for o, v in zip(old, (bs, bid, bd)))
@@ -134,13 +144,13 @@ def pruning_report(points: DataFrame, model: DataFrame, E: float, x: str = "x")
     index leaves (``model`` as for ``best_cluster``, within the broadcast bound)."""
     stats = model_stats(model)
     ids, phi, logw = next(_model_blocks(model, stats, stats.est_bytes + 1)).value
-    shared = points.sparkSession.sparkContext.broadcast((CentreIndex(ids, phi), logw))
+    shared = points.sparkSession.sparkContext.broadcast(_index_of(ids, phi, logw, E))
 
     def run(batches):
-        index, w = shared.value
+        best = shared.value
         for b in batches:
             if b.num_rows:
-                done = index.best(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1), w, E)[3]
+                done = best(b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1))[3]
                 yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([done], pa.int64())], names=["points", "computed"])
 
     got = points.select(F.col(x).alias("x")).mapInArrow(run, "points long, computed long").agg(F.sum("points").alias("points"), F.sum("computed").alias("computed"))
@@ -221,8 +231,8 @@ def best_cluster(points: DataFrame, model: DataFrame, E: float, x: str = "x",
     ``model`` needs ``cluster_id, phi, logw``. Small models (K x d <= UNROLL_MAX_VALUES)
     become literal arithmetic, fully code-generated; larger ones are one matrix product per
     Arrow batch against byte-bounded broadcast blocks (see ``_with_model``), with many centres
-    only against the cells that can still win (``functions.centre_index``; probabilities need
-    all). All give the direct form's labels. ``with_resid`` adds ``resid`` = ||x - phi_c||^2 / E of the chosen
+    only against those that can still win (``functions.centre_tree`` in few dimensions, else
+    ``functions.centre_index``; probabilities need all). All give the direct form's labels. ``with_resid`` adds ``resid`` = ||x - phi_c||^2 / E of the chosen
     cluster, so a residual sum of the MAP assignment needs no second pass or join.
     """
     prepare_session(points.sparkSession)

@@ -224,7 +224,7 @@ class PointDraws:
     def _points(self, sweep: int, at) -> np.ndarray:
         return counter(sweep, self.low[at], self.high[at], start=self.base)
 
-    def candidates(self, sweep: int, at: slice, count: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, sweep: int, at, count: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
         """(component along the point, squared norm of the rest) of each point's fresh centres (RND-3)."""
         h = counter(np.arange(count)[None, :], start=self._points(sweep, at)[:, None])
         return counter_normal(h, 0), counter_chi2(h, dim - 1, 2)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixshard.operators.summarize import center_sizes
+from mixshard.session import cut
 
 
 def kmeans_init(points: DataFrame, k: int, iters: int = 10, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -25,4 +26,5 @@ def kmeans_init(points: DataFrame, k: int, iters: int = 10, seed: int = 0) -> tu
         "cluster_id INT, phi ARRAY<DOUBLE>",
     )
     pred = km.transform(feats).select(F.col("cluster_id").cast("int"))
-    return centres, center_sizes(pred, centres)
+    # k rows, written once: a later read of them is not another pass over the points
+    return centres, cut(center_sizes(pred, centres), "kmeans-sizes")

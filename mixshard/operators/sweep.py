@@ -120,26 +120,33 @@ def _initial_pass(X, xnorm, st: _State, alpha: float, E: float) -> np.ndarray:
     ab = (alpha * st.beta[:k]).tolist()
     logw = [_log(sizes[j] + ab[j]) for j in range(k)]
     log = math.log
-    vec = k > VECTOR_K
     lw = np.asarray(logw, dtype=float)
     for s in range(0, n, BLOCK):
         Lnp = _dist_block(X[s:s + BLOCK], st, k, E)
-        if vec:
-            for r in range(Lnp.shape[0]):
-                best = int(np.argmax(Lnp[r] + lw))
-                c[s + r] = best
-                sizes[best] += 1.0
-                lw[best] = log(sizes[best] + ab[best])
-            continue
-        for r, Lr in enumerate(Lnp.tolist()):
-            best, bs = 0, Lr[0] + logw[0]
-            for j in range(1, k):
-                v = Lr[j] + logw[j]
-                if v > bs:
-                    best, bs = j, v
+        m = Lnp.shape[0]
+        # weights only grow here, and sizes by no more than m in the block: a point whose best
+        # cluster beats every other's largest weight chooses it whenever its turn comes
+        low = Lnp + lw
+        b0 = low.argmax(1)
+        at = np.arange(m)
+        high = Lnp + np.log(np.asarray(sizes) + m + np.asarray(ab))
+        high[at, b0] = NEG_INF
+        certain = low[at, b0] > high.max(1) + CERTAIN_EPS
+        c[s:s + m] = b0
+        prev = 0
+        for r in np.flatnonzero(~certain).tolist() + [m]:
+            if r > prev:
+                for j, cnt in enumerate(np.bincount(b0[prev:r], minlength=k).tolist()):
+                    if cnt:
+                        sizes[j] += cnt
+                        lw[j] = log(sizes[j] + ab[j])
+            if r == m:
+                break
+            best = int(np.argmax(Lnp[r] + lw))
             c[s + r] = best
             sizes[best] += 1.0
-            logw[best] = log(sizes[best] + ab[best])
+            lw[best] = log(sizes[best] + ab[best])
+            prev = r + 1
     st.size[:k] = sizes
     return c
 
@@ -175,6 +182,8 @@ def _sweeps(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float,
 
 # decisions closer than this (in log units) are never taken in bulk
 CERTAIN_EPS = 1e-7
+# distances of a shard that are kept between its sweeps, at most (64 MB)
+KEPT_VALUES = 8 << 20
 
 
 def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma: float, p: DPMParams, draws: PointDraws
@@ -195,6 +204,7 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
     E, S = p.E, p.S
     sq = math.sqrt(S)
     log = math.log
+    kept: dict[int, np.ndarray] = {}  # distances of each block, which stay until a cluster opens
     for t_sweep in range(p.local_sweeps):
         st.alphas.append(alpha)
         k = st.k
@@ -207,11 +217,13 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
             xnb = xnorm[s:s + BLOCK]
             kb = st.k
             m = xb.shape[0]
-            Lnp = _dist_block(xb, st, kb, E)
-            z1, chi = draws.candidates(t_sweep, slice(s, s + m), H, d)
-            cand = -(xnb[:, None] - 2.0 * sq * np.sqrt(xnb)[:, None] * z1 + S * (z1 * z1 + chi)) / (2.0 * E)
-            jc_all = cand.argmax(1)
-            cv_all = cand[np.arange(m), jc_all]
+            Lnp = kept.get(s)
+            if Lnp is None or Lnp.shape[1] != kb:
+                Lnp = _dist_block(xb, st, kb, E)
+                if n * kb <= KEPT_VALUES:
+                    kept[s] = Lnp
+                else:
+                    kept.clear()
             wa = _log(alpha * beta_u / H)
             # bounds on each weight's drift during this block
             sz0 = st.size[:kb]
@@ -231,22 +243,33 @@ def _sweeps_pruned(X, xnorm, c, st: _State, alpha: float, beta_u: float, gamma:
             else:
                 u2 = np.full(m, NEG_INF)
             c_old = c[s:s + m].copy()
+            # a fresh centre scores no more than one right on the point (rounding included), so
+            # candidates, whose numbers hang on nothing else, are drawn only where that could win
+            z1, chi = np.zeros((m, H)), np.zeros((m, H))
+            jc_all, cv_all = np.zeros(m, np.int64), np.full(m, NEG_INF)
+            need = np.flatnonzero(~(low > 1e-13 * xnb / (2.0 * E) + wa + CERTAIN_EPS))
+            if len(need):
+                xq = xnb[need]
+                z1[need], chi[need] = z, rest = draws.candidates(t_sweep, s + need, H, d)
+                cand = -(xq[:, None] - 2.0 * sq * np.sqrt(xq)[:, None] * z + S * (z * z + rest)) / (2.0 * E)
+                jc_all[need] = jc = cand.argmax(1)
+                cv_all[need] = cand[np.arange(len(need)), jc]
             certain = (low > u2 + CERTAIN_EPS) & (low > cv_all + wa + CERTAIN_EPS)
             moves = certain & (b0 != c_old)
             stops = np.flatnonzero(~certain).tolist() + [m]
+            moved = [0, *np.cumsum(moves).tolist()]  # bulk moves before each point
             prev = 0
             opened: list[tuple[int, np.ndarray]] = []
             for t in stops:
-                if t > prev:
+                if moved[t] > moved[prev]:
                     mv = np.flatnonzero(moves[prev:t]) + prev
-                    if len(mv):
-                        old = c_old[mv]
-                        new = b0[mv]
-                        np.subtract.at(st.size, old, 1.0)
-                        np.add.at(st.size, new, 1.0)
-                        for j in set(old.tolist()) | set(new.tolist()):
-                            lw[j] = _log(float(st.size[j]) + float(ab[j]))
-                        c[s + mv] = new
+                    old = c_old[mv]
+                    new = b0[mv]
+                    np.subtract.at(st.size, old, 1.0)
+                    np.add.at(st.size, new, 1.0)
+                    for j in set(old.tolist()) | set(new.tolist()):
+                        lw[j] = _log(float(st.size[j]) + float(ab[j]))
+                    c[s + mv] = new
                 if t == m:
                     break
                 # point t, on its own
@@ -463,6 +486,27 @@ def _rows(kind, shard, **cols) -> dict:
     return {"kind": kind, "shard": shard, **cols}
 
 
+# points of at most so many dimensions reach the tasks as plain columns: a list column becomes
+# one array object a point in pandas, and stacking them costs more than the rest of a score
+PLAIN_DIMS = 16
+
+
+def _plain(points: DataFrame, dim: int) -> DataFrame:
+    """(point_id, shard, label) and the coordinates, as columns ``_x0`` .. or, beyond ``PLAIN_DIMS``,
+    as ``x``. A point of another dimension raises."""
+    if not 0 < dim <= PLAIN_DIMS:
+        return points.select("point_id", "shard", "x", "label")
+    wrong = F.raise_error(F.lit(f"a point has not the model's {dim} coordinates"))
+    x = F.when(F.size("x") == dim, F.col("x")).otherwise(wrong.cast(points.schema["x"].dataType))
+    return points.select("point_id", "shard", x.alias("x"), "label").select("point_id", "shard", "label", *[F.col("x")[i].alias(f"_x{i}") for i in range(dim)])
+
+
+def _coordinates(points: pd.DataFrame) -> np.ndarray:
+    if "x" in points.columns:
+        return np.stack(points["x"].to_numpy()).astype(float)
+    return np.ascontiguousarray(points[[c for c in points.columns if c.startswith("_x")]].to_numpy(float))
+
+
 def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float, mode: str,
                   total: int | None = None, alphas: tuple[float, float] | None = None):
     """The grouped function for one shard.
@@ -489,7 +533,7 @@ def make_sweep_fn(bmodel, p: DPMParams, round_: int, gamma: float, beta_u: float
             # equal ids hash to the same shard, so this check sees every duplicate
             raise ValueError(f"shard {shard}: point_id is not unique; give unique ids or let "
                              "points_from_table number the rows")
-        X = np.stack(points["x"].to_numpy()).astype(float)
+        X = _coordinates(points)
         xnorm = (X * X).sum(1)
         lab = points["label"].to_numpy(dtype=object)
         n = len(pid)
@@ -553,7 +597,7 @@ def run_sweep(points: DataFrame, labels: DataFrame | None, bmodel, p: DPMParams,
     def fix(pdf: pd.DataFrame) -> pd.DataFrame:
         return conform(pdf, SWEEP_SCHEMA)
 
-    pts = points.select("point_id", "shard", "x", "label")
+    pts = _plain(points, bmodel.value[0].shape[1])
     if labels is None:
         return pts.groupBy("shard").applyInPandas(lambda pdf: fix(fn(pdf, None)), SWEEP_SCHEMA)
     lab = labels.select("point_id", "shard", "cluster_id", "alpha")

@@ -260,7 +260,9 @@ def fit(points: DataFrame, params: DPMParams, k_init: int, rounds: int, shards:
             fin = run_sweep(pts, labels, spark.sparkContext.broadcast(model.arrays), p, rounds, gamma, model.beta_u, mode="score")
         else:
             fin = run_large_sweep(pts, labels, model.table, p, rounds, gamma, model.beta_u, (p.alpha0, p.alpha0), 1, mode="score")
+        fin = cut(fin, "final-score")  # a few rows a shard, read twice
         ari, rss = _quality(fin)
+        delete_path(spark, fin._cut_path)
         reports[-1].update(ari=ari, rss=rss)
         _report(spark, run_dir, reports[-1])
     with _step("write_labels", rounds):
